@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Style suffixes of font names, compounds before their parts.
 STYLE_SUFFIXES = """
@@ -22,15 +23,17 @@ italic oblique black heavy light bold book thin
 RTL_RANGES = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFD}\x{FE70}-\x{FEFC}]"
 
 ASCII_ONLY = r"^\p{ASCII}*$"
-UNICODE_SPACE = r"(?U)\s+"
+# The white space that text comparison ignores.
+SPACE_CLASS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+UNICODE_SPACE = SPACE_CLASS + "+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 

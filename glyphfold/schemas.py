@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Tables of the test corpus.
 TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -32,8 +30,8 @@ ATOMS = (
 )
 BOX_FIELDS = ("x", "y", "w", "h")
 
-# Manifest of a document suite.
-MANIFEST = T.StructType.fromDDL(
+# Manifest of a document suite (DDL).
+MANIFEST = (
     "schemaVersion int, suite int, pdf string, byteLength bigint, sha256 string, "
     "sizePolicy struct<minimumBytes:bigint,maximumBytes:bigint>, languages array<string>, "
     "fonts array<struct<inventoryName:string,reason:string,weight:int,italic:boolean>>, "

@@ -13,13 +13,14 @@ def _unknown(json_text: Column, fields: list[str]) -> Column:
 
 
 def parse_manifest(
-    df: DataFrame, json_col: str, schema: T.StructType, required: list[str] | None = None, ranges: dict[str, tuple] | None = None
+    df: DataFrame, json_col: str, schema: T.StructType | str, required: list[str] | None = None, ranges: dict[str, tuple] | None = None
 ) -> DataFrame:
     """Adds ``doc`` (the typed struct) and ``problem`` (null for a good record).
 
     Problems, in this order: not-an-object, unknown-key, missing-key,
     wrong-type, out-of-range.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = schema.fieldNames()
     required = names if required is None else required
     corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
@@ -43,7 +44,7 @@ def parse_manifest(
 
 
 def read_manifest(
-    df: DataFrame, json_col: str, schema: T.StructType, required: list[str] | None = None, ranges: dict[str, tuple] | None = None
+    df: DataFrame, json_col: str, schema: T.StructType | str, required: list[str] | None = None, ranges: dict[str, tuple] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """SRC3: (good, quarantine); bad records are named, none is dropped."""
     parsed = parse_manifest(df, json_col, schema, required, ranges)
