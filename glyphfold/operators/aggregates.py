@@ -113,13 +113,16 @@ def _ranked_counts(df: DataFrame, keys: Seq[str], value: Column, max_group_rows:
     )
     ranked = Sequence(counts, keys, ["_v"], max_group_rows).running_sum("_cum", F.col("_n")).done()
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    return ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    return ranked.join(totals, list(keys))
 
 
 def exact_quantiles(
     df: DataFrame, keys: Seq[str], value: Column, quantiles: dict[str, float], max_group_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """AGG7: nearest-rank percentiles (element at ceil(q*n)-1), exact for groups of any size."""
+    """AGG7: nearest-rank percentiles (element at ceil(q*n)-1), exact for groups of any size.
+
+    ``keys`` may not be empty; add a constant column for the whole frame.
+    """
     ranked = _ranked_counts(df, keys, value, max_group_rows)
     picks = [
         F.min(F.when(F.col("_cum") >= F.greatest(F.ceil(F.col("_total") * q), F.lit(1)), F.col("_v"))).alias(name)

@@ -7,6 +7,7 @@ are used for them; operators that also serve entity keys take
 
 from __future__ import annotations
 
+import math
 from bisect import insort
 from collections.abc import Sequence as Seq
 
@@ -20,6 +21,7 @@ from glyphfold.operators.ordered import Sequence
 from glyphfold.session import cut_lineage
 
 MAX_PAGE_ATOMS = 50_000
+PARALLEL = math.cos(math.radians(1.0))
 LINE = ("doc_id", "page", "line_no")
 
 
@@ -54,20 +56,29 @@ def assign_lines(atoms: DataFrame, max_atoms: int = MAX_PAGE_ATOMS) -> DataFrame
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["by", "bx", "atom_id"], ascending=[False, True, True], kind="stable")
         lines: list[tuple[float, float, float, float, list[float]]] = []
+        open_lines: list[int] = []
         ids = []
         for bx, by, h, dx, dy in zip(page.bx, page.by, page.h, page.dx, page.dy):
-            for number, (ox, oy, lx, ly, heights) in enumerate(lines):
-                if lx * dx + ly * dy < 0.9998476951563913:  # cosine of one degree
-                    continue
+            chosen, closed = None, []
+            for number in open_lines:
+                ox, oy, lx, ly, heights = lines[number]
                 n = len(heights)
                 median = (heights[(n - 1) // 2] + heights[n // 2]) / 2
-                if abs((by - oy) * lx - (bx - ox) * ly) <= max(1.0, 0.35 * median):
+                if abs((by - oy) * lx - (bx - ox) * ly) > max(1.0, 0.35 * median):
+                    # Visits go downwards, so a level line that is out of reach stays so.
+                    if ly == 0:
+                        closed.append(number)
+                elif lx * dx + ly * dy >= PARALLEL:
+                    chosen = number
                     insort(heights, h)
-                    ids.append(number)
                     break
-            else:
-                ids.append(len(lines))
+            for number in closed:
+                open_lines.remove(number)
+            if chosen is None:
+                chosen = len(lines)
+                open_lines.append(chosen)
                 lines.append((bx, by, dx, dy, [h]))
+            ids.append(chosen)
         return pd.DataFrame(
             {"doc_id": page.doc_id, "page": page.page, "atom_id": page.atom_id, "line_id": ids, "reason": None}
         )
@@ -477,14 +488,12 @@ def resolve_scopes(
     seq = seq.running_min("_low", F.col("_sum"))
     seq = seq.with_column("depth", (F.col("_sum") - F.least(F.col("_low"), F.lit(0))).cast("int"))
     depth = F.col("depth")
-    in_force = F.lit(None).cast(dict(base.dtypes)["_set"])
     for level in range(max_depth + 1):
         event = F.when(
             (depth == level) & ((F.col("_step") > 0) | F.col("_set").isNotNull()), F.struct(F.col("_set").alias("v"))
         )
         seq = seq.last_known(f"_l{level}", event)
-    for level in range(max_depth + 1):
-        in_force = F.when(depth >= level, F.coalesce(F.col(f"_l{level}.v"), in_force)).otherwise(in_force)
+    in_force = F.coalesce(*[F.when(depth >= n, F.col(f"_l{n}.v")) for n in reversed(range(max_depth + 1))])
     done = seq.with_column("in_force", in_force).done()
     return done.drop("_step", "_set", "_sum", "_low", *[f"_l{i}" for i in range(max_depth + 1)])
 
@@ -621,7 +630,7 @@ def admit(
     )
     types = dict(items.dtypes)
     state_schema = (
-        f"{tenant} {types[tenant]}, {order} {types[order]}, size double, hash string, done boolean, "
+        f"{tenant} {types[tenant]}, {order} {types[order]}, size double, hash {types['hash']}, done boolean, "
         f"last {types[order]}, used int, total double"
     )
     w = Window.partitionBy(tenant).orderBy(order)

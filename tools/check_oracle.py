@@ -41,6 +41,7 @@ def main() -> int:
     args = ap.parse_args()
     queries, oracle = load()
     spark = local_session(8, args.partitions)
+    spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{args.sf}/{t}.parquet'")
@@ -53,7 +54,7 @@ def main() -> int:
             df = fn(spark, args.sf)
             rows = [tuple(r) for r in df.collect()]
         except Exception as exc:  # noqa: BLE001
-            print(f"FAIL  {name}: {type(exc).__name__}: {str(exc)[:1500]}")
+            print(f"FAIL  {name}: {type(exc).__name__}: {str(exc)[-900:]}")
             bad += 1
             continue
         took = time.time() - t0
