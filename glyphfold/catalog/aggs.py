@@ -200,7 +200,8 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
     mask = views.page_space(spark, d).select(
         "doc_id", "page", F.lit(10.0).alias("x0"), F.lit(-20.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(0.5).alias("y1")
     )
-    return A.masked_diff(before, after, ["doc_id", "page"], ["x", "y"], "text", mask)
+    out = A.masked_diff(before, after, ["doc_id", "page"], ["x", "y"], "text", mask)
+    return out.drop("inside_raw", "outside_raw")
 
 
 _CAP = """CASE WHEN style_key = 'at' THEN 'readOnly' WHEN style_key = 'upper' THEN 'replacementWithSubstitution' ELSE 'safeReplacement' END"""

@@ -1 +1,107 @@
-"""To come."""
+"""Streaming queries (STR1-STR4) and their batch forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphfold.catalog import ORACLE, query
+from glyphfold.catalog import redaction as _redaction  # noqa: F401  (its SQL twin is shared)
+from glyphfold.catalog.sources import scratch
+from glyphfold.operators.ordered import HOT_ROWS
+from glyphfold.plans import views
+from glyphfold.schemas import TABLES
+from glyphfold.sources.corpus import read_table
+from glyphfold.streaming import commands as C
+from glyphfold.streaming import timeouts as T
+
+
+def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now into a table and read it back."""
+    out = scratch(spark)
+    schema = stream.schema
+    running = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/state")
+        .option("path", f"{out}/table")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/table")
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("str1_command_stream", ORACLE["rdx12_replay"])
+def command_stream(spark: SparkSession, d: str) -> DataFrame:
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.ROCKSDB)
+    try:
+        return run_available(spark, C.command_stream(views.commands_of(event_stream(spark, d))))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@query(
+    "str2_timeouts",
+    """WITH RECURSIVE rq AS (SELECT event_id AS req_id, user_id % 12 AS worker, epoch_us(ts) AS t, CASE WHEN event_id % 4 <> 0 AND value < 40 THEN epoch_us(ts) + CAST(floor(value * 90) AS BIGINT) * 1000000 END AS ans FROM events WHERE event_type = 'view'),
+u AS (SELECT DISTINCT worker, t FROM rq WHERE ans IS NULL),
+ch AS (SELECT worker, min(t) + 3600000000 AS tm FROM u GROUP BY worker UNION ALL SELECT ch.worker, (SELECT min(u.t) FROM u WHERE u.worker = ch.worker AND u.t >= ch.tm) + 3600000000 FROM ch WHERE (SELECT min(u.t) FROM u WHERE u.worker = ch.worker AND u.t >= ch.tm) IS NOT NULL),
+nx AS (SELECT rq.*, (SELECT min(ch.tm) FROM ch WHERE ch.worker = rq.worker AND ch.tm > rq.t) AS hit FROM rq)
+SELECT worker, req_id, CASE WHEN ans IS NULL AND hit = t + 3600000000 THEN 'TIMEOUT' WHEN hit IS NOT NULL AND (ans IS NULL OR ans > hit) THEN 'WORKER_TIMEOUT' ELSE 'ANSWERED' END AS outcome FROM nx""",
+)
+def timeouts(spark: SparkSession, d: str) -> DataFrame:
+    views_ = read_table(spark, d, "events").filter("event_type = 'view'")
+    ts = F.col("ts").cast("timestamp")
+    requests = views_.select((F.col("user_id") % 12).alias("worker"), F.col("event_id").alias("req_id"), ts.alias("ts"))
+    responses = views_.filter("event_id % 4 <> 0 and value < 40").select(
+        F.col("event_id").alias("req_id"),
+        F.timestamp_micros(F.unix_micros(ts) + F.floor(F.col("value") * 90) * 1_000_000).alias("resp_ts"),
+    )
+    return T.detect_timeouts(requests, responses, limit_seconds=3600)
+
+
+@query(
+    "str3_latest_generation",
+    """WITH g AS (SELECT event_id, user_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS generation FROM events),
+m AS (SELECT *, max(generation) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS newest FROM g)
+SELECT event_id, user_id, generation FROM m WHERE generation = newest""",
+)
+def latest_generation(spark: SparkSession, d: str) -> DataFrame:
+    results = read_table(spark, d, "events").select(
+        "event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("generation")
+    )
+    return T.drop_stale(results, ["user_id"], ["ts", "event_id"], "generation", HOT_ROWS).drop("ts")
+
+
+@query("str3_latest_generation_stream", ORACLE["str3_latest_generation"])
+def latest_generation_stream(spark: SparkSession, d: str) -> DataFrame:
+    results = event_stream(spark, d).select(
+        "event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("generation")
+    )
+    return run_available(spark, T.drop_stale_stream(results, "user_id", "generation", ["ts", "event_id"])).drop("ts")
+
+
+@query(
+    "str4_dedupe",
+    """WITH f AS (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1)
+SELECT doc_id, sha256, copies, lang FROM f JOIN documents USING (doc_id)""",
+)
+def dedupe(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    return T.dedupe_by_hash(docs, "text", "doc_id").select("doc_id", "sha256", "copies", "lang")
+
+
+@query(
+    "str4_dedupe_stream",
+    "SELECT sha256(text) AS sha256 FROM documents GROUP BY 1",
+)
+def dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.readStream.schema(TABLES["documents"]).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # The tables hold no arrival time; one instant for all makes the horizon endless.
+    timed = docs.select("text", F.timestamp_seconds(F.lit(86_400)).alias("at"))
+    return run_available(spark, T.dedupe_stream(timed, "text", "at", "1 hour")).select("sha256")

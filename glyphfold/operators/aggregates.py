@@ -193,7 +193,7 @@ def masked_diff(before: DataFrame, after: DataFrame, keys: Seq[str], cell: Seq[s
     """AGG10: cells that differ inside and outside an edit rectangle per key.
 
     mask: keys, x0, y0, x1, y1 (half open).  Shapes (cell sets) that are not
-    equal count every cell as different.
+    equal count every cell as different; ``*_raw`` are the plain counts.
     """
     a = before.select(*keys, *cell, F.struct(F.col(value).alias("v")).alias("_a"))
     b = after.select(*keys, *cell, F.struct(F.col(value).alias("v")).alias("_b"))
@@ -220,6 +220,8 @@ def masked_diff(before: DataFrame, after: DataFrame, keys: Seq[str], cell: Seq[s
         F.when(same_shape, F.col("_out")).otherwise(F.col("outside_cells")).alias("outside_diff"),
         "inside_cells",
         "outside_cells",
+        F.col("_in").alias("inside_raw"),
+        F.col("_out").alias("outside_raw"),
     )
 
 

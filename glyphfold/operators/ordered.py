@@ -15,7 +15,7 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphfold.session import broadcast_if_small
+from glyphfold.session import broadcast_if_small, spread
 
 HOT_ROWS = 500_000
 _BLOCK = "_block"
@@ -220,13 +220,14 @@ def blocked_fold(
     that start with the keys and the block.
     """
     group = [*keys, block]
+    rows = spread(df, *group)
     starts = (
-        df.groupBy(*group)
+        rows.groupBy(*group)
         .applyInPandas(summarise, summary_schema)
         .groupBy(*keys)
         .applyInPandas(chain, start_schema)
     )
     extra = [c for c in starts.columns if c not in group]
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in group]
-    joined = df.alias("d").join(starts.alias("s"), on).select("d.*", *[f"s.{c}" for c in extra])
+    joined = rows.alias("d").join(starts.alias("s"), on).select("d.*", *[f"s.{c}" for c in extra])
     return joined.groupBy(*group).applyInPandas(replay, out_schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from bisect import insort
-from collections.abc import Sequence as Seq
+from collections.abc import Iterator, Sequence as Seq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from glyphfold.functions.geometry import finite
 from glyphfold.functions.text import grapheme_list, widened_end, widened_start
 from glyphfold.operators.ordered import Sequence
-from glyphfold.session import cut_lineage
+from glyphfold.session import cut_lineage, spread
 
 MAX_PAGE_ATOMS = 50_000
 PARALLEL = math.cos(math.radians(1.0))
@@ -45,51 +45,53 @@ def assign_lines(atoms: DataFrame, max_atoms: int = MAX_PAGE_ATOMS) -> DataFrame
 
     atoms: doc_id, page, atom_id, bx, by (baseline), h, dx, dy (unit
     direction).  The tolerance follows the growing median height of a line, so
-    the order of visits matters and a page is one fold.  Pages above the
-    operation limit are refused, with a reason, before anything is grouped.
+    the order of visits matters and a page is one fold.  Spark sorts the atoms
+    of a partition and the fold runs over the stream of batches; its state is
+    the lines of the current page.  Pages above the operation limit are
+    refused, with a reason, before the fold.
     """
     sized = atoms.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page")))
     refused = sized.filter(F.col("_n") > max_atoms).select(
         "doc_id", "page", "atom_id", F.lit(None).cast("int").alias("line_id"), F.lit("RESOURCE_LIMIT").alias("reason")
     )
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["by", "bx", "atom_id"], ascending=[False, True, True], kind="stable")
-        lines: list[tuple[float, float, float, float, list[float]]] = []
-        open_lines: list[int] = []
-        ids = []
-        for bx, by, h, dx, dy in zip(page.bx, page.by, page.h, page.dx, page.dy):
-            chosen, closed = None, []
-            for number in open_lines:
-                ox, oy, lx, ly, heights = lines[number]
-                n = len(heights)
-                median = (heights[(n - 1) // 2] + heights[n // 2]) / 2
-                if abs((by - oy) * lx - (bx - ox) * ly) > max(1.0, 0.35 * median):
-                    # Visits go downwards, so a level line that is out of reach stays so.
-                    if ly == 0:
-                        closed.append(number)
-                elif lx * dx + ly * dy >= PARALLEL:
-                    chosen = number
-                    insort(heights, h)
-                    break
-            for number in closed:
-                open_lines.remove(number)
-            if chosen is None:
-                chosen = len(lines)
-                open_lines.append(chosen)
-                lines.append((bx, by, dx, dy, [h]))
-            ids.append(chosen)
-        return pd.DataFrame(
-            {"doc_id": page.doc_id, "page": page.page, "atom_id": page.atom_id, "line_id": ids, "reason": None}
-        )
-
-    done = (
-        sized.filter(F.col("_n") <= max_atoms)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = None
+        for batch in batches:
+            ids = []
+            cols = [batch[c].tolist() for c in ("doc_id", "page", "bx", "by", "h", "dx", "dy")]
+            for doc, number, bx, by, h, dx, dy in zip(*cols):
+                if current != (doc, number):
+                    current, lines, reachable = (doc, number), [], []
+                chosen, closed = None, []
+                for i in reachable:
+                    ox, oy, lx, ly, heights = lines[i]
+                    n = len(heights)
+                    median = (heights[(n - 1) // 2] + heights[n // 2]) / 2
+                    if abs((by - oy) * lx - (bx - ox) * ly) > max(1.0, 0.35 * median):
+                        # Visits go downwards, so a level line out of reach stays so.
+                        if ly == 0:
+                            closed.append(i)
+                    elif lx * dx + ly * dy >= PARALLEL:
+                        chosen = i
+                        insort(heights, h)
+                        break
+                for i in closed:
+                    reachable.remove(i)
+                if chosen is None:
+                    chosen = len(lines)
+                    reachable.append(chosen)
+                    lines.append((bx, by, dx, dy, [h]))
+                ids.append(chosen)
+            yield batch[["doc_id", "page", "atom_id"]].assign(line_id=ids)
+
+    ordered = (
+        spread(sized.filter(F.col("_n") <= max_atoms), "doc_id", "page")
         .select("doc_id", "page", "atom_id", "bx", "by", "h", "dx", "dy")
-        .groupBy("doc_id", "page")
-        .applyInPandas(fold, "doc_id bigint, page int, atom_id bigint, line_id int, reason string")
+        .sortWithinPartitions("doc_id", "page", F.col("by").desc(), "bx", "atom_id")
     )
-    return done.unionByName(refused)
+    done = ordered.mapInPandas(fold, "doc_id bigint, page int, atom_id bigint, line_id int")
+    return done.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
 
 
 def reading_order(atoms: DataFrame) -> DataFrame:
@@ -655,7 +657,7 @@ def admit(
     while True:
         ranked = todo.filter(F.col("size") <= max_total - F.col("total")).withColumn("_r", F.row_number().over(w))
         round_in = ranked.filter(F.col("_r") <= candidates).drop("_r")
-        taken = round_in.groupBy(tenant).applyInPandas(fold, state_schema)
+        taken = spread(round_in, tenant).groupBy(tenant).applyInPandas(fold, state_schema)
         taken = cut_lineage(taken)
         admitted = taken if admitted is None else admitted.unionByName(taken)
         open_state = taken.filter(~F.col("done")).groupBy(tenant).agg(

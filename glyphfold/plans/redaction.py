@@ -370,7 +370,7 @@ def validate_candidates(
         page_after.select(*on, F.struct("page_width", "page_height").alias("_g1")), on, "full_outer"
     )
     joined = new.join(old, [*on, "exp_id"]).join(
-        cells.select(*on, F.col("outside_diff").alias("outside_cells_changed")), on, "left"
+        cells.select(*on, F.col("outside_raw").alias("outside_cells_changed")), on, "left"
     ).join(geometry, on, "left")
     out = joined.select(
         *on,

@@ -111,8 +111,11 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, path: str) -> DataFrame:
+    return commands_of(read_table(spark, path, "events"))
+
+
+def commands_of(events: DataFrame) -> DataFrame:
     """Events as edit commands of one document per user."""
-    events = read_table(spark, path, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     op = (
         F.when(F.col("event_type") == "signup", F.when(k % 3 == 0, "open").otherwise("apply"))

@@ -54,3 +54,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning with a fixed count, for stages that run Python.
+
+    Adaptive execution merges small partitions by bytes, which starves work
+    that costs far more per byte than a JVM operator.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glyphfold.operators.ordered import HOT_ROWS, assign_blocks, blocked_fold
+from glyphfold.session import spread
 from glyphfold.streaming.machine import State, describe, run_block, step
 
 OUTCOMES = "doc_id bigint, seq bigint, op string, outcome string, revision bigint"
@@ -47,7 +48,7 @@ def replay_commands(commands: DataFrame, max_group_rows: int = HOT_ROWS) -> Data
         def fold(pdf: pd.DataFrame) -> pd.DataFrame:
             return _replayed(pdf.sort_values(order), None)[0]
 
-        return commands.groupBy("doc_id").applyInPandas(fold, OUTCOMES)
+        return spread(commands, "doc_id").groupBy("doc_id").applyInPandas(fold, OUTCOMES)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         fate, rest = describe(_rows(pdf.sort_values(order)))
