@@ -10,8 +10,10 @@ is carried over to the next.  Results are the same with and without blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from collections.abc import Sequence as Seq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def _position(name: str, dtype: str) -> Column:
 
 
 def assign_blocks(df: DataFrame, keys: Seq[str], order: Seq[str], max_group_rows: int) -> tuple[DataFrame, bool]:
-    """Add ``_block``: 0 for ordinary keys, 0..n along ``order[0]`` for hot ones.
+    """Add ``_block``: -1 for ordinary keys, 0..n along ``order[0]`` for hot ones.
 
     Boundaries need not be exact quantiles: any cut that is a function of the
     order value keeps the blocks ordered.  Equal order values share a block.
@@ -40,7 +42,7 @@ def assign_blocks(df: DataFrame, keys: Seq[str], order: Seq[str], max_group_rows
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group_rows)
     largest = sizes.agg(F.max("_n")).first()[0]
     if largest is None:
-        return df.withColumn(_BLOCK, F.lit(0)), False
+        return df.withColumn(_BLOCK, F.lit(-1)), False
     pieces = min(10_000, int(largest // max_group_rows) + 1)
     cuts = [i / pieces for i in range(1, pieces)] or [0.5]
     same_key = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
@@ -56,13 +58,14 @@ def assign_blocks(df: DataFrame, keys: Seq[str], order: Seq[str], max_group_rows
         .join(broadcast_if_small(bounds).alias("s"), same_key, "left")
         .select(
             "d.*",
-            F.coalesce(
-                F.size(F.filter("s._cuts", lambda c: c < _position(f"d.{order[0]}", dtype))), F.lit(0)
-            ).alias(_BLOCK),
+            F.when(
+                F.col("s._cuts").isNotNull(), F.size(F.filter("s._cuts", lambda c: c < _position(f"d.{order[0]}", dtype)))
+            )
+            .otherwise(-1)
+            .alias(_BLOCK),
         )
     )
-    # size(null) is -1 outside ANSI mode; ordinary keys always go to block 0.
-    return blocked.withColumn(_BLOCK, F.greatest(F.col(_BLOCK), F.lit(0))), True
+    return blocked, True
 
 
 class Sequence:
@@ -199,35 +202,61 @@ class Sequence:
         return self._with(joined.withColumn(out, F.coalesce("_local", "_c")).drop("_c", "_local", "_value"))
 
 
-def blocked_fold(
+def fold_sorted(
     df: DataFrame,
     keys: Seq[str],
-    block: str,
-    summarise,
-    summary_schema: str,
-    chain,
-    start_schema: str,
-    replay,
-    out_schema: str,
+    order: Seq[str],
+    keep: Seq[str],
+    inputs: Seq[str],
+    step: Callable,
+    outputs: str,
+    start: Callable[[object], object] | None = None,
+    start_col: str | None = None,
 ) -> DataFrame:
-    """A sequential fold per key, run block by block.
+    """A sequential fold per key over rows that Spark has hashed and sorted.
+
+    ``step(state, *inputs)`` gives (state, outputs); the state is ``None`` at
+    the first row of a key, or ``start`` of its ``start_col``.  Rows stream
+    through in Arrow batches, so memory does not grow with a key, and there is
+    no cost per key, unlike with a grouped map.  ``outputs`` is DDL.
+    """
+    wanted = dict.fromkeys([*keys, *order, *keep, *inputs, *([start_col] if start_col else [])])
+    rows = spread(df, *keys).select(*wanted).sortWithinPartitions(*keys, *order)
+    types = dict(rows.dtypes)
+    names = [part.split()[0] for part in outputs.split(",")]
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keep], outputs])
+    keys, keep, inputs = list(keys), list(keep), list(inputs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            results = []
+            begins = batch[start_col].tolist() if start_col else None
+            owners = zip(*[batch[k].tolist() for k in keys])
+            for i, (owner, *values) in enumerate(zip(owners, *[batch[c].tolist() for c in inputs])):
+                if owner != current:
+                    current = owner
+                    state = start(begins[i]) if start_col else None
+                state, result = step(state, *values)
+                results.append(result)
+            out = batch[keep].copy()
+            for j, name in enumerate(names):
+                out[name] = [r[j] for r in results]
+            yield out
+
+    return rows.mapInPandas(run, schema)
+
+
+def block_starts(
+    blocked: DataFrame, keys: Seq[str], summarise: Callable, summary_schema: str, chain: Callable, start_schema: str
+) -> DataFrame:
+    """The state each block of a hot key starts from.
 
     ``summarise`` turns the rows of one (key, block) into a small description of
     what the block does to any incoming state; ``chain`` walks the descriptions
-    of one key in block order and gives each block its starting state; and
-    ``replay`` runs the rows of a block from that state.  Only descriptions of
-    one key ever meet in a task, never its rows.  The schemas are DDL strings
-    that start with the keys and the block.
+    of one key in block order.  Only descriptions of one key ever meet in a
+    task, never its rows.  Schemas are DDL and begin with the keys and _block.
     """
-    group = [*keys, block]
-    rows = spread(df, *group)
-    starts = (
-        rows.groupBy(*group)
-        .applyInPandas(summarise, summary_schema)
-        .groupBy(*keys)
-        .applyInPandas(chain, start_schema)
-    )
-    extra = [c for c in starts.columns if c not in group]
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in group]
-    joined = rows.alias("d").join(starts.alias("s"), on).select("d.*", *[f"s.{c}" for c in extra])
-    return joined.groupBy(*group).applyInPandas(replay, out_schema)
+    group = [*keys, _BLOCK]
+    hot = spread(blocked.filter(F.col(_BLOCK) >= 0), *group)
+    return hot.groupBy(*group).applyInPandas(summarise, summary_schema).groupBy(*keys).applyInPandas(chain, start_schema)

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import math
 from bisect import insort
-from collections.abc import Iterator, Sequence as Seq
+from collections.abc import Sequence as Seq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphfold.functions.geometry import finite
 from glyphfold.functions.text import grapheme_list, widened_end, widened_start
-from glyphfold.operators.ordered import Sequence
-from glyphfold.session import cut_lineage, spread
+from glyphfold.operators.ordered import Sequence, fold_sorted
+from glyphfold.session import cut_lineage
 
 MAX_PAGE_ATOMS = 50_000
 PARALLEL = math.cos(math.radians(1.0))
@@ -55,42 +54,39 @@ def assign_lines(atoms: DataFrame, max_atoms: int = MAX_PAGE_ATOMS) -> DataFrame
         "doc_id", "page", "atom_id", F.lit(None).cast("int").alias("line_id"), F.lit("RESOURCE_LIMIT").alias("reason")
     )
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = None
-        for batch in batches:
-            ids = []
-            cols = [batch[c].tolist() for c in ("doc_id", "page", "bx", "by", "h", "dx", "dy")]
-            for doc, number, bx, by, h, dx, dy in zip(*cols):
-                if current != (doc, number):
-                    current, lines, reachable = (doc, number), [], []
-                chosen, closed = None, []
-                for i in reachable:
-                    ox, oy, lx, ly, heights = lines[i]
-                    n = len(heights)
-                    median = (heights[(n - 1) // 2] + heights[n // 2]) / 2
-                    if abs((by - oy) * lx - (bx - ox) * ly) > max(1.0, 0.35 * median):
-                        # Visits go downwards, so a level line out of reach stays so.
-                        if ly == 0:
-                            closed.append(i)
-                    elif lx * dx + ly * dy >= PARALLEL:
-                        chosen = i
-                        insort(heights, h)
-                        break
-                for i in closed:
-                    reachable.remove(i)
-                if chosen is None:
-                    chosen = len(lines)
-                    reachable.append(chosen)
-                    lines.append((bx, by, dx, dy, [h]))
-                ids.append(chosen)
-            yield batch[["doc_id", "page", "atom_id"]].assign(line_id=ids)
-
-    ordered = (
-        spread(sized.filter(F.col("_n") <= max_atoms), "doc_id", "page")
-        .select("doc_id", "page", "atom_id", "bx", "by", "h", "dx", "dy")
-        .sortWithinPartitions("doc_id", "page", F.col("by").desc(), "bx", "atom_id")
-    )
-    done = ordered.mapInPandas(fold, "doc_id bigint, page int, atom_id bigint, line_id int")
+    def visit(page: tuple | None, bx: float, by: float, h: float, dx: float, dy: float) -> tuple[tuple, tuple]:
+        lines, reachable = ([], []) if page is None else page
+        chosen, closed = None, []
+        for i in reachable:
+            ox, oy, lx, ly, heights = lines[i]
+            n = len(heights)
+            median = (heights[(n - 1) // 2] + heights[n // 2]) / 2
+            if abs((by - oy) * lx - (bx - ox) * ly) > max(1.0, 0.35 * median):
+                # Visits go downwards, so a level line out of reach stays so.
+                if ly == 0:
+                    closed.append(i)
+            elif lx * dx + ly * dy >= PARALLEL:
+                chosen = i
+                insort(heights, h)
+                break
+        for i in closed:
+            reachable.remove(i)
+        if chosen is None:
+            chosen = len(lines)
+            reachable.append(chosen)
+            lines.append((bx, by, dx, dy, [h]))
+        return (lines, reachable), (chosen,)
+
+    rows = sized.filter(F.col("_n") <= max_atoms).withColumn("_down", -F.col("by"))
+    done = fold_sorted(
+        rows,
+        ["doc_id", "page"],
+        ["_down", "bx", "atom_id"],
+        ["doc_id", "page", "atom_id"],
+        ["bx", "by", "h", "dx", "dy"],
+        visit,
+        "line_id int",
+    )
     return done.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
 
 
@@ -630,42 +626,43 @@ def admit(
         .agg(F.min(F.struct(F.col(order).alias("o"), F.col("size").alias("s"))).alias("f"))
         .select(tenant, "hash", F.col("f.o").alias(order), F.col("f.s").alias("size"))
     )
-    types = dict(items.dtypes)
-    state_schema = (
-        f"{tenant} {types[tenant]}, {order} {types[order]}, size double, hash {types['hash']}, done boolean, "
-        f"last {types[order]}, used int, total double"
-    )
     w = Window.partitionBy(tenant).orderBy(order)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        used, total = int(group["used"].iloc[0]), float(group["total"].iloc[0])
-        taken = []
-        for position, size in enumerate(group["size"]):
-            if used < max_count and size <= max_total - total:
-                used, total = used + 1, total + size
-                taken.append(position)
-        out = group.iloc[taken][[tenant, order, "size", "hash"]].copy()
-        # A round that saw fewer than the limit saw all that could still fit.
-        out["done"] = used >= max_count or len(group) < candidates
-        out["last"] = group[order].iloc[-1]
-        out["used"], out["total"] = used, total
-        return out
+    def offer(state: tuple | None, size: float, used: int, total: float) -> tuple[tuple, tuple]:
+        used, total = (used, total) if state is None else state
+        taken = used < max_count and size <= max_total - total
+        if taken:
+            used, total = used + 1, total + size
+        return (used, total), (taken, used, total)
 
     todo = firsts.withColumns({"used": F.lit(0), "total": F.lit(0.0)})
     admitted = None
     while True:
-        ranked = todo.filter(F.col("size") <= max_total - F.col("total")).withColumn("_r", F.row_number().over(w))
-        round_in = ranked.filter(F.col("_r") <= candidates).drop("_r")
-        taken = spread(round_in, tenant).groupBy(tenant).applyInPandas(fold, state_schema)
-        taken = cut_lineage(taken)
+        fitting = todo.filter(F.col("size") <= max_total - F.col("total"))
+        ranked = fitting.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= candidates)
+        folded = fold_sorted(
+            ranked,
+            [tenant],
+            [order],
+            [tenant, order, "size", "hash"],
+            ["size", "used", "total"],
+            offer,
+            "taken boolean, used_now int, total_now double",
+        )
+        folded = cut_lineage(folded)
+        taken = folded.filter("taken").select(tenant, order, "size", "hash")
         admitted = taken if admitted is None else admitted.unionByName(taken)
-        open_state = taken.filter(~F.col("done")).groupBy(tenant).agg(
-            F.max("last").alias("last"), F.max("used").alias("used"), F.max("total").alias("total")
+        # A tenant that was offered less than the limit was offered all that could still fit.
+        state = folded.groupBy(tenant).agg(
+            F.max(order).alias("_last"),
+            F.max("used_now").alias("used"),
+            F.max("total_now").alias("total"),
+            F.count(F.lit(1)).alias("_seen"),
         )
-        if open_state.isEmpty():
+        unfinished = state.filter((F.col("used") < max_count) & (F.col("_seen") >= candidates)).drop("_seen")
+        if unfinished.isEmpty():
             break
-        todo = firsts.join(open_state, tenant).filter(F.col(order) > F.col("last")).drop("last")
+        todo = firsts.join(unfinished, tenant).filter(F.col(order) > F.col("_last")).drop("_last")
     slots = admitted.groupBy(tenant).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "size", "hash"))).alias("_slots")
     )

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from glyphfold.operators.ordered import HOT_ROWS, assign_blocks, blocked_fold
-from glyphfold.session import spread
+from glyphfold.operators.ordered import HOT_ROWS, assign_blocks, block_starts, fold_sorted
+from glyphfold.session import broadcast_if_small
 from glyphfold.streaming.machine import State, describe, run_block, step
 
 OUTCOMES = "doc_id bigint, seq bigint, op string, outcome string, revision bigint"
@@ -35,20 +35,23 @@ def _replayed(pdf: pd.DataFrame, state: State) -> tuple[pd.DataFrame, State]:
 def replay_commands(commands: DataFrame, max_group_rows: int = HOT_ROWS) -> DataFrame:
     """RDX12: outcome and revision (-1 = no session) after every command.
 
-    commands: doc_id, ts, seq (unique), op, expected_revision, valid.  An
-    ``open`` starts afresh whatever came before, so the commands of a document
-    fall into sessions that are folded apart from each other.  A document with
-    more commands than ``max_group_rows`` is folded block by block; a block is
-    described by the few revisions its commands expect.
+    commands: doc_id, ts, seq (unique), op, expected_revision, valid.  The
+    commands of a document are one fold in order.  A document with more than
+    ``max_group_rows`` commands is cut into blocks that are folded apart: a
+    block is first described by the few revisions its commands expect, the
+    descriptions are chained, and every block then starts from its own state.
     """
     order = ["ts", "seq"]
     blocked, hot = assign_blocks(commands, ["doc_id"], order, max_group_rows)
-    if not hot:
+    inputs, keep = ["op", "expected_revision", "valid"], ["doc_id", "seq", "op"]
 
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _replayed(pdf.sort_values(order), None)[0]
+    def advance(state: State, op: str, expected: int, valid: bool) -> tuple[State, tuple]:
+        state, outcome = step(state, op, expected, valid)
+        return state, (outcome, -1 if state is None else state[0])
 
-        return spread(commands, "doc_id").groupBy("doc_id").applyInPandas(fold, OUTCOMES)
+    outputs = "outcome string, revision bigint"
+    if not hot:
+        return fold_sorted(commands, ["doc_id"], order, keep, inputs, advance, outputs)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         fate, rest = describe(_rows(pdf.sort_values(order)))
@@ -68,20 +71,22 @@ def replay_commands(commands: DataFrame, max_group_rows: int = HOT_ROWS) -> Data
             state = run_block((table, tuple(other) if isinstance(other, list) else other), state)
         return pd.DataFrame(rows, columns=["doc_id", "_block", "start_state"])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = json.loads(pdf["start_state"].iloc[0])
-        return _replayed(pdf.sort_values(order), None if start is None else tuple(start))[0]
-
-    return blocked_fold(
+    starts = block_starts(
         blocked,
         ["doc_id"],
-        "_block",
         summarise,
         "doc_id bigint, _block int, fate string, rest string",
         chain,
         "doc_id bigint, _block int, start_state string",
-        replay,
-        OUTCOMES,
+    )
+    joined = blocked.join(broadcast_if_small(starts), ["doc_id", "_block"], "left")
+
+    def begin(text: str | None) -> State:
+        found = json.loads(text) if text else None
+        return None if found is None else tuple(found)
+
+    return fold_sorted(
+        joined, ["doc_id", "_block"], order, keep, inputs, advance, outputs, start=begin, start_col="start_state"
     )
 
 

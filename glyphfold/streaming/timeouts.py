@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphfold.operators.ordered import Sequence, blocked_fold
+from glyphfold.operators.ordered import HOT_ROWS, Sequence, assign_blocks, block_starts, fold_sorted
+from glyphfold.session import broadcast_if_small
 
 LIMIT_SECONDS = 30
-BLOCK_SECONDS = 3600
 
 
 def answered(requests: DataFrame, responses: DataFrame, limit_seconds: int = LIMIT_SECONDS) -> DataFrame:
@@ -33,17 +33,20 @@ def timeout_stream(requests: DataFrame, responses: DataFrame, delay: str = "1 mi
     return answered(requests.withWatermark("ts", delay), responses.withWatermark("resp_ts", delay), limit_seconds)
 
 
-def detect_timeouts(requests: DataFrame, responses: DataFrame, limit_seconds: int = LIMIT_SECONDS) -> DataFrame:
+def detect_timeouts(
+    requests: DataFrame, responses: DataFrame, limit_seconds: int = LIMIT_SECONDS, max_group_rows: int = HOT_ROWS
+) -> DataFrame:
     """STR2: outcome per request: ANSWERED, TIMEOUT or WORKER_TIMEOUT.
 
     A timeout ends the worker and with it every request pending there; those
     never reach a timeout of their own.  So the timeouts that take effect form
     a chain per worker: the next one belongs to the first unanswered request
-    sent at or after the last one.  The chain is walked in blocks of time; a
-    block is described only by its first ``limit`` seconds, because an incoming
+    sent at or after the last one.  Only the send times of unanswered requests
+    are folded.  A worker with very many of them is cut into blocks of time; a
+    block is described by its first ``limit`` seconds, because an incoming
     timeout cannot reach further.
     """
-    step = limit_seconds * 1_000_000
+    span = limit_seconds * 1_000_000
     first = answered(requests, responses, limit_seconds).groupBy("worker", "req_id").agg(
         F.min("ts").alias("ts"), F.min("resp_ts").alias("resp_ts")
     )
@@ -53,69 +56,67 @@ def detect_timeouts(requests: DataFrame, responses: DataFrame, limit_seconds: in
             "answer": F.unix_micros(F.col("resp_ts").cast("timestamp")),
         }
     )
-    silent = (
-        timed.filter("answer is null")
-        .select("worker", "t")
-        .distinct()
-        .withColumn("_block", F.floor(F.col("t") / (BLOCK_SECONDS * 1_000_000)).cast("bigint"))
-    )
+    silent = timed.filter("answer is null").select("worker", "t").distinct()
     worker_type = dict(requests.dtypes)["worker"]
 
-    def walk(times: list[int], last: int) -> list[int]:
-        """Effective timeouts from a state; ``last`` is the timeout before."""
-        out = []
-        for t in times:
-            if t >= last:
-                last = t + step
-                out.append(last)
-        return out
+    def advance(last: int | None, t: int) -> tuple[int | None, tuple]:
+        if last is None or t >= last:
+            return t + span, (t + span,)
+        return last, (None,)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         times = sorted(pdf["t"].tolist())
         # Where the chain ends when it starts at position i, from the back.
         ends, nxt = [0] * len(times), len(times)
         for i in range(len(times) - 1, -1, -1):
-            while nxt > i + 1 and times[nxt - 1] >= times[i] + step:
+            while nxt > i + 1 and times[nxt - 1] >= times[i] + span:
                 nxt -= 1
-            ends[i] = ends[nxt] if nxt < len(times) else times[i] + step
-        keep = [i for i, t in enumerate(times) if t < times[0] + step]
-        if len(keep) < len(times):
-            keep.append(len(keep))
-        text = json.dumps([[times[i], ends[i]] for i in keep])
+            ends[i] = ends[nxt] if nxt < len(times) else times[i] + span
+        near = sum(1 for t in times if t < times[0] + span)
+        text = json.dumps([[times[i], ends[i]] for i in range(min(near + 1, len(times)))])
         return pd.DataFrame([[pdf["worker"].iloc[0], pdf["_block"].iloc[0], text]], columns=["worker", "_block", "jumps"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = -(1 << 62), []
-        for worker, block, jumps in pdf.sort_values("_block").itertuples(index=False):
-            rows.append((worker, block, last))
-            for t, end in json.loads(jumps):
-                if t >= last:
-                    last = end
-                    break
+        last, rows = None, []
+        for worker, block, jumps in pdf.sort_values("_block")[["worker", "_block", "jumps"]].itertuples(index=False):
+            rows.append((worker, block, json.dumps(last)))
+            last = next((end for t, end in json.loads(jumps) if last is None or t >= last), last)
         return pd.DataFrame(rows, columns=["worker", "_block", "last"])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        effective = walk(sorted(pdf["t"].tolist()), int(pdf["last"].iloc[0]))
-        return pd.DataFrame({"worker": [pdf["worker"].iloc[0]] * len(effective), "at": effective})
-
-    effective = blocked_fold(
-        silent,
-        ["worker"],
-        "_block",
-        summarise,
-        f"worker {worker_type}, _block bigint, jumps string",
-        chain,
-        f"worker {worker_type}, _block bigint, last bigint",
-        replay,
-        f"worker {worker_type}, at bigint",
-    )
+    blocked, hot = assign_blocks(silent, ["worker"], ["t"], max_group_rows)
+    outputs = "at bigint"
+    if not hot:
+        folded = fold_sorted(silent, ["worker"], ["t"], ["worker"], ["t"], advance, outputs)
+    else:
+        starts = block_starts(
+            blocked,
+            ["worker"],
+            summarise,
+            f"worker {worker_type}, _block int, jumps string",
+            chain,
+            f"worker {worker_type}, _block int, last string",
+        )
+        joined = blocked.join(broadcast_if_small(starts), ["worker", "_block"], "left")
+        folded = fold_sorted(
+            joined,
+            ["worker", "_block"],
+            ["t"],
+            ["worker"],
+            ["t"],
+            advance,
+            outputs,
+            start=lambda text: json.loads(text) if text else None,
+            start_col="last",
+        )
     # The first effective timeout after a request was sent, by a merge in time order.
-    marks = effective.select("worker", F.col("at").alias("_t"), F.lit(0).alias("_side"), F.col("at").alias("_at"))
+    marks = folded.filter("at is not null").select(
+        "worker", F.col("at").alias("_t"), F.lit(0).alias("_side"), F.col("at").alias("_at")
+    )
     asked = timed.select("worker", F.col("t").alias("_t"), F.lit(1).alias("_side"), "req_id", "answer")
     merged = asked.unionByName(marks, allowMissingColumns=True)
-    seq = Sequence(merged, ["worker"], ["_t", "_side", "req_id"], 1_000_000).next_known("_next", F.col("_at"))
+    seq = Sequence(merged, ["worker"], ["_t", "_side", "req_id"], max_group_rows).next_known("_next", F.col("_at"))
     hit = F.col("_next")
-    own = F.col("answer").isNull() & (hit == F.col("_t") + step)
+    own = F.col("answer").isNull() & (hit == F.col("_t") + span)
     return seq.done().filter("_side = 1").select(
         "worker",
         "req_id",
