@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphfold.session import broadcast_if_small, spread
+from glyphfold.session import broadcast_if_small, cut_lineage, spread
 
 HOT_ROWS = 500_000
 _BLOCK = "_block"
@@ -99,16 +99,23 @@ class Sequence:
     def _window(self):
         return Window.partitionBy(*self._group).orderBy(*self.order)
 
-    def _carry(self, summary: Column, carried, name: str) -> DataFrame:
-        """One summary row per block, then ``carried`` over the earlier blocks."""
-        per_block = self.df.groupBy(*self._group).agg(summary.alias("_v"))
-        blocks = Window.partitionBy(*self.keys).orderBy(_BLOCK)
-        return per_block.select(*self._group, carried(blocks).alias(name))
+    def _carry(self, summaries: dict[str, Column], carried) -> DataFrame:
+        """Per block, ``carried`` over the summaries of the earlier (or later) blocks.
+
+        One small row per block of a hot key.  It is checkpointed, so that a
+        chain of operations does not repeat the plan below it, and broadcast
+        when small, so that the rows stay where their block put them.
+        """
+        hot = self.df.filter(F.col(_BLOCK) >= 0)
+        per_block = hot.groupBy(*self._group).agg(*[v.alias(n) for n, v in summaries.items()])
+        w = Window.partitionBy(*self.keys).orderBy(_BLOCK)
+        return cut_lineage(per_block.select(*self._group, *[carried(F.col(n), w).alias(n) for n in summaries]))
 
     def _joined(self, local: DataFrame, carry: DataFrame) -> DataFrame:
         on = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in self._group]
         extra = [c for c in carry.columns if c not in self._group]
-        return local.alias("l").join(carry.alias("c"), on, "left").select("l.*", *[f"c.{c}" for c in extra])
+        small = broadcast_if_small(carry)
+        return local.alias("l").join(small.alias("c"), on, "left").select("l.*", *[f"c.{c}" for c in extra])
 
     def select(self, *cols) -> DataFrame:
         return self.df.select(*cols)
@@ -134,18 +141,16 @@ class Sequence:
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         if not self.blocked:
             return self._with(self.df.withColumn(out, fold(value).over(frame)))
-        base = self._with(self.df.withColumn("_value", value))
-        carry = base._carry(
-            fold("_value"), lambda w: fold("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_c"
+        carry = self._carry(
+            {"_c": fold(value)}, lambda v, w: fold(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
         )
-        local = base.df.withColumn(out, fold("_value").over(frame))
-        joined = self._joined(local, carry)
+        joined = self._joined(self.df.withColumn(out, fold(value).over(frame)), carry)
         merged = (
             F.when(F.col(out).isNull(), F.col("_c"))
             .when(F.col("_c").isNull(), F.col(out))
             .otherwise(combine(F.col(out), F.col("_c")))
         )
-        return self._with(joined.withColumn(out, merged).drop("_c", "_value"))
+        return self._with(joined.withColumn(out, merged).drop("_c"))
 
     def row_number(self, out: str) -> Sequence:
         if not self.blocked:
@@ -156,14 +161,11 @@ class Sequence:
         move = F.lead if forward else F.lag
         if not self.blocked:
             return self._with(self.df.withColumn(out, move(value).over(self._window())))
-        base = self._with(self.df.withColumn("_value", F.struct(value.alias("v"))))
-        place = F.struct(*self.order)
-        edge = F.min_by("_value", place) if forward else F.max_by("_value", place)
-        carry = base._carry(edge, lambda w: move("_v").over(w), "_c")
-        joined = self._joined(base.df.withColumn("_local", move("_value").over(self._window())), carry)
-        return self._with(
-            joined.withColumn(out, F.coalesce(F.col("_local"), F.col("_c"))["v"]).drop("_c", "_local", "_value")
-        )
+        boxed, place = F.struct(value.alias("v")), F.struct(*self.order)
+        edge = F.min_by(boxed, place) if forward else F.max_by(boxed, place)
+        carry = self._carry({"_c": edge}, lambda v, w: move(v).over(w))
+        joined = self._joined(self.df.withColumn("_local", move(boxed).over(self._window())), carry)
+        return self._with(joined.withColumn(out, F.coalesce("_local", "_c")["v"]).drop("_c", "_local"))
 
     def lag(self, out: str, value: Column) -> Sequence:
         return self._neighbour(out, value, forward=False)
@@ -173,33 +175,38 @@ class Sequence:
 
     def last_known(self, out: str, value: Column, inclusive: bool = True) -> Sequence:
         """Last non-null value up to the row (or before it)."""
+        return self.last_known_of({out: value}, inclusive)
+
+    def last_known_of(self, values: dict[str, Column], inclusive: bool = True) -> Sequence:
+        """:meth:`last_known` of several values in one pass."""
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        if not self.blocked:
-            return self._with(self.df.withColumn(out, F.last(value, ignorenulls=True).over(frame)))
-        base = self._with(self.df.withColumn("_value", value))
         place = F.struct(*self.order)
-        carry = base._carry(
-            F.max_by(F.col("_value"), F.when(F.col("_value").isNotNull(), place)),
-            lambda w: F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "_c",
+        return self._known(
+            values,
+            lambda v: F.last(v, ignorenulls=True).over(frame),
+            lambda v: F.max_by(v, F.when(v.isNotNull(), place)),
+            lambda v, w: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         )
-        joined = self._joined(base.df.withColumn("_local", F.last("_value", ignorenulls=True).over(frame)), carry)
-        return self._with(joined.withColumn(out, F.coalesce("_local", "_c")).drop("_c", "_local", "_value"))
 
     def next_known(self, out: str, value: Column) -> Sequence:
         """First non-null value after the row."""
         frame = self._window().rowsBetween(1, Window.unboundedFollowing)
-        if not self.blocked:
-            return self._with(self.df.withColumn(out, F.first(value, ignorenulls=True).over(frame)))
-        base = self._with(self.df.withColumn("_value", value))
         place = F.struct(*self.order)
-        carry = base._carry(
-            F.min_by(F.col("_value"), F.when(F.col("_value").isNotNull(), place)),
-            lambda w: F.first("_v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-            "_c",
+        return self._known(
+            {out: value},
+            lambda v: F.first(v, ignorenulls=True).over(frame),
+            lambda v: F.min_by(v, F.when(v.isNotNull(), place)),
+            lambda v, w: F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
         )
-        joined = self._joined(base.df.withColumn("_local", F.first("_value", ignorenulls=True).over(frame)), carry)
-        return self._with(joined.withColumn(out, F.coalesce("_local", "_c")).drop("_c", "_local", "_value"))
+
+    def _known(self, values: dict[str, Column], local, summary, carried) -> Sequence:
+        here = {out: local(v) for out, v in values.items()}
+        if not self.blocked:
+            return self._with(self.df.withColumns(here))
+        carry = self._carry({f"_c_{out}": summary(v) for out, v in values.items()}, carried)
+        joined = self._joined(self.df.withColumns(here), carry)
+        merged = {out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in values}
+        return self._with(joined.withColumns(merged).drop(*[f"_c_{out}" for out in values]))
 
 
 def fold_sorted(

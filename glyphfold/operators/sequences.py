@@ -434,8 +434,7 @@ def carry_state(
     summed within the segment (``<col>_pos``).
     """
     seq = Sequence(ops, keys, order, max_group_rows)
-    for c in cols:
-        seq = seq.last_known(f"{c}_now", F.col(c))
+    seq = seq.last_known_of({f"{c}_now": F.col(c) for c in cols})
     if begin is None:
         return seq.done()
     seq = seq.running_sum("segment", begin.cast("int"))
@@ -486,11 +485,13 @@ def resolve_scopes(
     seq = seq.running_min("_low", F.col("_sum"))
     seq = seq.with_column("depth", (F.col("_sum") - F.least(F.col("_low"), F.lit(0))).cast("int"))
     depth = F.col("depth")
-    for level in range(max_depth + 1):
-        event = F.when(
+    events = {
+        f"_l{level}": F.when(
             (depth == level) & ((F.col("_step") > 0) | F.col("_set").isNotNull()), F.struct(F.col("_set").alias("v"))
         )
-        seq = seq.last_known(f"_l{level}", event)
+        for level in range(max_depth + 1)
+    }
+    seq = seq.last_known_of(events)
     in_force = F.coalesce(*[F.when(depth >= n, F.col(f"_l{n}.v")) for n in reversed(range(max_depth + 1))])
     done = seq.with_column("in_force", in_force).done()
     return done.drop("_step", "_set", "_sum", "_low", *[f"_l{i}" for i in range(max_depth + 1)])
