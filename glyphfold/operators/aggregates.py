@@ -61,7 +61,8 @@ def walk_resources(roots: DataFrame, edges: DataFrame, max_depth: int = 12) -> D
     frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"))
     frontier = frontier.withColumn("status", F.lit("OK"))
     found = [frontier]
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
+    # Written once, read at every level.
+    links = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")))
     for level in range(1, max_depth + 2):
         step = (
             frontier.filter("status = 'OK'")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from glyphfold.functions.geometry import finite
 from glyphfold.functions.keys import command_hash
 from glyphfold.functions.text import count_occurrences, nfc, nfc_needed, searchable, widened_end, widened_start
-from glyphfold.operators.aggregates import masked_diff
 from glyphfold.operators.joins import bind_edits
 from glyphfold.operators.sequences import apply_patches, char_ranges, style_runs
 from glyphfold.operators.spatial import boxes_meet
@@ -276,20 +275,32 @@ def prove_removed(after: DataFrame, edits: DataFrame, on: Seq[str], text: str, s
     return hits.groupBy(*on, source).agg(F.count_if(left).alias("remaining")).withColumn("removed", F.col("remaining") == 0)
 
 
-def extraction_evidence(items: DataFrame, expectations: DataFrame, on: Seq[str], order: str, strict: bool = True) -> DataFrame:
+def extraction_evidence(
+    items: DataFrame, expectations: DataFrame, on: Seq[str], order: str, strict: bool = True, region: str | None = None
+) -> DataFrame:
     """RDX8: text at the target against the rest of the page, spaces ignored.
 
     items: on, order, text, x, y, w, h; expectations: on, exp_id, x, y, w, h,
     old_text, new_text, expected_outside.  ``strict`` asks for equality at the
-    target when the new text contains the old one.
+    target when the new text contains the old one.  ``region`` names a struct
+    column x0, y0, x1, y1 of the expectations: then ``cells_digest`` stands for
+    the exact places and texts of all items outside it.  All of it comes from
+    one join and one aggregation per page.
     """
-    exp = expectations.select(
-        *on, "exp_id", F.struct("x", "y", "w", "h").alias("_box"), "old_text", "new_text", "expected_outside"
-    )
+    box = F.struct("x", "y", "w", "h").alias("_box")
+    area = [F.col(region).alias("_area")] if region else []
+    exp = expectations.select(*on, "exp_id", box, *area, "old_text", "new_text", "expected_outside")
     joined = exp.join(items, list(on), "left")
     here = F.coalesce(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box")), F.lit(False))
     pieces = joined.withColumns({"_in": F.when(here, F.col("text")), "_out": F.when(~here, F.col("text"))})
+    cells = []
+    if region:
+        x, y, a = F.col("x"), F.col("y"), F.col("_area")
+        inside = (x >= a["x0"]) & (x < a["x1"]) & (y >= a["y0"]) & (y < a["y1"])
+        kept = F.collect_list(F.when(~inside & F.col("text").isNotNull(), F.struct("y", "x", "text")))
+        cells = [F.sha2(F.to_json(F.sort_array(kept)), 256).alias("cells_digest")]
     grouped = pieces.groupBy(*on, "exp_id").agg(
+        *cells,
         F.first("old_text").alias("old_text"),
         F.first("new_text").alias("new_text"),
         F.first("expected_outside").alias("expected_outside"),
@@ -300,6 +311,7 @@ def extraction_evidence(items: DataFrame, expectations: DataFrame, on: Seq[str],
         *on,
         "exp_id",
         "expected_outside",
+        *(["cells_digest"] if region else []),
         searchable(F.col("_t")).alias("target_text"),
         searchable(F.col("_o")).alias("outside_text"),
         searchable(F.col("old_text")).alias("_old"),
@@ -320,6 +332,7 @@ def extraction_evidence(items: DataFrame, expectations: DataFrame, on: Seq[str],
         outside.alias("old_outside"),
         (outside == F.col("expected_outside")).alias("outside_preserved"),
         F.sha2("outside_text", 256).alias("outside_digest"),
+        *(["cells_digest"] if region else []),
     ).withColumn("valid", F.col("old_absent") & F.col("new_present") & F.col("outside_preserved"))
 
 
@@ -332,7 +345,7 @@ def validate_candidates(
     order: str,
     validator: Callable[[tuple, pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """RDX9: check codes and one verdict per expectation (one per doc and page).
+    """RDX9: check codes and one verdict per expectation.
 
     Outside text must be identical, page geometry identical, and atoms outside
     the widened region identical.  ``validator`` (UDF1) replaces the built-in
@@ -340,45 +353,37 @@ def validate_candidates(
     with ``valid``.
     """
     on = ["doc_id", "page"]
-    new = extraction_evidence(after, expectations, on, order)
-    plain = expectations.withColumns({"old_text": F.lit(""), "new_text": F.lit(""), "expected_outside": F.lit(0)})
-    old = extraction_evidence(before, plain, on, order).select(*on, "exp_id", F.col("outside_digest").alias("_src"))
     # The region grows with the height of the text it covered.
-    target = before.join(expectations.select(*on, F.struct("x", "y", "w", "h").alias("_box")), on)
-    covered = target.filter(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box"))).groupBy(*on).agg(
+    target = before.join(expectations.select(*on, "exp_id", F.struct("x", "y", "w", "h").alias("_box")), on)
+    covered = target.filter(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box"))).groupBy(*on, "exp_id").agg(
         F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max(F.col("x") + F.col("w")).alias("_x1"),
         F.max(F.col("y") + F.col("h")).alias("_y1"), F.max("h").alias("_h"),
     )
     fringe = F.greatest(F.lit(1.0), 0.25 * F.coalesce("_h", F.lit(0.0)))
-    mask = expectations.join(covered, on, "left").select(
-        *on,
+    right, top = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    wide = F.struct(
         (F.least("x", F.coalesce("_x0", "x")) - fringe).alias("x0"),
         (F.least("y", F.coalesce("_y0", "y")) - fringe).alias("y0"),
-        (F.greatest(F.col("x") + F.col("w"), F.coalesce("_x1", F.col("x"))) + fringe).alias("x1"),
-        (F.greatest(F.col("y") + F.col("h"), F.coalesce("_y1", F.col("y"))) + fringe).alias("y1"),
+        (F.greatest(right, F.coalesce("_x1", right)) + fringe).alias("x1"),
+        (F.greatest(top, F.coalesce("_y1", top)) + fringe).alias("y1"),
     )
-    wanted = expectations.select(*on).distinct()
-    cells = masked_diff(
-        before.select(*on, "x", "y", "text").join(wanted, on, "left_semi"),
-        after.select(*on, "x", "y", "text").join(wanted, on, "left_semi"),
-        on,
-        ["x", "y"],
-        "text",
-        mask,
+    widened = expectations.join(covered, [*on, "exp_id"], "left").withColumn("_wide", wide)
+    new = extraction_evidence(after, widened, on, order, region="_wide")
+    plain = widened.withColumns({"old_text": F.lit(""), "new_text": F.lit(""), "expected_outside": F.lit(0)})
+    old = extraction_evidence(before, plain, on, order, region="_wide").select(
+        *on, "exp_id", F.col("outside_digest").alias("_src"), F.col("cells_digest").alias("_cells")
     )
     geometry = page_before.select(*on, F.struct("page_width", "page_height").alias("_g0")).join(
         page_after.select(*on, F.struct("page_width", "page_height").alias("_g1")), on, "full_outer"
     )
-    joined = new.join(old, [*on, "exp_id"]).join(
-        cells.select(*on, F.col("outside_raw").alias("outside_cells_changed")), on, "left"
-    ).join(geometry, on, "left")
+    joined = new.join(old, [*on, "exp_id"]).join(geometry, on, "left")
     out = joined.select(
         *on,
         "exp_id",
         "old_absent",
         "new_present",
         (F.col("_src") == F.col("outside_digest")).alias("outside_text_ok"),
-        (F.coalesce("outside_cells_changed", F.lit(0)) == 0).alias("outside_cells_ok"),
+        (F.col("_cells") == F.col("cells_digest")).alias("outside_cells_ok"),
         F.col("_g0").eqNullSafe(F.col("_g1")).alias("geometry_ok"),
     )
 
