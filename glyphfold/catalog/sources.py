@@ -147,7 +147,10 @@ def flatten(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("snk1_report")
+@query(
+    "snk1_report",
+    """SELECT '{"chars":' || CAST(sum(n_chars) AS BIGINT) || ',"documents":' || count(*) || ',"lang":' || to_json(lang) || ',"source":' || to_json(source) || '}' AS value FROM documents GROUP BY lang, source""",
+)
 def report(spark: SparkSession, d: str) -> DataFrame:
     """Writes the report and reads its bytes back: path ending, length, hash."""
     summary = read_table(spark, d, "documents").groupBy("lang", "source").agg(
@@ -158,23 +161,29 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(f"{out}/json")
 
 
+_LIMBS_SQL = ", ".join(
+    f"sum(CAST(CAST('0x' || substr(d, {1 + 13 * i}, {13 if i < 4 else 12}) AS BIGINT) AS DECIMAL(38,0))) AS s{i}" for i in range(5)
+)
+
+
 @query(
     "snk2_fingerprint",
-    """WITH h AS (SELECT lang, sha256('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"source":' || to_json(source) || ',"text":' || to_json(text) || '}') AS d FROM documents),
-s AS (SELECT lang, count(*) AS n, """
-    + ", ".join(
-        f"sum(CAST(CAST('0x' || substr(d, {1 + 13 * i}, {13 if i < 4 else 12}) AS BIGINT) AS DECIMAL(38,0))) AS s{i}" for i in range(5)
-    )
-    + """ FROM h GROUP BY lang)
+    f"""WITH h AS (SELECT lang, sha256('{{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"source":' || to_json(source) || ',"text":' || to_json(text) || '}}') AS d FROM documents),
+s AS (SELECT lang, count(*) AS n, {_LIMBS_SQL} FROM h GROUP BY lang)
 SELECT lang, sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3 || ':' || s4) AS sha256, n AS rows FROM s""",
 )
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return K.fingerprint_dataset(read_table(spark, d, "documents"), ["lang"])
 
 
-@query("snk2_dataset_fingerprint")
+@query(
+    "snk2_dataset_fingerprint",
+    f"""WITH h AS (SELECT sha256('{{"c_custkey":' || c_custkey || ',"c_mktsegment":' || to_json(c_mktsegment) || ',"c_name":' || to_json(c_name) || ',"c_nationkey":' || c_nationkey || '}}') AS d FROM customer),
+s AS (SELECT count(*) AS n, {_LIMBS_SQL} FROM h)
+SELECT sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3 || ':' || s4) AS sha256, n AS rows FROM s""",
+)
 def dataset_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return K.fingerprint_dataset(read_table(spark, d, "orders"))
+    return K.fingerprint_dataset(read_table(spark, d, "customer").drop("c_acctbal"))
 
 
 @query(
