@@ -141,9 +141,10 @@ r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run_no
 SELECT user_id, CAST(run_no AS BIGINT) AS run_no, event_type, count(*) AS events FROM r GROUP BY ALL""",
 )
 def event_runs(spark: SparkSession, d: str) -> DataFrame:
-    events = read_table(spark, d, "events").select("user_id", "event_id", "event_type", F.lit("x").alias("one"))
-    runs = S.style_runs(events, ["user_id"], "event_id", ["event_type"], "one", max_group_rows=HOT_ROWS)
-    return runs.select("user_id", "run_no", "event_type", F.length("run_text").cast("bigint").alias("events"))
+    events = read_table(spark, d, "events").select("user_id", "event_id", "event_type")
+    runs = S.style_runs(events, ["user_id"], "event_id", ["event_type"], None, max_group_rows=HOT_ROWS)
+    length = F.col("run_end") - F.col("run_start")
+    return runs.select("user_id", "run_no", "event_type", length.cast("bigint").alias("events"))
 
 
 @query(

@@ -150,35 +150,32 @@ def style_runs(
     keys: Seq[str],
     order: str,
     style: Seq[str],
-    text: str,
+    text: str | None,
     space_before: str | None = None,
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """WIN6: maximal runs of equal style: run_no, run_start, run_end, style, run_text.
 
     A synthetic space belongs to the run before it.  Ranges count rows of the
-    key in order (half open).
+    key in order (half open).  With ``text=None`` no run text is gathered, which
+    suits runs of any length.
     """
     style_now = F.struct(*style)
     seq = Sequence(df, keys, [order], max_group_rows).lag("_prev", style_now)
     change = (~F.col("_prev").eqNullSafe(style_now)).cast("int")
     seq = seq.running_sum("run_no", change).row_number("_row")
-    if space_before is None:
+    texts = []
+    if text is not None:
         piece = F.col(text)
-    else:
-        seq = seq.lead("_space", F.col(space_before))
-        piece = F.concat(F.col(text), F.when(F.col("_space"), " ").otherwise(""))
-    rows = seq.done().withColumn("_piece", piece)
-    return (
-        rows.groupBy(*keys, "run_no")
-        .agg(
-            (F.min("_row") - 1).alias("run_start"),
-            F.max("_row").alias("run_end"),
-            F.first(style_now).alias("_style"),
-            F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY {order})").alias("run_text"),
-        )
-        .select(*keys, "run_no", "run_start", "run_end", "_style.*", "run_text")
+        if space_before is not None:
+            seq = seq.lead("_space", F.col(space_before))
+            piece = F.concat(piece, F.when(F.col("_space"), " ").otherwise(""))
+        seq = seq.with_column("_piece", piece)
+        texts = [F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY {order})").alias("run_text")]
+    runs = seq.done().groupBy(*keys, "run_no").agg(
+        (F.min("_row") - 1).alias("run_start"), F.max("_row").alias("run_end"), F.first(style_now).alias("_style"), *texts
     )
+    return runs.select(*keys, "run_no", "run_start", "run_end", "_style.*", *(["run_text"] if texts else []))
 
 
 def coalesce_ranges(
@@ -606,7 +603,7 @@ def admit(
     max_item: float,
     max_count: int,
     max_total: float,
-    candidates: int = 10_000,
+    candidates: int = 1_000,
 ) -> DataFrame:
     """WIN17: admission in arrival order: outcome per item.
 
@@ -617,7 +614,7 @@ def admit(
     the first item of a hash decides for the hash, and an item larger than the
     rest can be passed over for good.  Each round folds, per tenant, only the
     next ``candidates`` items that still fit (a per-key limit that Spark
-    applies before the shuffle); every round admits at least one, so there are
+    applies before the shuffle, up to its threshold of 1,000); every round admits at least one, so there are
     at most ``max_count`` rounds, and a tenant of any size stays bounded.
     """
     sound = (F.col("size") > 0) & (F.col("size") <= max_item)
