@@ -163,7 +163,8 @@ def judge(
     # Judged by token set, of which there are far fewer than urls; numbers are one token.
     key = F.xxhash64("_tokens")
     sets = with_tokens.filter(F.col("rule").isNull()).select(key.alias("_set"), "_tokens").distinct()
-    best = match_rules(sets, "_set", "_tokens", found)
+    # Written, so that the join below is one of two plain exchanges and a hot token set can be split.
+    best = cut_lineage(match_rules(sets, "_set", "_tokens", found))
     joined = with_tokens.withColumn("_set", F.when(F.col("rule").isNull(), key)).join(best, "_set", "left")
     return joined.select(
         F.col("_id").alias(id_col),
