@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from glyphfold.catalog.joins import docs_by_id
 from glyphfold.functions.extract import extract
 from glyphfold.plans import views
 from glyphfold.sources import files as FS
+from glyphfold.session import shared_folder
 from glyphfold.sources import layout as L
 from glyphfold.sources import manifest as M
 from glyphfold.sources import sinks as K
@@ -20,14 +21,7 @@ from glyphfold.sources.corpus import read_table
 
 def scratch(spark: SparkSession) -> str:
     """A folder for output of a query: beside the checkpoints that tasks share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/glyphfold-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="glyphfold-")
+    return f"{shared_folder(spark)}/glyphfold-{uuid.uuid4().hex}"
 
 
 @query(

@@ -9,10 +9,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from glyphfold.session import local_session
 
-    session = local_session(8, 4, "6g")
+    session = local_session(8, 4, "6g", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
