@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements whose text is not shown.
+HIDDEN_TEXT = RAW | frozenset("head template noscript svg math canvas object audio video select button datalist".split()) - {"textarea"}
 #: Elements that belong to the line they stand in.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
@@ -157,3 +159,19 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
         open_tags.append((tag, len(nodes) - 1))
     flush()
     return nodes, blocks
+
+
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
+
+
+def title_and_links(source: str) -> tuple[str, list[str]]:
+    """The page's title and the addresses its links lead to, in page order."""
+    found = _TITLE.search(source)
+    title = " ".join(html.unescape(found[1]).split()) if found else ""
+    links = []
+    for tag in _TAG.finditer(source):
+        if not tag[1] and tag[2].lower() in ("a", "area"):
+            target = attributes_of(tag[3]).get("href", "").strip()
+            if target:
+                links.append(target)
+    return title, links

@@ -22,4 +22,71 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS
 FROM judged GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3}
+_PLAIN = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4 = rf"""
+WITH item_words AS (
+  SELECT item_id, {_PLAIN} AS w FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i : i + width - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(5, len(w)) AS width, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i
+        FROM item_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id
+), doc_words AS (
+  SELECT doc_id, {_PLAIN} AS w FROM documents WHERE doc_id IS NOT NULL
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + width - 1], ' ') AS s
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT width FROM item_shingles) WHERE len(w) >= width)
+)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_item_shingles,
+  count(*)::DOUBLE / any_value(n) AS containment
+FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*)::DOUBLE / any_value(n) >= 0.8
+"""
+
+OP8 = r"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, list_aggregate(w[i : i + 7], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), covered AS (
+  SELECT doc_id, sum(least(8, coalesce(next - i, 8)))::BIGINT AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM repeated) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words,
+    coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    10 * word_chars < 30 * n_words OR 10 * word_chars > 120 * n_words OR 10 * n_symbols > n_words
+      OR 10 * n_dup_lines > n_words AS narrow,
+    10 * word_chars < 20 * n_words OR 10 * word_chars > 200 * n_words OR 10 * n_symbols > 3 * n_words
+      OR 10 * n_dup_lines > 3 * n_words AS wide
+  FROM measured
+), hosts AS (
+  SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR narrow) AS failures FROM judged GROUP BY source
+), moments AS (
+  SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v FROM hosts
+), prior AS (
+  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM moments
+), verdicts AS (
+  SELECT source, (failures + m * strength) / (docs + strength) > 0.3 AS distrusted FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT wide AND NOT (distrusted AND (base_failed OR narrow)) AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op4_decontamination": OP4, "op8_host_quality": OP8}

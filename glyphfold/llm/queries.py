@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphfold.llm import html_text, language, licenses, line_dedup, packing, quality, url_rules
+from glyphfold.llm import (
+    decontaminate,
+    html_text,
+    language,
+    licenses,
+    line_dedup,
+    near_dups,
+    packing,
+    quality,
+    url_rules,
+    warc,
+)
 from glyphfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +35,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
@@ -36,6 +55,10 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.digest(table(spark, sf_dir, "pages"))
 
@@ -46,9 +69,12 @@ QUERIES: dict[str, Query] = {
         op1_license_scan,
         op2_language_id,
         op3_line_dedup,
+        op4_decontamination,
+        op5_warc_derivatives,
         op6_html_text,
         op7_packing,
         op8_host_quality,
+        op9_near_dups,
         op10_url_rules,
     )
 }
