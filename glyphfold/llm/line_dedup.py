@@ -6,9 +6,11 @@ dropped, except in the document with the largest id; what stays is put
 together again by position.
 
 * Hashes are two differently seeded 64-bit hashes, 128 bits together.
+* Hashed lines are written once, narrow, for both passes over them.
 * A hash that a third of all lines share is counted map-side before the
-  shuffle.  The join that finds its lines again is an equality join of narrow
-  rows, which adaptive execution splits where a hash is hot.
+  shuffle.  The repeated hashes are written, so that the join that finds their
+  lines again has two plain exchanges and adaptive execution can split it where
+  a hash is hot.
 * Texts move once, when the dropped positions of a document meet it.
 
 Defined cases: null or empty text is one empty line; a row without an id takes
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphfold.llm.common import SPACE_CHARS, ascii_lower, let
+from glyphfold.session import cut_lineage
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -81,8 +84,8 @@ def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 ) -> DataFrame:
     """``docs`` with ``text_col`` rewritten, and ``n_lines`` and ``n_dropped`` added (replacing such columns)."""
-    keyed = keyed_lines(docs, id_col, text_col, min_chars)
-    drops = dropped_positions(keyed, repeated_keys(keyed, min_docs))
+    keyed = cut_lineage(keyed_lines(docs, id_col, text_col, min_chars))
+    drops = dropped_positions(keyed, cut_lineage(repeated_keys(keyed, min_docs)))
     text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
     joined = docs.alias("d").join(
         drops.alias("p"), (F.col(f"d.{id_col}") == F.col("p._id")) & (F.xxhash64(text) == F.col("p._th")), "left"
