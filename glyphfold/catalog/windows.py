@@ -44,25 +44,24 @@ def page_atoms(spark: SparkSession, d: str, jitter: bool) -> DataFrame:
         F.col("x").alias("bx"),
         by.cast("double").alias("by"),
         F.lit(2.0).alias("h") if not jitter else (1.0 + line % 3).cast("double").alias("h"),
-        F.when(line % 9 == 5, 0.0).otherwise(1.0).alias("dx"),
-        F.when(line % 9 == 5, 1.0).otherwise(0.0).alias("dy"),
+        # Close lines are turned now and then; lines far apart stay level.
+        F.when(F.lit(jitter) & (line % 9 == 5), 0.0).otherwise(1.0).alias("dx"),
+        F.when(F.lit(jitter) & (line % 9 == 5), 1.0).otherwise(0.0).alias("dy"),
     )
 
 
 @query(
     "win2_lines_separable",
-    # Baselines of different lines are far apart, so the greedy result is the derived
-    # line itself; turned lines (every ninth) are told apart by their x.
-    f"""WITH {ATOMS}, a AS (SELECT * FROM v_atoms WHERE line_no % 9 <> 5)
-SELECT doc_id, page, count(DISTINCT line_no) AS lines, count(*) AS atoms FROM a GROUP BY doc_id, page""",
+    # Baselines of different lines are far apart, so the greedy result is the derived line itself, from the top.
+    f"""WITH {ATOMS}, a AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS line_id FROM v_atoms)
+SELECT doc_id, page, line_no, tok_no, CAST(line_id AS INTEGER) AS line_id FROM a""",
 )
 def lines_separable(spark: SparkSession, d: str) -> DataFrame:
-    assigned = S.assign_lines(page_atoms(spark, d, False).filter("dx = 1.0"))
-    # Every assigned line holds one derived line, or the counts differ.
-    per_line = assigned.groupBy("doc_id", "page", "line_id").agg(
-        F.count_distinct(F.floor(F.col("atom_id") / 1_000_000)).alias("inside"), F.count(F.lit(1)).alias("n")
+    assigned = S.assign_lines(page_atoms(spark, d, False))
+    line = F.floor(F.col("atom_id") / 1_000_000)
+    return assigned.select(
+        "doc_id", "page", line.cast("int").alias("line_no"), (F.col("atom_id") % 1_000_000).cast("int").alias("tok_no"), "line_id"
     )
-    return per_line.groupBy("doc_id", "page").agg(F.sum("inside").alias("lines"), F.sum("n").alias("atoms"))
 
 
 @query("win2_lines_greedy")
@@ -75,14 +74,17 @@ def lines_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "win3_reading_order",
-    f"""WITH {ATOMS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, line_no, tok_no) AS n FROM v_atoms)
-SELECT doc_id, page, CAST(sum(n * tok_no) AS BIGINT) AS mix, CAST(sum(n * line_no % 101) AS BIGINT) AS mix2 FROM o GROUP BY ALL""",
+    # Raised tokens, and every ninth line turned upwards.
+    f"""WITH {ATOMS}, r AS (SELECT doc_id, page, line_no, tok_no, x, y * 4 + (tok_no * 7 % 13) * 0.125 AS y, line_no % 9 = 5 AS up FROM v_atoms),
+b AS (SELECT *, min(y) OVER l AS top, min(x) OVER l AS lft, CASE WHEN up THEN y ELSE x END AS along FROM r WINDOW l AS (PARTITION BY doc_id, page, line_no))
+SELECT doc_id, page, line_no, tok_no, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY top DESC, lft, line_no, along, tok_no) AS INTEGER) AS ordinal FROM b""",
 )
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("ordinal").cast("bigint")
-    return S.reading_order(views.atoms(spark, d)).groupBy("doc_id", "page").agg(
-        F.sum(n * F.col("tok_no")).alias("mix"), F.sum(n * F.col("line_no") % 101).alias("mix2")
-    )
+    raised = F.col("y") * 4 + (F.col("tok_no") * 7 % 13) * 0.125
+    atoms = views.atoms(spark, d).withColumn("y", raised.cast("double"))
+    up = F.col("line_no") % 9 == 5
+    out = S.reading_order(atoms, "line_no", F.when(up, 0.0).otherwise(1.0), F.when(up, 1.0).otherwise(0.0))
+    return out.select("doc_id", "page", "line_no", "tok_no", "ordinal")
 
 
 _HEIGHT = "(1.0 + doc_id % 3)"
@@ -90,14 +92,15 @@ _HEIGHT = "(1.0 + doc_id % 3)"
 
 @query(
     "win4_groups",
-    f"""WITH {ATOMS}, g AS (SELECT doc_id, line_no, tok_no, text, {_HEIGHT} AS h, x - lag(x + w) OVER p AS gap, lag(text) OVER p AS pt FROM v_atoms WINDOW p AS (PARTITION BY doc_id, line_no ORDER BY tok_no)),
+    f"""WITH {ATOMS}, g AS (SELECT doc_id, line_no, tok_no, {_HEIGHT} AS h, x - lag(x + w) OVER p AS gap, lag(CASE WHEN tok_no % 11 = 4 THEN chr(65532) ELSE text END) OVER p AS pt FROM v_atoms WINDOW p AS (PARTITION BY doc_id, line_no ORDER BY tok_no)),
 c AS (SELECT *, CASE WHEN gap > 0.75 * h OR (regexp_matches(pt, ':$') AND gap > 0.25 * h) THEN 1 ELSE 0 END AS cut FROM g),
 n AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS group_no FROM c)
 SELECT doc_id, line_no, CAST(max(group_no) AS INTEGER) AS last_group, CAST(sum(group_no * tok_no) AS BIGINT) AS mix FROM n GROUP BY ALL""",
 )
 def groups(spark: SparkSession, d: str) -> DataFrame:
     atoms = views.atoms(spark, d).withColumn("h", (1.0 + F.col("doc_id") % 3).cast("double"))
-    out = S.split_groups(atoms)
+    # Now and then a glyph has no text: it splits like any other.
+    out = S.split_groups(atoms.withColumn("text", F.when(F.col("tok_no") % 11 != 4, F.col("text"))))
     return out.groupBy("doc_id", "line_no").agg(
         F.max("group_no").alias("last_group"), F.sum(F.col("group_no") * F.col("tok_no")).cast("bigint").alias("mix")
     )
@@ -126,11 +129,13 @@ def synthetic_spaces(spark: SparkSession, d: str) -> DataFrame:
     "win6_style_runs",
     f"""WITH {ATOMS}, c AS (SELECT *, tok_no > 1 AND tok_no % 6 <> 0 AS sp, CASE WHEN lag(style_key) OVER p IS DISTINCT FROM style_key THEN 1 ELSE 0 END AS ch FROM v_atoms WINDOW p AS (PARTITION BY doc_id, line_no ORDER BY tok_no)),
 r AS (SELECT *, sum(ch) OVER p AS run_no, row_number() OVER p AS rn, lead(sp) OVER p AS nsp FROM c WINDOW p AS (PARTITION BY doc_id, line_no ORDER BY tok_no))
-SELECT doc_id, line_no, CAST(run_no AS BIGINT) AS run_no, CAST(min(rn) - 1 AS INTEGER) AS run_start, CAST(max(rn) AS INTEGER) AS run_end, style_key, string_agg(text || CASE WHEN nsp THEN ' ' ELSE '' END, '' ORDER BY tok_no) AS run_text FROM r GROUP BY doc_id, line_no, run_no, style_key""",
+SELECT doc_id, line_no, CAST(run_no AS BIGINT) AS run_no, CAST(min(rn) - 1 AS INTEGER) AS run_start, CAST(max(rn) AS INTEGER) AS run_end, style_key, string_agg(CASE WHEN tok_no % 11 = 4 THEN chr(65532) ELSE text END || CASE WHEN nsp THEN ' ' ELSE '' END, '' ORDER BY tok_no) AS run_text FROM r GROUP BY doc_id, line_no, run_no, style_key""",
 )
 def style_runs(spark: SparkSession, d: str) -> DataFrame:
     tok = F.col("tok_no")
-    atoms = views.atoms(spark, d).withColumn("space_before", (tok > 1) & (tok % 6 != 0))
+    atoms = views.atoms(spark, d).withColumns(
+        {"space_before": (tok > 1) & (tok % 6 != 0), "text": F.when(tok % 11 != 4, F.col("text"))}
+    )
     return S.style_runs(atoms, ["doc_id", "line_no"], "tok_no", ["style_key"], "text", "space_before")
 
 
@@ -150,18 +155,17 @@ def event_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "win7_slices",
     f"""WITH RECURSIVE {ATOMS}, o AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS n,
-    tok_no - CASE WHEN tok_no % 5 = 0 THEN 1 ELSE 0 END AS s, tok_no + 1 - CASE WHEN tok_no % 5 = 0 THEN 1 ELSE 0 END AS e FROM v_atoms WHERE tok_no % 7 <> 0 AND tok_no <= 60),
-f AS (SELECT doc_id, line_no, n, s, e, 1 AS slice FROM o WHERE n = 1
-  UNION ALL SELECT o.doc_id, o.line_no, o.n, CASE WHEN f.s = o.s AND f.e = o.e OR f.e = o.s THEN f.s ELSE o.s END, o.e, f.slice + CASE WHEN f.s = o.s AND f.e = o.e OR f.e = o.s THEN 0 ELSE 1 END
+    tok_no - CASE WHEN tok_no % 5 = 0 THEN 1 WHEN tok_no % 7 = 0 THEN 3 ELSE 0 END AS s, tok_no + 1 - CASE WHEN tok_no % 5 = 0 THEN 1 WHEN tok_no % 7 = 0 THEN 1 WHEN tok_no % 11 = 0 THEN 2 ELSE 0 END AS e FROM v_atoms),
+f AS (SELECT doc_id, line_no, n, s, e, 1 AS slice, s AS rs FROM o WHERE n = 1
+  UNION ALL SELECT o.doc_id, o.line_no, o.n, CASE WHEN f.s = o.s AND f.e = o.e OR f.e = o.s THEN f.s ELSE o.s END, o.e, f.slice + CASE WHEN f.s = o.s AND f.e = o.e OR f.e = o.s THEN 0 ELSE 1 END, o.s
   FROM f JOIN o ON o.doc_id = f.doc_id AND o.line_no = f.line_no AND o.n = f.n + 1)
-SELECT doc_id, line_no, CAST(slice AS BIGINT) AS slice_no, CAST(min(s) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e, count(*) AS members FROM f GROUP BY ALL""",
+SELECT doc_id, line_no, CAST(slice AS BIGINT) AS slice_no, CAST(min(rs) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e, count(*) AS members FROM f GROUP BY ALL""",
 )
 def slices(spark: SparkSession, d: str) -> DataFrame:
     tok = F.col("tok_no")
-    back = F.when(tok % 5 == 0, 1).otherwise(0)
-    ranges = views.atoms(spark, d).filter((tok % 7 != 0) & (tok <= 60)).select(
-        "doc_id", "line_no", "tok_no", (tok - back).alias("s"), (tok + 1 - back).alias("e")
-    )
+    back = F.when(tok % 5 == 0, 1).when(tok % 7 == 0, 3).otherwise(0)
+    short = F.when(tok % 5 == 0, 1).when(tok % 7 == 0, 1).when(tok % 11 == 0, 2).otherwise(0)
+    ranges = views.atoms(spark, d).select("doc_id", "line_no", "tok_no", (tok - back).alias("s"), (tok + 1 - short).alias("e"))
     return S.coalesce_ranges(ranges, ["doc_id", "line_no"], ["tok_no"], "s", "e")
 
 
@@ -362,22 +366,23 @@ def scopes(spark: SparkSession, d: str) -> DataFrame:
     ops = read_table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     step = F.when(kind == "signup", 1).when(kind == "error", -1).otherwise(0)
     out = S.resolve_scopes(
-        ops, ["user_id"], ["event_id"], step, F.when(kind == "purchase", F.col("value")), max_depth=40, max_group_rows=HOT_ROWS
+        ops, ["user_id"], ["event_id"], step, F.when(kind == "purchase", F.col("value")), max_group_rows=HOT_ROWS
     )
     return out.select("user_id", "event_id", "depth", "in_force")
 
 
 @query(
     "win15_bracket_blocks",
-    f"""WITH RECURSIVE {_TAGS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM op),
-w AS (SELECT page_id, n, pos, CASE WHEN step = 1 THEN [pos] ELSE []::BIGINT[] END AS stack, NULL::BIGINT AS block_open, NULL::BIGINT AS depth FROM o WHERE n = 1
-  UNION ALL SELECT o.page_id, o.n, o.pos, CASE WHEN step = 1 THEN list_append(stack, o.pos) WHEN len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END,
+    f"""WITH RECURSIVE {_TAGS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n, count(*) OVER (PARTITION BY page_id) AS total FROM op),
+w AS (SELECT page_id, n, total, pos, CASE WHEN step = 1 THEN [pos] ELSE []::BIGINT[] END AS stack, NULL::BIGINT AS block_open, NULL::BIGINT AS depth FROM o WHERE n = 1
+  UNION ALL SELECT o.page_id, o.n, o.total, o.pos, CASE WHEN step = 1 THEN list_append(stack, o.pos) WHEN len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END,
    CASE WHEN step = -1 AND len(stack) > 0 THEN stack[-1] END, CASE WHEN step = -1 AND len(stack) > 0 THEN len(stack) END FROM w JOIN o ON o.page_id = w.page_id AND o.n = w.n + 1)
-SELECT page_id, CAST(block_open AS INTEGER) AS block_open, CAST(pos AS INTEGER) AS block_close, CAST(depth AS INTEGER) AS depth FROM w WHERE block_open IS NOT NULL""",
+SELECT page_id, CAST(block_open AS INTEGER) AS block_open, CAST(pos AS INTEGER) AS block_close, CAST(depth AS INTEGER) AS depth FROM w WHERE block_open IS NOT NULL
+UNION ALL SELECT page_id, CAST(unnest(stack) AS INTEGER), NULL, CAST(generate_subscripts(stack, 1) AS INTEGER) FROM w WHERE n = total""",
 )
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    found = S.bracket_blocks(tag_ops(spark, d), ["page_id"], "pos", F.col("step"))
-    return found.filter("block_close is not null")
+    """Pairs, and opens that are never closed with a null end."""
+    return S.bracket_blocks(tag_ops(spark, d), ["page_id"], "pos", F.col("step"))
 
 
 # Events as a drawing log: op codes by type and number.

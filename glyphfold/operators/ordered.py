@@ -13,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from collections.abc import Sequence as Seq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphfold.session import broadcast_if_small, cut_lineage, spread
 
@@ -234,24 +236,25 @@ def fold_sorted(
     schema = ", ".join([*[f"{c} {types[c]}" for c in keep], outputs])
     keys, keep, inputs = list(keys), list(keep), list(inputs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+    out_types = [f.type for f in to_arrow_schema(T.StructType.fromDDL(outputs))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow values, not pandas ones: a null among integers must not turn them into floats.
+        current, state = object(), None
         for batch in batches:
+            values = {c: batch.column(c).to_pylist() for c in {*keys, *inputs, *([start_col] if start_col else [])}}
             results = []
-            begins = batch[start_col].tolist() if start_col else None
-            owners = zip(*[batch[k].tolist() for k in keys])
-            for i, (owner, *values) in enumerate(zip(owners, *[batch[c].tolist() for c in inputs])):
+            owners = zip(*[values[k] for k in keys])
+            for i, (owner, *row) in enumerate(zip(owners, *[values[c] for c in inputs])):
                 if owner != current:
                     current = owner
-                    state = start(begins[i]) if start_col else None
-                state, result = step(state, *values)
+                    state = start(values[start_col][i]) if start_col else None
+                state, result = step(state, *row)
                 results.append(result)
-            out = batch[keep].copy()
-            for j, name in enumerate(names):
-                out[name] = [r[j] for r in results]
-            yield out
+            made = [pa.array([r[j] for r in results], kind) for j, kind in enumerate(out_types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, *names])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def block_starts(

@@ -19,7 +19,6 @@ from glyphfold.functions.text import grapheme_list, widened_end, widened_start
 from glyphfold.operators.ordered import Sequence, fold_sorted
 from glyphfold.session import cut_lineage
 
-MAX_PAGE_ATOMS = 50_000
 PARALLEL = math.cos(math.radians(1.0))
 LINE = ("doc_id", "page", "line_no")
 
@@ -39,20 +38,16 @@ def place(
     )
 
 
-def assign_lines(atoms: DataFrame, max_atoms: int = MAX_PAGE_ATOMS) -> DataFrame:
+def assign_lines(atoms: DataFrame) -> DataFrame:
     """WIN2: greedy line assignment per page, ``line_id`` in creation order.
 
     atoms: doc_id, page, atom_id, bx, by (baseline), h, dx, dy (unit
     direction).  The tolerance follows the growing median height of a line, so
     the order of visits matters and a page is one fold.  Spark sorts the atoms
     of a partition and the fold runs over the stream of batches; its state is
-    the lines of the current page.  Pages above the operation limit are
-    refused, with a reason, before the fold.
+    the lines of the current page.  Limits on pages are a gate of their own
+    (:mod:`glyphfold.operators.checks`).
     """
-    sized = atoms.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page")))
-    refused = sized.filter(F.col("_n") > max_atoms).select(
-        "doc_id", "page", "atom_id", F.lit(None).cast("int").alias("line_id"), F.lit("RESOURCE_LIMIT").alias("reason")
-    )
 
     def visit(page: tuple | None, bx: float, by: float, h: float, dx: float, dy: float) -> tuple[tuple, tuple]:
         lines, reachable = ([], []) if page is None else page
@@ -77,9 +72,8 @@ def assign_lines(atoms: DataFrame, max_atoms: int = MAX_PAGE_ATOMS) -> DataFrame
             lines.append((bx, by, dx, dy, [h]))
         return (lines, reachable), (chosen,)
 
-    rows = sized.filter(F.col("_n") <= max_atoms).withColumn("_down", -F.col("by"))
-    done = fold_sorted(
-        rows,
+    return fold_sorted(
+        atoms.withColumn("_down", -F.col("by")),
         ["doc_id", "page"],
         ["_down", "bx", "atom_id"],
         ["doc_id", "page", "atom_id"],
@@ -87,13 +81,26 @@ def assign_lines(atoms: DataFrame, max_atoms: int = MAX_PAGE_ATOMS) -> DataFrame
         visit,
         "line_id int",
     )
-    return done.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
 
 
-def reading_order(atoms: DataFrame) -> DataFrame:
-    """WIN3: ``ordinal`` over a page, lines from the top, atoms along the line."""
-    w = Window.partitionBy("doc_id", "page").orderBy(F.col("y").desc(), "x", "line_no", "tok_no")
-    return atoms.withColumn("ordinal", F.row_number().over(w))
+def reading_order(atoms: DataFrame, line: str = "line_no", dx: Column | None = None, dy: Column | None = None) -> DataFrame:
+    """WIN3: ``ordinal`` over a page: lines by their box from the top, then from the left; atoms along the baseline.
+
+    (dx, dy) is the unit direction of an atom's line, level by default.
+    """
+    along = F.col("x") * (F.lit(1.0) if dx is None else dx) + F.col("y") * (F.lit(0.0) if dy is None else dy)
+    box = Window.partitionBy("doc_id", "page", line)
+    placed = atoms.withColumns({"_top": F.min("y").over(box), "_left": F.min("x").over(box), "_along": along})
+    w = Window.partitionBy("doc_id", "page").orderBy(F.col("_top").desc(), "_left", line, "_along", "tok_no")
+    return placed.withColumn("ordinal", F.row_number().over(w)).drop("_top", "_left", "_along")
+
+
+#: Stands for a glyph without text.
+NO_TEXT = "\ufffc"
+
+
+def _shown(text: str = "text") -> Column:
+    return F.coalesce(F.col(text), F.lit(NO_TEXT))
 
 
 def _explicit_space(left: Column, right: Column) -> Column:
@@ -107,14 +114,14 @@ def split_groups(atoms: DataFrame) -> DataFrame:
     seen = atoms.withColumns(
         {
             "_h": F.median("h").over(line),
-            "_text": F.lag("text").over(w),
+            "_text": F.lag(_shown()).over(w),
             "_gap": F.col("x") - F.lag(F.col("x") + F.col("w")).over(w),
         }
     )
     wide = (F.col("_gap") > 0.75 * F.col("_h")) | (
         F.col("_text").rlike(r"(?U)\s*:\s*$") & (F.col("_gap") > 0.25 * F.col("_h"))
     )
-    cut = F.col("_gap").isNotNull() & ~_explicit_space(F.col("_text"), F.col("text")) & wide
+    cut = F.col("_gap").isNotNull() & ~_explicit_space(F.col("_text"), _shown()) & wide
     return (
         seen.withColumn("_cut", cut.cast("int"))
         .withColumn("group_no", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
@@ -129,7 +136,7 @@ def needs_space(atoms: DataFrame, source_gap: Column, size: Column, scaling: Col
     seen = atoms.withColumns(
         {
             "_h": F.median("h").over(line),
-            "_text": F.lag("text").over(w),
+            "_text": F.lag(_shown()).over(w),
             "_gap": F.col("x") - F.lag(F.col("x") + F.col("w")).over(w),
         }
     )
@@ -138,7 +145,7 @@ def needs_space(atoms: DataFrame, source_gap: Column, size: Column, scaling: Col
     by_box = (F.col("_gap") > 0.15 * F.col("_h")) & (F.col("_gap") <= 0.75 * F.col("_h"))
     verdict = (
         F.when(F.col("_gap").isNull(), False)
-        .when(_explicit_space(F.col("_text"), F.col("text")), False)
+        .when(_explicit_space(F.col("_text"), _shown()), False)
         .when(source_gap.isNotNull(), by_source)
         .otherwise(by_box)
     )
@@ -166,7 +173,7 @@ def style_runs(
     seq = seq.running_sum("run_no", change).row_number("_row")
     texts = []
     if text is not None:
-        piece = F.col(text)
+        piece = _shown(text)
         if space_before is not None:
             seq = seq.lead("_space", F.col(space_before))
             piece = F.concat(piece, F.when(F.col("_space"), " ").otherwise(""))
@@ -183,16 +190,16 @@ def coalesce_ranges(
 ) -> DataFrame:
     """WIN7: merge neighbours that are equal or touch, in source order.
 
-    A range equal to its predecessor is dropped only while the slice still is
-    that range alone; after an extension it opens a slice of its own.
+    A range equal to the slice so far is dropped, one that begins where the
+    slice ends extends it, any other opens a slice.  The slice ends where the
+    range before ended.  It begins where the last range began that did not
+    touch its predecessor: such a range opens a slice or equals the slice.
     """
-    this = F.struct(start, end)
-    seq = Sequence(df, keys, order, max_group_rows).lag("_prev", this)
-    seq = seq.with_column("_eq", F.coalesce(F.col("_prev") == this, F.lit(False)))
-    seq = seq.with_column("_touch", F.coalesce(F.col(f"_prev.{end}") == F.col(start), F.lit(False)))
-    seq = seq.lag("_before", F.struct("_eq", "_touch"))
-    reopened = F.coalesce(~F.col("_before._eq") & F.col("_before._touch"), F.lit(False))
-    opens = (~F.col("_eq") & ~F.col("_touch")) | (F.col("_eq") & reopened)
+    seq = Sequence(df, keys, order, max_group_rows).lag("_end", F.col(end))
+    seq = seq.with_column("_touch", F.coalesce(F.col("_end") == F.col(start), F.lit(False)))
+    seq = seq.last_known("_begin", F.when(~F.col("_touch"), F.col(start)), inclusive=False)
+    equal = (F.col("_begin") == F.col(start)) & (F.col("_end") == F.col(end))
+    opens = ~F.col("_touch") & ~F.coalesce(equal, F.lit(False))
     rows = seq.running_sum("slice_no", opens.cast("int")).done()
     return rows.groupBy(*keys, "slice_no").agg(
         F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("members")
@@ -468,30 +475,58 @@ def scope_balance(ops: DataFrame, keys: Seq[str], order: Seq[str], step: Column,
 
 
 def resolve_scopes(
-    ops: DataFrame, keys: Seq[str], order: Seq[str], step: Column, value: Column, max_depth: int = 12, max_group_rows: int | None = None
+    ops: DataFrame, keys: Seq[str], order: Seq[str], step: Column, value: Column, max_group_rows: int | None = None
 ) -> DataFrame:
     """WIN14: ``in_force`` = the value set last in the innermost open scope that has one.
 
-    A push opens an empty scope of its level, a set fills the level it is on;
-    per level the last of these two events tells the level's value.  Levels
-    are limited, so this is one window per level and no fold.  Pops below
-    level 0 are ignored (they are reported by :func:`scope_balance`).
+    A push opens a scope one level deeper; a set counts for the scope it is in.
+    Rows of one level, in order, are scope after scope, so a window per level
+    tells each row its scope and the value set there.  A scope without a value
+    inherits what its parent had when it was opened: parents are followed by
+    doubling the distance each round, so any depth is exact.  Pops below level
+    0 are ignored (:func:`scope_balance` reports them).  Keys and the first
+    order column identify a row.
     """
+    keys, pos = list(keys), order[0]
     base = ops.withColumns({"_step": step, "_set": value})
     seq = Sequence(base, keys, order, max_group_rows).running_sum("_sum", F.col("_step"))
     seq = seq.running_min("_low", F.col("_sum"))
-    seq = seq.with_column("depth", (F.col("_sum") - F.least(F.col("_low"), F.lit(0))).cast("int"))
-    depth = F.col("depth")
-    events = {
-        f"_l{level}": F.when(
-            (depth == level) & ((F.col("_step") > 0) | F.col("_set").isNotNull()), F.struct(F.col("_set").alias("v"))
+    rows = seq.with_column("depth", (F.col("_sum") - F.least(F.col("_low"), F.lit(0))).cast("int")).done()
+    push = F.col("_step") > 0
+    # A push is also asked about on the level it leaves: what its scope inherits.
+    asks = F.array(F.lit(False), F.lit(True))
+    both = rows.withColumn("_ask", F.explode(F.when(push, asks).otherwise(F.array(F.lit(False)))))
+    both = both.withColumn("_level", F.when(F.col("_ask"), F.col("depth") - 1).otherwise(F.col("depth")))
+    opens = push & ~F.col("_ask")
+    sets = ~F.col("_ask") & F.col("_set").isNotNull()
+    levels = Sequence(both, [*keys, "_level"], order, max_group_rows).last_known_of(
+        {
+            "_scope": F.when(opens, F.col(pos)),
+            "_own": F.when(opens | sets, F.struct(F.col("_set").alias("v"))),
+        }
+    )
+    known = cut_lineage(levels.with_column("_own", F.col("_own.v")).done())
+    scopes = known.filter("_ask").select(
+        *keys, F.col(pos).alias("_id"), F.when(F.col("_level") > 0, F.col("_scope")).alias("_up"), F.col("_own").alias("_value")
+    )
+    scopes = cut_lineage(scopes)
+    while not scopes.filter("_value is null and _up is not null").isEmpty():
+        above = scopes.select(*keys, F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_value").alias("_got"))
+        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+        met = scopes.alias("s").join(above.alias("a"), [*same, F.col("s._up") == F.col("a._up"), F.col("s._value").isNull()], "left")
+        scopes = cut_lineage(
+            met.select(
+                *[f"s.{k}" for k in keys],
+                "s._id",
+                F.when(F.col("s._value").isNull(), F.col("a._next")).alias("_up"),
+                F.coalesce("s._value", "a._got").alias("_value"),
+            )
         )
-        for level in range(max_depth + 1)
-    }
-    seq = seq.last_known_of(events)
-    in_force = F.coalesce(*[F.when(depth >= n, F.col(f"_l{n}.v")) for n in reversed(range(max_depth + 1))])
-    done = seq.with_column("in_force", in_force).done()
-    return done.drop("_step", "_set", "_sum", "_low", *[f"_l{i}" for i in range(max_depth + 1)])
+    inherited = scopes.filter(F.col("_value").isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_id", "_value")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    here = [F.col("_scope") == F.col("_id"), F.col("_own").isNull(), F.col("depth") > 0]
+    joined = known.filter(~F.col("_ask")).join(inherited, [*same, *here], "left")
+    return joined.select(*ops.columns, "depth", F.coalesce("_own", "_value").alias("in_force"))
 
 
 def bracket_blocks(ops: DataFrame, keys: Seq[str], pos: str, kind: Column, max_group_rows: int | None = None) -> DataFrame:

@@ -71,7 +71,7 @@ def test_operators_with_blocks(skewed):
     same(lambda n: S.style_runs(skewed, ["k"], "o", ["s"], "s", max_group_rows=n))
     step_ = F.when(F.col("s") == "a", 1).when(F.col("s") == "b", -1).otherwise(0)
     same(lambda n: S.scope_balance(skewed, ["k"], ["o"], step_, max_group_rows=n))
-    same(lambda n: S.resolve_scopes(skewed, ["k"], ["o"], step_, F.col("v"), 12, n).select("k", "o", "depth", "in_force"))
+    same(lambda n: S.resolve_scopes(skewed, ["k"], ["o"], step_, F.col("v"), n).select("k", "o", "depth", "in_force"))
     same(lambda n: S.bracket_blocks(skewed, ["k"], "o", step_, n))
     same(lambda n: drop_stale(skewed.filter("v is not null"), ["k"], ["o"], "v", n))
     ranges = skewed.select("k", "o", (F.col("o") % 5).alias("s"), (F.col("o") % 5 + 1).alias("e"))

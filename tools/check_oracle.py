@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -40,7 +41,7 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     queries, oracle = load()
-    spark = local_session(8, args.partitions)
+    spark = local_session(8, args.partitions, "8g", tempfile.mkdtemp(prefix="oracle-"))
     spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for t in TABLES:
