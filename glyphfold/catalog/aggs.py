@@ -53,31 +53,32 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg3_reachability",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber <= 2
-  UNION SELECT 'p' || p_partkey, 'b' || p_brand FROM part UNION SELECT DISTINCT 'b' || p_brand, 't' || p_type FROM part WHERE p_partkey % 50 = 1
-  UNION SELECT DISTINCT 't' || p_type, 'b' || p_brand FROM part WHERE p_partkey % 97 = 5),
-w AS (SELECT 'o' || o_orderkey AS root, 'o' || o_orderkey AS node, 0 AS depth, ['o' || o_orderkey] AS path, 'OK' AS status FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'
-  UNION ALL SELECT root, e.dst, depth + 1, list_append(path, e.dst), CASE WHEN list_contains(path, e.dst) THEN 'MALFORMED_INPUT' WHEN depth + 1 > 4 THEN 'RESOURCE_LIMIT' ELSE 'OK' END
+    # Orders use parts, parts a brand; brands and types name each other once, which closes cycles.
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem
+  UNION SELECT 'p' || p_partkey, 'b' || p_brand FROM part UNION SELECT 'b' || p_brand, 't' || arg_min(p_type, p_partkey) FROM part GROUP BY p_brand
+  UNION SELECT 't' || p_type, 'b' || arg_max(p_brand, p_partkey) FROM part GROUP BY p_type),
+w AS (SELECT 'o' || o_orderkey AS root, 'o' || o_orderkey AS node, 0 AS depth, ['o' || o_orderkey] AS path, 'OK' AS status FROM orders
+  UNION ALL SELECT root, e.dst, depth + 1, list_append(path, e.dst), CASE WHEN list_contains(path, e.dst) THEN 'MALFORMED_INPUT' WHEN depth + 1 > 12 THEN 'RESOURCE_LIMIT' ELSE 'OK' END
   FROM w JOIN e ON w.node = e.src WHERE w.status = 'OK')
 SELECT root, depth, status, count(*) AS paths, count(DISTINCT node) AS nodes FROM w GROUP BY ALL""",
 )
 def reachability(spark: SparkSession, d: str) -> DataFrame:
-    part, k = read_table(spark, d, "part"), F.col("p_partkey")
-    items = read_table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    part = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
+    items = read_table(spark, d, "lineitem")
 
-    def tag(letter: str, col: str) -> Column:
-        return F.concat(F.lit(letter), F.col(col).cast("string"))
+    def tag(letter: str, value: Column) -> Column:
+        return F.concat(F.lit(letter), value.cast("string"))
 
+    brand, kind, key = F.col("p_brand"), F.col("p_type"), F.col("p_partkey")
     edges = (
-        items.select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst"))
-        .unionByName(part.select(tag("p", "p_partkey").alias("src"), tag("b", "p_brand").alias("dst")))
-        .unionByName(part.filter(k % 50 == 1).select(tag("b", "p_brand").alias("src"), tag("t", "p_type").alias("dst")))
-        .unionByName(part.filter(k % 97 == 5).select(tag("t", "p_type").alias("src"), tag("b", "p_brand").alias("dst")))
+        items.select(tag("o", F.col("l_orderkey")).alias("src"), tag("p", F.col("l_partkey")).alias("dst"))
+        .unionByName(part.select(tag("p", key).alias("src"), tag("b", brand).alias("dst")))
+        .unionByName(part.groupBy(tag("b", brand).alias("src")).agg(tag("t", F.min_by(kind, key)).alias("dst")))
+        .unionByName(part.groupBy(tag("t", kind).alias("src")).agg(tag("b", F.max_by(brand, key)).alias("dst")))
         .distinct()
     )
-    roots = read_table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
-    walked = A.walk_resources(roots.select(tag("o", "o_orderkey").alias("root")), edges, max_depth=4)
-    return walked.groupBy("root", "depth", "status").agg(
+    roots = read_table(spark, d, "orders").select(tag("o", F.col("o_orderkey")).alias("root"))
+    return A.walk_resources(roots, edges).groupBy("root", "depth", "status").agg(
         F.count(F.lit(1)).alias("paths"), F.count_distinct("node").alias("nodes")
     )
 
@@ -247,7 +248,7 @@ RUNS_SQL = f"""{ATOMS}, ch AS (SELECT *, CASE WHEN lag(style_key) OVER w IS DIST
 rn AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS run_no FROM ch),
 ru AS (SELECT doc_id, line_no, run_no, any_value(style_key) AS style_key, sum(length(text)) AS len FROM rn GROUP BY doc_id, line_no, run_no),
 runs AS (SELECT *, CAST(sum(len) OVER (PARTITION BY doc_id, line_no ORDER BY run_no) AS BIGINT) AS char_end, CAST(sum(len) OVER (PARTITION BY doc_id, line_no ORDER BY run_no) - len AS BIGINT) AS char_start FROM ru),
-asked AS (SELECT event_id AS req_id, event_id % 200 AS doc_id, CAST(user_id % 6 + 1 AS INTEGER) AS line_no, CAST(k % 60 AS BIGINT) AS s, CAST(k % 60 + CASE WHEN k % 5 = 0 THEN 0 ELSE k % 17 END AS BIGINT) AS e
+asked AS (SELECT event_id AS req_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, CAST(user_id % 70 + 1 AS INTEGER) AS line_no, CAST(k % 60 AS BIGINT) AS s, CAST(k % 60 + CASE WHEN k % 5 = 0 THEN 0 ELSE k % 17 END AS BIGINT) AS e
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
 tot AS (SELECT doc_id, line_no, max(char_end) AS n FROM runs GROUP BY ALL)"""
 
@@ -264,8 +265,8 @@ def runs_and_ranges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.get_json_object("props", "$.k").cast("int")
     asked = read_table(spark, d, "events").select(
         F.col("event_id").alias("req_id"),
-        (F.col("event_id") % 200).alias("doc_id"),
-        (F.col("user_id") % 6 + 1).cast("int").alias("line_no"),
+        (F.col("event_id") % views.document_span(spark, d)).alias("doc_id"),
+        (F.col("user_id") % 70 + 1).cast("int").alias("line_no"),
         (k % 60).cast("bigint").alias("start"),
         (k % 60 + F.when(k % 5 == 0, 0).otherwise(k % 17)).cast("bigint").alias("end"),
     )

@@ -69,7 +69,7 @@ def locate(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "jon2_resolve_unique",
     f"""WITH {LINES}, t AS (SELECT doc_id, length(text) % 40 AS k, count(*) AS n, min(line_no) AS line_no FROM v_lines GROUP BY ALL),
-r AS (SELECT event_id, event_id % 200 AS doc_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 40 AS k FROM events)
+r AS (SELECT event_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 40 AS k FROM events)
 SELECT event_id, coalesce(n, 0) AS matches, CASE WHEN n IS NULL THEN 'STALE_REVISION' WHEN n > 1 THEN 'READ_ONLY_SPAN' ELSE 'RESOLVED' END AS outcome,
   CASE WHEN n = 1 THEN line_no END AS line_no FROM r LEFT JOIN t USING (doc_id, k)""",
 )
@@ -77,7 +77,7 @@ def resolve_unique(spark: SparkSession, d: str) -> DataFrame:
     targets = views.lines(spark, d).select("doc_id", (F.length("text") % 40).alias("k"), "line_no")
     requests = read_table(spark, d, "events").select(
         "event_id",
-        (F.col("event_id") % 200).alias("doc_id"),
+        (F.col("event_id") % views.document_span(spark, d)).alias("doc_id"),
         (F.get_json_object("props", "$.k").cast("int") % 40).alias("k"),
     )
     return J.resolve_unique(requests, targets, ["doc_id", "k"], ["line_no"]).select(
@@ -289,16 +289,40 @@ def decode(spark: SparkSession, d: str) -> DataFrame:
         (F.col("doc_id") % 3).alias("font_id"),
         F.explode(F.transform(F.split("text", ""), lambda c: F.ascii(c))).alias("code"),
     )
-    # Line breaks and the empty end piece of a split are no codes.
-    codes = codes.filter("code > 0 and code <> 10")
-    return J.decode_codes(codes, J.code_table(mappings), widths, 500.0).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("codes"),
-        F.count("text").alias("known"),
-        F.coalesce(F.sum(F.ascii("text")), F.lit(0)).cast("bigint").alias("cp_sum"),
-        F.sum("width").alias("width"),
+    # Line breaks and the empty end piece of a split are no codes.  Counted before they meet the tables.
+    counted = codes.filter("code > 0 and code <> 10").groupBy("doc_id", "font_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    return J.decode_codes(counted, J.code_table(mappings), widths, 500.0).groupBy("doc_id").agg(
+        F.sum(n).alias("codes"),
+        F.coalesce(F.sum(F.when(F.col("text").isNotNull(), n)), F.lit(0)).alias("known"),
+        F.coalesce(F.sum(n * F.ascii("text")), F.lit(0)).cast("bigint").alias("cp_sum"),
+        F.sum(n * F.col("width")).alias("width"),
     )
 
 
+@query(
+    "jon7_outcomes",
+    """WITH m AS (SELECT p_partkey % 40 AS font_id, p_partkey % 2 + 1 AS len, p_size * 10 AS first, p_size * 10 + CASE WHEN p_partkey % 163 = 0 THEN -1 WHEN p_partkey % 149 = 0 THEN 70000 ELSE p_size % 9 END AS last, p_partkey % 131 = 0 AS listed FROM part),
+c AS (SELECT DISTINCT font_id, len, unnest(range(first, last + 1)) AS code FROM m WHERE last >= first AND last - first < 250),
+n AS (SELECT font_id, count(*) AS codes FROM c GROUP BY font_id),
+r AS (SELECT font_id, bool_or(last < first) AS inverted, bool_or(last - first + 1 > 250) AS long, bool_or(listed AND last > first) AS short FROM m GROUP BY font_id)
+SELECT font_id, CASE WHEN inverted THEN 'inverted-range' WHEN long THEN 'range-limit' WHEN short THEN 'short-list' WHEN codes > 250 THEN 'code-limit' ELSE 'ok' END AS outcome FROM r LEFT JOIN n USING (font_id)""",
+)
+def code_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    part, key, size = read_table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    first = size * 10
+    mappings = part.select(
+        (key % 40).alias("font_id"),
+        (key % 2 + 1).alias("code_len"),
+        key.alias("ordinal"),
+        first.alias("first"),
+        (first + F.when(key % 163 == 0, -1).when(key % 149 == 0, 70_000).otherwise(size % 9)).alias("last"),
+        F.lit(900).alias("target"),
+        F.when(key % 131 == 0, F.array(F.lit("x"))).alias("targets"),
+    )
+    return J.code_outcomes(mappings, 250)
+
+
 @query(
     "jon8_coverage",
     """WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0), c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
@@ -359,19 +383,27 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return J.diff_snapshots(docs, after, ["doc_id"], listed)
 
 
-_POINTS_SQL = """pts AS (SELECT event_id AS point_id, event_id % 200 AS doc_id, 0 AS page, CAST(user_id % 5 + 1 AS INTEGER) AS line_no, value * 1.5 AS px, -(user_id % 5)::DOUBLE + 0.5 AS py FROM events)"""
+_POINTS_SQL = """pts AS (SELECT event_id AS point_id, doc_id, CAST((line_no - 1) // 50 AS INTEGER) AS page, line_no, px, -((line_no - 1) % 50)::DOUBLE + 0.5 AS py FROM
+  (SELECT event_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, CAST(user_id % 70 + 1 AS INTEGER) AS line_no, value * 1.5 AS px FROM events))"""
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    user = F.col("user_id")
-    return read_table(spark, d, "events").select(
+    """A point for each event, over all documents and the lines of their first pages."""
+    line = F.col("line_no")
+    asked = read_table(spark, d, "events").select(
         F.col("event_id").alias("point_id"),
-        (F.col("event_id") % 200).alias("doc_id"),
-        F.lit(0).alias("page"),
-        (user % 5 + 1).cast("int").alias("line_no"),
+        (F.col("event_id") % views.document_span(spark, d)).alias("doc_id"),
+        (F.col("user_id") % 70 + 1).cast("int").alias("line_no"),
         (F.col("value") * 1.5).alias("px"),
-        (-(user % 5)).cast("double").alias("_y"),
-    ).withColumn("py", F.col("_y") + 0.5).drop("_y")
+    )
+    return asked.select(
+        "point_id",
+        "doc_id",
+        F.floor((line - 1) / views.LINES_PER_PAGE).cast("int").alias("page"),
+        "line_no",
+        "px",
+        (0.5 - (line - 1) % views.LINES_PER_PAGE).cast("double").alias("py"),
+    )
 
 
 @query(

@@ -121,26 +121,47 @@ def plan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_APPLY_SQL = f"""{_PLAN_SQL}, sl AS (SELECT doc_id, char_start, char_end, replacement, sha256(source_text) AS dg FROM po WHERE plan_outcome = 'PLANNED'),
-ap AS (SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN text WHEN d.doc_id % 12 = 5 THEN text ELSE substr(text, 1, s.char_start) || s.replacement || substr(text, s.char_end + 1) END AS text,
-  CASE WHEN s.doc_id IS NULL THEN NULL WHEN d.doc_id % 12 = 5 THEN 'STALE_REVISION' ELSE 'APPLIED' END AS outcome FROM documents d LEFT JOIN sl s USING (doc_id))"""
+# Each document's edit, and for some a second slice: of the same selection, stale (5 of 12) or refused at planning
+# (3 of 12), or of another selection and in the way of the first (7 of 12).
+_APPLY_SQL = f"""{_PLAN_SQL}, sl AS (SELECT doc_id, 0 AS slice, plan_outcome AS po, char_start AS s, char_end AS e, replacement AS r FROM po
+  UNION ALL SELECT doc_id, 1, CASE doc_id % 12 WHEN 3 THEN 'REPLACEMENT_OVERFLOW' ELSE 'PLANNED' END, 0, 1, replacement FROM po WHERE plan_outcome = 'PLANNED' AND doc_id % 12 IN (3, 5, 7)),
+oc AS (SELECT doc_id, slice, CASE WHEN po <> 'PLANNED' THEN po WHEN doc_id % 12 = 3 AND planned THEN 'REPLACEMENT_OVERFLOW' WHEN doc_id % 12 = 5 AND planned THEN 'STALE_REVISION' WHEN doc_id % 12 = 7 AND planned THEN 'READ_ONLY_SPAN' ELSE 'APPLIED' END AS outcome, s, e, r
+  FROM (SELECT *, bool_or(slice = 0 AND po = 'PLANNED') OVER (PARTITION BY doc_id) AS planned FROM sl)),
+ap AS (SELECT d.doc_id, CASE WHEN o.doc_id IS NULL THEN text ELSE substr(text, 1, o.s) || o.r || substr(text, o.e + 1) END AS text FROM documents d LEFT JOIN (SELECT * FROM oc WHERE outcome = 'APPLIED') o USING (doc_id))"""
 
 
 @query(
     "rdx2_apply",
-    f"""WITH {_APPLY_SQL} SELECT ap.doc_id, coalesce(ap.outcome, po.plan_outcome) AS outcome, sha256(ap.text) AS text_digest FROM ap JOIN po USING (doc_id)""",
+    f"""WITH {_APPLY_SQL} SELECT oc.doc_id, slice, outcome, sha256(ap.text) AS text_digest FROM oc JOIN ap USING (doc_id)""",
 )
 def apply(spark: SparkSession, d: str) -> DataFrame:
     docs = docs_by_id(spark, d)
-    planned = R.plan_edits(views.edits(spark, d).drop("line_no"), FL.line_groups(docs), F.lit(0))
-    # For some documents a second slice of the same selection no longer matches: none applies.
-    stale = planned.filter("plan_outcome = 'PLANNED' and doc_id % 12 = 5").withColumns(
-        {"source_digest": F.sha2(F.lit("gone"), 256), "char_start": F.lit(0).cast("bigint"), "char_end": F.lit(1).cast("bigint")}
+    doc = F.col("doc_id")
+    planned = R.plan_edits(views.edits(spark, d).drop("line_no"), FL.line_groups(docs), F.lit(0)).withColumn("slice", F.lit(0))
+    first_char = docs.select("doc_id", F.sha2(F.substring("text", 1, 1), 256).alias("_first"))
+    line_head = F.when(doc % 12 == 7, F.col("char_start")).otherwise(0).cast("bigint")
+    second = (
+        planned.filter((F.col("plan_outcome") == "PLANNED") & (doc % 12).isin(3, 5, 7))
+        .join(first_char, "doc_id")
+        .withColumns(
+            {
+                "slice": F.lit(1),
+                "source_digest": F.when(doc % 12 == 7, F.sha2(F.substring("source_text", 1, 1), 256))
+                .when(doc % 12 == 5, F.sha2(F.lit("gone"), 256))
+                .otherwise(F.col("_first")),
+                "plan_outcome": F.when(doc % 12 == 3, "REPLACEMENT_OVERFLOW").otherwise("PLANNED"),
+                "char_start": line_head,
+                "char_end": line_head + 1,
+            }
+        )
+        .drop("_first")
     )
-    both = planned.unionByName(stale).withColumn("selection_id", F.col("doc_id"))
+    other = (F.col("slice") == 1) & (doc % 12 == 7)
+    both = planned.unionByName(second).withColumn("selection_id", F.when(other, -1 - doc).otherwise(doc))
     after, outcomes = R.apply_edits(docs, both)
-    per_doc = outcomes.groupBy("doc_id").agg(F.min("outcome").alias("outcome"))
-    return after.select("doc_id", F.sha2("text", 256).alias("text_digest")).join(per_doc, "doc_id")
+    return outcomes.select("doc_id", "slice", "outcome").join(
+        after.select("doc_id", F.sha2("text", 256).alias("text_digest")), "doc_id"
+    )
 
 
 _EVID_SQL = f"""fa AS (SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN text ELSE substr(text, 1, s.char_start) || s.replacement || substr(text, s.char_end + 1) END AS text FROM documents d LEFT JOIN (SELECT * FROM po WHERE plan_outcome = 'PLANNED') s USING (doc_id)),

@@ -172,8 +172,8 @@ def slices(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "win8_selections",
     f"""WITH {ATOMS}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) - 1 AS ix, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM v_atoms),
-q AS (SELECT event_id AS req_id, event_id % 200 AS doc_id, 0 AS page, CAST(user_id % 6 + 1 AS INTEGER) AS line_no, k % 13 AS a, (k * 3) % 17 AS f FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
-z AS (SELECT q.*, coalesce((SELECT max(n) FROM i WHERE i.doc_id = q.doc_id AND i.line_no = q.line_no AND i.page = 0), 0) AS n FROM q),
+q AS (SELECT event_id AS req_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, CAST(user_id % 70 // 50 AS INTEGER) AS page, CAST(user_id % 70 + 1 AS INTEGER) AS line_no, k % 13 AS a, (k * 3) % 17 AS f FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+z AS (SELECT q.*, coalesce((SELECT max(n) FROM i WHERE i.doc_id = q.doc_id AND i.line_no = q.line_no AND i.page = q.page), 0) AS n FROM q),
 m AS (SELECT z.req_id, string_agg(CASE WHEN ix > least(a, f) AND tok_no > 1 THEN ' ' ELSE '' END || i.text, '' ORDER BY ix) AS t, min(x) AS x, max(x + w) - min(x) AS w,
    1 + count(*) FILTER (ix > least(a, f) AND pk <> style_key) AS runs FROM z JOIN (SELECT *, lag(style_key) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS pk FROM i) i ON i.doc_id = z.doc_id AND i.page = z.page AND i.line_no = z.line_no AND ix BETWEEN least(a, f) AND greatest(a, f)
    WHERE a < z.n AND f < z.n GROUP BY z.req_id)
@@ -189,9 +189,9 @@ def selections(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     requests = read_table(spark, d, "events").select(
         F.col("event_id").alias("req_id"),
-        (F.col("event_id") % 200).alias("doc_id"),
-        F.lit(0).alias("page"),
-        (F.col("user_id") % 6 + 1).cast("int").alias("line_no"),
+        (F.col("event_id") % views.document_span(spark, d)).alias("doc_id"),
+        F.floor(F.col("user_id") % 70 / views.LINES_PER_PAGE).cast("int").alias("page"),
+        (F.col("user_id") % 70 + 1).cast("int").alias("line_no"),
         (k % 13).alias("anchor"),
         (k * 3 % 17).alias("focus"),
     )

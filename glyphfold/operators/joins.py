@@ -181,20 +181,69 @@ def match_tiered(reqs: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def _code_key(df: DataFrame) -> list[str]:
+    """Codes of different byte lengths are different codes, where the length is known.
+
+    A code of a length that its font never declares meets no row and has no text.
+    """
+    return ["font_id", *(["code_len"] if "code_len" in df.columns else []), "code"]
+
+
+def _code_rows(mappings: DataFrame, max_codes: int) -> DataFrame:
+    """Sound ranges as one row per code; a range over the limit is never unrolled."""
+    size = F.col("last") - F.col("first") + 1
+    key = [c for c in _code_key(mappings) if c != "code"]
+    sound = mappings.filter((size > 0) & (size <= max_codes))
+    return sound.select(*key, "ordinal", "first", "target", "targets", F.explode(F.sequence("first", "last")).alias("code"))
+
+
+def code_outcomes(mappings: DataFrame, max_codes: int = 65_536) -> DataFrame:
+    """JON7: font_id, outcome: ``ok``, or why the whole font is refused.
+
+    ``inverted-range``: a range ends before it begins; ``range-limit``: one
+    range is longer than the limit; ``short-list``: a range lists fewer texts
+    than it has codes; ``code-limit``: more distinct codes than the limit.
+    """
+    size = F.col("last") - F.col("first") + 1
+    ranges = mappings.groupBy("font_id").agg(
+        F.bool_or(size <= 0).alias("_inverted"),
+        F.bool_or(size > max_codes).alias("_long"),
+        F.coalesce(F.bool_or(F.size("targets") < size), F.lit(False)).alias("_short"),
+    )
+    key = [c for c in _code_key(mappings) if c != "code"]
+    codes = _code_rows(mappings, max_codes).select(*key, "code").distinct()
+    counted = codes.groupBy("font_id").agg(F.count(F.lit(1)).alias("_codes"))
+    return ranges.join(counted, "font_id", "left").select(
+        "font_id",
+        F.when(F.col("_inverted"), "inverted-range")
+        .when(F.col("_long"), "range-limit")
+        .when(F.col("_short"), "short-list")
+        .when(F.col("_codes") > max_codes, "code-limit")
+        .otherwise("ok")
+        .alias("outcome"),
+    )
+
+
 def code_table(mappings: DataFrame, max_codes: int = 65_536) -> DataFrame:
     """JON7: single and range mappings as one row per code; the later mapping wins.
 
-    mappings: font_id, ordinal, first, last, target (code point of ``first``)
-    or targets (listed texts, nullable).  A font that maps more codes than the
-    limit is refused as a whole (``overflow``), never cut.
+    mappings: font_id, [code_len,] ordinal, first, last, target (code point of
+    ``first``) or targets (listed texts, nullable).  Fonts that
+    :func:`code_outcomes` refuses are left out as a whole, never cut.
     """
-    sizes = mappings.groupBy("font_id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("_codes"))
-    sound = mappings.join(sizes, "font_id").filter(F.col("_codes") <= max_codes)
-    listed = F.col("targets").isNotNull()
-    rows = sound.select("font_id", "ordinal", "first", "target", "targets", F.explode(F.sequence("first", "last")).alias("code"))
+    sound = mappings.join(code_outcomes(mappings, max_codes).filter("outcome = 'ok'"), "font_id", "left_semi")
     step = (F.col("code") - F.col("first")).cast("int")
-    text = F.when(listed, F.get(F.col("targets"), step)).otherwise(_code_point(F.col("target") + step))
-    return rows.groupBy("font_id", "code").agg(F.max_by(text, F.col("ordinal")).alias("text"))
+    text = F.when(F.col("targets").isNotNull(), F.get(F.col("targets"), step)).otherwise(_code_point(F.col("target") + step))
+    key = [c for c in _code_key(mappings) if c != "code"]
+    return _code_rows(sound, max_codes).groupBy(*key, "code").agg(F.max_by(text, F.col("ordinal")).alias("text"))
+
+
+def width_table(ranges: DataFrame) -> DataFrame:
+    """JON7: widths given for ranges (font_id, [code_len,] ordinal, first, last, width) as one row per code."""
+    key = [c for c in _code_key(ranges) if c != "code"]
+    sound = ranges.filter(F.col("last") >= F.col("first"))
+    rows = sound.select(*key, "ordinal", "width", F.explode(F.sequence("first", "last")).alias("code"))
+    return rows.groupBy(*key, "code").agg(F.max_by("width", "ordinal").alias("width"))
 
 
 def _code_point(value: Column) -> Column:
@@ -206,8 +255,8 @@ def _code_point(value: Column) -> Column:
 def decode_codes(codes: DataFrame, table: DataFrame, widths: DataFrame, default_width: float) -> DataFrame:
     """JON7: text and width per code; an unknown code gives null text."""
     return (
-        codes.join(broadcast_if_small(table), ["font_id", "code"], "left")
-        .join(broadcast_if_small(widths), ["font_id", "code"], "left")
+        codes.join(broadcast_if_small(table), _code_key(table), "left")
+        .join(broadcast_if_small(widths), _code_key(widths), "left")
         .withColumn("width", F.coalesce("width", F.lit(float(default_width))))
     )
 

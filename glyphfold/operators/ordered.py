@@ -25,49 +25,25 @@ HOT_ROWS = 500_000
 _BLOCK = "_block"
 
 
-def _position(name: str, dtype: str) -> Column:
-    if dtype in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if dtype == "date":
-        return F.unix_date(name).cast("double")
-    return F.col(name).cast("double")
-
-
 def assign_blocks(df: DataFrame, keys: Seq[str], order: Seq[str], max_group_rows: int) -> tuple[DataFrame, bool]:
-    """Add ``_block``: -1 for ordinary keys, 0..n along ``order[0]`` for hot ones.
+    """Add ``_block``: -1 for ordinary keys, else ascending numbers along the whole order.
 
-    Boundaries need not be exact quantiles: any cut that is a function of the
-    order value keeps the blocks ordered.  Equal order values share a block.
+    The rows of hot keys are range-partitioned by key and all order columns, of
+    whatever types, and written; a block is a partition.  Only rows that are
+    equal in every order column must share one.
     """
     keys = list(keys)
-    dtype = dict(df.dtypes)[order[0]]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group_rows)
-    largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None:
+    rows = sizes.agg(F.sum("_n")).first()[0]
+    if rows is None:
         return df.withColumn(_BLOCK, F.lit(-1)), False
-    pieces = min(10_000, int(largest // max_group_rows) + 1)
-    cuts = [i / pieces for i in range(1, pieces)] or [0.5]
+    pieces = int(rows // max_group_rows) + 1
     same_key = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    hot = broadcast_if_small(sizes.select(*keys))
-    bounds = (
-        df.alias("d")
-        .join(hot.alias("s"), same_key, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(_position(order[0], dtype), cuts, max(10_000, 20 * pieces)).alias("_cuts"))
-    )
-    blocked = (
-        df.alias("d")
-        .join(broadcast_if_small(bounds).alias("s"), same_key, "left")
-        .select(
-            "d.*",
-            F.when(
-                F.col("s._cuts").isNotNull(), F.size(F.filter("s._cuts", lambda c: c < _position(f"d.{order[0]}", dtype)))
-            )
-            .otherwise(-1)
-            .alias(_BLOCK),
-        )
-    )
-    return blocked, True
+    hot = broadcast_if_small(cut_lineage(sizes.select(*keys)))
+    found = df.alias("d").join(hot.alias("s"), same_key, "left_semi").repartitionByRange(pieces, *keys, *order)
+    blocked = cut_lineage(found.withColumn(_BLOCK, F.spark_partition_id()))
+    rest = df.alias("d").join(hot.alias("s"), same_key, "left_anti").withColumn(_BLOCK, F.lit(-1))
+    return rest.unionByName(blocked), True
 
 
 class Sequence:

@@ -72,20 +72,36 @@ def apply_edits(docs: DataFrame, plan: DataFrame, selection: Seq[str] = ("doc_id
 
     docs: doc_id, text; plan: doc_id, selection_id, char_start, char_end,
     source_digest, replacement, plan_outcome.  All slices of a selection or
-    none.  Returns (documents, outcomes): outcomes has one row per plan row.
+    none: a slice refused at planning refuses the selection with its outcome, a
+    slice whose source has changed makes it STALE_REVISION, and slices of a
+    document that overlap make the selections they belong to READ_ONLY_SPAN.
+    Returns (documents, outcomes): outcomes has one row per plan row, and every
+    APPLIED row has changed its range.
     """
-    ready = plan.filter("plan_outcome = 'PLANNED'")
-    found = F.substring(F.col("text"), (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
-    checked = ready.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn(
-        "_match", F.sha2(found, 256).eqNullSafe(F.col("source_digest"))
+    start, end = F.col("char_start"), F.col("char_end")
+    found = F.substring(F.col("text"), (start + 1).cast("int"), (end - start).cast("int"))
+    sound = (start >= 0) & (end > start) & (end <= F.length("text"))
+    checked = plan.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn(
+        "_match", F.coalesce(sound & (F.sha2(found, 256) == F.col("source_digest")), F.lit(False))
     ).drop("text")
     whole = Window.partitionBy(*selection)
-    judged = checked.withColumn("_all", F.every("_match").over(whole))
-    outcomes = judged.withColumn("outcome", F.when(F.col("_all"), "APPLIED").otherwise("STALE_REVISION")).unionByName(
-        plan.filter("plan_outcome <> 'PLANNED'").withColumn("outcome", F.col("plan_outcome")), allowMissingColumns=True
-    ).drop("_match", "_all")
-    patches = judged.filter("_all").select(
-        "doc_id", F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), "replacement"
+    planned = F.col("plan_outcome") == "PLANNED"
+    refused = F.min(F.when(~planned, F.col("plan_outcome"))).over(whole)
+    stale = F.bool_or(planned & ~F.col("_match")).over(whole)
+    judged = checked.withColumn("_why", F.coalesce(refused, F.when(stale, "STALE_REVISION")))
+    # Only slices that would be applied can be in each other's way.
+    alive = F.col("_why").isNull()
+    along = Window.partitionBy("doc_id", alive).orderBy("char_start", "char_end")
+    before = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead(start).over(along)
+    meets = alive & (F.coalesce(before > start, F.lit(False)) | F.coalesce(after < end, F.lit(False)))
+    judged = judged.withColumn("_meets", meets).withColumn("_clash", F.bool_or("_meets").over(whole))
+    outcome = (
+        F.when(~planned, F.col("plan_outcome")).when(~alive, F.col("_why")).when(F.col("_clash"), "READ_ONLY_SPAN").otherwise("APPLIED")
+    )
+    outcomes = judged.withColumn("outcome", outcome).drop("_match", "_why", "_meets", "_clash")
+    patches = outcomes.filter("outcome = 'APPLIED'").select(
+        "doc_id", start.cast("int").alias("start"), end.cast("int").alias("end"), "replacement"
     )
     patched = apply_patches(docs, patches, ["doc_id"], "text")
     return patched.withColumn("text", F.col("patched")).drop("patched"), outcomes
@@ -154,13 +170,26 @@ def _with_offsets(runs: DataFrame, edits: DataFrame, keys: Seq[str]) -> tuple[Da
     return ranged, widened.drop("_all", "_lo", "_hi", "start", "end")
 
 
+def edit_outcomes(edits: DataFrame, keys: Seq[str]) -> DataFrame:
+    """RDX4: keys, edits, outcome: EDITED, or READ_ONLY_SPAN where several edits ask for one run list."""
+    counted = edits.groupBy(*keys).agg(F.count(F.lit(1)).alias("edits"))
+    return counted.withColumn("outcome", F.when(F.col("edits") == 1, "EDITED").otherwise("READ_ONLY_SPAN"))
+
+
+def _single_edits(edits: DataFrame, keys: Seq[str]) -> DataFrame:
+    alone = edit_outcomes(edits, keys).filter("outcome = 'EDITED'")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return edits.alias("e").join(alone.alias("o"), same, "left_semi")
+
+
 def replace_in_runs(runs: DataFrame, edits: DataFrame, keys: Seq[str], style: Seq[str]) -> DataFrame:
     """RDX4: replace one range per run list; text takes the style before it.
 
     runs: keys, run_no, run_text, style columns (with the source run index
-    among them); edits: keys, start, end, inserted.
+    among them); edits: keys, start, end, inserted.  A run list with several
+    edits is left as it is; :func:`edit_outcomes` names it.
     """
-    ranged, asked = _with_offsets(runs, edits, keys)
+    ranged, asked = _with_offsets(runs, _single_edits(edits, keys), keys)
     joined = ranged.join(asked, list(keys), "left")
     s, e = F.col("_s"), F.col("_e")
     cut_left = F.least(F.col("char_end"), s) - F.col("char_start")
@@ -202,8 +231,11 @@ def replace_in_runs(runs: DataFrame, edits: DataFrame, keys: Seq[str], style: Se
 
 
 def format_runs(runs: DataFrame, edits: DataFrame, keys: Seq[str], style: Seq[str], patch: dict[str, Column]) -> DataFrame:
-    """RDX4: restyle one range per run list; equal neighbours merge again."""
-    ranged, asked = _with_offsets(runs, edits, keys)
+    """RDX4: restyle one range per run list; equal neighbours merge again.
+
+    As in :func:`replace_in_runs`, a run list with several edits is left as it is.
+    """
+    ranged, asked = _with_offsets(runs, _single_edits(edits, keys), keys)
     joined = ranged.join(asked, list(keys), "left")
     text = F.col("run_text")
     a = F.least(F.greatest(F.coalesce("_s", F.lit(0)) - F.col("char_start"), F.lit(0)), F.length(text))

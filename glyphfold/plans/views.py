@@ -16,6 +16,11 @@ from glyphfold.sources.corpus import read_table
 LINES_PER_PAGE = 50
 
 
+def document_span(spark: SparkSession, path: str) -> int:
+    """One more than the largest document id: requests are dealt over all documents by it."""
+    return int(read_table(spark, path, "documents").agg(F.max("doc_id")).first()[0] or 0) + 1
+
+
 def lines(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
     docs = read_table(spark, path, "documents").select("doc_id", "text", *extra)
     return lines_of(docs, extra)

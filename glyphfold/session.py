@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def local_session(
@@ -51,14 +53,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side is small.
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: text and bytes by length, nested values by their JSON, 8 for the rest."""
+    total = F.lit(8)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            part = F.octet_length(field.name)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            part = F.octet_length(F.to_json(F.struct(field.name)))
+        else:
+            part = F.lit(8)
+        total = total + F.coalesce(part, F.lit(0))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when a bounded count of rows and bytes proves the side is small.
 
     Otherwise the side is returned unhinted and Spark plans a shuffle join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    some = df.limit(max_rows + 1).select(_row_bytes(df).cast("long").alias("b"))
+    rows, size = some.agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
