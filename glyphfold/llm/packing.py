@@ -6,10 +6,10 @@
    best-fit decreasing.
 3. Lower bounds from dual-feasible functions certify a partition whose bin
    count they reach: no packing of its pieces has fewer bins.
-4. Partitions with a gap give the bins that are not full to an exchange.  They
-   are dealt anew, whole bin by whole bin, and packed again; the new packing is
-   taken where it has fewer bins.  This goes on for ``rounds`` rounds, or until
-   every partition is certified.
+4. Partitions with a gap give the bins that are not full to an exchange,
+   certified ones their emptiest.  They are dealt anew, whole bin by whole bin,
+   and packed again; the new packing is taken where it has fewer bins.  This
+   goes on for ``rounds`` rounds, or until one partition is left.
 
 Every group is bounded by ``group_size`` whatever the ids are: pieces are dealt
 by their place in the written piece table, not by a key.
@@ -183,10 +183,11 @@ def _repack(capacity: int, round_no: int) -> Callable[[pd.DataFrame], pd.DataFra
             _, bins = np.unique(before, return_inverse=True)
         else:
             ids = (((round_no << 24) + number) << 32) + bins
-        gap = count - lower_bound(lengths, capacity)
-        filled = np.bincount(bins, weights=lengths)[bins]
+        filled = np.bincount(bins, weights=lengths)
+        # A certified partition offers its emptiest bin only: remainders of several partitions may share bins.
+        offered = filled < capacity if count > lower_bound(lengths, capacity) else filled == min(filled.min(), capacity - 1)
         group["sequence_id"] = ids
-        group["_open"] = (gap > 0) & (filled < capacity)
+        group["_open"] = offered[bins]
         return group
 
     return repack
