@@ -167,7 +167,7 @@ def threshold_samples(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "agg9_ssim",
     """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE * 255 AS a, generate_subscripts(embedding, 1) AS i FROM embeddings),
-p AS (SELECT v.vec_id, v.i, v.a, n.a + CASE WHEN v.vec_id % 3 = 0 THEN 0 ELSE n.i % 5 END AS b FROM v JOIN v n ON n.vec_id = v.vec_id - v.vec_id % 3 AND n.i = v.i WHERE v.vec_id % 7 <> 0 OR v.i = 1),
+p AS (SELECT v.vec_id, v.i, v.a, n.a + CASE WHEN v.vec_id % 3 = 0 THEN 0 ELSE n.i % 5 END AS b FROM v JOIN v n ON n.vec_id = v.vec_id - v.vec_id % 3 AND n.i = v.i),
 s AS (SELECT vec_id, avg(a) AS ma, avg(b) AS mb, coalesce(var_samp(a), 0) AS va, coalesce(var_samp(b), 0) AS vb, coalesce(covar_samp(a, b), 0) AS cv FROM p GROUP BY vec_id)
 SELECT vec_id, round(greatest(-1, least(1, ((2*ma*mb + 6.5025) * (2*cv + 58.5225)) / ((ma*ma + mb*mb + 6.5025) * (va + vb + 58.5225)))), 5)::DOUBLE AS ssim FROM s""",
 )
@@ -178,7 +178,6 @@ def ssim(spark: SparkSession, d: str) -> DataFrame:
     # Each vector against the first of its block of three.
     first = cells.filter(vec % 3 == 0).select(vec.alias("base"), "i", F.col("v").alias("b"))
     pairs = cells.withColumn("base", vec - vec % 3).join(first, ["base", "i"])
-    pairs = pairs.filter((vec % 7 != 0) | (F.col("i") == 0))
     shifted = F.col("b") + F.when(vec % 3 == 0, 0).otherwise((F.col("i") + 1) % 5)
     return A.ssim(pairs, ["vec_id"], F.col("v"), shifted).withColumn("ssim", F.round("ssim", 5))
 
@@ -211,7 +210,7 @@ _CAP = """CASE WHEN style_key = 'at' THEN 'readOnly' WHEN style_key = 'upper' TH
 @query(
     "agg11_capability_rollup",
     f"""WITH {ATOMS}, s AS (SELECT doc_id, page, line_no, mode, {_CAP} AS kind, CASE style_key WHEN 'at' THEN ['scannedContent', 'supportedExistingFont'] WHEN 'upper' THEN ['substituteFontRequired'] WHEN 'digit' THEN ['supportedExistingFont', 'malformedContent'] ELSE [] END AS reasons
-  FROM v_atoms WHERE mode < 4 OR line_no % 3 = 0),
+  FROM v_atoms),
 g AS (SELECT doc_id, page, line_no, max(CASE WHEN mode >= 4 OR kind = 'readOnly' THEN 2 WHEN kind = 'replacementWithSubstitution' THEN 1 ELSE 0 END) AS sv, list_distinct(flatten(list(reasons))) AS rs, bool_or(mode >= 4) AS clip FROM s GROUP BY ALL),
 o AS (SELECT *, list_filter(['supportedExistingFont', 'substituteFontRequired', 'replacementOverflow', 'unsupportedEncoding', 'ambiguousTransform', 'sharedResource', 'outlinedText', 'scannedContent', 'fontEmbeddingProhibited', 'unsupportedOperator', 'malformedContent'],
    lambda r: (list_contains(rs, r) OR (clip AND r = 'unsupportedOperator')) AND NOT (sv = 2 AND r IN ('supportedExistingFont', 'substituteFontRequired'))) AS fin FROM g)
@@ -222,7 +221,6 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     spans = (
         views.atoms(spark, d)
-        .filter("mode < 4 or line_no % 3 = 0")
         .select(
             "doc_id",
             "page",

@@ -146,7 +146,7 @@ def contiguity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "val6_entropy",
-    """WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ALL),
+    """WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS ch FROM documents) GROUP BY ALL),
 t AS (SELECT doc_id, count(*) AS uniq, sum(n) AS total, sum(n * log2(n)) AS nl FROM c GROUP BY doc_id)
 SELECT doc_id, uniq, round(log2(total) - nl / total, 6) AS entropy, uniq >= 16 AND log2(total) - nl / total >= 1 AS useful FROM t""",
 )

@@ -440,14 +440,21 @@ def second_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "rdx11_determinism",
-    """SELECT lang, source, NOT bool_or(doc_id % 100 = 7) AS same FROM documents GROUP BY ALL""",
+    """SELECT lang, source, NOT bool_or(doc_id % 100 = 7) AS same, true AS failed_unchanged FROM documents GROUP BY ALL""",
 )
 def determinism(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents")
-    twice = docs.repartition(7, "source").withColumn(
-        "text", F.when(F.col("doc_id") % 100 == 7, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    )
-    return R.prove_deterministic(docs.repartition(3), twice, ["lang", "source"])
+    """Plan and apply twice, dealt in different ways; and apply a plan in which every source has changed."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    edits = views.edits(spark, d).drop("line_no")
+    plan, once, _ = FL.redact_corpus(docs.repartition("doc_id"), edits)
+    _, twice, _ = FL.redact_corpus(docs.repartition("source", "doc_id"), edits.repartition("page", "doc_id"))
+    # A seeded difference, or agreement would prove little.
+    dotted = F.when(F.col("doc_id") % 100 == 7, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    columns = ["doc_id", "text", "lang", "source"]
+    same = R.prove_deterministic(once.select(*columns), twice.withColumn("text", dotted).select(*columns), ["lang", "source"])
+    failed, _ = R.apply_edits(docs, plan.withColumn("source_digest", F.sha2(F.lit("changed"), 256)))
+    unchanged = R.prove_deterministic(docs, failed.select(*columns), ["lang", "source"])
+    return same.join(unchanged.withColumnRenamed("same", "failed_unchanged"), ["lang", "source"])
 
 
 @query(

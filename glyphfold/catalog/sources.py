@@ -37,7 +37,7 @@ def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
     "src2_verify",
     """WITH i AS (SELECT 'doc-' || doc_id AS path, doc_id, left(text, 1) AS first, strlen(text) AS len, sha256(text) AS h, text FROM documents WHERE doc_id % 29 <> 0)
 SELECT path, CASE WHEN reason IS NULL THEN 'verified' ELSE 'rejected' END AS status, reason FROM (
-SELECT path, CASE WHEN doc_id % 31 = 0 THEN 'not-in-manifest' WHEN doc_id % 10 = 1 THEN 'byte-length' WHEN len > 6000 THEN 'size-policy' WHEN doc_id % 10 = 2 THEN 'sha256' END AS reason FROM i
+SELECT path, CASE WHEN doc_id % 31 = 0 THEN 'not-in-manifest' WHEN doc_id % 23 = 3 THEN 'signature' WHEN doc_id % 10 = 1 THEN 'byte-length' WHEN len > 6000 THEN 'size-policy' WHEN doc_id % 10 = 2 THEN 'sha256' END AS reason FROM i
 UNION ALL SELECT 'doc-' || doc_id, 'file-missing' FROM documents WHERE doc_id % 29 = 0 AND doc_id % 31 <> 0)""",
 )
 def verify(spark: SparkSession, d: str) -> DataFrame:
@@ -52,9 +52,12 @@ def verify(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("min_bytes"),
         F.lit(6000).cast("bigint").alias("max_bytes"),
         F.when(doc % 10 == 2, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("want_sha256"),
+        F.when(doc % 23 == 3, "%PDF-")
+        .otherwise(F.decode(F.substring(F.encode("text", "UTF-8"), 1, 5), "ISO-8859-1"))
+        .alias("want_signature"),
     )
     inventory = FS.inventory_files(files)
-    return FS.verify_files(inventory, manifest, F.col("signature"))
+    return FS.verify_files(inventory, manifest, F.col("want_signature"))
 
 
 @query("src2_binary_files")
@@ -172,12 +175,12 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snk2_dataset_fingerprint",
-    f"""WITH h AS (SELECT sha256('{{"c_custkey":' || c_custkey || ',"c_mktsegment":' || to_json(c_mktsegment) || ',"c_name":' || to_json(c_name) || ',"c_nationkey":' || c_nationkey || '}}') AS d FROM customer),
+    f"""WITH h AS (SELECT sha256('{{"c_acctbal":' || to_json(c_acctbal) || ',"c_custkey":' || c_custkey || ',"c_mktsegment":' || to_json(c_mktsegment) || ',"c_name":' || to_json(c_name) || ',"c_nationkey":' || c_nationkey || '}}') AS d FROM customer),
 s AS (SELECT count(*) AS n, {_LIMBS_SQL} FROM h)
 SELECT sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3 || ':' || s4) AS sha256, n AS rows FROM s""",
 )
 def dataset_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return K.fingerprint_dataset(read_table(spark, d, "customer").drop("c_acctbal"))
+    return K.fingerprint_dataset(read_table(spark, d, "customer"))
 
 
 @query(

@@ -112,9 +112,8 @@ def _ranked_counts(df: DataFrame, keys: Seq[str], value: Column, max_group_rows:
     counts = df.select(*keys, value.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    ranked = Sequence(counts, keys, ["_v"], max_group_rows).running_sum("_cum", F.col("_n")).done()
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    return ranked.join(totals, list(keys))
+    ranked = Sequence(counts, keys, ["_v"], max_group_rows).running_sum("_cum", F.col("_n"))
+    return ranked.total("_total", F.col("_n")).done()
 
 
 def exact_quantiles(

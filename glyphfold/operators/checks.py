@@ -141,12 +141,13 @@ def check_contiguous(
 
 
 def byte_entropy(df: DataFrame, key: str, text: str, min_unique: int = 16, min_bits: float = 1.0) -> DataFrame:
-    """VAL6: distinct symbols and Shannon entropy per payload.
+    """VAL6: distinct bytes (of UTF-8 text, or binary) and Shannon entropy per payload.
 
-    Counts per (payload, symbol) are combined map-side, so the shuffle carries
-    at most one row per symbol of a payload.
+    Counts per (payload, byte) are combined map-side, so the shuffle carries
+    at most 256 rows of a payload.
     """
-    symbols = df.select(key, F.explode(F.split(text, "")).alias("_c")).filter("_c != ''")
+    pairs = F.regexp_extract_all(F.hex(F.col(text).cast("binary")), F.lit(".."), F.lit(0))
+    symbols = df.select(key, F.explode(pairs).alias("_c"))
     counts = symbols.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_n"))
     # H = log2(N) - sum(n*log2(n))/N needs one pass over the counts.
     agg = counts.groupBy(key).agg(

@@ -39,11 +39,13 @@ def assign_blocks(df: DataFrame, keys: Seq[str], order: Seq[str], max_group_rows
         return df.withColumn(_BLOCK, F.lit(-1)), False
     pieces = int(rows // max_group_rows) + 1
     same_key = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    hot = broadcast_if_small(cut_lineage(sizes.select(*keys)))
-    found = df.alias("d").join(hot.alias("s"), same_key, "left_semi").repartitionByRange(pieces, *keys, *order)
+    hot = broadcast_if_small(cut_lineage(sizes.select(*keys, F.lit(True).alias("_hot"))))
+    marked = df.alias("d").join(hot.alias("s"), same_key, "left").select(*[F.col(f"d.{c}").alias(c) for c in df.columns], "s._hot")
+    found = marked.filter("_hot").drop("_hot").repartitionByRange(pieces, *keys, *order)
     blocked = cut_lineage(found.withColumn(_BLOCK, F.spark_partition_id()))
-    rest = df.alias("d").join(hot.alias("s"), same_key, "left_anti").withColumn(_BLOCK, F.lit(-1))
-    return rest.unionByName(blocked), True
+    rest = marked.filter("_hot is null").drop("_hot").withColumn(_BLOCK, F.lit(-1))
+    # Under other names: a checkpoint keeps constraints on columns it no longer has, which a union cannot map.
+    return rest.union(blocked.select(*[F.col(c).alias(f"{c}_") for c in rest.columns])), True
 
 
 class Sequence:
@@ -130,6 +132,15 @@ class Sequence:
         )
         return self._with(joined.withColumn(out, merged).drop("_c"))
 
+    def total(self, out: str, value: Column) -> Sequence:
+        """Sum over all rows of the key, on every row; blocks of a hot key are summed apart."""
+        whole = Window.partitionBy(*self._group)
+        if not self.blocked:
+            return self._with(self.df.withColumn(out, F.sum(value).over(whole)))
+        every = lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        joined = self._joined(self.df.withColumn(out, F.sum(value).over(whole)), self._carry({"_c": F.sum(value)}, every))
+        return self._with(joined.withColumn(out, F.coalesce("_c", out)).drop("_c"))
+
     def row_number(self, out: str) -> Sequence:
         if not self.blocked:
             return self._with(self.df.withColumn(out, F.row_number().over(self._window())))

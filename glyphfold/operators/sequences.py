@@ -346,15 +346,16 @@ def advance_profile(
 ) -> DataFrame:
     """WIN10: ``advance`` per glyph and ``usable`` per run (every advance positive)."""
     base = df.withColumns({"_s": start, "_e": end})
-    rows = (
+    bad = ~F.coalesce(finite(F.col("advance")) & (F.col("advance") > 0), F.lit(False))
+    return (
         Sequence(base, [*keys, *([run] if run else [])], order, max_group_rows)
         .lead("_next", F.col("_s"))
         .with_column("advance", (F.coalesce("_next", "_e") - F.col("_s")) / scale)
+        .total("_bad", bad.cast("int"))
+        .with_column("usable", F.col("_bad") == 0)
         .done()
+        .drop("_s", "_e", "_next", "_bad")
     )
-    group = [*keys, *([run] if run else [])]
-    verdict = rows.groupBy(*group).agg(F.every(finite(F.col("advance")) & (F.col("advance") > 0)).alias("usable"))
-    return rows.drop("_s", "_e", "_next").join(verdict, group)
 
 
 def common_prefix(a: DataFrame, b: DataFrame, keys: Seq[str], pos: str, value: str) -> DataFrame:
@@ -648,9 +649,11 @@ def admit(
     A rejected item uses no quota and the rest of the quota only shrinks, so
     the first item of a hash decides for the hash, and an item larger than the
     rest can be passed over for good.  Each round folds, per tenant, only the
-    next ``candidates`` items that still fit (a per-key limit that Spark
-    applies before the shuffle, up to its threshold of 1,000); every round admits at least one, so there are
-    at most ``max_count`` rounds, and a tenant of any size stays bounded.
+    next ``candidates`` items that still fit; every round admits at least one,
+    so there are at most ``max_count`` rounds, and a tenant of any size stays
+    bounded.  The number changes how many rounds there are, not the result.
+    The first items and the admitted ones are written, the former to be read
+    each round, the latter so that a hot tenant's rows can be split in the join.
     """
     sound = (F.col("size") > 0) & (F.col("size") <= max_item)
     firsts = (
@@ -659,6 +662,7 @@ def admit(
         .agg(F.min(F.struct(F.col(order).alias("o"), F.col("size").alias("s"))).alias("f"))
         .select(tenant, "hash", F.col("f.o").alias(order), F.col("f.s").alias("size"))
     )
+    firsts = cut_lineage(firsts)
     w = Window.partitionBy(tenant).orderBy(order)
 
     def offer(state: tuple | None, size: float, used: int, total: float) -> tuple[tuple, tuple]:
@@ -696,8 +700,10 @@ def admit(
         if unfinished.isEmpty():
             break
         todo = firsts.join(unfinished, tenant).filter(F.col(order) > F.col("_last")).drop("_last")
-    slots = admitted.groupBy(tenant).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "size", "hash"))).alias("_slots")
+    slots = cut_lineage(
+        admitted.groupBy(tenant).agg(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "size", "hash"))).alias("_slots")
+        )
     )
     earlier = F.filter(F.coalesce("_slots", F.array()), lambda s: s["o"] < F.col(order))
     count = F.size(earlier)
