@@ -186,15 +186,15 @@ def decoration_inputs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "jon5_requirements",
-    f"""WITH {CATALOGUE}, m AS (SELECT *, CASE WHEN font_id % 10 = 0 THEN 'm' || font_id % 50 END AS metrics FROM v_catalogue),
-q AS (SELECT p_partkey AS req_id, CASE WHEN p_partkey % 4 = 0 THEN 'absent' ELSE lower(replace(p_name, ' ', '')) END AS name_key,
+    f"""WITH {CATALOGUE}, m AS (SELECT *, CASE WHEN font_id % 10 = 0 THEN 'm' || font_id % 50 END AS metrics, ['regular', 'condensed'][font_id % 2 + 1] AS subfamily FROM v_catalogue),
+q AS (SELECT p_partkey AS req_id, CASE p_partkey % 8 WHEN 2 THEN 'regular' WHEN 7 THEN 'condensed' END AS sub, CASE WHEN p_partkey % 4 = 0 THEN 'absent' ELSE lower(replace(p_name, ' ', '')) END AS name_key,
    CASE WHEN p_partkey % 4 = 1 THEN 'absent' ELSE string_split(p_name, ' ')[-1] END AS family_key,
    CASE WHEN p_partkey % 6 = 0 THEN 900 WHEN p_size % 2 = 0 THEN 400 ELSE 700 END AS weight, p_size % 3 = 0 AS italic,
    list_distinct(list_transform(string_split(CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 25 = 1 THEN p_name || 'é' ELSE replace(p_name, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '#' END, '') END, ''), lambda c: unicode(c))) AS need,
    CASE WHEN p_partkey % 5 = 0 THEN sha256(p_name || '|' || p_brand) END AS hash, CASE WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey % 50 END AS metrics FROM part),
 n AS (SELECT * EXCLUDE (need), list_filter(need, lambda c: c > 0) AS need FROM q),
-x AS (SELECT req_id, font_id, source_rank, q.weight = c.weight AND q.italic = c.italic AS style,
-   CASE WHEN q.hash = c.hash THEN 0 WHEN q.weight = c.weight AND q.italic = c.italic AND (q.name_key = c.name_key OR q.family_key = c.family_key)
+x AS (SELECT req_id, font_id, source_rank, q.weight = c.weight AND q.italic = c.italic AND (q.sub IS NULL OR q.sub = c.subfamily) AS style,
+   CASE WHEN q.hash = c.hash THEN 0 WHEN q.weight = c.weight AND q.italic = c.italic AND (q.sub IS NULL OR q.sub = c.subfamily) AND (q.name_key = c.name_key OR q.family_key = c.family_key)
      THEN CASE WHEN q.metrics = c.metrics THEN 0 ELSE 1 END ELSE 2 END AS class
   FROM n q JOIN m c ON list_has_all(c.code_points, q.need)),
 r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY class, NOT style, source_rank, font_id) AS rn FROM x)
@@ -204,8 +204,11 @@ FROM n LEFT JOIN r ON n.req_id = r.req_id AND rn = 1""",
 )
 def requirements(spark: SparkSession, d: str) -> DataFrame:
     font = F.col("font_id")
-    catalogue = views.catalogue(spark, d).withColumn(
-        "metrics", F.when(font % 10 == 0, F.concat(F.lit("m"), (font % 50).cast("string")))
+    catalogue = views.catalogue(spark, d).withColumns(
+        {
+            "metrics": F.when(font % 10 == 0, F.concat(F.lit("m"), (font % 50).cast("string"))),
+            "subfamily": F.when(font % 2 == 0, "Regular").otherwise("Con densed"),
+        }
     )
     k = F.col("p_partkey")
     wanted = (
@@ -222,6 +225,7 @@ def requirements(spark: SparkSession, d: str) -> DataFrame:
         T.code_points(wanted).alias("code_points"),
         F.when(k % 5 == 0, F.sha2(F.concat_ws("|", "p_name", "p_brand"), 256)).alias("hash"),
         F.when(k % 3 == 0, F.concat(F.lit("m"), (k % 50).cast("string"))).alias("metrics"),
+        F.when(k % 8 == 2, "regular").when(k % 8 == 7, "Condensed").alias("subfamily"),
     )
     return J.resolve_requirements(reqs, catalogue)
 

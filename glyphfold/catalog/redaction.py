@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glyphfold.catalog import query
 from glyphfold.catalog.joins import docs_by_id
 from glyphfold.catalog.scalars import SPACE
-from glyphfold.catalog.sqlviews import ATOMS, COMMANDS, EDITS, LINES, SPANS
+from glyphfold.catalog.sqlviews import ATOMS, CATALOGUE, COMMANDS, EDITS, LINES, SPANS
 from glyphfold.operators import aggregates as A
 from glyphfold.operators import sequences as S
 from glyphfold.plans import classify as K
@@ -121,6 +121,52 @@ def plan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "rdx1_plan_fonts",
+    f"""WITH {SPANS}, {EDITS}, {CATALOGUE}, fo AS (SELECT font_id, family_key, weight, italic, code_points, source_rank, font_id % 7 <> 3 AS embeddable FROM v_catalogue),
+gp AS (SELECT doc_id, page, text, count(*) AS n, min(line_no) AS line_no FROM v_spans GROUP BY ALL),
+e AS (SELECT e.doc_id, e.page, source_text, accept_substitution, n AS matches, line_no, ['redacted', 'removed xyz', '[REDACTED]'][doc_id % 3 + 1] AS rep, CASE WHEN doc_id % 7 = 2 THEN doc_id % 50 + 3 END AS chosen,
+   CASE WHEN regexp_matches(source_text, '{_RTL}') THEN 'readOnly' WHEN regexp_matches(source_text, '^[\\x00-\\x7F]*$') THEN 'safeReplacement' ELSE 'replacementWithSubstitution' END AS base
+  FROM (SELECT e.*, g.n, g.line_no AS ln FROM v_edits e JOIN gp g ON e.doc_id = g.doc_id AND e.page = g.page AND e.source_text = g.text) e),
+rq AS (SELECT e.doc_id, f.font_id, f.source_rank, f.weight = o.weight AND f.italic = o.italic AS style, CASE WHEN f.weight = o.weight AND f.italic = o.italic AND f.family_key = o.family_key THEN 1 ELSE 2 END AS class
+  FROM e JOIN fo o ON o.font_id = e.doc_id % 50 + 1 JOIN fo f ON list_has_all(f.code_points, list_transform(string_split(rep, ''), lambda c: unicode(c))) WHERE chosen IS NULL AND matches = 1),
+best AS (SELECT doc_id, font_id, class FROM rq QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY class, NOT style, source_rank, font_id) = 1),
+x AS (SELECT e.*, coalesce(chosen, b.font_id) AS font, chosen IS NOT NULL AND f.font_id IS NOT NULL AND list_has_all(f.code_points, list_transform(string_split(rep, ''), lambda c: unicode(c))) AS covers, class, coalesce(f.embeddable, false) AS embeddable
+  FROM e LEFT JOIN best b USING (doc_id) LEFT JOIN fo f ON f.font_id = coalesce(chosen, b.font_id)),
+y AS (SELECT *, base = 'safeReplacement' AND CASE WHEN chosen IS NOT NULL THEN covers ELSE coalesce(class = 1, false) END AS enc, CASE WHEN chosen IS NOT NULL THEN covers ELSE class IS NOT NULL END AS has_sub FROM x)
+SELECT doc_id, page, CASE WHEN matches > 1 OR base = 'readOnly' THEN 'READ_ONLY_SPAN' WHEN length(rep) > length(source_text) THEN 'REPLACEMENT_OVERFLOW' WHEN enc THEN 'PLANNED' WHEN NOT has_sub THEN 'FONT_UNAVAILABLE' WHEN NOT embeddable THEN 'FONT_EMBEDDING_PROHIBITED'
+   WHEN NOT accept_substitution THEN 'FONT_CONSENT_REQUIRED' ELSE 'PLANNED' END AS plan_outcome, font::BIGINT AS font_id FROM y""",
+)
+def plan_fonts(spark: SparkSession, d: str) -> DataFrame:
+    """Plans whose replacements need a font: the source's, a chosen one or a substitute."""
+    doc = F.col("doc_id")
+    fonts = views.catalogue(spark, d).select(
+        F.col("font_id").cast("bigint").alias("font_id"), "name_key", "family_key", "weight", "italic", "code_points", "source", "hash",
+        F.lit(None).cast("string").alias("metrics"), (F.col("font_id") % 7 != 3).alias("embeddable"),
+    )
+    own = fonts.select((F.col("font_id") - 1).alias("_slot"), "family_key", "weight", "italic")
+    groups = (
+        FL.line_groups(docs_by_id(spark, d))
+        .withColumn("_slot", doc % 50)
+        .join(own, "_slot", "left")
+        .withColumns(
+            {
+                "base": F.struct(F.col("cap_kind").alias("kind"), F.col("cap_reasons").alias("reasons")),
+                "name_key": F.lit("absent"),
+                "subfamily": F.lit(None).cast("string"),
+                "dx": F.lit(1.0),
+                "dy": F.lit(0.0),
+                "advance": F.lit(1.0),
+            }
+        )
+    )
+    texts = F.array(F.lit("redacted"), F.lit("removed xyz"), F.lit("[REDACTED]"))
+    edits = views.edits(spark, d).drop("line_no").withColumns(
+        {"replacement": F.element_at(texts, (doc % 3 + 1).cast("int")), "font_id": F.when(doc % 7 == 2, doc % 50 + 3)}
+    )
+    return R.plan_with_fonts(edits, groups, fonts, F.lit(0)).select("doc_id", "page", "plan_outcome", "font_id")
+
+
 # Each document's edit, and for some a second slice: of the same selection, stale (5 of 12) or refused at planning
 # (3 of 12), or of another selection and in the way of the first (7 of 12).
 _APPLY_SQL = f"""{_PLAN_SQL}, sl AS (SELECT doc_id, 0 AS slice, plan_outcome AS po, char_start AS s, char_end AS e, replacement AS r FROM po

@@ -48,32 +48,38 @@ def resolve_requirements(reqs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """JON5: best font per requirement.
 
     reqs: req_id, name_key, family_key, weight, italic, code_points, hash and
-    metrics (the last two nullable); catalogue: font_id, name_key, family_key,
-    weight, italic, code_points, source, hash, metrics.  Output: req_id, kind,
-    font_id, reason.
+    metrics (the last two nullable), and maybe subfamily (null: any will do);
+    catalogue: font_id, name_key, family_key, weight, italic, code_points,
+    source, hash, metrics, and maybe subfamily.  Output: req_id, kind, font_id,
+    reason.  Subfamily names are compared as names are elsewhere; a style
+    matches by weight, italic and subfamily.
 
     Exact and compatible fonts are found by equality joins.  A substitute
     depends only on coverage, style and source, so the catalogue is first
     reduced to its best font per (coverage, weight, italic), and a coverage
     class is a candidate only through the rarest code point asked for.
     """
-    fonts = catalogue.withColumn("cover", F.array_sort("code_points")).withColumn(
+    none = F.lit(None).cast("string")
+    reqs = reqs.withColumn("sub", name_key(F.col("subfamily")) if "subfamily" in reqs.columns else none)
+    fonts = catalogue.withColumn("fsub", name_key(F.col("subfamily")) if "subfamily" in catalogue.columns else none)
+    fonts = fonts.withColumn("cover", F.array_sort("code_points")).withColumn(
         "rank", F.struct(_source_rank(F.col("source")).alias("source"), F.col("font_id").alias("font_id"))
     )
     need = F.array_sort(F.array_distinct("code_points"))
-    distinct_reqs = reqs.select("name_key", "family_key", "weight", "italic", need.alias("need"), "hash", "metrics").distinct()
-    same = ["name_key", "family_key", "weight", "italic", "need", "hash", "metrics"]
+    same = ["name_key", "family_key", "weight", "italic", "sub", "need", "hash", "metrics"]
+    distinct_reqs = reqs.withColumn("need", need).select(*same).distinct()
+    styled_alike = F.col("sub").isNull() | F.coalesce(F.col("sub") == F.col("fsub"), F.lit(False))
     req = distinct_reqs
 
     covers = F.size(F.array_except("need", "cover")) == 0
     by_hash = req.alias("r").join(
-        fonts.select(F.col("hash").alias("fhash"), "cover", "rank", F.col("weight").alias("fw"), F.col("italic").alias("fi")).alias("f"),
+        fonts.select(F.col("hash").alias("fhash"), "cover", "rank", "fsub", F.col("weight").alias("fw"), F.col("italic").alias("fi")).alias("f"),
         F.col("r.hash") == F.col("f.fhash"),
     ).filter(covers).select(
         *[f"r.{c}" for c in same],
         F.struct(
             F.lit(0).alias("class"),
-            F.when((F.col("weight") == F.col("fw")) & (F.col("italic") == F.col("fi")), 0).otherwise(1).alias("style"),
+            F.when((F.col("weight") == F.col("fw")) & (F.col("italic") == F.col("fi")) & styled_alike, 0).otherwise(1).alias("style"),
             F.col("rank.source").alias("source"),
             F.col("rank.font_id").alias("font_id"),
         ).alias("best"),
@@ -81,12 +87,12 @@ def resolve_requirements(reqs: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     def by_name(key: str) -> DataFrame:
         # Same key, style and coverage give the same verdict: keep their best font only.
-        named = fonts.groupBy(key, "weight", "italic", "cover", F.col("metrics").alias("fmetrics")).agg(
+        named = fonts.groupBy(key, "weight", "italic", "fsub", "cover", F.col("metrics").alias("fmetrics")).agg(
             F.min("rank").alias("rank")
         )
         return (
             req.join(named, [key, "weight", "italic"])
-            .filter(covers)
+            .filter(covers & styled_alike)
             .select(
                 *same,
                 F.struct(
@@ -98,7 +104,12 @@ def resolve_requirements(reqs: DataFrame, catalogue: DataFrame) -> DataFrame:
             )
         )
 
-    classes = fonts.groupBy("cover", "weight", "italic").agg(F.min("rank").alias("rank"))
+    # A requirement without a subfamily asks for the best of all of them, kept under a null.
+    per_sub = fonts.groupBy("cover", "weight", "italic", "fsub").agg(F.min("rank").alias("rank"))
+    each = F.array_distinct(F.array(F.col("fsub"), none))
+    classes = (
+        per_sub.withColumn("sub", F.explode(each)).groupBy("cover", "weight", "italic", "sub").agg(F.min("rank").alias("rank"))
+    )
     covers_only = classes.select("cover").distinct()
     members = covers_only.select("cover", F.explode("cover").alias("cp"))
     frequency = members.groupBy("cp").agg(F.count(F.lit(1)).alias("n"))
@@ -112,16 +123,22 @@ def resolve_requirements(reqs: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
     suited = rarest.filter(F.col("cp").isNotNull()).join(members, "cp").filter(covers).select("need", "cover")
     # Nothing asked for: every font will do, so one best font per style stands for all.
-    any_style = classes.groupBy("weight", "italic").agg(F.min("rank").alias("rank"))
+    any_style = classes.groupBy("weight", "italic", "sub").agg(F.min("rank").alias("rank"))
     per_need = (
         suited.join(classes, "cover")
-        .groupBy("need", "weight", "italic")
+        .groupBy("need", "weight", "italic", "sub")
         .agg(F.min("rank").alias("rank"))
-        .unionByName(any_style.select(F.array().cast("array<int>").alias("need"), "weight", "italic", "rank"))
+        .unionByName(any_style.select(F.array().cast("array<int>").alias("need"), "weight", "italic", "sub", "rank"))
     )
     best_any = per_need.groupBy("need").agg(F.min("rank").alias("rank_any"))
     styled = (
-        req.join(per_need, ["need", "weight", "italic"], "left")
+        req.alias("r")
+        .join(
+            per_need.alias("p"),
+            [*[F.col(f"r.{c}") == F.col(f"p.{c}") for c in ("need", "weight", "italic")], F.col("r.sub").eqNullSafe(F.col("p.sub"))],
+            "left",
+        )
+        .select("r.*", "p.rank")
         .join(best_any, "need", "left")
         .filter(F.col("rank_any").isNotNull())
         .select(

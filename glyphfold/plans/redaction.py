@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from glyphfold.functions.geometry import finite
 from glyphfold.functions.keys import command_hash
-from glyphfold.functions.text import count_occurrences, nfc, nfc_needed, searchable, widened_end, widened_start
-from glyphfold.operators.joins import bind_edits
+from glyphfold.functions.text import code_points, count_occurrences, nfc, nfc_needed, searchable, widened_end, widened_start
+from glyphfold.operators.joins import bind_edits, resolve_requirements
 from glyphfold.operators.sequences import apply_patches, char_ranges, style_runs
 from glyphfold.operators.spatial import boxes_meet
+from glyphfold.plans.classify import classify_replacement
+from glyphfold.session import cut_lineage
 from glyphfold.sources.sinks import fingerprint_dataset
 
 TOLERANCE = 1e-6
@@ -67,6 +69,87 @@ def plan_edits(edits: DataFrame, groups: DataFrame, revision: Column, on: Seq[st
     ).drop("outcome")
 
 
+def plan_with_fonts(
+    edits: DataFrame, groups: DataFrame, fonts: DataFrame, revision: Column, on: Seq[str] = ("doc_id", "page"), cross: float = 0.0
+) -> DataFrame:
+    """RDX1 on its own parts: bind, resolve a font, classify, fit, hash; nothing is changed.
+
+    edits: on, source_text, replacement, accept_substitution, font_id (an
+    explicit choice, or null: the source's font is to be kept); groups: on,
+    text, line_no, char_start, char_end, base (CLS1), name_key, family_key,
+    subfamily (nullable), weight, italic, x, y, w, h, dx, dy, advance (width of
+    a code point); fonts: the catalogue of JON5 with ``embeddable``.
+
+    A chosen font must cover the replacement.  A kept font is a requirement
+    (JON5); a substitute needs consent.  The replacement's box must fit the
+    source's region (RDX5, ``cross`` is the largest extent across the baseline).
+    """
+    keep = ["line_no", "char_start", "char_end", "base", "name_key", "family_key", "subfamily", "weight", "italic", "x", "y", "w", "h", "dx", "dy", "advance"]
+    bound = bind_edits(edits, groups, on, "source_text", "text", keep)
+    raw = F.col("replacement")
+    bound = bound.withColumn("replacement", F.coalesce(nfc(F.when(nfc_needed(raw), raw)), raw))
+    style = ["name_key", "family_key", "subfamily", "weight", "italic"]
+    need = code_points(F.col("replacement"))
+    bound = cut_lineage(bound.withColumn("_need", need).withColumn("_asked", F.xxhash64(*style, "_need")))
+    # Equal requirements are resolved once.
+    asked = bound.filter((F.col("outcome") == "RESOLVED") & F.col("font_id").isNull()).select("_asked", *style, "_need").distinct()
+    none = F.lit(None).cast("string")
+    reqs = asked.select(F.col("_asked").alias("req_id"), *style, F.col("_need").alias("code_points"), none.alias("hash"), none.alias("metrics"))
+    kept = resolve_requirements(reqs, fonts).select(
+        F.col("req_id").alias("_asked"), F.col("kind").alias("_kind"), F.col("font_id").alias("_found")
+    )
+    joined = bound.join(kept, "_asked", "left").withColumn("_font", F.coalesce("font_id", "_found"))
+    known = fonts.select(F.col("font_id").alias("_font"), F.col("code_points").alias("_cover"), "embeddable")
+    joined = joined.join(known, "_font", "left")
+    chosen = F.col("font_id").isNotNull()
+    covers = F.coalesce(F.size(F.array_except("_need", "_cover")) == 0, F.lit(False))
+    width = F.length("replacement") * F.col("advance")
+    area = fit_region(_box(F.col("x"), F.col("y"), F.col("w"), F.col("h")), F.lit(cross), F.col("dx"), F.col("dy"))
+    own = (~chosen & F.col("_kind").isin("exact", "compatible-version")) | (chosen & covers)
+    ready = joined.withColumns(
+        {
+            "rx": F.col("x"),
+            "ry": F.col("y"),
+            "rw": width,
+            "rh": F.col("h"),
+            "can_encode": F.coalesce(own, F.lit(False)) & (F.col("base.kind") == "safeReplacement"),
+            "has_substitute": F.when(chosen, covers).otherwise(F.coalesce(F.col("_kind") != "unavailable", F.lit(False))),
+            "embeddable": F.coalesce("embeddable", F.lit(False)),
+        }
+    )
+    judged = classify_replacement(ready).withColumn("fits", fits(_box(F.col("x"), F.col("y"), width, F.col("h")), area))
+    reasons, consent = F.col("verdict.reasons"), F.array(F.lit("substitution"))
+    empty = F.array().cast("array<string>")
+    substitutes = F.col("verdict.kind") == "replacementWithSubstitution"
+    outcome = (
+        F.when(F.col("outcome") != "RESOLVED", F.col("outcome"))
+        .when(F.col("base.kind") == "readOnly", "READ_ONLY_SPAN")
+        .when(F.array_contains(reasons, "ambiguousTransform"), "READ_ONLY_SPAN")
+        .when(F.array_contains(reasons, "replacementOverflow") | ~F.col("fits"), "REPLACEMENT_OVERFLOW")
+        .when(F.array_contains(reasons, "unsupportedEncoding"), "FONT_UNAVAILABLE")
+        .when(F.array_contains(reasons, "fontEmbeddingProhibited"), "FONT_EMBEDDING_PROHIBITED")
+        .when(~F.col("verdict.can_apply"), "FONT_CONSENT_REQUIRED")
+        .otherwise("PLANNED")
+    )
+    address = F.concat_ws(":", *[F.col(c).cast("string") for c in ("line_no", "char_start", "char_end")])
+    digest = F.sha2("source_text", 256)
+    hashed = command_hash(
+        revision, F.col("page"), address, F.col("replacement"), digest, F.coalesce(F.col("_font").cast("string"), F.lit("")),
+        F.when(F.col("accept_substitution"), consent).otherwise(empty),
+    )
+    return judged.withColumns(
+        {
+            "plan_outcome": outcome,
+            "font_id": F.col("_font"),
+            "missing_consents": F.when(substitutes & ~F.col("verdict.can_apply"), consent).otherwise(empty),
+            "source_digest": digest,
+            "base_revision": revision,
+            "next_revision": revision + 1,
+            "command_hash": F.when(F.col("outcome") == "RESOLVED", hashed),
+        }
+    ).drop("outcome", "_asked", "_need", "_kind", "_found", "_font", "_cover", "rx", "ry", "rw", "rh", "can_encode", "has_substitute")
+
+
 def apply_edits(docs: DataFrame, plan: DataFrame, selection: Seq[str] = ("doc_id", "selection_id")) -> tuple[DataFrame, DataFrame]:
     """RDX2: apply planned edits where the source still matches.
 
