@@ -66,14 +66,15 @@ WITH words AS (
   SELECT doc_id, source, len(w)::BIGINT AS n_words,
     coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutter
   FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     10 * word_chars < 30 * n_words OR 10 * word_chars > 120 * n_words OR 10 * n_symbols > n_words
-      OR 10 * n_dup_lines > n_words AS narrow,
+      OR 10 * n_dup_lines > n_words OR 10 * n_stutter > n_words AS narrow,
     10 * word_chars < 20 * n_words OR 10 * word_chars > 200 * n_words OR 10 * n_symbols > 3 * n_words
-      OR 10 * n_dup_lines > 3 * n_words AS wide
+      OR 10 * n_dup_lines > 3 * n_words OR 10 * n_stutter > 3 * n_words AS wide
   FROM measured
 ), hosts AS (
   SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR narrow) AS failures FROM judged GROUP BY source
@@ -84,7 +85,7 @@ WITH words AS (
 ), verdicts AS (
   SELECT source, (failures + m * strength) / (docs + strength) > 0.3 AS distrusted FROM hosts, prior
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutter, base_failed,
   NOT base_failed AND NOT wide AND NOT (distrusted AND (base_failed OR narrow)) AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """

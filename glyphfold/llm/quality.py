@@ -36,7 +36,7 @@ WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 MAX_RATE = 0.3
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutter")
 
 
 def _repeated_words(words: Column, size: int) -> Column:
@@ -85,6 +85,12 @@ def _repeated_words(words: Column, size: int) -> Column:
     )
 
 
+def _stutter(words: Column) -> Column:
+    """Words that equal the word before them."""
+    places = F.sequence(F.lit(1), F.size(words) - 1)
+    return F.when(F.size(words) > 1, F.size(F.filter(places, lambda i: words[i] == words[i - 1]))).otherwise(0)
+
+
 def measures(text: Column, window: int = WINDOW) -> Column:
     """A struct of :data:`MEASURES` (longs) of a text; null is empty."""
     text = F.coalesce(text, F.lit(""))
@@ -98,6 +104,7 @@ def measures(text: Column, window: int = WINDOW) -> Column:
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda kept: F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_dup_lines"),
             _repeated_words(words, window).cast("long").alias("n_repeat_words"),
+            _stutter(words).cast("long").alias("n_stutter"),
         )
 
     return let(spaced_words(text), of_words)
@@ -107,20 +114,21 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def _limits(short: int, long: int, symbols: int, lines: int) -> Column:
-    """Any limit passed; whole numbers, so that every engine decides alike (tenths of a word for the last two)."""
+def _limits(short: int, long: int, symbols: int, lines: int, stutter: int) -> Column:
+    """Any limit passed; whole numbers, so that every engine decides alike (tenths of a word for the last three)."""
     n = F.col("n_words")
     return (
         (10 * F.col("word_chars") < short * n)
         | (10 * F.col("word_chars") > long * n)
         | (10 * F.col("n_symbols") > symbols * n)
         | (10 * F.col("n_dup_lines") > lines * n)
+        | (10 * F.col("n_stutter") > stutter * n)
     )
 
 
-#: Mean word length (tenths of a character), symbols and repeated lines (tenths of a word).
-WIDE: dict[str, int] = {"short": 20, "long": 200, "symbols": 3, "lines": 3}
-NARROW: dict[str, int] = {"short": 30, "long": 120, "symbols": 1, "lines": 1}
+#: Mean word length (tenths of a character); symbols, repeated lines and words said twice in a row (tenths of a word).
+WIDE: dict[str, int] = {"short": 20, "long": 200, "symbols": 3, "lines": 3, "stutter": 3}
+NARROW: dict[str, int] = {"short": 30, "long": 120, "symbols": 1, "lines": 1, "stutter": 1}
 
 
 def host_verdicts(judged: DataFrame, host: str, failed: str, max_rate: float = MAX_RATE) -> DataFrame:

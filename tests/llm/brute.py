@@ -19,20 +19,22 @@ def measures(text):
         seen[tuple(words[i : i + 8])].append(i)
     covered = {k for at in seen.values() if len(at) > 1 for i in at for k in range(i, i + 8)}
     lines = [line for line in text.split("\n") if SPACED.search(line)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), sum(
+        a == b for a, b in zip(words[1:], words, strict=False)
+    )
 
 
 def quality_kept(rows):
     """Whether each (doc_id, text, source) row is kept."""
     judged = []
     for _, text, source in rows:
-        n, chars, symbols, dups, repeats = measures(text)
+        n, chars, symbols, dups, repeats, same = measures(text)
         base = n < 20 or 100 * repeats > 30 * n
 
-        def over(short, long, many, lines):
-            return 10 * chars < short * n or 10 * chars > long * n or 10 * symbols > many * n or 10 * dups > lines * n
+        def over(short, long, many, lines, stutter):
+            return 10 * chars < short * n or 10 * chars > long * n or 10 * symbols > many * n or 10 * dups > lines * n or 10 * same > stutter * n
 
-        judged.append((source, base, base or over(30, 120, 1, 1), over(20, 200, 3, 3)))
+        judged.append((source, base, base or over(30, 120, 1, 1, 1), over(20, 200, 3, 3, 3)))
     docs, bad = Counter(j[0] for j in judged), Counter(j[0] for j in judged if j[2])
     rates = [bad[s] / docs[s] for s in docs]
     mean = sum(rates) / len(rates) if rates else 0

@@ -64,7 +64,7 @@ def test_quality(awkward):
     for row, keep in zip(rows, quality_kept([(r[0], r[1], r[3]) for r in rows]), strict=True):
         kept.setdefault((row[0], measures(row[1])), keep)
     for row in got:
-        found = (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words)
+        found = (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.n_stutter)
         assert kept[row.doc_id, found] == row.kept
 
 
