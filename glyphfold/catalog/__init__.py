@@ -22,6 +22,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from glyphfold.catalog import aggs, checks, joins, redaction, scalars, sources, streams, windows  # noqa: F401
+    from glyphfold.catalog import aggs, checks, joins, layouts, redaction, scalars, sources, streams, windows  # noqa: F401
 
     return QUERIES, ORACLE

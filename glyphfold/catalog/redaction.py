@@ -438,6 +438,38 @@ def validate(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "page", F.array_join("checks", ",").alias("checks"), "valid")
 
 
+@query(
+    "rdx9_structure",
+    f"""WITH {LINES}, {EDITS} SELECT doc_id, array_to_string([CASE WHEN doc_id % 17 = 0 AND line_no <> 1 THEN 'source-streams-changed' ELSE 'source-streams-preserved' END, CASE WHEN doc_id % 11 = 3 THEN 'controlled-redraw-mismatch' ELSE 'controlled-redraw-matched' END,
+  CASE WHEN doc_id % 19 = 5 THEN 'font-resources-missing' ELSE 'font-resources-present' END, CASE WHEN doc_id % 11 = 3 OR doc_id % 13 = 4 THEN 'unexpected-content-stream' ELSE 'generated-content-valid' END], ',') AS checks,
+  NOT (doc_id % 17 = 0 AND line_no <> 1 OR doc_id % 11 = 3 OR doc_id % 19 = 5 OR doc_id % 13 = 4) AS valid FROM v_edits""",
+)
+def structure(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as streams: one is mutated and one generated; some forge a line, a mark, a font or a stream."""
+    doc = F.col("doc_id")
+    before = views.lines(spark, d).select("doc_id", F.col("line_no").cast("bigint").alias("stream_id"), F.col("text").alias("content"))
+    own = F.sha2(doc.cast("string"), 256)
+    commands = views.edits(spark, d).select(
+        "doc_id",
+        F.array(F.col("line_no").cast("bigint")).alias("mutated"),
+        own.alias("command_hash"),
+        F.array(F.lit("F1"), F.lit("F2")).alias("fonts"),
+        "replacement",
+    )
+    forged = F.when((doc % 17 == 0) & (F.col("stream_id") == 1), F.concat(F.lit("Forged "), "content")).otherwise(F.col("content"))
+    made = commands.select(
+        "doc_id",
+        F.lit(-1).cast("bigint").alias("stream_id"),
+        F.col("replacement").alias("content"),
+        F.when(doc % 11 == 3, F.sha2(F.lit("other"), 256)).otherwise(own).alias("mark"),
+    )
+    extra = made.filter(doc % 13 == 4).select("doc_id", F.lit(-2).cast("bigint").alias("stream_id"), "content", F.lit(None).cast("string").alias("mark"))
+    after = before.withColumn("content", forged).withColumn("mark", F.lit(None).cast("string")).unionByName(made).unionByName(extra)
+    fonts = commands.select("doc_id", F.explode(F.when(doc % 19 == 5, F.array(F.lit("F1"))).otherwise(F.col("fonts"))).alias("font"))
+    out = R.validate_structure(before, after, commands.drop("replacement"), fonts)
+    return out.select("doc_id", F.array_join("checks", ",").alias("checks"), "valid")
+
+
 def lenient_validator(pdf: pd.DataFrame) -> pd.DataFrame:
     """A user's validator: what is outside the page text does not matter."""
     return pdf.assign(valid=pdf["old_absent"] & pdf["new_present"] & pdf["outside_text_ok"])
