@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphfold.catalog import query
@@ -351,6 +351,27 @@ def calibrate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "rdx6_profile",
+    f"""WITH {LINES}, c AS (SELECT doc_id, line_no, n - 1 AS pos, c, length(text) AS len FROM (SELECT doc_id, line_no, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS n FROM v_lines WHERE text <> ''))
+SELECT doc_id, line_no, count(*) AS glyphs, sum(1.0 + pos % 3)::DOUBLE AS advances FROM c WHERE pos < 3 + line_no % 9 AND pos < len AND line_no % 7 <> 0 GROUP BY doc_id, line_no""",
+)
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    """Lines whose text changes from some place on keep the advances before it; a bad profile keeps none."""
+    line = F.col("line_no")
+    lines = views.lines(spark, d).select("doc_id", "line_no", "text").filter("text <> ''")
+    at = (3 + line % 9).cast("int")
+    changed = F.concat(F.substring("text", F.lit(1), at), F.lit("\u0001"), F.col("text"))
+
+    def glyphs(text: Column) -> DataFrame:
+        return lines.select("doc_id", "line_no", F.posexplode(F.split(text, "")).alias("pos", "glyph")).filter("glyph <> ''")
+
+    advance = (1.0 + F.col("pos") % 3).cast("double")
+    source = glyphs(F.col("text")).withColumn("advance", F.when((line % 7 == 0) & (F.col("pos") == 0), 0.0).otherwise(advance))
+    kept = R.profile_prefix(source, glyphs(changed), ["doc_id", "line_no"], "pos", "glyph", "advance")
+    return kept.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("glyphs"), F.sum("advance").alias("advances"))
+
+
 @query(
     "rdx7_removed",
     f"""WITH {_PLAN_SQL}, {_EVID_SQL}, al AS (SELECT doc_id, CAST((n - 1) // 50 AS INTEGER) AS page, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM fa))
@@ -363,17 +384,19 @@ def removed(spark: SparkSession, d: str) -> DataFrame:
     return R.prove_removed(lines, edits.select("doc_id", "page", "source_text"), ["doc_id", "page"], "text", "source_text").drop("source_text")
 
 
-@query(
-    "rdx8_extraction",
-    f"""WITH {ATOMS}, {EDITS}, ex AS (SELECT doc_id, page, line_no, CAST(-((line_no - 1) % 50) AS DOUBLE) AS y, doc_id % 4 AS c, regexp_extract(source_text, '([^ ]+)', 1) AS old FROM v_edits),
+# What extraction sees; lenient evidence does not ask for equality where the new text contains the old one.
+_EXTRACT_SQL = f"""WITH {ATOMS}, {EDITS}, ex AS (SELECT doc_id, page, line_no, CAST(-((line_no - 1) % 50) AS DOUBLE) AS y, doc_id % 4 AS c, regexp_extract(source_text, '([^ ]+)', 1) AS old FROM v_edits),
 it AS (SELECT a.doc_id, a.page, a.line_no, a.tok_no, a.text, a.x < 12.0 AND a.x + a.w > 0 AND a.y < e.y + 1.0 AND a.y + a.h > e.y AS here FROM v_atoms a JOIN ex e ON a.doc_id = e.doc_id AND a.page = e.page),
 tx AS (SELECT doc_id, page, coalesce(regexp_replace(nfc_normalize(string_agg(text, '' ORDER BY line_no, tok_no) FILTER (here)), '{SPACE}+', '', 'g'), '') AS t, coalesce(regexp_replace(nfc_normalize(string_agg(text, ' ' ORDER BY line_no, tok_no) FILTER (NOT here)), '{SPACE}+', '', 'g'), '') AS o FROM it GROUP BY ALL),
 jn AS (SELECT ex.*, coalesce(t, '') AS t, coalesce(o, '') AS o, regexp_replace(CASE WHEN c = 0 THEN '' ELSE old END, '{SPACE}+', '', 'g') AS od, regexp_replace(CASE WHEN c = 1 THEN '' WHEN c = 2 THEN old || '!' ELSE old END, '{SPACE}+', '', 'g') AS nw FROM ex LEFT JOIN tx USING (doc_id, page)),
 jm AS (SELECT *, CASE WHEN length(od) > 0 THEN CAST((length(o) - length(replace(o, od, ''))) // length(od) AS BIGINT) ELSE 0 END AS cnt FROM jn),
 jo AS (SELECT *, CASE WHEN length(od) = 0 THEN true WHEN contains(nw, od) THEN t = nw ELSE NOT contains(t, od) END AS old_absent, length(nw) = 0 OR contains(t, nw) AS new_present FROM jm)
-SELECT doc_id, page, t AS target_text, old_absent, new_present, cnt AS old_outside, cnt = 0 AS outside_preserved, sha256(o) AS outside_digest, old_absent AND new_present AND cnt = 0 AS valid FROM jo""",
-)
-def extraction(spark: SparkSession, d: str) -> DataFrame:
+SELECT doc_id, page, t AS target_text, old_absent, new_present, cnt AS old_outside, cnt = 0 AS outside_preserved, sha256(o) AS outside_digest, old_absent AND new_present AND cnt = 0 AS valid FROM jo"""
+
+
+@query("rdx8_extraction", _EXTRACT_SQL)
+
+def extraction(spark: SparkSession, d: str, strict: bool = True) -> DataFrame:
     case = F.col("doc_id") % 4
     old = F.regexp_extract("source_text", "([^ ]+)", 1)
     expected = views.edits(spark, d).select(
@@ -389,10 +412,15 @@ def extraction(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0).alias("expected_outside"),
     )
     items = views.atoms(spark, d).withColumn("_ord", F.struct("line_no", "tok_no"))
-    out = R.extraction_evidence(items, expected, ["doc_id", "page"], "_ord")
+    out = R.extraction_evidence(items, expected, ["doc_id", "page"], "_ord", strict)
     return out.drop("exp_id")
 
 
+@query("rdx8_extraction_lenient", _EXTRACT_SQL.replace("WHEN contains(nw, od) THEN t = nw ELSE", "ELSE"))
+def extraction_lenient(spark: SparkSession, d: str) -> DataFrame:
+    return extraction(spark, d, strict=False)
+
+
 def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Before and after atoms of the corpus edit, with seeded counterfeits."""
     docs, edits = docs_by_id(spark, d), views.edits(spark, d).drop("line_no")

@@ -106,6 +106,31 @@ def children(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "ordinal", "sourceText", F.col("pageIndex").isNotNull().alias("sound"))
 
 
+@query(
+    "src3_nested",
+    """SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'unknown-key' WHEN 2 THEN 'missing-key' WHEN 3 THEN 'unknown-key' WHEN 4 THEN 'missing-key' WHEN 5 THEN 'wrong-type' END AS problem FROM events""",
+)
+def nested_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Exact keys inside a list of edits and inside an object of limits."""
+    case, kind = F.col("event_id") % 8, F.col("event_type")
+    good = F.concat(F.lit('{"sourceText": "'), kind, F.lit('", "pageIndex": 1}'))
+    second = (
+        F.when(case == 1, F.concat(F.lit('{"sourceText": "'), kind, F.lit('", "pageIndex": 2, "extra": 0}')))
+        .when(case == 2, F.lit('{"pageIndex": 2}'))
+        .otherwise(good)
+    )
+    limits = (
+        F.when(case == 3, F.lit('{"bytes": 1, "extra": 2}'))
+        .when(case == 4, F.lit("{}"))
+        .when(case == 5, F.lit('{"bytes": "many"}'))
+        .otherwise(F.lit('{"bytes": 1}'))
+    )
+    body = F.concat(F.lit('{"edits": ['), good, F.lit(", "), second, F.lit('], "limits": '), limits, F.lit("}"))
+    rows = read_table(spark, d, "events").select("event_id", body.alias("body"))
+    schema = "edits array<struct<sourceText:string,pageIndex:bigint>>, limits struct<bytes:bigint>"
+    return M.parse_manifest(rows, "body", schema).select("event_id", "problem")
+
+
 @query(
     "src4_flatten",
     """WITH w AS (SELECT conv_id, turn, t, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (SELECT conv_id, turn, text AS t, string_split(text, chr(10)) AS ls FROM conversations)),

@@ -65,6 +65,23 @@ def timeouts(spark: SparkSession, d: str) -> DataFrame:
     return T.detect_timeouts(requests, responses, limit_seconds=3600)
 
 
+@query(
+    "str2_answered_stream",
+    """SELECT user_id % 12 AS worker, event_id AS req_id, epoch_us(ts) + CAST(floor(value * 90) AS BIGINT) * 1000000 AS answered_us FROM events WHERE event_type = 'view' AND event_id % 4 <> 0 AND value < 40""",
+)
+def answered_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Answers inside the limit, by the interval join of two streams; late ones come out without an answer."""
+
+    def side() -> DataFrame:
+        return event_stream(spark, d).filter("event_type = 'view'").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    requests = side().select((F.col("user_id") % 12).alias("worker"), F.col("event_id").alias("req_id"), "ts")
+    late = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 90) * 1_000_000)
+    responses = side().filter("event_id % 4 <> 0 and value < 40").select(F.col("event_id").alias("req_id"), late.alias("resp_ts"))
+    out = run_available(spark, T.timeout_stream(requests, responses, "1 minute", 3600))
+    return out.filter("resp_ts is not null").select("worker", "req_id", F.unix_micros("resp_ts").alias("answered_us"))
+
+
 @query(
     "str3_latest_generation",
     """WITH g AS (SELECT event_id, user_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS generation FROM events),

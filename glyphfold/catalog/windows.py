@@ -385,39 +385,43 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return S.bracket_blocks(tag_ops(spark, d), ["page_id"], "pos", F.col("step"))
 
 
-# Events as a drawing log: op codes by type and number.
-_DRAW_SQL = """dw AS (SELECT user_id, event_id AS pos, value, k, CASE WHEN event_id % 5 = 0 THEN 'q' WHEN event_id % 5 = 4 THEN CASE WHEN k % 8 = 0 THEN 'x' ELSE 'Q' END
-   WHEN event_id % 5 = 1 THEN CASE WHEN k % 9 = 0 THEN 'w' ELSE 'rg' END WHEN event_id % 5 = 2 THEN 're' ELSE CASE WHEN k % 2 = 0 THEN 'f' ELSE 'f*' END END AS op
-   FROM (SELECT *, event_id // 5 % 97 AS grp, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
-
-
+# Events as a drawing log of blocks of twelve: a filled rectangle, then a stroked line; some are spoiled.
 @query(
     "win15_graphics",
-    f"""WITH {_DRAW_SQL}, g AS (SELECT pos // 5 AS b, min(pos) AS block_open, max(pos) FILTER (op = 'Q') AS block_close, count(*) FILTER (op = 'rg') AS c, max(value) FILTER (op = 're') AS v, max(k) FILTER (op = 're') AS k FROM dw GROUP BY ALL)
-SELECT b % 7 AS stream, block_open, round(v, 3)::DOUBLE AS long_side, (1.0 + k % 5)::DOUBLE AS thickness FROM g
-WHERE block_close IS NOT NULL AND c = 1 AND v > 0 AND v <> 1.0 + k % 5 AND v > 1.0 + k % 5""",
+    """WITH e AS (SELECT event_id // 12 AS b, event_id % 12 AS p, event_id, value AS v, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+g AS (SELECT b, min(event_id) FILTER (p = 0) AS fo, bool_or(p = 1 AND k % 9 <> 0) AND bool_or(p = 4 AND k % 8 <> 0) AND count(*) FILTER (p <= 4) = 5 AS f_ok, max(v) FILTER (p = 2) AS w, max(1.0 + k % 5) FILTER (p = 2) AS h,
+  min(event_id) FILTER (p = 5) AS so, count(*) FILTER (p >= 5) = 7 AND bool_or(p = 10 AND k % 8 <> 1) AND bool_or(p = 7 AND k % 10 <> 0) AND bool_or(p = 9 AND k % 13 <> 0) AS s_ok, max(1.0 + k % 5) FILTER (p = 7) AS sw, max(v) FILTER (p = 9) AS lx, max(k) FILTER (p = 9) AS ly FROM e GROUP BY b),
+u AS (SELECT b % 7 AS stream, fo AS block_open, 'fill' AS paint, CASE WHEN w > h THEN 0 ELSE w / 2 END AS gx0, CASE WHEN w > h THEN h / 2 ELSE 0 END AS gy0, CASE WHEN w > h THEN w ELSE w / 2 END AS gx1, CASE WHEN w > h THEN h / 2 ELSE h END AS gy1, least(w, h) AS thickness FROM g WHERE f_ok AND w > 0 AND w <> h
+  UNION ALL SELECT b % 7, so, 'stroke', 0, 0, lx, ly, sw FROM g WHERE s_ok AND (lx <> 0 OR ly <> 0))
+SELECT stream, block_open, paint, round(gx0, 3)::DOUBLE AS gx0, round(gy0, 3)::DOUBLE AS gy0, round(gx1, 3)::DOUBLE AS gx1, round(gy1, 3)::DOUBLE AS gy1, round(thickness, 3)::DOUBLE AS thickness FROM u""",
 )
 def graphics(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    place = F.col("event_id") % 5
+    k, value, place = F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_id") % 12
     op = (
-        F.when(place == 0, "q")
-        .when(place == 4, F.when(k % 8 == 0, "x").otherwise("Q"))
+        F.when(place.isin(0, 5), "q")
         .when(place == 1, F.when(k % 9 == 0, "w").otherwise("rg"))
         .when(place == 2, "re")
-        .otherwise(F.when(k % 2 == 0, "f").otherwise("f*"))
+        .when(place == 3, F.when(k % 2 == 0, "f").otherwise("f*"))
+        .when(place == 4, F.when(k % 8 == 0, "x").otherwise("Q"))
+        .when(place == 6, "RG")
+        .when(place == 7, "w")
+        .when(place == 8, "m")
+        .when(place == 9, "l")
+        .when(place == 10, F.when(k % 8 == 1, "f").otherwise("S"))
+        .otherwise("Q")
     )
-    nums = F.array(F.lit(0.0), F.lit(0.0), F.col("value"), (1.0 + k % 5).cast("double"))
-    ops = read_table(spark, d, "events").select(
-        (F.floor(F.col("event_id") / 5) % 7).alias("stream"), F.col("event_id").alias("pos"), op.alias("op"), nums.alias("nums")
+    zero, wide = F.lit(0.0), (1.0 + k % 5).cast("double")
+    nums = (
+        F.when(place == 2, F.array(zero, zero, value, wide))
+        .when(place == 7, F.array(F.when(k % 10 == 0, 0.0).otherwise(wide)))
+        .when((place == 9) & (k % 13 != 0), F.array(value, k.cast("double")))
+        .otherwise(F.array(zero, zero))
     )
-    found = S.classify_blocks(ops, ["stream"], "pos", HOT_ROWS).filter("paint = 'fill' and gx1 > gx0")
-    return found.select(
-        "stream",
-        F.col("block_open"),
-        F.round(F.col("gx1") - F.col("gx0"), 3).alias("long_side"),
-        "thickness",
+    ops = read_table(spark, d, "events").select(
+        (F.floor(F.col("event_id") / 12) % 7).alias("stream"), F.col("event_id").alias("pos"), op.alias("op"), nums.alias("nums")
     )
+    found = S.classify_blocks(ops, ["stream"], "pos", HOT_ROWS).filter("paint is not null")
+    return found.select("stream", "block_open", "paint", *[F.round(c, 3).alias(c) for c in ("gx0", "gy0", "gx1", "gy1", "thickness")])
 
 
 @query(

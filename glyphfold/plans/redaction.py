@@ -12,7 +12,7 @@ from glyphfold.functions.geometry import finite
 from glyphfold.functions.keys import command_hash
 from glyphfold.functions.text import code_points, count_occurrences, nfc, nfc_needed, searchable, widened_end, widened_start
 from glyphfold.operators.joins import bind_edits, resolve_requirements
-from glyphfold.operators.sequences import apply_patches, char_ranges, style_runs
+from glyphfold.operators.sequences import apply_patches, char_ranges, common_prefix, style_runs
 from glyphfold.operators.spatial import boxes_meet, join_intersects
 from glyphfold.plans.classify import classify_replacement
 from glyphfold.session import cut_lineage
@@ -383,6 +383,18 @@ def spacing_scale(extent: Column, baseline_scale: Column, advance: Column) -> Co
     return F.when(finite(scale) & (scale > 0), scale).otherwise(1.0)
 
 
+def profile_prefix(source: DataFrame, new: DataFrame, keys: Seq[str], pos: str, glyph: str, advance: str) -> DataFrame:
+    """RDX6: the source's advances on the glyphs that a new run begins with as the source did.
+
+    source: keys, pos (from 0), glyph, advance; new: keys, pos, glyph.  A profile
+    with an advance that is not positive and finite is of no use and gives none.
+    """
+    good = finite(F.col(advance)) & (F.col(advance) > 0)
+    usable = source.groupBy(*keys).agg(F.every(F.coalesce(good, F.lit(False))).alias("_usable")).filter("_usable").drop("_usable")
+    same = common_prefix(source, new, keys, pos, glyph).select(*keys, "prefix").join(usable, list(keys))
+    return source.join(same, list(keys)).filter(F.col(pos) < F.col("prefix")).drop("prefix")
+
+
 def prove_removed(after: DataFrame, edits: DataFrame, on: Seq[str], text: str, source: str) -> DataFrame:
     """RDX7: per edit: how many texts of its stream still hold the removed source."""
     hits = edits.join(after.select(*on, F.col(text).alias("_t")), list(on), "left")
