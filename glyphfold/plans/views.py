@@ -8,7 +8,7 @@ later window or aggregate on (doc_id, ...) then needs no further exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphfold.sources.corpus import read_table
@@ -140,20 +140,20 @@ def commands_of(events: DataFrame) -> DataFrame:
 
 
 def edits(spark: SparkSession, path: str) -> DataFrame:
-    """One edit per document: its first line with ``@``, else its longest line.
-
-    A minimum over a struct keeps this one partial aggregation, not a sort.
-    """
-    found = lines(spark, path)
-    has_at = F.col("text").contains("@")
-    rank = F.struct(
-        F.when(has_at, 0).otherwise(1).alias("tier"),
-        F.when(has_at, F.col("line_no")).otherwise(-F.length("text")).alias("weight"),
-        F.col("line_no").alias("line_no"),
-        F.col("page").alias("page"),
-        F.col("text").alias("source_text"),
-    )
-    pick = found.groupBy("doc_id").agg(F.min(rank).alias("m"))
+    """One edit per document: its first line with ``@``, else its longest line; picked inside the row."""
+    docs = read_table(spark, path, "documents").select("doc_id", "text")
+
+    def rank(text: Column, i: Column) -> Column:
+        has_at = text.contains("@")
+        return F.struct(
+            F.when(has_at, 0).otherwise(1).alias("tier"),
+            F.when(has_at, i + 1).otherwise(-F.length(text)).alias("weight"),
+            (i + 1).alias("line_no"),
+            F.floor(i / LINES_PER_PAGE).cast("int").alias("page"),
+            text.alias("source_text"),
+        )
+
+    pick = docs.select("doc_id", F.array_min(F.transform(F.split("text", "\n"), rank)).alias("m")).filter("m is not null")
     padded = F.rpad(F.lit("[REDACTED]"), 14, ".")
     return pick.select(
         "doc_id",
