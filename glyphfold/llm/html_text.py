@@ -45,11 +45,14 @@ SHIPPED_WEIGHT = 40.0
 HIDDEN = frozenset(
     "script style head title template noscript svg math canvas object iframe form select button textarea option datalist noembed noframes map audio video".split()
 )
+#: Elements whose tag says what they are for.
+SECTIONS = frozenset("article main section nav aside footer header form menu body".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _bucket(n: int) -> int:
-    return min(9, n.bit_length())
+    """None, a few words, a line, more."""
+    return sum(n >= limit for limit in (1, 12, 200))
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
@@ -60,22 +63,25 @@ def features(nodes: list[Node]) -> list[list[str]]:
         chars[nodes[i].parent] += chars[i]
         links[nodes[i].parent] += links[i]
     inherited: list[frozenset[str]] = []
+    nearest: list[frozenset[str]] = []
     found = []
     for i, node in enumerate(nodes):
         named = " ".join(v for k, v in node.attributes.items() if k in ("class", "id", "role", "itemprop", "aria-label"))
         words = {w.lower() for w in _WORD.findall(named)}
         above = inherited[node.parent] if i else frozenset()
         inherited.append(above | {node.tag} | words)
+        # The closest element, itself included, that says by name what it is.
+        own_names = words | ({node.tag} & SECTIONS)
+        nearest.append(frozenset(own_names) if own_names or not i else nearest[node.parent])
         density = 10 * links[i] // max(1, chars[i])
         own = [
             "bias",
             f"tag={node.tag}",
             f"own={_bucket(node.chars)}",
-            f"all={_bucket(chars[i])}",
             f"links={min(10, density)}",
             f"parent={nodes[node.parent].tag if i else ''}",
         ]
-        found.append(own + [f"word={w}" for w in sorted(words)] + [f"in={w}" for w in sorted(above)])
+        found.append(own + [f"near={w}" for w in sorted(nearest[i])] + [f"in={w}" for w in sorted(above)])
     return found
 
 

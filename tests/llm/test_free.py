@@ -238,7 +238,7 @@ def exact_marginals(nodes, unary, pairs):
 
 def test_messages_give_exact_marginals():
     nodes, _ = parse("<div class=a><p>one</p><div><p>two</p><ul><li>three<li>four</ul></div></div><p>five")
-    weights = {"tag=p": 0.7, "tag=div": -0.3, "tag=li": 0.2, "word=a": -0.5, "bias": 0.1, "tag=ul": 0.4}
+    weights = {"tag=p": 0.7, "tag=div": -0.3, "tag=li": 0.2, "near=a": -0.5, "bias": 0.1, "tag=ul": 0.4}
     model = html_text.Model(weights, [[1.6, 0.2], [0.3, 2.2]])
     unary = []
     for named in html_text.features(nodes):
