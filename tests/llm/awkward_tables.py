@@ -1,14 +1,10 @@
 """Small tables with awkward rows for the operators of the training-data subpackage."""
 
 import random
-import sys
-from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 DOCUMENTS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

@@ -8,8 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from awkward_tables import awkward, empty, prose, vocabulary  # noqa: F401
 from brute import PLAIN, SMALL as LOWER, near_components, shingles
-from conftest import prose, vocabulary
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

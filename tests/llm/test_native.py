@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from awkward_tables import awkward, empty  # noqa: F401
 from brute import contained, deduped_lines, measures, quality_kept, sha256
 from pyspark.sql import functions as F
 

@@ -4,8 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from awkward_tables import DOCUMENTS, awkward, empty  # noqa: F401
 from brute import contained, deduped_lines, near_components, quality_kept
-from conftest import DOCUMENTS
 
 import corpus_pipeline
 from glyphfold.llm import packing
