@@ -16,6 +16,7 @@ from glyphfold.plans import classify as K
 from glyphfold.plans import flagship as FL
 from glyphfold.plans import redaction as R
 from glyphfold.plans import views
+from glyphfold.session import cut_lineage
 from glyphfold.sources.corpus import read_table
 from glyphfold.streaming.commands import replay_commands
 
@@ -442,6 +443,8 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
         F.col("replacement").alias("new_text"),
         F.lit(0).alias("expected_outside"),
     )
+    # One narrow row per document, read several times.
+    expected = cut_lineage(expected)
     sizes = expected.select(
         "doc_id", "page", F.lit(200.0).alias("page_width"), F.lit(50.0).alias("page_height")
     )

@@ -13,7 +13,7 @@ from glyphfold.functions.keys import command_hash
 from glyphfold.functions.text import code_points, count_occurrences, nfc, nfc_needed, searchable, widened_end, widened_start
 from glyphfold.operators.joins import bind_edits, resolve_requirements
 from glyphfold.operators.sequences import apply_patches, char_ranges, common_prefix, style_runs
-from glyphfold.operators.spatial import boxes_meet, join_intersects
+from glyphfold.operators.spatial import boxes_meet
 from glyphfold.plans.classify import classify_replacement
 from glyphfold.session import cut_lineage
 from glyphfold.sources.sinks import fingerprint_dataset
@@ -403,31 +403,44 @@ def prove_removed(after: DataFrame, edits: DataFrame, on: Seq[str], text: str, s
 
 
 def extraction_evidence(
-    items: DataFrame, expectations: DataFrame, on: Seq[str], order: str, strict: bool = True
+    items: DataFrame, expectations: DataFrame, on: Seq[str], order: str, strict: bool = True, region: str | None = None
 ) -> DataFrame:
     """RDX8: text at the target against the rest of the page, spaces ignored.
 
     items: on, order, text, x, y, w, h; expectations: on, exp_id, x, y, w, h,
     old_text, new_text, expected_outside.  ``strict`` asks for equality at the
-    target when the new text contains the old one.  All of it comes from one
-    join and one aggregation per page.
+    target when the new text contains the old one.  ``region`` names a struct
+    column x0, y0, x1, y1 of the expectations: then ``cells`` digests the places
+    and texts of all items outside it, as sums of hashes.  All of it comes from
+    one join and one aggregation per page.
     """
     box = F.struct("x", "y", "w", "h").alias("_box")
-    exp = expectations.select(*on, "exp_id", box, "old_text", "new_text", "expected_outside")
+    area = [F.col(region).alias("_area")] if region else []
+    exp = expectations.select(*on, "exp_id", box, *area, "old_text", "new_text", "expected_outside")
     joined = exp.join(items, list(on), "left")
     here = F.coalesce(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box")), F.lit(False))
     pieces = joined.withColumns({"_in": F.when(here, F.col("text")), "_out": F.when(~here, F.col("text"))})
+    cells = []
+    if region:
+        x, y, r = F.col("x"), F.col("y"), F.col("_area")
+        inside = (x >= r["x0"]) & (x < r["x1"]) & (y >= r["y0"]) & (y < r["y1"])
+        cell = F.when(~inside & F.col("text").isNotNull(), F.struct("y", "x", "text"))
+        sums = [F.sum(F.when(cell.isNotNull(), F.xxhash64(F.lit(k), cell)).cast("decimal(38,0)")).cast("string") for k in (0, 1)]
+        cells = [F.concat_ws(":", F.count(cell).cast("string"), *sums).alias("cells")]
     grouped = pieces.groupBy(*on, "exp_id").agg(
+        *cells,
         F.first("old_text").alias("old_text"),
         F.first("new_text").alias("new_text"),
         F.first("expected_outside").alias("expected_outside"),
         F.coalesce(F.expr(f"listagg(_in, '') WITHIN GROUP (ORDER BY {order})"), F.lit("")).alias("_t"),
         F.coalesce(F.expr(f"listagg(_out, ' ') WITHIN GROUP (ORDER BY {order})"), F.lit("")).alias("_o"),
     )
+    kept = ["cells"] if region else []
     clean = grouped.select(
         *on,
         "exp_id",
         "expected_outside",
+        *kept,
         searchable(F.col("_t")).alias("target_text"),
         searchable(F.col("_o")).alias("outside_text"),
         searchable(F.col("old_text")).alias("_old"),
@@ -448,44 +461,10 @@ def extraction_evidence(
         outside.alias("old_outside"),
         (outside == F.col("expected_outside")).alias("outside_preserved"),
         F.sha2("outside_text", 256).alias("outside_digest"),
+        *kept,
     ).withColumn("valid", F.col("old_absent") & F.col("new_present") & F.col("outside_preserved"))
 
 
-def outside_cells(items: DataFrame, regions: DataFrame, on: Seq[str], region: str) -> DataFrame:
-    """RDX9: on, exp_id, cells: a digest of the places and texts of all items outside a region x0, y0, x1, y1.
-
-    A page is summed once; the items inside a region are found by the box join
-    and taken off the sum.  So nothing is gathered, and a page with many
-    regions costs its items and what lies inside the regions.
-    """
-    cell = F.struct("y", "x", "text")
-    hashed = items.filter(F.col("text").isNotNull()).withColumns(
-        {"_h0": F.xxhash64(cell).cast("decimal(38,0)"), "_h1": F.xxhash64(F.lit(1), cell).cast("decimal(38,0)")}
-    )
-    sums = [F.count(F.lit(1)).alias("_n"), F.sum("_h0").alias("_s0"), F.sum("_h1").alias("_s1")]
-    page = hashed.groupBy(*on).agg(*sums)
-    r = F.col(region)
-    boxes = regions.select(
-        *on, "exp_id", r["x0"].alias("x"), r["y0"].alias("y"), (r["x1"] - r["x0"]).alias("w"), (r["y1"] - r["y0"]).alias("h")
-    )
-    # An item is inside if its corner is; edges on the left and below count.
-    dots = hashed.select(*on, "x", "y", F.lit(0.0).alias("w"), F.lit(0.0).alias("h"), "_h0", "_h1")
-    met = join_intersects(dots, boxes, on, ["_h0", "_h1"], ["exp_id"], inclusive=True)
-    met = met.filter((F.col("l_x") < F.col("r_x") + F.col("r_w")) & (F.col("l_y") < F.col("r_y") + F.col("r_h")))
-    inside = met.groupBy(*on, F.col("r_exp_id").alias("exp_id")).agg(
-        F.count(F.lit(1)).alias("_in"), F.sum("l__h0").alias("_i0"), F.sum("l__h1").alias("_i1")
-    )
-    zero = F.lit(0).cast("decimal(38,0)")
-
-    def rest(whole: str, part: str) -> Column:
-        return F.coalesce(F.col(whole).cast("decimal(38,0)"), zero) - F.coalesce(F.col(part).cast("decimal(38,0)"), zero)
-
-    joined = regions.select(*on, "exp_id").join(page, list(on), "left").join(inside, [*on, "exp_id"], "left")
-    return joined.select(
-        *on, "exp_id", F.concat_ws(":", *[rest(w, p).cast("string") for w, p in (("_n", "_in"), ("_s0", "_i0"), ("_s1", "_i1"))]).alias("cells")
-    )
-
-
 def validate_structure(before: DataFrame, after: DataFrame, commands: DataFrame, fonts: DataFrame) -> DataFrame:
     """RDX9: structure of candidates, one row per command, with check codes.
 
@@ -546,16 +525,14 @@ def validate_candidates(
     """
     on = ["doc_id", "page"]
     # The region grows with the height of the text it covered.
-    covered = (
-        join_intersects(expectations, before, on, ["exp_id"], [])
-        .groupBy(*on, F.col("l_exp_id").alias("exp_id"))
-        .agg(
-            F.min("r_x").alias("_x0"),
-            F.min("r_y").alias("_y0"),
-            F.max(F.col("r_x") + F.col("r_w")).alias("_x1"),
-            F.max(F.col("r_y") + F.col("r_h")).alias("_y1"),
-            F.max("r_h").alias("_h"),
-        )
+    # The page's items meet its expectations in the evidence below anyhow; a join by boxes would only add to that.
+    target = before.join(expectations.select(*on, "exp_id", F.struct("x", "y", "w", "h").alias("_box")), on)
+    covered = target.filter(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box"))).groupBy(*on, "exp_id").agg(
+        F.min("x").alias("_x0"),
+        F.min("y").alias("_y0"),
+        F.max(F.col("x") + F.col("w")).alias("_x1"),
+        F.max(F.col("y") + F.col("h")).alias("_y1"),
+        F.max("h").alias("_h"),
     )
     fringe = F.greatest(F.lit(1.0), 0.25 * F.coalesce("_h", F.lit(0.0)))
     right, top = F.col("x") + F.col("w"), F.col("y") + F.col("h")
@@ -567,11 +544,11 @@ def validate_candidates(
     )
     widened = expectations.join(covered, [*on, "exp_id"], "left").withColumn("_wide", wide)
     widened = cut_lineage(widened)
-    new = extraction_evidence(after, widened, on, order)
+    new = extraction_evidence(after, widened, on, order, region="_wide")
     plain = widened.withColumns({"old_text": F.lit(""), "new_text": F.lit(""), "expected_outside": F.lit(0)})
-    old = extraction_evidence(before, plain, on, order).select(*on, "exp_id", F.col("outside_digest").alias("_src"))
-    old = old.join(outside_cells(before, widened, on, "_wide").withColumnRenamed("cells", "_cells"), [*on, "exp_id"])
-    new = new.join(outside_cells(after, widened, on, "_wide"), [*on, "exp_id"])
+    old = extraction_evidence(before, plain, on, order, region="_wide").select(
+        *on, "exp_id", F.col("outside_digest").alias("_src"), F.col("cells").alias("_cells")
+    )
     geometry = page_before.select(*on, F.struct("page_width", "page_height").alias("_g0")).join(
         page_after.select(*on, F.struct("page_width", "page_height").alias("_g1")), on, "full_outer"
     )
