@@ -153,16 +153,14 @@ def flatten(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.transform(words, lambda w, i: word(w, i, n)).alias("words"))
 
     lines = F.transform(F.split("text", "\n"), line)
-    nested = F.to_json(
-        F.struct(
-            F.lit(100.0).alias("width"),
-            F.lit(800.0).alias("height"),
-            F.array(F.struct(F.array(F.struct(lines.alias("lines"))).alias("blocks"))).alias("flows"),
-        )
-    )
+    size = [F.lit(100.0).alias("width"), F.lit(800.0).alias("height")]
+    listed = F.struct(*size, F.array(F.struct(F.array(F.struct(lines.alias("lines"))).alias("blocks"))).alias("flows"))
+    # Every second page has its only flow and block without a list around them.
+    alone = F.struct(*size, F.struct(F.struct(lines.alias("lines")).alias("blocks")).alias("flows"))
+    nested = F.when(F.col("conv_id") % 2 == 0, F.to_json(alone)).otherwise(F.to_json(listed))
     pages = read_table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), nested.alias("body"))
     items = L.flatten_layout(
-        pages, ["conv_id", "turn"], F.from_json("body", L.PAGE), F.lit(200.0), F.lit(400.0)
+        pages, ["conv_id", "turn"], L.read_page(F.col("body")), F.lit(200.0), F.lit(400.0)
     )
     return items.select(
         "conv_id", "turn", "line_no", "text", "x", F.round("y", 4).alias("y"), F.round("w", 4).alias("w"), F.round("h", 4).alias("h")

@@ -33,7 +33,9 @@ def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
+    # A file a batch: what one micro-batch holds is bounded by the files, not by the table.
+    source = spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet")
+    return source.option("maxFilesPerTrigger", 1).parquet(d)
 
 
 @query("str1_command_stream", ORACLE["rdx12_replay"])

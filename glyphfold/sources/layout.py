@@ -20,6 +20,30 @@ def one_or_many(json_text: Column, path: str, element: str) -> Column:
     )
 
 
+def _members(json_text: Column, name: str) -> Column:
+    """The JSON texts of a member that may be missing, one object or a list."""
+    raw = F.get_json_object(json_text, f"$.{name}")
+    return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array_compact(F.array(raw)))
+
+
+def read_page(json_text: Column) -> Column:
+    """A page (form of :data:`PAGE`) from JSON in which every child may stand alone or in a list."""
+
+    def line(text: Column) -> Column:
+        return F.struct(F.transform(_members(text, "words"), lambda w: F.from_json(w, WORD)).alias("words"))
+
+    def block(text: Column) -> Column:
+        return F.struct(F.transform(_members(text, "lines"), line).alias("lines"))
+
+    def flow(text: Column) -> Column:
+        return F.struct(F.transform(_members(text, "blocks"), block).alias("blocks"))
+
+    size = F.from_json(json_text, "width double, height double")
+    return F.struct(
+        size["width"].alias("width"), size["height"].alias("height"), F.transform(_members(json_text, "flows"), flow).alias("flows")
+    )
+
+
 def flatten_layout(df: DataFrame, keys: list[str], page: Column, target_width: Column, target_height: Column) -> DataFrame:
     """SRC4: one item per line: text, and box in a y-up space of the target size.
 
