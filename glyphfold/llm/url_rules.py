@@ -1,17 +1,20 @@
 """URL filter: fixed rules first, mined association rules for the rest.
 
-Urls are cut into host and path, and into tokens (labels of the host, the
-first directories, the file's ending, query names; digits become one token).
+Urls are cut into host and path, and into tokens (labels of the host, all
+directories, the file's ending, all query names; digits become one token).
 Urls that a fixed rule decides are the labelled examples.  FP-growth mines
 token combinations together with the label; rules are pruned by support and
 confidence, and a rule is dropped where a shorter one is as confident.  The
 rest of the urls are matched through an inverted index: each rule is filed
 under its rarest token, so a url meets only rules whose rarest token it has.
 
-Mining reads each distinct token set of the labelled urls once per url, as a
-Spark ML job.  The number of mined rules is bounded by support: no item set
-rarer than ``min_support`` exists, and antecedents have at most ``max_items``
-tokens.  The index is joined on the token without a hint.
+Mining reads each labelled url once, as a Spark ML job.  Support alone bounds
+the item sets, of any size.  Two kinds of sets are always redundant and not
+made: those that hold a token of one label only (the rule of this token is sure
+already), and those that hold two tokens of the same urls (either one will do).
+So deep paths that many urls share do not double the sets with each directory.
+Tokens of enough support go through the driver, as in FP-growth itself.  The
+index is joined on the token without a hint.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path,
 no tokens and the default verdict; repeated rows are judged alike; without
@@ -20,6 +23,7 @@ labelled urls nothing is mined and the default verdict holds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -39,7 +43,6 @@ BASE_RULES: list[tuple[str, str, str]] = [
 ]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-MAX_ITEMS = 3
 DEFAULT = "allow"
 LABEL = "label="
 
@@ -67,10 +70,10 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     """Sorted distinct tokens of a url; empty without a host."""
     labels = F.filter(F.split(host, "\\."), lambda x: x != "")
     digits = F.lit("[0-9]+")
-    folders = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, 3)
+    folders = F.filter(F.split(path, "/"), lambda x: x != "")
     ending = F.regexp_extract(path, "\\.([A-Za-z0-9]{1,5})$", 1)
     query = F.regexp_extract(url, "\\?([^#]*)", 1)
-    names = F.slice(F.filter(F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0]), lambda x: x != ""), 1, 4)
+    names = F.filter(F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0]), lambda x: x != "")
     found = F.concat(
         F.transform(labels, lambda x: F.concat(F.lit("host:"), x)),
         F.transform(folders, lambda x: F.concat(F.lit("dir:"), F.regexp_replace(x, digits, F.lit("0")))),
@@ -80,26 +83,67 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(found)))
 
 
+def token_counts(labelled: DataFrame, tokens_col: str, label_col: str) -> DataFrame:
+    """(token, seen, verdict, h1, h2): ``verdict`` where all its urls have the same; the hashes are those of its set of urls."""
+    # One row for each set and label: in an exclusive or, equal rows would cancel.
+    content = F.struct(F.col(tokens_col), F.col(label_col))
+    distinct = labelled.groupBy(tokens_col, label_col).agg(F.count(F.lit(1)).alias("n"))
+    hashed = distinct.select(
+        F.explode(tokens_col).alias("token"), "n", F.col(label_col).alias("label"),
+        F.xxhash64(content).alias("h1"), F.xxhash64(F.lit(1), content).alias("h2"),
+    )
+    found = hashed.groupBy("token").agg(
+        F.sum("n").alias("seen"),
+        F.when(F.min("label") == F.max("label"), F.min("label")).alias("verdict"),
+        F.bit_xor("h1").alias("h1"),
+        F.bit_xor("h2").alias("h2"),
+    )
+    return cut_lineage(found)
+
+
 def mine_rules(
     labelled: DataFrame,
     tokens_col: str,
     label_col: str,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
-    max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """(items, verdict, confidence, support, key_token): pruned association rules from tokens to a label."""
+    least = math.ceil(min_support * labelled.count())
+    single = token_counts(labelled, tokens_col, label_col).filter(F.col("seen") >= least)
+    sure = single.filter(F.col("verdict").isNotNull()).select(
+        F.array("token").alias("items"), "verdict", F.lit(1.0).alias("confidence"), F.col("seen").alias("support")
+    )
+    groups = single.filter(F.col("verdict").isNull()).groupBy("h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("same"))
+    groups = cut_lineage(groups.select(F.col("same")[0].alias("rep"), "same"))
+    mixed = [row.rep for row in groups.select("rep").collect()]
+    sets = _label_sets(labelled, tokens_col, label_col, mixed, min_support)
+    kept = sure.filter(F.lit(1.0 >= min_confidence)).unionByName(_members(_irredundant(sets, min_confidence), groups))
+    rarest = (
+        kept.withColumn("token", F.explode("items"))
+        .join(single.select("token", "seen"), "token")
+        .groupBy("items", "verdict", "confidence", "support")
+        .agg(F.min_by("token", F.struct("seen", "token")).alias("key_token"))
+    )
+    return cut_lineage(rarest)
+
+
+def _label_sets(labelled: DataFrame, tokens_col: str, label_col: str, among: list[str], min_support: float) -> DataFrame:
+    """(items, verdict, confidence, support): each set of ``among`` that is frequent together with a label."""
+    wanted = F.array(*map(F.lit, among)).cast("array<string>")
     baskets = labelled.select(
-        F.concat(F.col(tokens_col), F.array(F.concat(F.lit(LABEL), F.col(label_col)))).alias("items")
+        F.concat(
+            F.array_intersect(F.col(tokens_col), wanted), F.array(F.concat(F.lit(LABEL), F.col(label_col)))
+        ).alias("items")
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
     is_label = lambda x: F.startswith(x, F.lit(LABEL))
     counts = model.freqItemsets.select(
         F.filter("items", lambda x: ~is_label(x)).alias("tokens"), F.filter("items", is_label).alias("labels"), "freq"
-    ).filter((F.size("tokens") <= max_items) & (F.size("tokens") > 0) & (F.size("labels") <= 1))
+    ).filter((F.size("tokens") > 0) & (F.size("labels") <= 1))
     counts = cut_lineage(counts.withColumn("tokens", F.array_sort("tokens")))
     plain = counts.filter(F.size("labels") == 0).select("tokens", F.col("freq").alias("seen"))
-    rules = (
+    sets = (
         counts.filter(F.size("labels") == 1)
         .join(plain, "tokens")
         .select(
@@ -108,29 +152,46 @@ def mine_rules(
             (F.col("freq") / F.col("seen")).alias("confidence"),
             F.col("freq").alias("support"),
         )
-        .filter(F.col("confidence") >= min_confidence)
-    )
-    # A rule is redundant where a shorter rule with some of its items is as confident.
-    parts = rules.withColumn("part", F.explode(_proper_parts(F.col("items"))))
-    shorter = rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("other"))
-    redundant = parts.join(shorter, ["part", "verdict"]).filter(F.col("other") >= F.col("confidence")).select("items", "verdict")
-    kept = rules.join(redundant, ["items", "verdict"], "left_anti")
-    single = plain.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "seen")
-    rarest = (
-        kept.withColumn("token", F.explode("items"))
-        .join(single, "token")
-        .groupBy("items", "verdict", "confidence", "support")
-        .agg(F.min_by("token", F.struct("seen", "token")).alias("key_token"))
     )
-    return cut_lineage(rarest)
+    return cut_lineage(sets)
+
 
+def _irredundant(sets: DataFrame, min_confidence: float) -> DataFrame:
+    """The sets that are confident, and more so than any shorter set of some of their items.
 
-def _proper_parts(items: Column) -> Column:
-    """Non-empty proper subsets of at most three sorted items."""
-    single = F.transform(items, lambda x: F.array(x))
-    pairs = F.array(F.array(items[0], items[1]), F.array(items[0], items[2]), F.array(items[1], items[2]))
-    none = F.array().cast("array<array<string>>")
-    return F.when(F.size(items) == 3, F.concat(single, pairs)).when(F.size(items) == 2, single).otherwise(none)
+    By size: a set learns the best of its subsets from those with one item less.
+    """
+    names = sets.columns
+    largest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    known = sets.filter(F.size("items") == 1).withColumn("_best", F.col("confidence"))
+    kept = known.select(names)
+    for size in range(2, largest + 1):
+        parts = sets.filter(F.size("items") == size).withColumn(
+            "_part", F.explode(F.transform("items", lambda x: F.array_remove("items", x)))
+        )
+        shorter = known.select(F.col("items").alias("_part"), "verdict", "_best")
+        found = parts.join(shorter, ["_part", "verdict"]).groupBy(names).agg(F.max("_best").alias("_below"))
+        found = cut_lineage(found)
+        kept = kept.unionByName(found.filter(F.col("confidence") > F.col("_below")).select(names))
+        known = found.withColumn("_best", F.greatest("confidence", "_below"))
+    return kept.filter(F.col("confidence") >= min_confidence)
+
+
+def _members(rules: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each rule once for each choice of tokens that stand in the same urls as its items."""
+    names = rules.columns
+    rest = ["verdict", "confidence", "support"]
+    listed = (
+        rules.withColumn("rep", F.explode("items"))
+        .join(groups, "rep")
+        .groupBy(names)
+        .agg(F.collect_list("same").alias("_same"))
+    )
+    one = F.array(F.array().cast("array<string>"))
+    chosen = F.aggregate(
+        "_same", one, lambda done, same: F.flatten(F.transform(done, lambda d: F.transform(same, lambda t: F.array_append(d, t))))
+    )
+    return listed.select(F.explode(chosen).alias("_items"), *rest).select(F.array_sort("_items").alias("items"), *rest)
 
 
 def match_rules(urls: DataFrame, id_col: str, tokens_col: str, rules: DataFrame) -> DataFrame:

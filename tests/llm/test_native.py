@@ -1,6 +1,7 @@
 """Operators on DataFrame functions: line de-duplication, decontamination, quality, URL rules."""
 
 import itertools
+import random
 import re
 
 import duckdb
@@ -152,6 +153,56 @@ def test_mined_rules_are_the_frequent_confident_and_shortest(spark):
     assert got
 
 
+def test_telling_tokens_behind_the_first_ones_of_a_url(spark):
+    deep, many = "https://s.example.org/1/a/b/c/casino/x", "https://s.example.org/1/a?a=1&b=2&c=3&d=4&casino=5"
+    assert "dir:casino" in spark.createDataFrame([(deep,)], "u string").select(url_rules.tokens(F.col("u"), F.lit("h"), url_rules.path_of(F.col("u")))).first()[0]
+    labelled = [f"http://a{i % 2}.net/{lang}/a/b/c/{w}/x?a&b&c&d&{w}" for i in range(20) for lang, w in (("es", "casino"), ("fr", "casino"))]
+    labelled += [f"http://www.example.com/en/a/b/c/x?a&b&c&d&n={i}" for i in range(20)]
+    frame = spark.createDataFrame(list(enumerate([*labelled, deep, many])), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.digest(frame).collect()}
+    assert got[len(labelled)] == got[len(labelled) + 1] == (None, "block")
+
+
+def brute_mined(baskets, support, confidence):
+    """{(items, label): (confidence, count)} of all sets of any size."""
+    names, want = sorted({t for items, _ in baskets for t in items}), {}
+    shares = {}
+    for size in range(1, len(names) + 1):
+        for items in itertools.combinations(names, size):
+            seen = [label for t, label in baskets if set(items) <= set(t)]
+            for label in {label for _, label in baskets}:
+                n = seen.count(label)
+                if n >= support * len(baskets) and n:
+                    shares[items, label] = n / len(seen)
+                    shorter = [shares[p, label] for k in range(1, size) for p in itertools.combinations(items, k)]
+                    if n / len(seen) >= confidence and n / len(seen) > max(shorter, default=-1):
+                        want[items, label] = (round(n / len(seen), 6), n)
+    return want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mined_rules_of_any_size(spark, seed):
+    rng = random.Random(seed)
+    baskets = []
+    for _ in range(150):
+        items = [t for t in "abcdef" if rng.random() < 0.75]
+        # Two tokens that always come together, one of a single label.
+        items += ["g", "h"] * (rng.random() < 0.8) + ["s"] * (rng.random() < 0.1)
+        baskets.append((items, "block" if "s" in items or set("abcd") <= set(items) and rng.random() < 0.97 else "allow"))
+    frame = spark.createDataFrame(baskets, "t array<string>, l string")
+    rows = url_rules.mine_rules(frame, "t", "l", 0.02, 0.7).collect()
+    got = {(tuple(r["items"]), r.verdict): (round(r.confidence, 6), r.support) for r in rows}
+    assert got == brute_mined(baskets, 0.02, 0.7) and len(got) == len(rows)
+    assert (("a", "b", "c", "d"), "block") in got
+
+
+def test_rules_of_deep_paths_do_not_double_with_each_directory(spark):
+    path = [f"d{i}" for i in range(40)]
+    frame = spark.createDataFrame([(path, "block")] * 19 + [(path, "allow")] + [(["x"], "allow")] * 20, "t array<string>, l string")
+    got = {(tuple(r["items"]), r.verdict, r.support) for r in url_rules.mine_rules(frame, "t", "l", 0.01, 0.9).collect()}
+    assert got == {((d,), "block", 19) for d in path} | {(("x",), "allow", 20)}
+
+
 def test_urls_without_labels_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")
     assert [r.verdict for r in url_rules.digest(frame).collect()] == ["allow"]
