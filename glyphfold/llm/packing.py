@@ -14,10 +14,11 @@
 Every group is bounded by ``group_size`` whatever the ids are: pieces are dealt
 by their place in the written piece table, not by a key.
 
-Ids are those of the tokenizers library for ``byte_bpe_50k.json`` without
-special tokens, whose strings in a text are ordinary text.  They are computed
-by tiktoken from the same vocabulary, which takes a quarter of the time; a test
-holds them against the tokenizers library.
+Ids are those of the tokenizers library for ``byte_bpe_50k.json`` with
+``add_special_tokens=False``: none is put around a text, but the string of an
+added token in a text is that token.  They are computed by tiktoken from the
+same vocabulary, which takes a quarter of the time; a test holds them against
+the tokenizers library in its default setting.
 
 Defined cases: null or empty text is the single end token; repeated rows are
 packed each; rows without an id are packed like others; an empty table gives an
@@ -44,6 +45,8 @@ END_ID = 0
 GROUP_SIZE = 8192
 ROUNDS = 4
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added tokens of ``byte_bpe_50k.json``, which a rank file does not hold.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,15 +55,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to unsigned 32-bit ids, from a rank file."""
+def encoder(path: str, added: dict[str, int] | None = None) -> Callable[[str], np.ndarray]:
+    """Text to unsigned 32-bit ids, from a rank file; the strings of ``added`` tokens become their ids."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    built = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: built.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+    built = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+    return lambda text: built.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -90,7 +93,7 @@ def token_pieces(
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or vocabulary_path())
+        encode = encoder(path or vocabulary_path(), ADDED)
         for batch in batches:
             owners, numbers, starts, lengths, sums, lists = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):

@@ -275,6 +275,27 @@ def test_ids_are_those_of_the_tokenizers_library(text):
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_pieces_are_those_of_tokenizers_as_it_comes(spark):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as file:
+        added = json.load(file)["added_tokens"]
+    assert {t["content"]: t["id"] for t in added} == packing.ADDED
+    assert not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+    rng, parts = random.Random(7), ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n ", "it's", "é", "word", " 12", "\u3000"]
+    texts = ["<|endoftext|>", "one <|endoftext|> two  <|endoftext|><|endoftext|>\n"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.token_pieces(frame, with_ids=True).collect()}
+    plain = Tokenizer.from_file(path)
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[0] == [50256, 0]
+
+
 def test_packing(spark, awkward, hf):
     rows, frame = awkward
     pieces = packing.cut_lineage(packing.token_pieces(frame, with_ids=True))
