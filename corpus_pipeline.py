@@ -17,6 +17,8 @@ from glyphfold.llm.common import table
 from glyphfold.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates share this part of their shingles, or more; the query of the operator has a limit of its own.
+PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id.  Rows that repeat an id leave one."""
-    found = near_dups.near_duplicates(docs)
+    found = near_dups.near_duplicates(docs, percent=PERCENT)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     return rest.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(rest.filter(F.col("doc_id").isNull()))

@@ -58,6 +58,15 @@ def test_stages_and_run(spark, awkward, folder):
     assert 5 not in want and 0 in want and len(want) < len({r[0] for r in rows})
 
 
+def test_near_duplicates_of_the_pipeline_share_four_fifths(spark):
+    # Sets of 37 with 33 in common: 33 / 41 is over 0.80 and under 0.85; with 32 in common, 32 / 42 is under both.
+    words = [f"w{i}" for i in range(200)]
+    texts = [words[:41], words[:37] + words[100:104], words[5:41] + words[110:115]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()
+    assert sorted(r.doc_id for r in left) == [0, 2]
+
+
 def test_empty_pipeline(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
