@@ -9,7 +9,7 @@
 4. Partitions with a gap give the bins that are not full to an exchange,
    certified ones their emptiest.  They are dealt anew, whole bin by whole bin,
    and packed again; the new packing is taken where it has fewer bins.  This
-   goes on for ``rounds`` rounds, or until one partition is left.
+   goes on until a round saves no bin, or until one partition is left.
 
 Every group is bounded by ``group_size`` whatever the ids are: pieces are dealt
 by their place in the written piece table, not by a key.
@@ -28,6 +28,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -43,7 +44,6 @@ from glyphfold.session import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 GROUP_SIZE = 8192
-ROUNDS = 4
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The added tokens of ``byte_bpe_50k.json``, which a rank file does not hold.
 ADDED = {"<|endoftext|>": 50256}
@@ -185,7 +185,8 @@ def _repack(capacity: int, round_no: int) -> Callable[[pd.DataFrame], pd.DataFra
             count, ids = len(np.unique(before)), before
             _, bins = np.unique(before, return_inverse=True)
         else:
-            ids = (((round_no << 24) + number) << 32) + bins
+            # Unique for each round, group and bin; rounds from 128 on count in bits that bins of a group leave free.
+            ids = ((((round_no % 128) << 24) + number) << 32) + ((round_no // 128) << 24) + bins
         filled = np.bincount(bins, weights=lengths)
         # A certified partition offers its emptiest bin only: remainders of several partitions may share bins.
         offered = filled < capacity if count > lower_bound(lengths, capacity) else filled == min(filled.min(), capacity - 1)
@@ -196,17 +197,18 @@ def _repack(capacity: int, round_no: int) -> Callable[[pd.DataFrame], pd.DataFra
     return repack
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, rounds: int | None = None) -> DataFrame:
     """``pieces`` (with a ``length``) with ``sequence_id`` and ``offset``: its sequence and the place in it.
 
+    Rounds go on until one saves no bin; each other one lowers their number.  ``rounds`` ends them earlier.
     ``pieces`` is read several times: hand in a written table.
     """
     keep = pieces.columns
     total = pieces.count()
     row = F.monotonically_increasing_id()
     state = pieces.withColumn("_row", row).withColumn("sequence_id", F.lit(-1).cast("long")).withColumn("_open", F.lit(True))
-    done, open_rows = [], total
-    for round_no in range(rounds):
+    done, open_rows, open_bins = [], total, 0
+    for round_no in itertools.count():
         groups = max(1, -(-open_rows // group_size))
         if round_no == 0:
             # Rows of one input partition go round robin; a multiplier keeps partitions from starting alike.
@@ -217,8 +219,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SI
         packed = cut_lineage(grouped.groupBy("_group").applyInPandas(_repack(capacity, round_no), grouped.schema))
         done.append(packed.filter(~F.col("_open")))
         state = packed.filter("_open").drop("_group")
-        open_rows = state.count()
-        if not open_rows or groups == 1:
+        saved = round_no == 0 or packed.agg(F.count_distinct("sequence_id")).first()[0] < open_bins
+        open_rows, open_bins = state.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        if not open_rows or groups == 1 or not saved or round_no + 1 == rounds:
             break
     done.append(state.withColumn("_group", F.lit(0).cast("long")))
     placed = done[0]

@@ -366,6 +366,19 @@ def test_exchange_closes_gaps(spark):
     assert bound <= whole <= often < once and often <= 1.01 * whole
 
 
+def test_exchange_goes_on_while_it_saves_bins(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1100, 948, 700, 649, 300, 1700])) for i in range(4000)]
+    frame = packing.cut_lineage(spark.createDataFrame(rows, "doc_id long, length long").repartition(7))
+    early, late = (packing.pack(frame, group_size=8, **limit).collect() for limit in ({"rounds": 4}, {}))
+    bins = [len({r.sequence_id for r in found}) for found in (early, late)]
+    assert packing.lower_bound(np.array([r[1] for r in rows])) <= bins[1] < bins[0], bins
+    placed = {}
+    for r in late:
+        placed.setdefault(r.sequence_id, []).append(r.length)
+    assert sorted(r.doc_id for r in late) == list(range(4000)) and max(map(sum, placed.values())) <= 2048
+
+
 # ---- near-duplicates
 
 
