@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphfold.llm import (
+    ball_tree,
     decontaminate,
     html_text,
     language,
@@ -15,7 +16,9 @@ from glyphfold.llm import (
     near_dups,
     packing,
     quality,
+    substring_dedup,
     url_rules,
+    vector_codes,
     warc,
 )
 from glyphfold.llm.common import table
@@ -63,6 +66,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.digest(table(spark, sf_dir, "pages"))
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,5 +91,8 @@ QUERIES: dict[str, Query] = {
         op8_host_quality,
         op9_near_dups,
         op10_url_rules,
+        op11_ball_tree_search,
+        op12_vector_codes,
+        op13_substring_dedup,
     )
 }
