@@ -15,6 +15,7 @@ from glyphfold.operators import sequences as S
 from glyphfold.plans import classify as K
 from glyphfold.plans import flagship as FL
 from glyphfold.plans import redaction as R
+from glyphfold.plans.proof import PRIME
 from glyphfold.plans import views
 from glyphfold.session import cut_lineage
 from glyphfold.sources.corpus import read_table
@@ -385,18 +386,21 @@ def removed(spark: SparkSession, d: str) -> DataFrame:
     return R.prove_removed(lines, edits.select("doc_id", "page", "source_text"), ["doc_id", "page"], "text", "source_text").drop("source_text")
 
 
-# What extraction sees; lenient evidence does not ask for equality where the new text contains the old one.
-_EXTRACT_SQL = f"""WITH {ATOMS}, {EDITS}, ex AS (SELECT doc_id, page, line_no, CAST(-((line_no - 1) % 50) AS DOUBLE) AS y, doc_id % 4 AS c, regexp_extract(source_text, '([^ ]+)', 1) AS old FROM v_edits),
+# What extraction sees; the digest is the length of a text and its characters as digits of two bases, modulo a prime; lenient evidence does not ask for equality where the new text contains the old one.
+_EXTRACT_SQL = f"""WITH RECURSIVE {ATOMS}, {EDITS}, ex AS (SELECT doc_id, page, line_no, CAST(-((line_no - 1) % 50) AS DOUBLE) AS y, doc_id % 4 AS c, regexp_extract(source_text, '([^ ]+)', 1) AS old FROM v_edits),
 it AS (SELECT a.doc_id, a.page, a.line_no, a.tok_no, a.text, a.x < 12.0 AND a.x + a.w > 0 AND a.y < e.y + 1.0 AND a.y + a.h > e.y AS here FROM v_atoms a JOIN ex e ON a.doc_id = e.doc_id AND a.page = e.page),
 tx AS (SELECT doc_id, page, coalesce(regexp_replace(nfc_normalize(string_agg(text, '' ORDER BY line_no, tok_no) FILTER (here)), '{SPACE}+', '', 'g'), '') AS t, coalesce(regexp_replace(nfc_normalize(string_agg(text, ' ' ORDER BY line_no, tok_no) FILTER (NOT here)), '{SPACE}+', '', 'g'), '') AS o FROM it GROUP BY ALL),
 jn AS (SELECT ex.*, coalesce(t, '') AS t, coalesce(o, '') AS o, regexp_replace(CASE WHEN c = 0 THEN '' ELSE old END, '{SPACE}+', '', 'g') AS od, regexp_replace(CASE WHEN c = 1 THEN '' WHEN c = 2 THEN old || '!' ELSE old END, '{SPACE}+', '', 'g') AS nw FROM ex LEFT JOIN tx USING (doc_id, page)),
 jm AS (SELECT *, CASE WHEN length(od) > 0 THEN CAST((length(o) - length(replace(o, od, ''))) // length(od) AS BIGINT) ELSE 0 END AS cnt FROM jn),
+p1 AS (SELECT 0::BIGINT AS n, 1::BIGINT AS a, 1::BIGINT AS b, 1::BIGINT AS c, 1::BIGINT AS d, 1::BIGINT AS e, 1::BIGINT AS f UNION ALL
+  SELECT n + 1, a * 131071 % 2147483647, b * {pow(131071, 256, PRIME)} % 2147483647, c * {pow(131071, 65536, PRIME)} % 2147483647, d * 524287 % 2147483647, e * {pow(524287, 256, PRIME)} % 2147483647, f * {pow(524287, 65536, PRIME)} % 2147483647 FROM p1 WHERE n < 255),
+pw AS (SELECT x.n + 256 * y.n + 65536 * z.n AS n, x.a * y.b % 2147483647 * z.c % 2147483647 AS b0, x.d * y.e % 2147483647 * z.f % 2147483647 AS b1 FROM p1 x, p1 y, (FROM p1 WHERE n < 4) z),
+dg AS (SELECT doc_id, page, (sum(unicode(c) * b0 % 2147483647) % 2147483647)::BIGINT AS h0, (sum(unicode(c) * b1 % 2147483647) % 2147483647)::BIGINT AS h1 FROM (SELECT doc_id, page, unnest(string_split(o, '')) AS c, generate_subscripts(string_split(o, ''), 1) - 1 AS n FROM tx WHERE o <> '') JOIN pw USING (n) GROUP BY ALL),
 jo AS (SELECT *, CASE WHEN length(od) = 0 THEN true WHEN contains(nw, od) THEN t = nw ELSE NOT contains(t, od) END AS old_absent, length(nw) = 0 OR contains(t, nw) AS new_present FROM jm)
-SELECT doc_id, page, t AS target_text, old_absent, new_present, cnt AS old_outside, cnt = 0 AS outside_preserved, sha256(o) AS outside_digest, old_absent AND new_present AND cnt = 0 AS valid FROM jo"""
+SELECT doc_id, page, t AS target_text, old_absent, new_present, cnt AS old_outside, cnt = 0 AS outside_preserved, concat_ws(':', length(o), coalesce(h0, 0), coalesce(h1, 0)) AS outside_digest, old_absent AND new_present AND cnt = 0 AS valid FROM jo LEFT JOIN dg USING (doc_id, page)"""
 
 
 @query("rdx8_extraction", _EXTRACT_SQL)
-
 def extraction(spark: SparkSession, d: str, strict: bool = True) -> DataFrame:
     case = F.col("doc_id") % 4
     old = F.regexp_extract("source_text", "([^ ]+)", 1)
@@ -476,6 +480,11 @@ def validate(spark: SparkSession, d: str) -> DataFrame:
   NOT (doc_id % 17 = 0 AND line_no <> 1 OR doc_id % 11 = 3 OR doc_id % 19 = 5 OR doc_id % 13 = 4) AS valid FROM v_edits""",
 )
 def structure(spark: SparkSession, d: str) -> DataFrame:
+    out = R.validate_structure(*structure_tables(spark, d))
+    return out.select("doc_id", F.array_join("checks", ",").alias("checks"), "valid")
+
+
+def structure_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Lines as streams: one is mutated and one generated; some forge a line, a mark, a font or a stream."""
     doc = F.col("doc_id")
     before = views.lines(spark, d).select("doc_id", F.col("line_no").cast("bigint").alias("stream_id"), F.col("text").alias("content"))
@@ -497,8 +506,32 @@ def structure(spark: SparkSession, d: str) -> DataFrame:
     extra = made.filter(doc % 13 == 4).select("doc_id", F.lit(-2).cast("bigint").alias("stream_id"), "content", F.lit(None).cast("string").alias("mark"))
     after = before.withColumn("content", forged).withColumn("mark", F.lit(None).cast("string")).unionByName(made).unionByName(extra)
     fonts = commands.select("doc_id", F.explode(F.when(doc % 19 == 5, F.array(F.lit("F1"))).otherwise(F.col("fonts"))).alias("font"))
-    out = R.validate_structure(before, after, commands.drop("replacement"), fonts)
-    return out.select("doc_id", F.array_join("checks", ",").alias("checks"), "valid")
+    return before, after, commands.drop("replacement"), fonts
+
+
+@query(
+    "rdx9_verdict",
+    f"""WITH {_PLAN_SQL}, f AS (SELECT doc_id, page, line_no, source_text, replacement, doc_id % 17 = 0 AND page = 0 AND line_no <> 1 AS fo, doc_id % 17 = 0 AND page = 0 AND line_no = 1 AS ft, doc_id % 19 = 0 AS ge,
+  doc_id % 17 = 0 AND line_no <> 1 AS sc, doc_id % 11 = 3 AS mm, doc_id % 19 = 5 AS fm, doc_id % 13 = 4 AS ex FROM po WHERE plan_outcome = 'PLANNED'),
+c AS (SELECT *, CASE WHEN ft THEN 'Forged' || replacement ELSE replacement END AS tgt, regexp_replace(source_text, '{SPACE}+', '', 'g') AS od FROM f)
+SELECT doc_id, page, array_to_string([CASE WHEN contains(CASE WHEN ft THEN '' ELSE tgt END, od) THEN 'old-text-present' ELSE 'old-text-absent' END, 'new-text-present',
+  CASE WHEN ge THEN 'page-geometry-changed' ELSE 'page-geometry-preserved' END, CASE WHEN fo THEN 'outside-text-changed-from-source' ELSE 'outside-text-identical' END,
+  CASE WHEN fo AND line_no > 2 THEN 'outside-cells-changed' ELSE 'outside-cells-preserved' END, CASE WHEN sc THEN 'source-streams-changed' ELSE 'source-streams-preserved' END,
+  CASE WHEN mm THEN 'controlled-redraw-mismatch' ELSE 'controlled-redraw-matched' END, CASE WHEN fm THEN 'font-resources-missing' ELSE 'font-resources-present' END,
+  CASE WHEN mm OR ex THEN 'unexpected-content-stream' ELSE 'generated-content-valid' END], ',') AS checks, NOT (ge OR fo OR sc OR mm OR fm OR ex) AS valid,
+  NOT (ge OR fo) AND (sc OR mm OR fm OR ex) AS only_structure FROM c""",
+)
+def verdict(spark: SparkSession, d: str) -> DataFrame:
+    """One verdict of text, cells, geometry and structure; some candidates only their structure gives away."""
+    before, after, expected, sizes, changed = candidates(spark, d)
+    checked = R.structure_checks(*structure_tables(spark, d))
+    out = R.validate_candidates(before, after, expected, sizes, changed, "ord", structure=checked)
+    content = F.lit(True)
+    for name in R.CONTENT:
+        content = content & F.col(name)
+    return out.select(
+        "doc_id", "page", F.array_join("checks", ",").alias("checks"), "valid", (content & ~F.col("valid")).alias("only_structure")
+    )
 
 
 def lenient_validator(pdf: pd.DataFrame) -> pd.DataFrame:

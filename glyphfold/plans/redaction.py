@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from glyphfold.functions.geometry import finite
 from glyphfold.functions.keys import command_hash
-from glyphfold.functions.text import code_points, count_occurrences, nfc, nfc_needed, searchable, widened_end, widened_start
+from glyphfold.functions.text import code_points, nfc, nfc_needed, searchable, widened_end, widened_start
 from glyphfold.operators.joins import bind_edits, resolve_requirements
 from glyphfold.operators.sequences import apply_patches, char_ranges, common_prefix, style_runs
-from glyphfold.operators.spatial import boxes_meet
+from glyphfold.plans import proof
 from glyphfold.plans.classify import classify_replacement
 from glyphfold.session import cut_lineage
 from glyphfold.sources.sinks import fingerprint_dataset
@@ -396,10 +396,17 @@ def profile_prefix(source: DataFrame, new: DataFrame, keys: Seq[str], pos: str,
 
 
 def prove_removed(after: DataFrame, edits: DataFrame, on: Seq[str], text: str, source: str) -> DataFrame:
-    """RDX7: per edit: how many texts of its stream still hold the removed source."""
-    hits = edits.join(after.select(*on, F.col(text).alias("_t")), list(on), "left")
-    left = F.coalesce(F.col("_t").contains(F.col(source)) & (F.length(source) > 0), F.lit(False))
-    return hits.groupBy(*on, source).agg(F.count_if(left).alias("remaining")).withColumn("removed", F.col("remaining") == 0)
+    """RDX7: per edit: how many texts of its stream still hold the removed source.
+
+    All sources of a stream are searched in one pass over its texts.
+    """
+    asked = edits.select(*on, source).distinct()
+    found = proof.texts_holding(after, asked, on, text, source)
+    keys = [*on, source]
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys]
+    joined = asked.alias("e").join(found.alias("f"), same, "left")
+    left = F.coalesce("f.remaining", F.lit(0)).cast("bigint")
+    return joined.select(*[F.col(f"e.{c}").alias(c) for c in keys], left.alias("remaining"), (left == 0).alias("removed"))
 
 
 def extraction_evidence(
@@ -411,62 +418,44 @@ def extraction_evidence(
     old_text, new_text, expected_outside.  ``strict`` asks for equality at the
     target when the new text contains the old one.  ``region`` names a struct
     column x0, y0, x1, y1 of the expectations: then ``cells`` digests the places
-    and texts of all items outside it, as sums of hashes.  All of it comes from
-    one join and one aggregation per page.
+    and texts of all items outside it, as sums of hashes.  A page meets all its
+    expectations at once (see :mod:`glyphfold.plans.proof`).
     """
-    box = F.struct("x", "y", "w", "h").alias("_box")
-    area = [F.col(region).alias("_area")] if region else []
-    exp = expectations.select(*on, "exp_id", box, *area, "old_text", "new_text", "expected_outside")
-    joined = exp.join(items, list(on), "left")
-    here = F.coalesce(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box")), F.lit(False))
-    pieces = joined.withColumns({"_in": F.when(here, F.col("text")), "_out": F.when(~here, F.col("text"))})
-    cells = []
-    if region:
-        x, y, r = F.col("x"), F.col("y"), F.col("_area")
-        inside = (x >= r["x0"]) & (x < r["x1"]) & (y >= r["y0"]) & (y < r["y1"])
-        cell = F.when(~inside & F.col("text").isNotNull(), F.struct("y", "x", "text"))
-        sums = [F.sum(F.when(cell.isNotNull(), F.xxhash64(F.lit(k), cell)).cast("decimal(38,0)")).cast("string") for k in (0, 1)]
-        cells = [F.concat_ws(":", F.count(cell).cast("string"), *sums).alias("cells")]
-    grouped = pieces.groupBy(*on, "exp_id").agg(
-        *cells,
-        F.first("old_text").alias("old_text"),
-        F.first("new_text").alias("new_text"),
-        F.first("expected_outside").alias("expected_outside"),
-        F.coalesce(F.expr(f"listagg(_in, '') WITHIN GROUP (ORDER BY {order})"), F.lit("")).alias("_t"),
-        F.coalesce(F.expr(f"listagg(_out, ' ') WITHIN GROUP (ORDER BY {order})"), F.lit("")).alias("_o"),
-    )
+    return _evidence(proof.page_items(items, on, order), expectations, on, strict, region)
+
+
+def _evidence(pages: DataFrame, expectations: DataFrame, on: Seq[str], strict: bool = True, region: str | None = None) -> DataFrame:
     kept = ["cells"] if region else []
-    clean = grouped.select(
-        *on,
-        "exp_id",
-        "expected_outside",
-        *kept,
-        searchable(F.col("_t")).alias("target_text"),
-        searchable(F.col("_o")).alias("outside_text"),
-        searchable(F.col("old_text")).alias("_old"),
-        searchable(F.col("new_text")).alias("_new"),
+    asked = expectations.select(
+        *on, "exp_id", searchable(F.col("old_text")).alias("_old"), searchable(F.col("new_text")).alias("_new"), "expected_outside"
     )
-    old, new, target = F.col("_old"), F.col("_new"), F.col("target_text")
+    seen = proof.look_up(pages, expectations, on, region).join(asked, [*on, "exp_id"])
+    old, new = F.coalesce("_old", F.lit("")), F.coalesce("_new", F.lit(""))
+    clean = seen.withColumn("target_text", searchable(F.col("target")))
+    target = F.col("target_text")
     absent = F.when(F.length(old) == 0, True)
     if strict:
         absent = absent.when(new.contains(old), target == new)
     absent = absent.otherwise(~target.contains(old))
-    outside = count_occurrences(F.col("outside_text"), old)
     return clean.select(
         *on,
         "exp_id",
         "target_text",
         absent.alias("old_absent"),
         ((F.length(new) == 0) | target.contains(new)).alias("new_present"),
-        outside.alias("old_outside"),
-        (outside == F.col("expected_outside")).alias("outside_preserved"),
-        F.sha2("outside_text", 256).alias("outside_digest"),
+        "old_outside",
+        (F.col("old_outside") == F.col("expected_outside")).alias("outside_preserved"),
+        "outside_digest",
         *kept,
     ).withColumn("valid", F.col("old_absent") & F.col("new_present") & F.col("outside_preserved"))
 
 
-def validate_structure(before: DataFrame, after: DataFrame, commands: DataFrame, fonts: DataFrame) -> DataFrame:
-    """RDX9: structure of candidates, one row per command, with check codes.
+STRUCTURE = ("streams_ok", "marked", "fonts_ok", "generated_ok")
+CONTENT = ("old_absent", "new_present", "geometry_ok", "outside_text_ok", "outside_cells_ok")
+
+
+def structure_checks(before: DataFrame, after: DataFrame, commands: DataFrame, fonts: DataFrame) -> DataFrame:
+    """RDX9: (doc_id, checks_of): the checks of a candidate's structure, one row per command.
 
     before: doc_id, stream_id, content; after: the same and ``mark`` (command
     hash of a generated stream, else null); commands: doc_id, mutated (array of
@@ -492,19 +481,19 @@ def validate_structure(before: DataFrame, after: DataFrame, commands: DataFrame,
         .agg(F.count(F.lit(1)).alias("_lacking"))
     )
     joined = commands.select("doc_id").join(per_doc, "doc_id", "left").join(lacking, "doc_id", "left")
-    marked, only = F.coalesce(F.col("_marks") == 1, F.lit(False)), F.coalesce(F.col("_new") == 1, F.lit(False))
-    checks = [
-        (F.coalesce("streams", F.lit(False)), "source-streams-preserved", "source-streams-changed"),
-        (marked, "controlled-redraw-matched", "controlled-redraw-mismatch"),
-        (F.col("_lacking").isNull(), "font-resources-present", "font-resources-missing"),
-        (marked & only, "generated-content-valid", "unexpected-content-stream"),
-    ]
-    valid = F.lit(True)
-    for good, _, _ in checks:
-        valid = valid & good
-    return joined.select(
-        "doc_id", F.array(*[F.when(good, yes).otherwise(no) for good, yes, no in checks]).alias("checks"), valid.alias("valid")
-    )
+    checks = {
+        "streams_ok": F.col("streams"),
+        "marked": F.col("_marks") == 1,
+        "fonts_ok": F.col("_lacking").isNull(),
+        "generated_ok": (F.col("_marks") == 1) & (F.col("_new") == 1),
+    }
+    return joined.select("doc_id", proof.check_set(checks).alias("checks_of"))
+
+
+def validate_structure(before: DataFrame, after: DataFrame, commands: DataFrame, fonts: DataFrame) -> DataFrame:
+    """RDX9: structure alone (see :func:`structure_checks`), with check codes and a verdict of its own."""
+    checked, of = structure_checks(before, after, commands, fonts), F.col("checks_of")
+    return checked.select("doc_id", proof.codes(of, STRUCTURE).alias("checks"), proof.holds(of, *STRUCTURE).alias("valid"))
 
 
 def validate_candidates(
@@ -514,73 +503,55 @@ def validate_candidates(
     page_before: DataFrame,
     page_after: DataFrame,
     order: str,
-    validator: Callable[[tuple, pd.DataFrame], pd.DataFrame] | None = None,
+    validator: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    structure: DataFrame | None = None,
 ) -> DataFrame:
     """RDX9: check codes and one verdict per expectation.
 
     Outside text must be identical, page geometry identical, and atoms outside
-    the widened region identical.  ``validator`` (UDF1) replaces the built-in
-    verdict: it gets the check columns of one page and returns the same rows
-    with ``valid``.
+    the widened region identical; with ``structure`` (doc_id, checks_of, see
+    :func:`structure_checks`) the document's structure must hold too.  Partial
+    check sets of texts, pages and documents are merged by one aggregate, and a
+    check that nobody made did not hold.  ``validator`` (UDF1) replaces the
+    built-in verdict: it gets the check columns of one page and returns the same
+    rows with ``valid``.
     """
     on = ["doc_id", "page"]
-    # The region grows with the height of the text it covered.
-    # The page's items meet its expectations in the evidence below anyhow; a join by boxes would only add to that.
-    target = before.join(expectations.select(*on, "exp_id", F.struct("x", "y", "w", "h").alias("_box")), on)
-    covered = target.filter(boxes_meet(F.struct("x", "y", "w", "h"), F.col("_box"))).groupBy(*on, "exp_id").agg(
-        F.min("x").alias("_x0"),
-        F.min("y").alias("_y0"),
-        F.max(F.col("x") + F.col("w")).alias("_x1"),
-        F.max(F.col("y") + F.col("h")).alias("_y1"),
-        F.max("h").alias("_h"),
-    )
-    fringe = F.greatest(F.lit(1.0), 0.25 * F.coalesce("_h", F.lit(0.0)))
-    right, top = F.col("x") + F.col("w"), F.col("y") + F.col("h")
-    wide = F.struct(
-        (F.least("x", F.coalesce("_x0", "x")) - fringe).alias("x0"),
-        (F.least("y", F.coalesce("_y0", "y")) - fringe).alias("y0"),
-        (F.greatest(right, F.coalesce("_x1", right)) + fringe).alias("x1"),
-        (F.greatest(top, F.coalesce("_y1", top)) + fringe).alias("y1"),
-    )
-    widened = expectations.join(covered, [*on, "exp_id"], "left").withColumn("_wide", wide)
-    widened = cut_lineage(widened)
-    new = extraction_evidence(after, widened, on, order, region="_wide")
-    plain = widened.withColumns({"old_text": F.lit(""), "new_text": F.lit(""), "expected_outside": F.lit(0)})
-    old = extraction_evidence(before, plain, on, order, region="_wide").select(
-        *on, "exp_id", F.col("outside_digest").alias("_src"), F.col("cells").alias("_cells")
+    key = [*on, "exp_id"]
+    # What the source page shows outside each target, and the region that belongs to it.
+    plain = expectations.withColumn("old_text", F.lit(""))
+    source = proof.look_up(proof.page_items(before, on, order), plain, on).select(
+        *key, F.col("region").alias("_wide"), F.col("outside_digest").alias("_src"), F.col("cells").alias("_cells")
+    )
+    widened = cut_lineage(expectations.join(source, key))
+    new = _evidence(proof.page_items(after, on, order), widened, on, region="_wide").join(widened.select(*key, "_src", "_cells"), key)
+    text = new.select(
+        *key,
+        proof.check_set(
+            {
+                "old_absent": F.col("old_absent"),
+                "new_present": F.col("new_present"),
+                "outside_text_ok": F.col("_src") == F.col("outside_digest"),
+                "outside_cells_ok": F.col("_cells") == F.col("cells"),
+            }
+        ).alias("checks_of"),
     )
     geometry = page_before.select(*on, F.struct("page_width", "page_height").alias("_g0")).join(
         page_after.select(*on, F.struct("page_width", "page_height").alias("_g1")), on, "full_outer"
     )
-    joined = new.join(old, [*on, "exp_id"]).join(geometry, on, "left")
-    out = joined.select(
-        *on,
-        "exp_id",
-        "old_absent",
-        "new_present",
-        (F.col("_src") == F.col("outside_digest")).alias("outside_text_ok"),
-        (F.col("_cells") == F.col("cells")).alias("outside_cells_ok"),
-        F.col("_g0").eqNullSafe(F.col("_g1")).alias("geometry_ok"),
-    )
-
-    def code(name: str, good: str, bad: str) -> Column:
-        return F.when(F.col(name), good).otherwise(bad)
-
-    out = out.withColumns(
-        {
-            "checks": F.array(
-                code("old_absent", "old-text-absent", "old-text-present"),
-                code("new_present", "new-text-present", "new-text-missing"),
-                code("geometry_ok", "page-geometry-preserved", "page-geometry-changed"),
-                code("outside_text_ok", "outside-text-identical", "outside-text-changed-from-source"),
-                code("outside_cells_ok", "outside-cells-preserved", "outside-cells-changed"),
-            ),
-            "valid": F.col("old_absent")
-            & F.col("new_present")
-            & F.col("geometry_ok")
-            & F.col("outside_text_ok")
-            & F.col("outside_cells_ok"),
-        }
+    of_page = geometry.select(*on, proof.check_set({"geometry_ok": F.col("_g0").eqNullSafe(F.col("_g1"))}).alias("checks_of"))
+    # Verdicts of pages and documents are those of each of their expectations.
+    asked = widened.select(*key)
+    parts, names = [text, asked.join(of_page, on)], CONTENT
+    if structure is not None:
+        parts, names = [*parts, asked.join(structure, "doc_id")], CONTENT + STRUCTURE
+    of = F.col("checks_of")
+    merged = proof.merge_checks(parts, key)
+    out = merged.select(
+        *key,
+        *[proof.holds(of, name).alias(name) for name in names],
+        proof.codes(of, names).alias("checks"),
+        proof.holds(of, *names).alias("valid"),
     )
     if validator is None:
         return out
