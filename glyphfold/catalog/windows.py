@@ -171,21 +171,39 @@ def slices(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "win8_selections",
-    f"""WITH {ATOMS}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) - 1 AS ix, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM v_atoms),
+    f"""WITH RECURSIVE {ATOMS}, g AS (SELECT * EXCLUDE (text), CASE WHEN tok_no % 9 = 4 THEN '\ufffc' WHEN tok_no % 11 = 3 THEN '\u0301' ELSE text END AS text, tok_no % 11 = 3 AND tok_no % 9 <> 4 AS mark,
+  tok_no // 6 AS op, CASE WHEN tok_no % 13 = 5 THEN 2 * tok_no - 2 ELSE 2 * tok_no END AS gs FROM v_atoms),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) - 1 AS ix, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM g),
+i AS (SELECT *, coalesce(max(CASE WHEN NOT mark THEN ix END) OVER (PARTITION BY doc_id, line_no ORDER BY ix), 0) AS lo,
+  coalesce(min(CASE WHEN NOT mark THEN ix END) OVER (PARTITION BY doc_id, line_no ORDER BY ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS hi, lag(style_key) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS pk FROM h),
 q AS (SELECT event_id AS req_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, CAST(user_id % 70 // 50 AS INTEGER) AS page, CAST(user_id % 70 + 1 AS INTEGER) AS line_no, k % 13 AS a, (k * 3) % 17 AS f FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
-z AS (SELECT q.*, coalesce((SELECT max(n) FROM i WHERE i.doc_id = q.doc_id AND i.line_no = q.line_no AND i.page = q.page), 0) AS n FROM q),
-m AS (SELECT z.req_id, string_agg(CASE WHEN ix > least(a, f) AND tok_no > 1 THEN ' ' ELSE '' END || i.text, '' ORDER BY ix) AS t, min(x) AS x, max(x + w) - min(x) AS w,
-   1 + count(*) FILTER (ix > least(a, f) AND pk <> style_key) AS runs FROM z JOIN (SELECT *, lag(style_key) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS pk FROM i) i ON i.doc_id = z.doc_id AND i.page = z.page AND i.line_no = z.line_no AND ix BETWEEN least(a, f) AND greatest(a, f)
-   WHERE a < z.n AND f < z.n GROUP BY z.req_id)
-SELECT z.req_id, CASE WHEN a < n AND f < n THEN 'SELECTED' ELSE 'OUT_OF_RANGE' END AS outcome, CASE WHEN a < n AND f < n THEN CAST(least(a, f) AS INTEGER) END AS sel_start, CASE WHEN a < n AND f < n THEN CAST(greatest(a, f) + 1 AS INTEGER) END AS sel_end,
-  m.t AS sel_text, CAST(m.runs AS INTEGER) AS runs, m.x, m.w,
-  CASE WHEN a < n AND f < n THEN CASE WHEN line_no % 2 = 0 AND least(a, f) <= 2 AND greatest(a, f) + 1 >= 5 THEN 1 ELSE 0 END END AS decorations,
-  CASE WHEN a < n AND f < n THEN CASE WHEN line_no % 2 = 0 AND least(a, f) < 5 AND greatest(a, f) + 1 > 2 AND NOT (least(a, f) <= 2 AND greatest(a, f) + 1 >= 5) THEN 1 ELSE 0 END END AS partial_warnings
-FROM z LEFT JOIN m USING (req_id)""",
+z0 AS (SELECT q.*, coalesce(l.n, 0) AS n FROM q LEFT JOIN (SELECT doc_id, page, line_no, any_value(n) AS n FROM i GROUP BY ALL) l USING (doc_id, page, line_no)),
+z AS (SELECT z0.*, a < z0.n AND f < z0.n AS ok, lo.lo AS s, hi.hi AS e FROM z0 LEFT JOIN i lo ON lo.doc_id = z0.doc_id AND lo.line_no = z0.line_no AND lo.page = z0.page AND lo.ix = least(a, f) LEFT JOIN i hi ON hi.doc_id = z0.doc_id AND hi.line_no = z0.line_no AND hi.page = z0.page AND hi.ix = greatest(a, f)),
+pt AS (SELECT z.req_id, z.s, z.e, i.* FROM z JOIN i ON i.doc_id = z.doc_id AND i.page = z.page AND i.line_no = z.line_no AND ix >= z.s AND ix < z.e WHERE z.ok),
+sl AS (SELECT req_id, ix, op, gs AS b, gs + 2 AS e, 1 AS slices FROM pt WHERE ix = s UNION ALL
+  SELECT pt.req_id, pt.ix, pt.op, CASE WHEN pt.op = sl.op AND (pt.gs = sl.e OR sl.b = pt.gs AND sl.e = pt.gs + 2) THEN sl.b ELSE pt.gs END, pt.gs + 2,
+    CASE WHEN pt.op = sl.op AND (pt.gs = sl.e OR sl.b = pt.gs AND sl.e = pt.gs + 2) THEN sl.slices ELSE sl.slices + 1 END FROM sl JOIN pt ON pt.req_id = sl.req_id AND pt.ix = sl.ix + 1),
+sn AS (SELECT req_id, max(slices) AS slices FROM sl GROUP BY req_id),
+m AS (SELECT req_id, string_agg(CASE WHEN ix > s AND tok_no > 1 THEN ' ' ELSE '' END || text, '' ORDER BY ix) AS t, min(x) AS x, max(x + w) - min(x) AS w, 1 + count(*) FILTER (ix > s AND pk <> style_key) AS runs FROM pt GROUP BY req_id)
+SELECT z.req_id, CASE WHEN ok THEN 'SELECTED' ELSE 'OUT_OF_RANGE' END AS outcome, CASE WHEN ok THEN CAST(s AS INTEGER) END AS sel_start, CASE WHEN ok THEN CAST(e AS INTEGER) END AS sel_end,
+  m.t AS sel_text, CAST(m.runs AS INTEGER) AS runs, CAST(sn.slices AS INTEGER) AS slices, m.x, m.w,
+  CASE WHEN ok THEN CASE WHEN line_no % 2 = 0 AND s <= 2 AND e >= 5 THEN 1 ELSE 0 END END AS decorations,
+  CASE WHEN ok THEN CASE WHEN line_no % 2 = 0 AND s < 5 AND e > 2 AND NOT (s <= 2 AND e >= 5) THEN 1 ELSE 0 END END AS partial_warnings,
+  CASE WHEN ok THEN CASE WHEN line_no % 5 = 0 OR line_no % 5 = 1 AND (s < 2 AND e > 1 OR s < 9 AND e > 7) THEN 1 ELSE 0 END END AS line_warnings
+FROM z LEFT JOIN m USING (req_id) LEFT JOIN sn USING (req_id)""",
 )
 def selections(spark: SparkSession, d: str) -> DataFrame:
+    """Glyphs without text, and accents that are glyphs of their own; sources of six tokens an operator, some of them repeated."""
     lines = views.lines_of(docs_by_id(spark, d))
-    atoms = views.tokens_of(lines).withColumn("space_before", F.col("tok_no") > 1)
+    tok = F.col("tok_no")
+    atoms = views.tokens_of(lines).withColumns(
+        {
+            "text": F.when(tok % 9 == 4, None).when(tok % 11 == 3, "\u0301").otherwise(F.col("text")),
+            "space_before": tok > 1,
+            "op_no": F.floor(tok / 6).cast("int"),
+            "g_start": F.when(tok % 13 == 5, 2 * tok - 2).otherwise(2 * tok),
+        }
+    ).withColumn("g_end", F.col("g_start") + 2)
     k = F.get_json_object("props", "$.k").cast("int")
     requests = read_table(spark, d, "events").select(
         F.col("event_id").alias("req_id"),
@@ -196,10 +214,12 @@ def selections(spark: SparkSession, d: str) -> DataFrame:
         (k * 3 % 17).alias("focus"),
     )
     deco = lines.filter("line_no % 2 = 0").select(*LINE, F.lit(2).alias("start"), F.lit(5).alias("end"))
-    out = S.select_range(S.line_arrays(atoms), requests, deco)
-    return out.select(
-        "req_id", "outcome", "sel_start", "sel_end", "sel_text", "runs", "x", "w", "decorations", "partial_warnings"
+    ranges = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((1, 2), (7, 9))])
+    warned = lines.filter("line_no % 5 < 2").select(
+        *LINE, F.when(F.col("line_no") % 5 == 1, ranges).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("ranges")
     )
+    out = S.select_range(atoms, requests, deco, warned)
+    return out.drop("doc_id", "page", "line_no", "y", "h")
 
 
 @query(

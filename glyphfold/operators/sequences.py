@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphfold.functions.geometry import finite
-from glyphfold.functions.text import grapheme_list, widened_end, widened_start
+from glyphfold.functions.text import ASCII_ONLY, grapheme_list
 from glyphfold.operators.ordered import Sequence, fold_sorted
 from glyphfold.session import cut_lineage
 
@@ -206,100 +206,194 @@ def coalesce_ranges(
     )
 
 
-def line_arrays(atoms: DataFrame) -> DataFrame:
-    """A line as one row with its atoms as an ordered array (bounded by the line)."""
-    fields = F.struct("tok_no", "text", "x", "y", "w", "h", "style_key", "space_before")
-    return atoms.groupBy(*LINE).agg(F.array_sort(F.collect_list(fields)).alias("glyphs"))
+#: What a source slice is told by: the operator that draws a glyph, and the glyph's range in it.
+SOURCE = ("op_no", "g_start", "g_end")
 
 
-def select_range(lines: DataFrame, requests: DataFrame, decorations: DataFrame | None = None) -> DataFrame:
-    """WIN8: selections on lines (see :func:`line_arrays`).
+def _cluster_reach(glyphs: DataFrame) -> DataFrame:
+    """LINE, ix, lo, hi: the glyphs that share a grapheme cluster with a glyph, where these are more than itself.
 
-    requests: req_id, doc_id, page, line_no, anchor, focus (0-based, either
-    direction); decorations: doc_id, page, line_no, start, end.  Out-of-range
-    requests become an ``OUT_OF_RANGE`` row.
+    glyphs: LINE, ix, _t (shown text), _c0 and _c1 (its character range).  In
+    plain ASCII lines only CR LF is more than a character, so they take no part.
     """
-    glyphs = F.col("glyphs")
-    # Character offsets over the plain text, as an ordered running length.
-    prepared = lines.select(
-        *LINE,
-        "glyphs",
-        F.array_join(F.transform(glyphs, lambda g: g["text"]), "").alias("_plain"),
-    )
-    if decorations is not None:
-        deco = decorations.groupBy(*LINE).agg(F.collect_list(F.struct("start", "end")).alias("_deco"))
-        prepared = prepared.join(deco, list(LINE), "left")
-    else:
-        prepared = prepared.withColumn("_deco", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    joined = requests.join(prepared, list(LINE), "left")
-    n = F.coalesce(F.size("glyphs"), F.lit(0))
-    sound = (F.col("anchor") >= 0) & (F.col("focus") >= 0) & (F.col("anchor") < n) & (F.col("focus") < n)
-    first = F.least("anchor", "focus").cast("int")
-    last = F.greatest("anchor", "focus").cast("int")
-
-    def length_of(part: Column) -> Column:
-        return F.length(F.array_join(F.transform(part, lambda g: g["text"]), ""))
-
-    ranged = joined.withColumn("ok", F.coalesce(sound, F.lit(False)))
-    ranged = ranged.withColumns(
+    hard = F.bool_or(~F.col("_t").rlike(ASCII_ONLY) | F.col("_t").contains("\r"))
+    lines = glyphs.groupBy(*LINE).agg(hard.alias("_hard"), F.expr("listagg(_t, '') WITHIN GROUP (ORDER BY ix)").alias("_all"))
+    clusters = graphemes(lines.filter("_hard"), LINE, "_all").filter(F.col("end") - F.col("start") > 1)
+    places = clusters.select(
+        *LINE, "cluster_no", F.col("start").alias("_from"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("_p")
+    )
+    # A glyph without characters lies in the cluster that goes on behind it.
+    own = F.explode(F.sequence(F.col("_c0"), F.greatest(F.col("_c0"), F.col("_c1") - 1)))
+    met = glyphs.select(*LINE, "ix", "_c0", "_c1", own.alias("_p")).join(places, [*LINE, "_p"])
+    met = met.filter((F.col("_c1") > F.col("_c0")) | (F.col("_from") < F.col("_p")))
+    ends = met.groupBy(*LINE, "cluster_no").agg(F.min("ix").alias("_lo"), F.max("ix").alias("_hi")).filter("_lo < _hi")
+    per_glyph = met.select(*LINE, "ix", "cluster_no").join(ends, [*LINE, "cluster_no"])
+    return per_glyph.groupBy(*LINE, "ix").agg(F.min("_lo").alias("lo"), (F.max("_hi") + 1).alias("hi"))
+
+
+def selection_index(atoms: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per glyph of the lines asked for, with running measures; written once.
+
+    ``ix`` from 0, ``n`` glyphs of the line; ``lo``, ``hi``: the glyphs its
+    clusters reach; ``_d0``, ``_d1``: its characters in the shown line; ``_runs``,
+    ``_slices``: how many style runs and source slices have begun before or at it.
+    """
+    asked = requests.select(*LINE).distinct()
+    source = [c if c in atoms.columns else F.lit(None).cast("int").alias(c) for c in SOURCE]
+    w = Window.partitionBy(*LINE).orderBy("tok_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = atoms.join(asked, list(LINE), "left_semi").select(
+        *LINE, "tok_no", _shown().alias("_t"), "x", "y", "w", "h", "style_key", "space_before", *source
+    )
+    # The pieces of one operator go on while the glyphs do; a source that repeats is one piece.
+    last = {c: F.lag(c).over(w) for c in SOURCE}
+    same_op = F.col("op_no").eqNullSafe(last["op_no"])
+    again = same_op & F.col("g_start").eqNullSafe(last["g_start"]) & F.col("g_end").eqNullSafe(last["g_end"])
+    follows = F.coalesce(same_op & (F.col("g_start") == last["g_end"]), F.lit(False))
+    placed = rows.withColumn("_first", F.row_number().over(w) == 1).withColumns(
         {
-            "_cs": F.when(F.col("ok"), length_of(F.slice("glyphs", 1, first))),
-            "_ce": F.when(F.col("ok"), length_of(F.slice("glyphs", 1, last + 1))),
+            "ix": F.row_number().over(w) - 1,
+            "n": F.count(F.lit(1)).over(Window.partitionBy(*LINE)).cast("int"),
+            "_new_style": (~F.col("_first") & ~F.col("style_key").eqNullSafe(F.lag("style_key").over(w))).cast("int"),
+            "_again": again & ~F.col("_first"),
+            "_follows": follows & ~again & ~F.col("_first"),
+            "_size": F.length("_t") + F.when(F.col("space_before") & ~F.col("_first"), 1).otherwise(0),
         }
     )
-    ranged = ranged.withColumns(
-        {"_ws": widened_start(F.col("_plain"), F.col("_cs")), "_we": widened_end(F.col("_plain"), F.col("_ce"))}
-    )
+    # A source that repeats right after its first glyph has lengthened a slice begins one of its own.
+    placed = placed.withColumn("_own", F.col("_again") & F.coalesce(F.lag("_follows").over(w), F.lit(False)))
+    breaks = (F.col("_own") | ~(F.col("_again") | F.col("_follows") | F.col("_first"))).cast("int")
+    placed = placed.withColumns(
+        {
+            "_c1": F.sum(F.length("_t")).over(upto),
+            "_d1": F.sum("_size").over(upto),
+            "_runs": F.sum("_new_style").over(upto),
+            "_slices": F.sum(breaks).over(upto),
+        }
+    ).withColumns({"_c0": F.col("_c1") - F.length("_t"), "_d0": F.col("_d1") - F.length("_t")})
+    placed = cut_lineage(placed.drop("_first", "_again", "_follows", "_new_style", "_size"))
+    reach = _cluster_reach(placed)
+    joined = placed.join(reach, [*LINE, "ix"], "left")
+    return joined.withColumns({"lo": F.coalesce("lo", "ix"), "hi": F.coalesce("hi", F.col("ix") + 1)})
+
 
-    def atom_at(offset: Column, fallback: Column, moved: Column) -> Column:
-        """Number of leading atoms that end at or before the offset (only if it moved)."""
-        counted = F.aggregate(
-            F.col("glyphs"),
-            F.struct(F.lit(0).alias("n"), F.lit(0).alias("c")),
-            lambda acc, g: F.when(
-                acc["c"] + F.length(g["text"]) <= offset,
-                F.struct((acc["n"] + 1).alias("n"), (acc["c"] + F.length(g["text"])).alias("c")),
-            ).otherwise(acc),
-            lambda acc: acc["n"],
+def span_table(index: DataFrame, measures: dict[str, Column], levels: int) -> DataFrame:
+    """LINE, level, ix and each measure over the 2^level glyphs from ``ix`` on: a sparse table, by doubling.
+
+    measures: name to value; names that begin with ``min`` or ``max`` say which.
+    """
+    w = Window.partitionBy(*LINE).orderBy("ix")
+    table = index.select(*LINE, "ix", "n", *[value.alias(name) for name, value in measures.items()])
+    names = list(measures)
+    made = [F.struct(F.lit(0).alias("level"), *names)]
+    for level in range(1, levels):
+        step = 1 << (level - 1)
+        following = {}
+        for name in names:
+            mine = name if level == 1 else f"{name}_{level - 1}"
+            least = F.least if name.startswith("min") else F.greatest
+            following[f"{name}_{level}"] = least(F.col(mine), F.lead(mine, step).over(w))
+        table = table.withColumns(following)
+        whole = F.col("ix") + (1 << level) <= F.col("n")
+        made.append(F.when(whole, F.struct(F.lit(level).alias("level"), *[F.col(f"{name}_{level}").alias(name) for name in names])))
+    return table.select(*LINE, "ix", F.explode(F.array_compact(F.array(*made))).alias("_s")).select(*LINE, "ix", "_s.*")
+
+
+def _over(requests: DataFrame, table: DataFrame, start: str, end: str, names: Seq[str]) -> DataFrame:
+    """``requests`` with each measure over [start, end): the two spans that cover it."""
+    # The largest power of two that fits, from the length's binary digits.
+    asked = requests.withColumn("_level", F.length(F.bin(F.col(end) - F.col(start))) - 1)
+    asked = asked.withColumn("_second", F.col(end) - F.expr("shiftleft(1, _level)"))
+    out = asked
+    for side, at in (("a", start), ("b", "_second")):
+        part = table.select(
+            *LINE, F.col("level").alias("_level"), F.col("ix").alias(f"_at_{side}"), *[F.col(m).alias(f"{m}_{side}") for m in names]
         )
-        return F.when(moved, counted).otherwise(fallback)
-
-    start = atom_at(F.col("_ws"), first, F.col("_ws") < F.col("_cs"))
-    end = F.when(
-        F.col("_we") > F.col("_ce"), atom_at(F.col("_we") - 1, last, F.lit(True)) + 1
-    ).otherwise(last + 1)
-    ranged = ranged.withColumns({"sel_start": F.when(F.col("ok"), start), "sel_end": F.when(F.col("ok"), end)})
-    part = F.slice("glyphs", F.col("sel_start") + 1, F.col("sel_end") - F.col("sel_start"))
-    text = F.array_join(
-        F.transform(part, lambda g, i: F.concat(F.when((i > 0) & g["space_before"], " ").otherwise(""), g["text"])), ""
-    )
-    styles = F.transform(part, lambda g: g["style_key"])
-    runs = 1 + F.size(
-        F.filter(F.sequence(F.lit(1), F.size(styles)), lambda i: (i > 1) & (F.get(styles, i - 1) != F.get(styles, i - 2)))
-    )
-    left = F.array_min(F.transform(part, lambda g: g["x"]))
-    bottom = F.array_min(F.transform(part, lambda g: g["y"]))
-    inside = lambda d: (d["start"] >= F.col("sel_start")) & (d["end"] <= F.col("sel_end"))
+        out = out.withColumn(f"_at_{side}", F.col(at)).join(part, [*LINE, "_level", f"_at_{side}"])
+    both = {m: (F.least if m.startswith("min") else F.greatest)(F.col(f"{m}_a"), F.col(f"{m}_b")) for m in names}
+    return out.withColumns(both).drop("_level", "_second", "_at_a", "_at_b", *[f"{m}_{s}" for m in names for s in "ab"])
+
+
+def select_range(
+    atoms: DataFrame, requests: DataFrame, decorations: DataFrame | None = None, warnings: DataFrame | None = None
+) -> DataFrame:
+    """WIN8: selections on lines, by range queries: a request reads two rows per measure, whatever it selects.
+
+    atoms: LINE, tok_no, text (null: a glyph without text), x, y, w, h,
+    style_key, space_before, and op_no, g_start, g_end where source slices are
+    asked for; requests: req_id, LINE, anchor, focus (0-based, either
+    direction); decorations: LINE, start, end; warnings: LINE, ranges (array of
+    start, end; empty: of the whole line).  Out-of-range requests become an
+    ``OUT_OF_RANGE`` row.
+    """
+    index = cut_lineage(selection_index(atoms, requests))
+    longest = index.agg(F.max("n")).first()[0] or 1
+    levels = longest.bit_length()
+    sizes = index.filter("ix = 0").select(*LINE, "n")
+    sound = (F.col("anchor") >= 0) & (F.col("focus") >= 0) & (F.col("anchor") < F.col("n")) & (F.col("focus") < F.col("n"))
+    asked = requests.join(sizes, list(LINE), "left").withColumns(
+        {
+            "ok": F.coalesce(sound, F.lit(False)),
+            "_from": F.least("anchor", "focus").cast("int"),
+            "_to": (F.greatest("anchor", "focus") + 1).cast("int"),
+        }
+    )
+    asked = cut_lineage(asked.drop("n"))
+    reach = span_table(index, {"min_lo": F.col("lo"), "max_hi": F.col("hi")}, levels)
+    wide = _over(asked.filter("ok"), reach, "_from", "_to", ["min_lo", "max_hi"])
+    wide = wide.withColumns({"sel_start": F.col("min_lo").cast("int"), "sel_end": F.col("max_hi").cast("int")}).drop("min_lo", "max_hi")
+    boxes = {"min_x": F.col("x"), "min_y": F.col("y"), "max_x": F.col("x") + F.col("w"), "max_y": F.col("y") + F.col("h")}
+    boxed = _over(wide, span_table(index, boxes, levels), "sel_start", "sel_end", list(boxes))
+    first = index.select(*LINE, F.col("ix").alias("sel_start"), F.col("_d0").alias("_s"), F.col("_runs").alias("_r0"), F.col("_slices").alias("_z0"))
+    second = index.select(*LINE, (F.col("ix") - 1).alias("sel_start"), F.col("_own").alias("_own"))
+    last = index.select(*LINE, (F.col("ix") + 1).alias("sel_end"), F.col("_d1").alias("_e"), F.col("_runs").alias("_r1"), F.col("_slices").alias("_z1"))
+    whole = index.withColumn("_p", F.concat(F.when(F.col("space_before") & (F.col("ix") > 0), " ").otherwise(""), "_t"))
+    texts = whole.groupBy(*LINE).agg(F.expr("listagg(_p, '') WITHIN GROUP (ORDER BY ix)").alias("_line"))
+    found = boxed.join(first, [*LINE, "sel_start"]).join(last, [*LINE, "sel_end"]).join(second, [*LINE, "sel_start"], "left")
+    found = found.join(texts, list(LINE)).select(
+        "req_id",
+        "sel_start",
+        "sel_end",
+        F.substring("_line", (F.col("_s") + 1).cast("int"), (F.col("_e") - F.col("_s")).cast("int")).alias("sel_text"),
+        (F.col("_r1") - F.col("_r0") + 1).cast("int").alias("runs"),
+        # A source that repeats at the very start has lengthened nothing.
+        (F.col("_z1") - F.col("_z0") + 1 - F.when((F.col("sel_end") - F.col("sel_start") > 1) & F.col("_own"), 1).otherwise(0))
+        .cast("int")
+        .alias("slices"),
+        F.col("min_x").alias("x"),
+        F.col("min_y").alias("y"),
+        (F.col("max_x") - F.col("min_x")).alias("w"),
+        (F.col("max_y") - F.col("min_y")).alias("h"),
+    )
+    out = asked.select("req_id", *LINE, "ok").join(found, "req_id", "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
     meets = lambda d: (d["start"] < F.col("sel_end")) & (d["end"] > F.col("sel_start"))
-    deco_list = F.coalesce(F.col("_deco"), F.array().cast("array<struct<start:int,end:int>>"))
+    inside = lambda d: (d["start"] >= F.col("sel_start")) & (d["end"] <= F.col("sel_end"))
+    # Graphics of a line are few; they are not glyphs.
+    if decorations is not None:
+        deco = decorations.groupBy(*LINE).agg(F.collect_list(F.struct("start", "end")).alias("_deco"))
+        out = out.join(deco, list(LINE), "left")
+    else:
+        out = out.withColumn("_deco", none)
+    if warnings is not None:
+        warned = warnings.groupBy(*LINE).agg(F.collect_list("ranges").alias("_warned"))
+        out = out.join(warned, list(LINE), "left")
+    else:
+        out = out.withColumn("_warned", F.array().cast("array<array<struct<start:int,end:int>>>"))
+    deco_list = F.coalesce("_deco", none)
+    warned_list = F.coalesce("_warned", F.array().cast("array<array<struct<start:int,end:int>>>"))
 
     def when_ok(value: Column) -> Column:
         return F.when(F.col("ok"), value)
 
-    return ranged.select(
+    return out.select(
         "req_id",
         *LINE,
         F.when(F.col("ok"), "SELECTED").otherwise("OUT_OF_RANGE").alias("outcome"),
-        "sel_start",
-        "sel_end",
-        when_ok(text).alias("sel_text"),
-        when_ok(runs).alias("runs"),
-        when_ok(left).alias("x"),
-        when_ok(bottom).alias("y"),
-        when_ok(F.array_max(F.transform(part, lambda g: g["x"] + g["w"])) - left).alias("w"),
-        when_ok(F.array_max(F.transform(part, lambda g: g["y"] + g["h"])) - bottom).alias("h"),
+        *["sel_start", "sel_end", "sel_text", "runs", "slices", "x", "y", "w", "h"],
         when_ok(F.size(F.filter(deco_list, inside))).alias("decorations"),
         when_ok(F.size(F.filter(deco_list, lambda d: meets(d) & ~inside(d)))).alias("partial_warnings"),
+        when_ok(F.size(F.filter(warned_list, lambda r: (F.size(r) == 0) | F.exists(r, meets)))).alias("line_warnings"),
     )
 
 
