@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from glyphfold.operators.ordered import HOT_ROWS, assign_blocks, block_starts, fold_sorted
-from glyphfold.session import broadcast_if_small
-from glyphfold.streaming.machine import State, describe, run_block, step
+from glyphfold.operators.ordered import HOT_ROWS, assign_blocks, fold_sorted
+from glyphfold.session import broadcast_if_small, cut_lineage
+from glyphfold.streaming.machine import State, describe, step
 
 OUTCOMES = "doc_id bigint, seq bigint, op string, outcome string, revision bigint"
 
@@ -32,14 +31,97 @@ def _replayed(pdf: pd.DataFrame, state: State) -> tuple[pd.DataFrame, State]:
     return out, state
 
 
+#: States as one number: no session, and the rule for all states that a block does not name.
+_NONE, _ANY = -1, -2
+
+
+def _code(state: State) -> int:
+    return _NONE if state is None else state[0] * 4 + state[1] * 2 + state[2]
+
+
+def _state(code: int | None) -> State:
+    return None if code is None or code == _NONE else (code // 4, bool(code & 2), bool(code & 1))
+
+
+def _block_functions(blocked: DataFrame, order: list[str]) -> DataFrame:
+    """doc_id, _block, s, t: what a block makes of state ``s``, one row each; other states go to the ``_ANY`` row's or stay."""
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        fate, rest = describe(_rows(pdf.sort_values(order)))
+        pairs = [(_code(s), _code(t)) for s, t in fate.items()]
+        if rest != "same":
+            pairs.append((_ANY, _code(rest)))
+        out = pd.DataFrame(pairs, columns=["s", "t"], dtype="int64")
+        out.insert(0, "_block", int(pdf["_block"].iloc[0]))
+        out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
+        return out
+
+    return blocked.groupBy("doc_id", "_block").applyInPandas(rows_of, "doc_id bigint, _block int, s bigint, t bigint")
+
+
+def _start_states(blocked: DataFrame, order: list[str]) -> DataFrame:
+    """doc_id, _block, start: the state that each block of a hot document starts from.
+
+    The functions of all blocks are a graph: a state leads from the block it
+    leaves to the next block that changes it.  Steps are doubled (two, four,
+    eight blocks), so that the one path from the first block is found in as many
+    rounds as the number of blocks has binary digits.  All of it is joins of
+    narrow rows; no task holds a document's functions.  States that no block
+    leaves in are dropped first, which leaves a few for each block where revisions follow each other.
+    """
+    hot = blocked.filter("_block >= 0")
+    functions = cut_lineage(_block_functions(hot, order))
+    blocks = cut_lineage(hot.select("doc_id", "_block").distinct())
+    # What never comes out of a block cannot go into one.
+    images = functions.select("doc_id", F.col("t").alias("s")).distinct()
+    alive = functions.filter(F.col("s") >= 0).join(images, ["doc_id", "s"], "left_semi").unionByName(functions.filter(F.col("s") < 0))
+    nodes = cut_lineage(alive.select("doc_id", "_block", "s", "t"))
+    # The next block that names a state, by a merge of those that name it and those that ask.
+    before = blocks.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("_block"), F.lit(_NONE).cast("long").alias("t"))
+    asked = nodes.select("doc_id", "_block", "t").distinct().unionByName(before)
+    named = nodes.filter(F.col("s") != _ANY).select("doc_id", "_block", F.col("s").alias("t"), F.lit(0).alias("_side"))
+    merged = named.unionByName(asked.withColumn("_side", F.lit(1)))
+    ahead = Window.partitionBy("doc_id", "t").orderBy("_block", "_side").rowsBetween(1, Window.unboundedFollowing)
+    naming = F.first(F.when(F.col("_side") == 0, F.col("_block")), ignorenulls=True).over(ahead)
+    # The next block with a rule for all states: one row for each block.
+    rules = nodes.filter(F.col("s") == _ANY).select("doc_id", F.col("_block").alias("_rule"))
+    all_blocks = blocks.unionByName(before.select("doc_id", "_block"))
+    following = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    ruled = all_blocks.join(rules.withColumnRenamed("_rule", "_block").withColumn("_r", F.lit(True)), ["doc_id", "_block"], "left")
+    ruled = ruled.select("doc_id", "_block", F.first(F.when(F.col("_r"), F.col("_block")), ignorenulls=True).over(following).alias("_rule"))
+    next_of = merged.withColumn("_named", naming).filter("_side = 1").join(ruled, ["doc_id", "_block"])
+    by_name = F.col("_named").isNotNull() & (F.col("_rule").isNull() | (F.col("_named") <= F.col("_rule")))
+    target = F.when(by_name, F.struct(F.col("_named").alias("b"), F.col("t").alias("s"))).when(
+        F.col("_rule").isNotNull(), F.struct(F.col("_rule").alias("b"), F.lit(_ANY).cast("long").alias("s"))
+    )
+    steps = cut_lineage(next_of.withColumn("_to", target).filter("_to is not null").select("doc_id", "_block", "t", "_to.b", F.col("_to.s").alias("s1")))
+    path = cut_lineage(steps.filter("_block = -1").select("doc_id", F.col("b").alias("_block"), F.col("s1").alias("s")))
+    jump = nodes.join(steps, ["doc_id", "_block", "t"]).select("doc_id", "_block", "s", "b", "s1")
+    longest = blocks.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    jumps = []
+    for k in range(longest.bit_length()):
+        jumps.append(cut_lineage(jump))
+        if k + 1 < longest.bit_length():
+            onward = jumps[-1].select("doc_id", F.col("_block").alias("b"), F.col("s").alias("s1"), F.col("b").alias("b2"), F.col("s1").alias("s2"))
+            jump = jumps[-1].join(onward, ["doc_id", "b", "s1"]).select("doc_id", "_block", "s", F.col("b2").alias("b"), F.col("s2").alias("s1"))
+    # Every distance along the path is a sum of powers of two; one node for each block at most.
+    for jump in reversed(jumps):
+        on = jump.join(broadcast_if_small(path), ["doc_id", "_block", "s"]).select("doc_id", F.col("b").alias("_block"), F.col("s1").alias("s"))
+        path = cut_lineage(path.unionByName(on).distinct())
+    left = nodes.join(broadcast_if_small(path), ["doc_id", "_block", "s"]).select("doc_id", "_block", "t")
+    earlier = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    joined = blocks.join(left, ["doc_id", "_block"], "left")
+    return cut_lineage(joined.select("doc_id", "_block", F.last("t", ignorenulls=True).over(earlier).alias("start")))
+
+
 def replay_commands(commands: DataFrame, max_group_rows: int = HOT_ROWS) -> DataFrame:
     """RDX12: outcome and revision (-1 = no session) after every command.
 
     commands: doc_id, ts, seq (unique), op, expected_revision, valid.  The
     commands of a document are one fold in order.  A document with more than
     ``max_group_rows`` commands is cut into blocks that are folded apart: a
-    block is first described by the few revisions its commands expect, the
-    descriptions are chained, and every block then starts from its own state.
+    block is first described as a function of the states its commands name, the
+    functions are composed by doubling, and every block then starts from its own state.
     """
     order = ["ts", "seq"]
     blocked, hot = assign_blocks(commands, ["doc_id"], order, max_group_rows)
@@ -52,42 +134,9 @@ def replay_commands(commands: DataFrame, max_group_rows: int = HOT_ROWS) -> Data
     outputs = "outcome string, revision bigint"
     if not hot:
         return fold_sorted(commands, ["doc_id"], order, keep, inputs, advance, outputs)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        fate, rest = describe(_rows(pdf.sort_values(order)))
-        text = json.dumps([[list(s), e] for s, e in fate.items()])
-        head = pdf.iloc[0]
-        return pd.DataFrame(
-            [[head["doc_id"], head["_block"], text, json.dumps(rest)]], columns=["doc_id", "_block", "fate", "rest"]
-        )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: State = None
-        rows = []
-        for doc, block, fate, rest in pdf.sort_values("_block")[["doc_id", "_block", "fate", "rest"]].itertuples(index=False):
-            rows.append((doc, block, json.dumps(state)))
-            table = {tuple(s): (None if e is None else tuple(e)) for s, e in json.loads(fate)}
-            other = json.loads(rest)
-            state = run_block((table, tuple(other) if isinstance(other, list) else other), state)
-        return pd.DataFrame(rows, columns=["doc_id", "_block", "start_state"])
-
-    starts = block_starts(
-        blocked,
-        ["doc_id"],
-        summarise,
-        "doc_id bigint, _block int, fate string, rest string",
-        chain,
-        "doc_id bigint, _block int, start_state string",
-    )
+    starts = _start_states(blocked, order)
     joined = blocked.join(broadcast_if_small(starts), ["doc_id", "_block"], "left")
-
-    def begin(text: str | None) -> State:
-        found = json.loads(text) if text else None
-        return None if found is None else tuple(found)
-
-    return fold_sorted(
-        joined, ["doc_id", "_block"], order, keep, inputs, advance, outputs, start=begin, start_col="start_state"
-    )
+    return fold_sorted(joined, ["doc_id", "_block"], order, keep, inputs, advance, outputs, start=_state, start_col="start")
 
 
 class CommandProcessor(StatefulProcessor):

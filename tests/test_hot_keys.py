@@ -119,6 +119,39 @@ def test_replay_plain_and_in_blocks(spark):
     assert {"VALIDATED", "EXPORTED", "VALIDATION_FAILURE", "STAGED", "CLOSED"} <= {w[3] for w in want}
 
 
+def test_replay_of_a_long_log_with_a_new_revision_at_each_commit(spark):
+    """Revisions go up all along one document; commands that come late or never name one, and a session that starts anew."""
+    rng = random.Random(6)
+    rows, revision = [], 0
+    for i in range(900):
+        if i in (5, 600):
+            op, expected, revision = "open", 0, 0
+        else:
+            op = ("apply", "validate")[i % 2]
+            expected = revision if rng.random() < 0.9 else rng.randint(0, 400)
+            revision += op == "validate" and expected == revision
+        rows.append((1, i, float(i), op, expected, True))
+    rows += [(2, 2000 + i, float(i), "apply", i, True) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, seq bigint, ts double, op string, expected_revision bigint, valid boolean")
+    got = sorted(map(tuple, replay_commands(df, 50).collect()))
+    assert got == replayed(rows) and max(g[4] for g in got) > 30
+
+
+def test_block_functions_are_rows_of_states_that_can_come_in(spark):
+    from glyphfold.operators.ordered import assign_blocks
+    from glyphfold.streaming import commands as C
+
+    rows = [(1, i, float(i), "open" if not i else ("apply", "validate")[i % 2], max(0, i - 1) // 2, True) for i in range(801)]
+    df = spark.createDataFrame(rows, "doc_id bigint, seq bigint, ts double, op string, expected_revision bigint, valid boolean")
+    blocked, _ = assign_blocks(df, ["doc_id"], ["ts", "seq"], 100)
+    starts = {r["_block"]: C._state(r["start"]) for r in C._start_states(blocked, ["ts", "seq"]).collect()}
+    state, want = None, {}
+    for r in sorted(blocked.collect(), key=lambda r: r.seq):
+        want.setdefault(r["_block"], state)
+        state = step(state, r.op, r.expected_revision, r.valid)[0]
+    assert starts == want and len(want) > 5
+
+
 def test_block_description_is_the_fold():
     for seed in range(60):
         block = [(op, e, v) for _, _, _, op, e, v in commands(seed, 30, [1])]
