@@ -32,6 +32,17 @@ def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/table")
 
 
+def run_keyed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """:func:`run_available` with the state store that keyed processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, C.ROCKSDB)
+    try:
+        return run_available(spark, stream)
+    finally:
+        spark.conf.set(name, before)
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     # A file a batch: what one micro-batch holds is bounded by the files, not by the table.
     source = spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet")
@@ -40,12 +51,46 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str1_command_stream", ORACLE["rdx12_replay"])
 def command_stream(spark: SparkSession, d: str) -> DataFrame:
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.ROCKSDB)
-    try:
-        return run_available(spark, C.command_stream(views.commands_of(event_stream(spark, d))))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return run_keyed(spark, C.command_stream(views.commands_of(event_stream(spark, d))))
+
+
+@query(
+    "str1_staged_candidates",
+    """WITH RECURSIVE c AS (SELECT user_id AS doc_id, event_id AS seq, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, seq) AS n, CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'stage' WHEN 'click' THEN 'stage' WHEN 'purchase' THEN 'validate' ELSE CASE WHEN k % 7 = 0 THEN 'close' WHEN k % 2 = 0 THEN 'export' ELSE 'validate' END END AS op,
+  (k % 2)::BIGINT AS expected, 'h' || (k % 3) AS hash, 'candidate:' || (k % 2 + 1) || ':h' || CASE WHEN k % 11 = 5 THEN 9 ELSE k % 3 END AS named, k % 5 <> 4 AS valid FROM c),
+w AS (SELECT doc_id, NULL::BIGINT AS seq, NULL::VARCHAR AS op, 0::BIGINT AS n, -1::BIGINT AS rev, NULL::VARCHAR AS cand, NULL::VARCHAR AS chash, ''::VARCHAR AS content, true AS exported, ''::VARCHAR AS outcome FROM (SELECT DISTINCT doc_id FROM o)
+ UNION ALL SELECT o.doc_id, o.seq, o.op, o.n, CASE oc WHEN 'OPENED' THEN 0 WHEN 'CLOSED' THEN -1 WHEN 'VALIDATED' THEN rev + 1 ELSE rev END,
+  CASE WHEN oc IN ('OPENED', 'CLOSED', 'VALIDATED') OR oc = 'VALIDATION_FAILURE' AND o.op = 'validate' THEN NULL WHEN oc = 'STAGED' THEN 'candidate:' || (rev + 1) || ':' || o.hash ELSE cand END,
+  CASE WHEN oc IN ('OPENED', 'CLOSED', 'VALIDATED') OR oc = 'VALIDATION_FAILURE' AND o.op = 'validate' THEN NULL WHEN oc = 'STAGED' THEN o.hash ELSE chash END,
+  CASE oc WHEN 'OPENED' THEN o.hash WHEN 'VALIDATED' THEN chash ELSE content END, CASE oc WHEN 'OPENED' THEN true WHEN 'VALIDATED' THEN false WHEN 'EXPORTED' THEN true ELSE exported END, oc
+ FROM w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1, LATERAL (SELECT CASE WHEN o.op = 'open' THEN 'OPENED' WHEN rev < 0 OR rev <> o.expected THEN 'STALE_REVISION' WHEN o.op = 'stage' THEN 'STAGED'
+  WHEN o.op = 'validate' THEN CASE WHEN cand IS NULL OR cand <> o.named OR chash <> o.hash THEN 'STALE_REVISION' WHEN o.valid THEN 'VALIDATED' ELSE 'VALIDATION_FAILURE' END
+  WHEN o.op = 'export' THEN CASE WHEN exported THEN 'VALIDATION_FAILURE' ELSE 'EXPORTED' END ELSE 'CLOSED' END AS oc))
+SELECT doc_id, seq, op, outcome, rev AS revision, CASE WHEN rev >= 0 THEN cand END AS candidate, CASE WHEN rev >= 0 THEN content END AS content_hash FROM w WHERE n > 0""",
+)
+def staged_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """A candidate that another one has replaced cannot be validated: neither by its id nor by its hash."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("event_type")
+    op = (
+        F.when(kind == "signup", "open")
+        .when(kind.isin("view", "click"), "stage")
+        .when(kind == "purchase", "validate")
+        .otherwise(F.when(k % 7 == 0, "close").when(k % 2 == 0, "export").otherwise("validate"))
+    )
+    commands = event_stream(spark, d).select(
+        F.col("user_id").alias("doc_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        op.alias("op"),
+        (k % 2).cast("bigint").alias("expected_revision"),
+        F.concat(F.lit("candidate:"), k % 2 + 1, F.lit(":h"), F.when(k % 11 == 5, 9).otherwise(k % 3)).alias("candidate"),
+        F.concat(F.lit("h"), k % 3).alias("content_hash"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("command_hash"),
+        (k % 5 != 4).alias("valid"),
+    )
+    return run_keyed(spark, C.staging_stream(commands))
 
 
 @query(
@@ -67,6 +112,26 @@ def timeouts(spark: SparkSession, d: str) -> DataFrame:
     return T.detect_timeouts(requests, responses, limit_seconds=3600)
 
 
+@query("str2_worker_timeouts_stream", ORACLE["str2_timeouts"])
+def worker_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and answers as one stream, and one late row of another table that moves the watermark behind them all."""
+    events = spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
+    sent = F.col("ts").cast("timestamp")
+    late = F.timestamp_micros(F.unix_micros(sent) + F.floor(F.col("value") * 90) * 1_000_000)
+    both = F.array(
+        F.struct(sent.alias("at"), F.lit(False).alias("answer")),
+        F.when(F.expr("event_id % 4 <> 0 and value < 40"), F.struct(late.alias("at"), F.lit(True).alias("answer"))),
+    )
+    traffic = events.filter("event_type = 'view'").select(
+        (F.col("user_id") % 12).alias("worker"), F.col("event_id").alias("req_id"), F.inline(F.array_compact(both))
+    )
+    nations = spark.readStream.schema(TABLES["nation"]).option("pathGlobFilter", "nation.parquet").parquet(d)
+    end = nations.filter("n_nationkey = 0").select(
+        F.lit(-1).cast("bigint").alias("worker"), F.lit(-1).cast("bigint").alias("req_id"), F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit(True).alias("answer")
+    )
+    return run_keyed(spark, T.worker_timeouts(traffic.unionByName(end), "1 minute", 3600))
+
+
 @query(
     "str2_answered_stream",
     """SELECT user_id % 12 AS worker, event_id AS req_id, epoch_us(ts) + CAST(floor(value * 90) AS BIGINT) * 1000000 AS answered_us FROM events WHERE event_type = 'view' AND event_id % 4 <> 0 AND value < 40""",
@@ -102,7 +167,7 @@ def latest_generation_stream(spark: SparkSession, d: str) -> DataFrame:
     results = event_stream(spark, d).select(
         "event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("generation")
     )
-    return run_available(spark, T.drop_stale_stream(results, "user_id", "generation", ["ts", "event_id"])).drop("ts")
+    return run_keyed(spark, T.drop_stale_stream(results, "user_id", "generation", ["ts", "event_id"])).drop("ts")
 
 
 @query(

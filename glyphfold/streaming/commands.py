@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,23 +16,15 @@ from glyphfold.session import broadcast_if_small, cut_lineage
 from glyphfold.streaming.machine import State, describe, step
 
 OUTCOMES = "doc_id bigint, seq bigint, op string, outcome string, revision bigint"
+OUTCOME_NAMES = [part.split()[0] for part in OUTCOMES.split(",")]
+#: Rows that a stateful task hands on at once.
+ROWS_OUT = 10_000
 
 
 def _rows(pdf: pd.DataFrame) -> list[tuple[str, int, bool]]:
     return list(zip(pdf["op"], pdf["expected_revision"].astype(int), pdf["valid"].astype(bool)))
 
 
-def _replayed(pdf: pd.DataFrame, state: State) -> tuple[pd.DataFrame, State]:
-    outcomes, revisions = [], []
-    for op, expected, valid in _rows(pdf):
-        state, outcome = step(state, op, expected, valid)
-        outcomes.append(outcome)
-        revisions.append(-1 if state is None else state[0])
-    out = pdf[["doc_id", "seq", "op"]].copy()
-    out["outcome"], out["revision"] = outcomes, revisions
-    return out, state
-
-
 #: States as one number: no session, and the rule for all states that a block does not name.
 _NONE, _ANY = -1, -2
 
@@ -139,25 +133,73 @@ def replay_commands(commands: DataFrame, max_group_rows: int = HOT_ROWS) -> Data
     return fold_sorted(joined, ["doc_id", "_block"], order, keep, inputs, advance, outputs, start=_state, start_col="start")
 
 
+#: Rows of one key that are sorted in memory, and rows of a stretch of those kept in the state store.
+HELD, STRETCH = 50_000, 1_000
+SPILL_KEY, SPILL_VALUE = "run int, part int", "rows binary"
+
+
+def rows_in_order(batches: Iterator[pd.DataFrame], order: list[str], spill, held: int = HELD) -> Iterator[tuple]:
+    """The rows of a key as tuples, in ascending order; at most ``held`` rows are sorted in memory.
+
+    A micro-batch may hold any number of rows of one key.  Beyond ``held`` they
+    are kept as sorted runs in ``spill``, a map state that is empty before and after,
+    and merged from there, a stretch of each run at a time.
+    """
+    runs: list[int] = []
+    some: list[tuple] = []
+    place: list[int] = []
+
+    def key(row: tuple) -> tuple:
+        return tuple(row[i] for i in place)
+
+    def put_away() -> None:
+        some.sort(key=key)
+        for part in range(0, len(some), STRETCH):
+            spill.updateValue((len(runs), part // STRETCH), (pickle.dumps(some[part : part + STRETCH]),))
+        runs.append(-(-len(some) // STRETCH))
+        some.clear()
+
+    def run(number: int) -> Iterator[tuple]:
+        for part in range(runs[number]):
+            yield from pickle.loads(bytes(spill.getValue((number, part))[0]))
+
+    for pdf in batches:
+        place = place or [pdf.columns.get_loc(c) for c in order]
+        for row in pdf.itertuples(index=False, name=None):
+            some.append(row)
+            if len(some) >= held:
+                put_away()
+    some.sort(key=key)
+    yield from heapq.merge(*[run(i) for i in range(len(runs))], some, key=key)
+    if runs:
+        spill.clear()
+
+
 class CommandProcessor(StatefulProcessor):
     """STR1: one small value per document; ``close`` clears it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._session = handle.getValueState("session", "revision bigint, pending boolean, exportable boolean")
+        self._spill = handle.getMapState("spill", SPILL_KEY, SPILL_VALUE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # The rows of one document in one micro-batch; the trigger bounds them.
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         state: State = None
         if self._session.exists():
             kept = self._session.get()
             state = (int(kept[0]), bool(kept[1]), bool(kept[2]))
-        out, state = _replayed(pdf, state)
+        out: list[tuple] = []
+        columns = ["doc_id", "seq", "ts", "op", "expected_revision", "valid"]
+        for doc, seq, _, op, expected, valid in rows_in_order((pdf[columns] for pdf in rows), ["ts", "seq"], self._spill):
+            state, outcome = step(state, op, int(expected), bool(valid))
+            out.append((doc, seq, op, outcome, -1 if state is None else state[0]))
+            if len(out) >= ROWS_OUT:
+                yield pd.DataFrame(out, columns=OUTCOME_NAMES)
+                out = []
         if state is None:
             self._session.clear()
         else:
             self._session.update(state)
-        yield out
+        yield pd.DataFrame(out, columns=OUTCOME_NAMES)
 
     def close(self) -> None:
         pass
@@ -176,3 +218,104 @@ def command_stream(commands: DataFrame) -> DataFrame:
         statefulProcessor=CommandProcessor(), outputStructType=OUTCOMES, outputMode="Append", timeMode="None"
     )
 
+
+Candidate = tuple[int, str, str, str]  # revision it leads to, id, hash of its content, hash of its command
+
+
+def candidate_id(revision: int, candidate_hash: str) -> str:
+    return f"candidate:{revision}:{candidate_hash}"
+
+
+class Staging:
+    """A session with its staged candidate: what one document's commands do to it.
+
+    ``stage`` replaces the candidate before it, under an id of revision and
+    content; ``validate`` names the candidate it means by that id and its
+    content's hash, so an earlier one is stale whatever its revision; a
+    candidate that passes becomes the content, and is exported once.
+    """
+
+    FIELDS = "revision bigint, content_hash string, next bigint, candidate string, candidate_hash string, command_hash string, exported boolean"
+
+    def __init__(self, kept: tuple | None = None):
+        self.open = kept is not None
+        self.revision, self.content, self.staged, self.exported = 0, "", None, True
+        if kept is not None:
+            self.revision, self.content, self.exported = int(kept[0]), kept[1], bool(kept[6])
+            self.staged = (int(kept[2]), kept[3], kept[4], kept[5]) if kept[3] is not None else None
+
+    def kept(self) -> tuple:
+        return (self.revision, self.content, *(self.staged or (None, None, None, None)), self.exported)
+
+    def handle(self, op: str, expected: int, candidate: str | None, content_hash: str | None, command_hash: str | None, valid: bool) -> str:
+        if op == "open":
+            self.open, self.revision, self.content, self.staged, self.exported = True, 0, content_hash or "", None, True
+            return "OPENED"
+        if not self.open or expected != self.revision:
+            return "STALE_REVISION"
+        if op == "stage":
+            following = self.revision + 1
+            self.staged = (following, candidate_id(following, content_hash or ""), content_hash or "", command_hash or "")
+            return "STAGED"
+        if op == "validate":
+            if self.staged is None or (candidate, content_hash) != (self.staged[1], self.staged[2]):
+                return "STALE_REVISION"
+            following, _, content, _ = self.staged
+            self.staged = None
+            if not valid:
+                return "VALIDATION_FAILURE"
+            self.revision, self.content, self.exported = following, content, False
+            return "VALIDATED"
+        if op == "export":
+            if self.exported:
+                return "VALIDATION_FAILURE"
+            self.exported = True
+            return "EXPORTED"
+        if op == "close":
+            self.open, self.staged = False, None
+            return "CLOSED"
+        return "UNKNOWN_COMMAND"
+
+
+STAGED = "doc_id bigint, seq bigint, op string, outcome string, revision bigint, candidate string, content_hash string"
+
+
+class StagingProcessor(StatefulProcessor):
+    """STR1 with candidates: revision, content and the staged candidate's id, content hash and command hash are the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._session = handle.getValueState("staging", Staging.FIELDS)
+        self._spill = handle.getMapState("spill", SPILL_KEY, SPILL_VALUE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        session = Staging(self._session.get() if self._session.exists() else None)
+        names = [part.split()[0] for part in STAGED.split(",")]
+        columns = ["doc_id", "seq", "ts", "op", "expected_revision", "candidate", "content_hash", "command_hash", "valid"]
+        out: list[tuple] = []
+        for doc, seq, _, op, expected, *named, valid in rows_in_order((pdf[columns] for pdf in rows), ["ts", "seq"], self._spill):
+            outcome = session.handle(op, int(expected), *[v if isinstance(v, str) else None for v in named], bool(valid))
+            shown = (session.revision, session.staged[1] if session.staged else None, session.content) if session.open else (-1, None, None)
+            out.append((doc, seq, op, outcome, *shown))
+            if len(out) >= ROWS_OUT:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if session.open:
+            self._session.update(session.kept())
+        else:
+            self._session.clear()
+        yield pd.DataFrame(out, columns=names)
+
+    def close(self) -> None:
+        pass
+
+
+def staging_stream(commands: DataFrame) -> DataFrame:
+    """STR1: doc_id, seq, op, outcome, revision, candidate (id of what is staged now), content_hash.
+
+    commands: doc_id, seq, ts, op (open, stage, validate, export, close),
+    expected_revision, candidate and content_hash (of what is staged or meant),
+    command_hash, valid.  Needs the RocksDB state store.
+    """
+    return commands.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=StagingProcessor(), outputStructType=STAGED, outputMode="Append", timeMode="None"
+    )

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glyphfold.operators.ordered import HOT_ROWS, Sequence, assign_blocks, block_starts, fold_sorted
 from glyphfold.session import broadcast_if_small
+from glyphfold.streaming.commands import ROWS_OUT, SPILL_KEY, SPILL_VALUE, rows_in_order
 
 LIMIT_SECONDS = 30
 
@@ -133,21 +136,150 @@ def drop_stale(results: DataFrame, keys: list[str], order: list[str], generation
     return seq.done().filter(F.col(generation) == F.col("_newest")).drop("_newest")
 
 
-def drop_stale_stream(results: DataFrame, key: str, generation: str, order: str) -> DataFrame:
-    """STR3 on a stream: state per key is the newest generation."""
-    schema = results.schema
+class NewestProcessor(StatefulProcessor):
+    """STR3: the newest generation of a key is its state."""
 
-    def keep(group, batches, state):
-        newest = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(order)
-        best = pdf[generation].cummax()
+    def __init__(self, columns: list[str], generation: str, order: list[str]) -> None:
+        self._columns, self._generation, self._order = columns, generation, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._newest = handle.getValueState("newest", "generation bigint")
+        self._spill = handle.getMapState("spill", SPILL_KEY, SPILL_VALUE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = self._newest.get()[0] if self._newest.exists() else None
+        at = self._columns.index(self._generation)
+        out: list[tuple] = []
+        for row in rows_in_order((pdf[self._columns] for pdf in rows), self._order, self._spill):
+            if newest is None or row[at] >= newest:
+                newest = int(row[at])
+                out.append(row)
+                if len(out) >= ROWS_OUT:
+                    yield pd.DataFrame(out, columns=self._columns)
+                    out = []
         if newest is not None:
-            best = best.clip(lower=newest)
-        if len(pdf):
-            state.update((int(best.iloc[-1]),))
-        yield pdf[pdf[generation] == best]
+            self._newest.update((newest,))
+        yield pd.DataFrame(out, columns=self._columns)
+
+    def close(self) -> None:
+        pass
+
+
+def drop_stale_stream(results: DataFrame, key: str, generation: str, order: list[str]) -> DataFrame:
+    """STR3 on a stream: state per key is the newest generation.  Needs the RocksDB state store."""
+    processor = NewestProcessor(results.columns, generation, list(order))
+    return results.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=results.schema, outputMode="Append", timeMode="None"
+    )
+
+
+class TimeoutProcessor(StatefulProcessor):
+    """STR2: what is pending at a worker, and one timer for the earliest limit among it.
+
+    Requests and answers wait in the state until the watermark has passed them,
+    so that they take effect in the order of their times, however they arrive.
+    An answer inside the limit resolves its request.  When the limit of a pending
+    request is reached the worker is gone: that request is a TIMEOUT, all others
+    pending there are WORKER_TIMEOUT, and the next request starts a new worker.
+    """
+
+    def __init__(self, span: int) -> None:
+        self._span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        # What is known of each undecided request; an answer may come before its request.
+        self._known = handle.getMapState("known", "req_id bigint", "sent bigint, answer bigint")
+        self._timer = handle.getValueState("timer", "due bigint")
 
-    return results.groupBy(key).applyInPandasWithState(keep, schema, "newest bigint", "append", "NoTimeout")
+    def _decide(self, key: tuple, upto: int) -> tuple[list[tuple], int | None]:
+        """Outcomes that are settled at ``upto``, and when to look again.
+
+        Nothing that happened until then can still arrive.
+        """
+        waiting: list[tuple[int, int, int | None]] = []
+        ahead: list[int] = []
+        for (req,), (sent, answer) in list(self._known.iterator()):
+            if sent is None:
+                # An answer to nothing: a request is not sent after it.
+                if answer <= upto:
+                    self._known.removeKey((req,))
+                else:
+                    ahead.append(answer)
+            else:
+                inside = answer is not None and sent <= answer < sent + self._span
+                waiting.append((sent, req, answer if inside else None))
+        waiting.sort(key=lambda w: w[:2])
+        out: list[tuple] = []
+
+        def settle(req: int, outcome: str) -> None:
+            out.append((*key, req, outcome))
+            self._known.removeKey((req,))
+
+        while True:
+            fires = next((sent + self._span for sent, _, answer in waiting if answer is None), None)
+            if fires is None or fires > upto:
+                break
+            for sent, req, answer in [w for w in waiting if w[0] < fires]:
+                if answer is None and sent + self._span == fires:
+                    settle(req, "TIMEOUT")
+                else:
+                    settle(req, "ANSWERED" if answer is not None and answer <= fires else "WORKER_TIMEOUT")
+            waiting = [w for w in waiting if w[0] >= fires]
+        # No timer fires before the earliest limit of what is silent so far, so earlier answers stand.
+        safe = upto if fires is None else min(upto, fires)
+        for _, req, answer in waiting:
+            if answer is not None and answer <= safe:
+                settle(req, "ANSWERED")
+        ahead += [sent + self._span if answer is None else answer for sent, _, answer in waiting if answer is None or answer > safe]
+        return out, min(ahead) if ahead else None
+
+    def _rest(self, out: list[tuple], at: int | None) -> pd.DataFrame:
+        if self._timer.exists():
+            self._handle.deleteTimer(int(self._timer.get()[0]))
+            self._timer.clear()
+        if at is not None:
+            # Timers count milliseconds; a millisecond too late does no harm.
+            due = at // 1_000 + 1
+            self._handle.registerTimer(due)
+            self._timer.update((due,))
+        return pd.DataFrame(out, columns=["worker", "req_id", "outcome"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for req, at, is_answer in pdf[["req_id", "micros", "answer"]].itertuples(index=False, name=None):
+                name = (int(req),)
+                sent, answer = self._known.getValue(name) if self._known.containsKey(name) else (None, None)
+                if is_answer:
+                    answer = int(at) if answer is None else min(int(answer), int(at))
+                else:
+                    sent = int(at) if sent is None else min(int(sent), int(at))
+                self._known.updateValue(name, (sent, answer))
+        yield self._rest(*self._decide(key, timerValues.getCurrentWatermarkInMs() * 1_000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._timer.clear()
+        yield self._rest(*self._decide(key, timerValues.getCurrentWatermarkInMs() * 1_000))
+
+    def close(self) -> None:
+        pass
+
+
+def worker_timeouts(traffic: DataFrame, delay: str = "1 minute", limit_seconds: int = LIMIT_SECONDS) -> DataFrame:
+    """STR2 on a stream: the outcomes of :func:`detect_timeouts`, each once the watermark has passed it.
+
+    traffic: worker, req_id, at (timestamp), answer (boolean: an answer to the
+    request, else the request itself).  Both kinds are one stream, so that a
+    worker's state sees them all.  Needs the RocksDB state store.
+    """
+    sides = traffic.withWatermark("at", delay).select("worker", "req_id", "at", F.unix_micros("at").alias("micros"), "answer")
+    worker = dict(traffic.dtypes)["worker"]
+    return sides.groupBy("worker").transformWithStateInPandas(
+        statefulProcessor=TimeoutProcessor(limit_seconds * 1_000_000),
+        outputStructType=f"worker {worker}, req_id bigint, outcome string",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
 
 
 def dedupe_by_hash(df: DataFrame, content: str, order: str) -> DataFrame:

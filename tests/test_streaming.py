@@ -65,3 +65,118 @@ def test_admission_limits_before_the_shuffle(spark):
 
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("t").orderBy("o"))).filter("_r <= 1000")
     assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def batches_of(spark, rows, ddl, folder, parts):
+    """A stream of ``rows``, as many micro-batches as ``parts``, in their order."""
+    size = -(-len(rows) // parts)
+    for part in range(parts):
+        some = rows[part * size : (part + 1) * size]
+        if some:
+            spark.createDataFrame(some, ddl).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_worker_timeouts_in_micro_batches(spark, tmp_path):
+    rng = random.Random(12)
+    traffic, answers = [], {}
+    for i in range(240):
+        worker, sent = rng.choice([1, 1, 2, 3]), 1_000 + i * 4 + rng.randint(0, 3)
+        traffic.append((worker, i, sent, False))
+        if rng.random() < 0.8:
+            answers[i] = sent + rng.choice([0, 3, 17, 29, 30, 31])
+            traffic.append((worker, i, answers[i], True))
+    # Answers may arrive before their requests, and all kinds may be late by less than the watermark allows.
+    traffic.sort(key=lambda r: r[2] + rng.randint(0, 50))
+    traffic.append((9, 9_999, 900_000, True))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.ROCKSDB)
+    stream = batches_of(spark, traffic, "worker bigint, req_id bigint, s bigint, answer boolean", str(tmp_path / "in"), 5)
+    timed = stream.select("worker", "req_id", F.timestamp_seconds("s").alias("at"), "answer")
+    got = drained(spark, T.worker_timeouts(timed, "60 seconds", 30), tmp_path)
+    requests = spark.createDataFrame([r[:3] for r in traffic if not r[3]], "worker bigint, req_id bigint, s bigint")
+    responses = spark.createDataFrame(list(answers.items()), "req_id bigint, s bigint")
+    want = T.detect_timeouts(
+        requests.select("worker", "req_id", F.timestamp_seconds("s").alias("ts")),
+        responses.select("req_id", F.timestamp_seconds("s").alias("resp_ts")),
+        30,
+    )
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect()))
+    assert {r[2] for r in rows} == {"ANSWERED", "TIMEOUT", "WORKER_TIMEOUT"}
+
+
+COMMAND_DDL = (
+    "doc_id bigint, seq bigint, ts bigint, op string, expected_revision bigint, candidate string, content_hash string, "
+    "command_hash string, valid boolean"
+)
+
+
+def test_a_replaced_candidate_is_stale(spark, tmp_path):
+    def row(seq, op, expected=0, candidate=None, content=None, valid=True):
+        return (1, seq, seq, op, expected, candidate, content, "c", valid)
+
+    rows = [
+        row(0, "stage"),
+        row(1, "open", content="h0"),
+        row(2, "stage", content="h1"),
+        row(3, "stage", content="h2"),
+        row(4, "validate", 0, "candidate:1:h1", "h1"),  # replaced
+        row(5, "validate", 0, "candidate:1:h2", "h1"),  # the old content under the new id
+        row(6, "validate", 0, "candidate:1:h2", "h2", False),
+        row(7, "validate", 0, "candidate:1:h2", "h2"),  # gone with its failure
+        row(8, "stage", content="h3"),
+        row(9, "validate", 0, "candidate:1:h3", "h3"),
+        row(10, "export", 0),
+        row(11, "export", 1),
+        row(12, "export", 1),
+        row(13, "close", 1),
+        row(14, "stage", 1),
+    ]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.ROCKSDB)
+    got = drained(spark, C.staging_stream(batches_of(spark, rows, COMMAND_DDL, str(tmp_path / "in"), 4)), tmp_path)
+    seen = {r.seq: r for r in got.collect()}
+    stale = "STALE_REVISION"
+    want = [stale, "OPENED", "STAGED", "STAGED", stale, stale, "VALIDATION_FAILURE", stale, "STAGED", "VALIDATED", stale, "EXPORTED", "VALIDATION_FAILURE", "CLOSED", stale]
+    assert [seen[i].outcome for i in range(15)] == want
+    assert (seen[3].candidate, seen[3].content_hash) == ("candidate:1:h2", "h0") and (seen[9].revision, seen[9].content_hash) == (1, "h3")
+
+
+class Kept:
+    """A map state in memory, which counts what it holds at most."""
+
+    def __init__(self):
+        self.held, self.most, self.cleared = {}, 0, 0
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.most = max(self.most, len(self.held))
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def clear(self):
+        self.held, self.cleared = {}, self.cleared + 1
+
+
+def test_rows_of_a_key_are_ordered_without_being_held_together():
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 500), i, f"x{i}") for i in range(9_500)]
+    frames = [pd.DataFrame(rows[i : i + 700], columns=["ts", "seq", "v"]) for i in range(0, len(rows), 700)]
+    spill = Kept()
+    got = list(C.rows_in_order(iter(frames), ["ts", "seq"], spill, held=1_500))
+    assert got == sorted(rows) and spill.most > 5 and not spill.held
+    small = Kept()
+    assert list(C.rows_in_order(iter(frames[:1]), ["ts", "seq"], small)) == sorted(rows[:700]) and not small.most
+    assert list(C.rows_in_order(iter([]), ["ts"], small)) == []
+
+
+def test_stale_results_in_micro_batches(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 3), i, rng.randint(0, 40) if i % 5 else i // 20) for i in range(400)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.ROCKSDB)
+    stream = batches_of(spark, rows, "k bigint, o bigint, g bigint", str(tmp_path / "in"), 3)
+    got = drained(spark, T.drop_stale_stream(stream, "k", "g", ["o"]), tmp_path)
+    want = T.drop_stale(spark.createDataFrame(rows, "k bigint, o bigint, g bigint"), ["k"], ["o"], "g")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
