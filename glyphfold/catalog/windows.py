@@ -64,7 +64,18 @@ def lines_separable(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("win2_lines_greedy")
+@query(
+    "win2_lines_greedy",
+    # One visit a step: the lines that can still be reached, with their heights.
+    f"""WITH RECURSIVE {ATOMS}, a AS (SELECT doc_id, page, line_no * 1000000 + tok_no AS id, x AS bx, y * 1.5 + (tok_no * 7 % 13) * 0.1::DOUBLE AS yy, (1.0 + line_no % 3)::DOUBLE AS h, CASE WHEN line_no % 9 = 5 THEN 0.0 ELSE 1.0 END::DOUBLE AS dx, CASE WHEN line_no % 9 = 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS dy FROM v_atoms),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY yy DESC, bx, id) AS n, count(*) OVER (PARTITION BY doc_id, page) AS total FROM a),
+w AS (SELECT DISTINCT doc_id, page, 0::BIGINT AS n, []::STRUCT(i BIGINT, bx DOUBLE, yy DOUBLE, dx DOUBLE, dy DOUBLE, hs DOUBLE[])[] AS ls, 0::BIGINT AS made, 0::BIGINT AS ids FROM o UNION ALL
+ SELECT doc_id, page, n, CASE WHEN hit IS NULL THEN list_append(alive, {{'i': made, 'bx': bx, 'yy': yy, 'dx': dx, 'dy': dy, 'hs': [h]}}) ELSE list_transform(alive, lambda l: CASE WHEN l.i = hit THEN {{'i': l.i, 'bx': l.bx, 'yy': l.yy, 'dx': l.dx, 'dy': l.dy, 'hs': list_append(l.hs, h)}} ELSE l END) END,
+  made + CASE WHEN hit IS NULL THEN 1 ELSE 0 END, ids + coalesce(hit, made)
+ FROM (SELECT *, list_filter(alive, lambda l: abs((yy - l.yy) * l.dx - (bx - l.bx) * l.dy) <= greatest(1.0, 0.35 * list_aggregate(l.hs, 'median')) AND l.dx * dx + l.dy * dy >= 0.99984)[1].i AS hit
+  FROM (SELECT o.*, w.made, w.ids, list_filter(w.ls, lambda l: l.dy <> 0 OR abs(o.yy - l.yy) <= greatest(1.0, 0.35 * list_aggregate(l.hs, 'median'))) AS alive FROM w JOIN o ON o.doc_id = w.doc_id AND o.page = w.page AND o.n = w.n + 1)))
+SELECT w.doc_id, w.page, CAST(made AS INTEGER) AS lines, n AS atoms, ids AS id_sum FROM w JOIN (SELECT DISTINCT doc_id, page, total FROM o) t ON t.doc_id = w.doc_id AND t.page = w.page AND t.total = w.n""",
+)
 def lines_greedy(spark: SparkSession, d: str) -> DataFrame:
     assigned = S.assign_lines(page_atoms(spark, d, True))
     return assigned.groupBy("doc_id", "page").agg(

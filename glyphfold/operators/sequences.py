@@ -38,19 +38,50 @@ def place(
     )
 
 
+def line_bands(atoms: DataFrame) -> DataFrame:
+    """``atoms`` with ``_visit``, ``_side``, ``_band`` and ``_plain``: groups that cannot share a line (see :func:`assign_lines`).
+
+    Level atoms are visited downwards.  Where the next one lies farther below
+    the last than any line so far can reach, a band ends.  A band is plain, one
+    line, if even the smallest reach in it spans it.  Turned atoms are a side of
+    their own; nearly level ones could meet both, so their pages stay whole.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    level = (F.col("dy") == 0) & (F.col("dx") >= PARALLEL)
+    nearly = (F.col("dy") != 0) & (F.col("dx") >= PARALLEL)
+    whole = F.coalesce(F.bool_or(nearly).over(page), F.lit(False))
+    sided = atoms.withColumns(
+        {
+            "_visit": F.row_number().over(page.orderBy(F.col("by").desc(), "bx", "atom_id")),
+            "_side": F.when(whole, 2).when(level, 0).otherwise(1),
+        }
+    )
+    along = Window.partitionBy("doc_id", "page", "_side").orderBy("_visit")
+    tallest = F.max("h").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    below = F.lag("by").over(along) - F.col("by")
+    ends = (F.col("_side") == 0) & F.coalesce(below > F.greatest(F.lit(1.0), 0.35 * tallest), F.lit(False))
+    banded = sided.withColumn("_ends", ends.cast("int")).withColumn(
+        "_band", F.sum("_ends").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    band = Window.partitionBy("doc_id", "page", "_side", "_band")
+    spans = F.max("by").over(band) - F.min("by").over(band)
+    plain = (F.col("_side") == 0) & (spans <= F.greatest(F.lit(1.0), 0.35 * F.min("h").over(band)))
+    return banded.withColumn("_plain", F.coalesce(plain, F.lit(False))).drop("_ends")
+
+
 def assign_lines(atoms: DataFrame) -> DataFrame:
-    """WIN2: greedy line assignment per page, ``line_id`` in creation order.
-
-    atoms: doc_id, page, atom_id, bx, by (baseline), h, dx, dy (unit
-    direction).  The tolerance follows the growing median height of a line, so
-    the order of visits matters and a page is one fold.  Spark sorts the atoms
-    of a partition and the fold runs over the stream of batches; its state is
-    the lines of the current page.  Limits on pages are a gate of their own
-    (:mod:`glyphfold.operators.checks`).
+    """WIN2: greedy line assignment per page: ``atoms`` with ``line_id`` in creation order.
+
+    atoms: doc_id, page, atom_id, bx, by (baseline), h, dx, dy (unit direction),
+    further columns.  The tolerance follows the growing median height of a line,
+    so the order of visits matters.  Bands that can only be one line are
+    decided without a fold; only the others are folded, band by band, in the
+    order that Spark sorted, and a corpus without any needs no Python at all.
+    Limits on pages are a gate of their own (:mod:`glyphfold.operators.checks`).
     """
 
-    def visit(page: tuple | None, bx: float, by: float, h: float, dx: float, dy: float) -> tuple[tuple, tuple]:
-        lines, reachable = ([], []) if page is None else page
+    def visit(band: tuple | None, bx: float, by: float, h: float, dx: float, dy: float) -> tuple[tuple, tuple]:
+        lines, reachable = ([], []) if band is None else band
         chosen, closed = None, []
         for i in reachable:
             ox, oy, lx, ly, heights = lines[i]
@@ -72,15 +103,19 @@ def assign_lines(atoms: DataFrame) -> DataFrame:
             lines.append((bx, by, dx, dy, [h]))
         return (lines, reachable), (chosen,)
 
-    return fold_sorted(
-        atoms.withColumn("_down", -F.col("by")),
-        ["doc_id", "page"],
-        ["_down", "bx", "atom_id"],
-        ["doc_id", "page", "atom_id"],
-        ["bx", "by", "h", "dx", "dy"],
-        visit,
-        "line_id int",
-    )
+    banded = cut_lineage(line_bands(atoms))
+    found = banded.filter("_plain").withColumn("_local", F.lit(0))
+    unclear = banded.filter("not _plain")
+    if not unclear.isEmpty():
+        key = ["doc_id", "page", "_side", "_band"]
+        folded = fold_sorted(unclear, key, ["_visit"], banded.columns, ["bx", "by", "h", "dx", "dy"], visit, "_local int")
+        found = found.unionByName(folded)
+    # A line is created by its first visit.
+    created = F.min("_visit").over(Window.partitionBy("doc_id", "page", "_side", "_band", "_local"))
+    numbered = found.withColumn("_created", created).withColumn(
+        "line_id", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("_created")) - 1
+    )
+    return numbered.select(*atoms.columns, "line_id")
 
 
 def reading_order(atoms: DataFrame, line: str = "line_no", dx: Column | None = None, dy: Column | None = None) -> DataFrame:
