@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphfold.catalog import query
+from glyphfold.catalog import ORACLE, query
 from glyphfold.catalog.scalars import STYLE_SQL, SUFFIX, style_word
 from glyphfold.catalog.sqlviews import ATOMS, CATALOGUE, EDITS, LINES, SPANS
 from glyphfold.functions import text as T
@@ -365,6 +365,22 @@ def positional(spark: SparkSession, d: str) -> DataFrame:
     return J.compare_positional(expected, actual, ["conv_id"], "pos", "v")
 
 
+@query(
+    "jon9_verdict",
+    ORACLE["jon9_positional"].replace("SELECT conv_id, pos, expected, actual, valid FROM j", """, g AS (SELECT conv_id, count(*) AS compared, count(*) FILTER (NOT coalesce(valid, false) AND actual IS NULL) AS missing, count(*) FILTER (NOT coalesce(valid, false) AND expected IS NULL) AS unexpected,
+  count(*) FILTER (NOT coalesce(valid, false) AND expected IS NOT NULL AND actual IS NOT NULL) AS different FROM j GROUP BY conv_id),
+p AS (SELECT conv_id, count(*) + CASE WHEN conv_id % 5 = 2 THEN 1 ELSE 0 END AS positions FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - n_nationkey, 3 FROM nation)
+SELECT p.conv_id, positions, coalesce(compared, 0) AS compared, coalesce(missing, 0) AS missing, coalesce(unexpected, 0) AS unexpected, coalesce(different, 0) AS different,
+  coalesce(missing + unexpected + different = 0 AND compared = positions, false) AS valid FROM p LEFT JOIN g USING (conv_id)"""),
+)
+def positional_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Whole conversations; some declare another length, some are declared and not there."""
+    conv = F.col("conv_id")
+    sizes = read_table(spark, d, "conversations").groupBy("conv_id").agg((F.count(F.lit(1)) + F.when(conv % 5 == 2, 1).otherwise(0)).alias("positions"))
+    absent = read_table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("bigint").alias("conv_id"), F.lit(3).cast("bigint").alias("positions"))
+    return J.positional_verdict(positional(spark, d), ["conv_id"], sizes.unionByName(absent))
+
+
 @query(
     "jon10_snapshot_diff",
     """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 11 <> 0
@@ -387,6 +403,15 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return J.diff_snapshots(docs, after, ["doc_id"], listed)
 
 
+@query(
+    "jon10_verdict",
+    f"""WITH r AS ({ORACLE["jon10_snapshot_diff"]}) SELECT doc_id % 10 AS part, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed,
+  count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (NOT ok) AS violations, count(*) FILTER (NOT ok) = 0 AS valid FROM r GROUP BY part""",
+)
+def snapshot_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return J.snapshot_verdict(snapshot_diff(spark, d).withColumn("part", F.col("doc_id") % 10), ["part"])
+
+
 _POINTS_SQL = """pts AS (SELECT event_id AS point_id, doc_id, CAST((line_no - 1) // 50 AS INTEGER) AS page, line_no, px, -((line_no - 1) % 50)::DOUBLE + 0.5 AS py FROM
   (SELECT event_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, CAST(user_id % 70 + 1 AS INTEGER) AS line_no, value * 1.5 AS px FROM events))"""
 
@@ -435,6 +460,28 @@ def nearest(spark: SparkSession, d: str) -> DataFrame:
     return found.select("point_id", "tok_no", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "jon11_targets",
+    f"""WITH {ATOMS}, {_POINTS_SQL}, q AS (SELECT point_id, doc_id, page, px, py + (point_id % 7 - 3) * 3 AS py FROM pts),
+h AS (SELECT q.point_id, min(a.line_no * 100000 + a.tok_no) AS hit FROM q JOIN v_atoms a ON q.doc_id = a.doc_id AND q.page = a.page AND px >= x AND px <= x + w AND py >= y AND py <= y + h GROUP BY q.point_id),
+l AS (SELECT doc_id, page, line_no, min(y) - 4 AS low, max(y + h) + 4 AS high FROM v_atoms GROUP BY ALL),
+n AS (SELECT q.point_id, any_value(q.doc_id) AS doc_id, any_value(q.page) AS page, any_value(px) AS px, min(line_no) AS line_no FROM q JOIN l ON q.doc_id = l.doc_id AND q.page = l.page AND py >= low AND py <= high WHERE q.point_id NOT IN (SELECT point_id FROM h) GROUP BY q.point_id),
+c AS (SELECT n.point_id, n.line_no, a.tok_no, abs(px - (x + w / 2)) AS dist, row_number() OVER (PARTITION BY n.point_id ORDER BY abs(px - (x + w / 2)), a.tok_no) AS rn FROM n JOIN v_atoms a ON n.doc_id = a.doc_id AND n.page = a.page AND n.line_no = a.line_no),
+t AS (SELECT point_id, hit // 100000 AS line_no, hit % 100000 AS tok_no, 0.0::DOUBLE AS distance FROM h UNION ALL SELECT point_id, line_no, tok_no, round(dist, 6) FROM c WHERE rn = 1)
+SELECT q.point_id, CAST(line_no AS INTEGER) AS line_no, CAST(tok_no AS INTEGER) AS tok_no, distance, CAST((tok_no - 1) // 5 AS INTEGER) AS group_no FROM q LEFT JOIN t USING (point_id)""",
+)
+def targets(spark: SparkSession, d: str) -> DataFrame:
+    """Points on, between, above and beside lines; groups of five tokens."""
+    asked = points(spark, d).select("point_id", "doc_id", "page", "px", (F.col("py") + (F.col("point_id") % 7 - 3) * 3).alias("py"))
+    atoms = views.atoms(spark, d)
+    group = F.floor((F.col("tok_no") - 1) / 5).cast("int")
+    groups = atoms.groupBy("doc_id", "page", "line_no", group.alias("group_no")).agg(
+        F.min("tok_no").alias("start"), (F.max("tok_no") + 1).alias("end")
+    )
+    found = X.point_targets(asked, atoms, groups, ["doc_id", "page"])
+    return found.select("point_id", "line_no", "tok_no", F.round("distance", 6).alias("distance"), "group_no")
+
+
 @query(
     "jon12_bind_edits",
     f"""WITH {LINES}, {EDITS}, g AS (SELECT doc_id, page, text, count(*) AS n, min(line_no) AS line_no FROM v_lines GROUP BY ALL),
@@ -483,19 +530,45 @@ def overlay(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jon14_upsert",
-    """WITH c AS (SELECT s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 1000000 ELSE 0 END AS s_suppkey, s_name || '-new' AS s_name, s_nationkey, s_acctbal + 1 AS s_acctbal FROM supplier WHERE s_suppkey % 5 = 0)
-SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM c UNION ALL SELECT * FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.s_suppkey = s.s_suppkey)""",
+    # A repeated key, whose last change wins; a key that is new; and null keys, which are one key.
+    """WITH b AS (SELECT CASE WHEN s_suppkey % 33 = 0 THEN NULL ELSE s_suppkey END AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier),
+c AS (SELECT s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 1000000 ELSE 0 END AS s_suppkey, s_name || '-' || v AS s_name, CASE WHEN s_suppkey % 15 = 0 THEN (s_nationkey + v) % 25 ELSE s_nationkey END::INTEGER AS s_nationkey, s_acctbal + v AS s_acctbal, v FROM supplier, (SELECT unnest([1, 2, 3]) AS v) WHERE s_suppkey % 5 = 0 AND v <= s_suppkey % 3 + 1
+  UNION ALL SELECT NULL, 'none-' || s_suppkey, s_nationkey, 0.0, s_suppkey FROM supplier WHERE s_suppkey <= 2),
+l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY v DESC) = 1)
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM l UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.s_suppkey IS NOT DISTINCT FROM b.s_suppkey)""",
 )
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    base = read_table(spark, d, "supplier")
-    k = F.col("s_suppkey")
-    changes = base.filter(k % 5 == 0).select(
+    base, changes = supplier_changes(spark, d)
+    return J.upsert(base, changes, ["s_suppkey"], ["v"])
+
+
+def supplier_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    given, k = read_table(spark, d, "supplier"), F.col("s_suppkey")
+    base = given.withColumn("s_suppkey", F.when(k % 33 != 0, k))
+    versions = given.filter(k % 5 == 0).withColumn("v", F.explode(F.sequence(F.lit(1).cast("bigint"), k % 3 + 1)))
+    changes = versions.select(
         (k + F.when(k % 10 == 0, 1_000_000).otherwise(0)).alias("s_suppkey"),
-        F.concat("s_name", F.lit("-new")).alias("s_name"),
-        "s_nationkey",
-        (F.col("s_acctbal") + 1).alias("s_acctbal"),
+        F.concat("s_name", F.lit("-"), F.col("v").cast("string")).alias("s_name"),
+        F.when(k % 15 == 0, (F.col("s_nationkey") + F.col("v")) % 25).otherwise(F.col("s_nationkey")).cast("int").alias("s_nationkey"),
+        (F.col("s_acctbal") + F.col("v")).alias("s_acctbal"),
+        "v",
     )
-    return J.upsert(base, changes, ["s_suppkey"])
+    unnamed = given.filter(k <= 2).select(
+        F.lit(None).cast("bigint").alias("s_suppkey"), F.concat(F.lit("none-"), k.cast("string")).alias("s_name"), "s_nationkey", F.lit(0.0).alias("s_acctbal"), k.alias("v")
+    )
+    return base, changes.unionByName(unnamed)
+
+
+@query("jon14_copy_on_write", ORACLE["jon14_upsert"])
+def copy_on_write(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a table by nation, of which only the touched parts are written; some suppliers move to another nation."""
+    from glyphfold.catalog.sources import scratch
+
+    base, changes = supplier_changes(spark, d)
+    path = f"{scratch(spark)}/supplier"
+    base.write.partitionBy("s_nationkey").parquet(path)
+    J.upsert_table(spark, path, changes, ["s_suppkey"], "s_nationkey", ["v"])
+    return spark.read.parquet(path).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
 @query(

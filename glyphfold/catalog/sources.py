@@ -16,7 +16,8 @@ from glyphfold.session import shared_folder
 from glyphfold.sources import layout as L
 from glyphfold.sources import manifest as M
 from glyphfold.sources import sinks as K
-from glyphfold.sources.corpus import read_table
+from glyphfold.schemas import TABLES
+from glyphfold.sources.corpus import load_verified, read_table
 
 
 def scratch(spark: SparkSession) -> str:
@@ -33,6 +34,25 @@ def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
+@query(
+    "src1_verified_load",
+    """SELECT 'region' AS name, 'LOADED' AS outcome, count(*) AS rows, count(*) AS handed_on FROM region UNION ALL SELECT 'nation', 'ROWS_MISMATCH', count(*), 0 FROM nation
+UNION ALL SELECT 'supplier', 'DIGEST_MISMATCH', count(*), 0 FROM supplier UNION ALL SELECT 'part', 'SCHEMA_MISMATCH', 0, 0 UNION ALL SELECT 'customer', 'LOADED', count(*), count(*) FROM customer""",
+)
+def verified_load(spark: SparkSession, d: str) -> DataFrame:
+    """Tables against manifests, of which one has another number of rows, one another content and one another type."""
+    outcomes = []
+    for name in ("region", "nation", "supplier", "part", "customer"):
+        given = read_table(spark, d, name)
+        # A manifest of the supplier table before one balance changed.
+        known = given.withColumn("s_acctbal", F.when(F.col("s_suppkey") == 3, 0.0).otherwise(F.col("s_acctbal"))) if name == "supplier" else given
+        mark = K.fingerprint_dataset(known).first()
+        schema = TABLES[name].replace("p_size int", "p_size bigint")
+        table, outcome = load_verified(spark, name, f"{d}/{name}.parquet", schema, mark["rows"] + (name == "nation"), mark["sha256"])
+        outcomes.append((name, outcome.outcome, outcome.rows, table.count()))
+    return spark.createDataFrame(outcomes, "name string, outcome string, rows bigint, handed_on bigint")
+
+
 @query(
     "src2_verify",
     """WITH i AS (SELECT 'doc-' || doc_id AS path, doc_id, left(text, 1) AS first, strlen(text) AS len, sha256(text) AS h, text FROM documents WHERE doc_id % 29 <> 0)

@@ -51,24 +51,17 @@ def resource_usage(streams: DataFrame, doc: str, size: Column, depth: Column, fi
     )
 
 
-def walk_resources(roots: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
-    """AGG3: one row per path from each root: root, node, depth, path, status.
-
-    One join per level; the level count is the nesting limit, not data.  A node
-    met again on its own path is MALFORMED_INPUT, a path beyond the limit is
-    RESOURCE_LIMIT; both end there.  Frontiers are checkpointed reliably.
-    """
-    frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"))
-    frontier = frontier.withColumn("status", F.lit("OK"))
+def _walk(starts: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
+    """start, node, depth, path, status of every path from each start, a join for each level."""
+    status = F.lit("OK" if max_depth >= 0 else "RESOURCE_LIMIT")
+    frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), status.alias("status"))
     found = [frontier]
-    # Written once, read at every level.
-    links = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")))
     for level in range(1, max_depth + 2):
         step = (
             frontier.filter("status = 'OK'")
             .join(links, "node")
             .select(
-                "root",
+                "start",
                 F.col("_next").alias("node"),
                 F.lit(level).alias("depth"),
                 F.concat("path", F.array("_next")).alias("path"),
@@ -88,6 +81,33 @@ def walk_resources(roots: DataFrame, edges: DataFrame, max_depth: int = 12) -> D
     return out
 
 
+def walk_resources(roots: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
+    """AGG3: one row per path from each root: root, node, depth, path, status.
+
+    What follows a root's first step does not depend on the root, so the walk
+    starts once from each node that roots lead to, and the roots are joined to
+    these continuations at the end: levels grow with the resources, not with the
+    roots that use them.  A node met again on its own path is MALFORMED_INPUT, a
+    path beyond the limit is RESOURCE_LIMIT; both end there.  A continuation that
+    comes back to the root ends where it does.  Frontiers are checkpointed reliably.
+    """
+    # Written once, read at every level.
+    links = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")))
+    firsts = roots.join(links, roots["root"] == links["node"]).select("root", F.col("_next").alias("start"))
+    onward = cut_lineage(_walk(firsts.select("start").distinct(), links, max_depth - 1))
+    back = F.array_position("path", F.col("root"))
+    joined = firsts.join(onward, "start").filter((back == 0) | (back == F.size("path")))
+    paths = joined.select(
+        "root",
+        "node",
+        (F.col("depth") + 1).alias("depth"),
+        F.concat(F.array("root"), F.col("path")).alias("path"),
+        F.when(back > 0, "MALFORMED_INPUT").otherwise(F.col("status")).alias("status"),
+    )
+    itself = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit("OK").alias("status"))
+    return itself.unionByName(paths)
+
+
 def inventory(resources: DataFrame, doc: str, key: Column, name: Column, ordinal: Column, reason: Column) -> DataFrame:
     """AGG4: one row per document and equivalent name: first name, most urgent reason."""
     order = ["not-embedded", "embedded-not-reusable", "standard-font"]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence as Seq
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphfold.functions.text import family_key, name_key, parse_style
-from glyphfold.session import broadcast_if_small
+from glyphfold.session import broadcast_if_small, cut_lineage
 
 
 def resolve_unique(requests: DataFrame, targets: DataFrame, on: Seq[str], keep: Seq[str]) -> DataFrame:
@@ -310,6 +310,36 @@ def compare_positional(expected: DataFrame, actual: DataFrame, keys: Seq[str], o
     )
 
 
+def positional_verdict(compared: DataFrame, keys: Seq[str], declared: DataFrame | None = None) -> DataFrame:
+    """JON9: one row per key: positions, missing (expected only), unexpected, different, and the verdict on all of them.
+
+    compared: rows of :func:`compare_positional`; declared: keys, ``positions``
+    (how many there must be).  A key that was declared and never seen is invalid.
+    """
+    rows = compared.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("compared"),
+        F.count_if(~F.col("valid") & F.col("actual").isNull()).alias("missing"),
+        F.count_if(~F.col("valid") & F.col("expected").isNull()).alias("unexpected"),
+        F.count_if(~F.col("valid") & F.col("expected").isNotNull() & F.col("actual").isNotNull()).alias("different"),
+    )
+    sound = F.col("missing") + F.col("unexpected") + F.col("different") == 0
+    if declared is None:
+        return rows.withColumn("valid", sound)
+    joined = rows.join(declared.select(*keys, "positions"), list(keys), "full_outer")
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("compared", "missing", "unexpected", "different")}
+    return joined.withColumn("valid", F.coalesce(sound & (F.col("compared") == F.col("positions")), F.lit(False))).withColumns(zero)
+
+
+def snapshot_verdict(diff: DataFrame, keys: Seq[str] = ()) -> DataFrame:
+    """JON10: one row (per key): how many entries have each status, unauthorised changes, and the verdict of the snapshot.
+
+    diff: rows of :func:`diff_snapshots`.  A snapshot is valid if every entry is as it should be.
+    """
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "changed", "unchanged")]
+    wrong = F.count_if(~F.col("ok")).alias("violations")
+    return diff.groupBy(*keys).agg(*counts, wrong).withColumn("valid", F.col("violations") == 0)
+
+
 def diff_snapshots(before: DataFrame, after: DataFrame, key: Seq[str], allowed: DataFrame | None = None) -> DataFrame:
     """JON10: status per key and whether the change was authorised.
 
@@ -385,9 +415,57 @@ def overlay_flags(atoms: DataFrame, ranges: DataFrame, on: Seq[str], index: str,
     )
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: Seq[str]) -> DataFrame:
-    """JON14: rows of ``changes`` replace rows of ``base`` with the same key."""
-    return base.join(changes.select(*key), list(key), "left_anti").unionByName(changes)
+def last_changes(changes: DataFrame, key: Seq[str], order: Seq[str] = ()) -> DataFrame:
+    """One row per key of ``changes``: the last by ``order``; without an order repeated keys must be equal rows.
+
+    A maximum combines map-side, so very many changes of one key cost one row per task.
+    """
+    rest = [c for c in changes.columns if c not in key]
+    if not rest:
+        return changes.distinct()
+    # Rows that are equal by the order are told apart by their content, so that the result is one and the same.
+    last = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in rest])).alias("_last")
+    return changes.groupBy(*key).agg(last).select(*[F.col(c) if c in key else F.col(f"_last.{c}").alias(c) for c in changes.columns])
+
+
+def upsert(base: DataFrame, changes: DataFrame, key: Seq[str], order: Seq[str] = ()) -> DataFrame:
+    """JON14: rows of ``changes`` replace rows of ``base`` with the same key; the last change of a key wins.
+
+    Null keys are keys like others.  ``order`` names columns of ``changes``; those that ``base`` lacks are left out.
+    """
+    final = last_changes(changes, key, order).select(*base.columns)
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
+    return base.alias("b").join(final.select(*key).alias("c"), same, "left_anti").unionByName(final)
+
+
+def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: Seq[str], partition: str, order: Seq[str] = ()) -> DataFrame:
+    """JON14 on a Parquet table partitioned by ``partition``: only partitions that change are written again.
+
+    Those are where a changed key is now or will be.  Their new content is
+    written aside (a reliable checkpoint) before it replaces them, so a job that
+    fails before that leaves the table as it was.  Returns the touched partitions.
+    """
+    base = spark.read.parquet(path)
+    final = cut_lineage(last_changes(changes, key, order).select(*base.columns))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
+    held = base.alias("b").join(final.select(*key).alias("c"), same, "left_semi").select(partition)
+    touched = cut_lineage(held.unionByName(final.select(partition)).distinct())
+    inside = F.col(f"b.{partition}").eqNullSafe(F.col(f"t.{partition}"))
+    affected = base.alias("b").join(broadcast_if_small(touched).alias("t"), inside, "left_semi")
+    content = cut_lineage(upsert(affected, final, key))
+    writer = content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition)
+    writer.parquet(path)
+    # A partition that lost its last row to another one has nothing that could replace it.
+    emptied = touched.join(content.select(F.col(partition).alias("_p")).distinct(), F.col(partition).eqNullSafe(F.col("_p")), "left_anti")
+    for row in emptied.collect():  # partitions, not rows
+        _drop_partition(spark, path, partition, row[partition])
+    return touched
+
+
+def _drop_partition(spark: SparkSession, path: str, partition: str, value: object) -> None:
+    name = "__HIVE_DEFAULT_PARTITION__" if value is None else spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
