@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,12 +66,33 @@ def attributes_of(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)}
 
 
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+#: What closes what, the other way round: the open elements that a start tag ends.
+_ENDS = {tag: [over for over, by in ENDED_BY.items() if tag in by] for tag in {t for by in ENDED_BY.values() for t in by}}
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    """Whether an element's own attributes keep it and all inside it from being shown."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return bool(_UNSHOWN.search(attributes.get("style", "")))
+
+
 def parse(source: str) -> tuple[list[Node], list[Block]]:
-    """Nodes, parents before children (0 is the root), and blocks in page order."""
+    """Nodes, parents before children (0 is the root), and blocks in page order.
+
+    Text inside hidden inline elements is left out.  Open elements are counted
+    by name, so a tag that closes nothing costs no walk over what is open.
+    """
     nodes, blocks = [Node("#root", -1)], []
     open_tags: list[tuple[str, int]] = [("#root", 0)]  # (tag, its block node)
     parts: list[str] = []
     links = 0
+    # Open inline elements since each open block, open blocks of all, and what a start tag may end since each scope.
+    inline_open: list[Counter[str]] = [Counter()]
+    blocks_open: Counter[str] = Counter()
+    endable: list[Counter[str]] = [Counter()]
+    unshown: list[int] = []  # depths of hidden inline elements
     at, size = 0, len(source)
     no_comment_end = False
 
@@ -83,11 +105,35 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
                 node.chars += len(text)
                 blocks.append(Block(open_tags[-1][1], text))
 
+    def push(tag: str, node: int) -> None:
+        open_tags.append((tag, node))
+        if tag in INLINE:
+            inline_open[-1][tag] += 1
+        else:
+            inline_open.append(Counter())
+            blocks_open[tag] += 1
+        if tag in SCOPE:
+            endable.append(Counter())
+        elif tag in ENDED_BY:
+            endable[-1][tag] += 1
+
     def close(upto: int) -> None:
         nonlocal links
         if any(tag not in INLINE for tag, _ in open_tags[upto:]):
             flush()
-        links -= sum(tag == "a" for tag, _ in open_tags[upto:])
+        for tag, _ in reversed(open_tags[upto:]):
+            if tag in SCOPE:
+                endable.pop()
+            elif tag in ENDED_BY:
+                endable[-1][tag] -= 1
+            if tag in INLINE:
+                inline_open[-1][tag] -= 1
+                links -= tag == "a"
+            else:
+                inline_open.pop()
+                blocks_open[tag] -= 1
+        while unshown and unshown[-1] >= upto:
+            unshown.pop()
         del open_tags[upto:]
 
     while at < size:
@@ -95,7 +141,7 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
         if opened < 0:
             opened = size
         if opened > at:
-            text = html.unescape(source[at:opened])
+            text = "" if unshown else html.unescape(source[at:opened])
             parts.append(text)
             if links:
                 nodes[open_tags[-1][1]].link_chars += len(text.strip())
@@ -116,12 +162,14 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
                 end = source.find(">", opened)  # a tag with an open quote
                 at = size if end < 0 else end + 1
             else:
-                parts.append("<")
+                parts.append("" if unshown else "<")
                 at = opened + 1
             continue
         at = match.end()
         tag = match[2].lower()
         if match[1]:
+            if not (inline_open[-1][tag] if tag in INLINE else blocks_open[tag]):
+                continue
             for depth in range(len(open_tags) - 1, 0, -1):
                 if open_tags[depth][0] == tag:
                     close(depth)
@@ -135,16 +183,19 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
             if tag == "hr":
                 flush()
             continue
-        for depth in range(len(open_tags) - 1, 0, -1):
-            over = open_tags[depth][0]
-            if tag in ENDED_BY.get(over, ()):
-                close(depth)
-                break
-            if over in SCOPE:
-                break
+        if any(endable[-1][over] for over in _ENDS.get(tag, ())):
+            for depth in range(len(open_tags) - 1, 0, -1):
+                over = open_tags[depth][0]
+                if tag in ENDED_BY.get(over, ()):
+                    close(depth)
+                    break
+                if over in SCOPE:
+                    break
         if tag in INLINE:
-            open_tags.append((tag, open_tags[-1][1]))
+            push(tag, open_tags[-1][1])
             links += tag == "a"
+            if match[3].strip() and is_hidden(attributes_of(match[3])):
+                unshown.append(len(open_tags) - 1)
             continue
         flush()
         nodes.append(Node(tag, open_tags[-1][1], attributes_of(match[3]) if match[3].strip() else {}))
@@ -156,7 +207,7 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
             skipped = source.find(">", at)
             at = size if skipped < 0 else skipped + 1
             continue
-        open_tags.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     flush()
     return nodes, blocks
 

@@ -14,17 +14,22 @@ Both potentials are trained from labelled pages: those of
 copies of the latter the marking tags become plain ``div``, so that the model
 learns to do without them.
 
-Pages are parsed in Arrow batches; nothing is shuffled.
+Pages are parsed in Arrow batches; nothing is shuffled.  Parsing and features
+take time and memory in proportion to a page's length, however deep it is.
 
 Defined cases: null or empty html has no text; a page without labelled
-companions is judged by the shipped pages alone; repeated rows are judged
-alike; other columns are ignored.
+companions is judged by the shipped pages alone; the sample holds pages up to
+``SAMPLE_CHARS`` characters, all pages are judged whole; repeated rows are judged
+alike; hidden elements (by tag, ``hidden``, ``aria-hidden``, ``display`` or
+``visibility``) have no text, nor has anything inside them; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphfold.llm.dom import Node, parse
+from glyphfold.llm.dom import Node, is_hidden, parse
 from glyphfold.llm.labelled_pages import LABELLED
 
 SAMPLE_PAGES = 300
@@ -45,6 +50,9 @@ SHIPPED_WEIGHT = 40.0
 HIDDEN = frozenset(
     "script style head title template noscript svg math canvas object iframe form select button textarea option datalist noembed noframes map audio video".split()
 )
+#: Of these, elements inside which nothing is prose either.  A form is not one: many pages are a form as a whole, so that
+#: its elements are judged by themselves.
+COVERING = HIDDEN - {"form"}
 #: Elements whose tag says what they are for.
 SECTIONS = frozenset("article main section nav aside footer header form menu body".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -85,6 +93,41 @@ def features(nodes: list[Node]) -> list[list[str]]:
     return found
 
 
+def scores(nodes: list[Node], weights: dict[str, float]) -> list[float]:
+    """The summed weights of :func:`features`, in one addition for each name that a node is the first to have on its path."""
+    chars = [n.chars for n in nodes]
+    links = [n.link_chars for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i].parent] += chars[i]
+        links[nodes[i].parent] += links[i]
+    on_path: Counter[str] = Counter()
+    path: list[tuple[int, frozenset[str]]] = []
+    near: list[float] = []
+    below: list[float] = []  # what a node's children get from the names on their path
+    out = []
+    for i, node in enumerate(nodes):
+        while path and path[-1][0] != node.parent:
+            on_path.subtract(path.pop()[1])
+        named = " ".join(v for k, v in node.attributes.items() if k in ("class", "id", "role", "itemprop", "aria-label"))
+        words = {w.lower() for w in _WORD.findall(named)}
+        above = below[node.parent] if i else 0.0
+        mine = frozenset(words | {node.tag})
+        below.append(above + sum(weights.get(f"in={w}", 0.0) for w in sorted(mine) if not on_path[w]))
+        on_path.update(mine)
+        path.append((i, mine))
+        own_names = words | ({node.tag} & SECTIONS)
+        near.append(sum(weights.get(f"near={w}", 0.0) for w in sorted(own_names)) if own_names or not i else near[node.parent])
+        own = (
+            "bias",
+            f"tag={node.tag}",
+            f"own={_bucket(node.chars)}",
+            f"links={min(10, 10 * links[i] // max(1, chars[i]))}",
+            f"parent={nodes[node.parent].tag if i else ''}",
+        )
+        out.append(sum(weights.get(name, 0.0) for name in own) + near[i] + above)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """``weights`` by feature for being content; ``pairs[parent state][child state]``."""
@@ -95,13 +138,13 @@ class Model:
 
 def marginals(nodes: list[Node], model: Model) -> list[float]:
     """Probability of each node to be content: sum-product on the tree of nodes."""
-    unary = []
-    for node, named in zip(nodes, features(nodes), strict=True):
-        if node.tag in HIDDEN or node.attributes.get("hidden") is not None or "display:none" in node.attributes.get("style", "").replace(" ", ""):
-            chance = 0.0
-        else:
-            score = sum(model.weights.get(name, 0.0) for name in named)
-            chance = 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+    unary: list[tuple[float, float]] = []
+    covered: list[bool] = []
+    for node, score in zip(nodes, scores(nodes, model.weights), strict=True):
+        # What a hidden element holds is as hidden as itself.
+        under = covered[node.parent] if node.parent >= 0 else False
+        covered.append(under or node.tag in COVERING or is_hidden(node.attributes))
+        chance = 0.0 if covered[-1] or node.tag in HIDDEN else 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
         unary.append((1 - chance, chance))
     (p00, p01), (p10, p11) = model.pairs
     n = len(nodes)
@@ -214,10 +257,11 @@ def train_model(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     total = pages.count()
     if total:
         share = min(1.0, 1.2 * sample_pages / total) * 1_000_003
-        chosen = pages.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share).filter(
+        chosen = pages.filter(F.pmod(F.xxhash64(id_col, html_col), F.lit(1_000_003)) < share).filter(
             F.col(html_col).isNotNull() & (F.length(html_col) <= SAMPLE_CHARS) & F.contains(html_col, F.lit("<article"))
         )
-        for row in chosen.select(html_col).limit(sample_pages).collect():
+        # A top-k by a hash: the same pages however the table is dealt to tasks.
+        for row in chosen.orderBy(F.xxhash64(id_col, html_col), html_col).select(html_col).limit(sample_pages).collect():
             nodes, _ = parse(row[0])
             marks = labels_by_article(nodes)
             if marks is not None:

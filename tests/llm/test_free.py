@@ -222,6 +222,70 @@ def test_page_edges(spark, page_model):
     assert html_text.digest(frame.limit(0)).count() == 0
 
 
+HIDING = {
+    "noscript": "<noscript>{}</noscript>",
+    "template": "<template>{}</template>",
+    "button": "<button>{}</button>",
+    "hidden": "<div hidden>{}</div>",
+    "aria": '<section aria-hidden="true"><div>{}</div></section>',
+    "display": '<div style="color: red; DISPLAY : none">{}</div>',
+    "visibility": '<div style="visibility:hidden"><div><div>{}</div></div></div>',
+    "inline": '<p><span style="display:none">{}</span></p>',
+    "inline nested": "<p><b hidden>a<i>{}</i>b</b></p>",
+}
+
+
+@pytest.mark.parametrize("kind", HIDING)
+def test_hidden_text_is_not_shown(page_model, kind):
+    shown = "<p>The text of this article runs on for a while, as texts do, for many words more.</p>"
+    secret = "Nobody who opens this page sees these many words, however long the sentence is."
+    inner = secret if "inline" in kind else f"<p>{secret}</p>"
+    page = f"<html><body><article>{shown}{HIDING[kind].format(inner)}{shown}</article></body></html>"
+    found = html_text.main_blocks(page, page_model)
+    assert len(found) == 2 and not any("Nobody" in f for f in found)
+
+
+def test_a_page_that_is_one_form(page_model):
+    page = "<body><form id=all><article><h1>Title of it</h1><p>The text of this article runs on for a while, as texts do.</p></article></form></body>"
+    assert html_text.main_blocks(page, page_model) == ["Title of it", "The text of this article runs on for a while, as texts do."]
+
+
+DEEP = {
+    "spans": "<p>" + "<span>" * 20_000 + "x" + "</b>" * 20_000,
+    "divs": "".join(f'<div class="c{i} d{i}">' for i in range(20_000)) + "x",
+    "blocked": "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000,
+    "items": "<ul>" + "<span>" * 20_000 + "<li>x" * 20_000,
+    "wide": "<div class='" + " ".join(f"w{i}" for i in range(3_000)) + "'>" + "<p>x" * 20_000,
+}
+
+
+@pytest.mark.parametrize("kind", DEEP)
+def test_deep_pages_take_linear_time_and_memory(page_model, kind):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    html_text.main_blocks(DEEP[kind], page_model)
+    assert time.process_time() - began < 6  # a second or less on a machine at rest
+    tracemalloc.start()
+    html_text.main_blocks(DEEP[kind], page_model)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_scores_are_the_weights_of_the_features(page_model):
+    for source in ["<div class=a><p class='b a'>one<div id=a-b><p>two</p><ul><li>three<li>four</ul></div></div><main><p>five", *html_text.LABELLED]:
+        nodes, _ = parse(source)
+        want = [sum(page_model.weights.get(n, 0.0) for n in named) for named in html_text.features(nodes)]
+        assert html_text.scores(nodes, page_model.weights) == pytest.approx(want)
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    a, b = (html_text.train_model(pages.repartition(n), sample_pages=40) for n in (2, 9))
+    assert a == b
+
+
 def exact_marginals(nodes, unary, pairs):
     """By enumeration of all labellings."""
     total, on = 0.0, [0.0] * len(nodes)
