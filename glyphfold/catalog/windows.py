@@ -503,6 +503,58 @@ def merge_spans(spark: SparkSession, d: str) -> DataFrame:
     return merged.select(*LINE, "ordinal", "char_start", "char_end", "outcome")
 
 
+_REDRAW_SQL = f"""{LINES}, s AS (SELECT doc_id, page, line_no, text, row_number() OVER p - 1 AS n, CAST(sum(length(text)) OVER p AS BIGINT) AS e, doc_id % 10 = 6 AND line_no % 50 = 3 OR doc_id % 12 = 5 AND line_no % 50 = 2 AS odd, line_no % 4 * 1.5::DOUBLE AS x, -((line_no - 1) % 50)::DOUBLE AS y FROM v_lines WINDOW p AS (PARTITION BY doc_id, page ORDER BY line_no)),
+m AS (SELECT doc_id, page, count(*) AS spans, NOT bool_or(odd) AND doc_id % 7 <> 2 AND max(e) > 0 AS ok, min(x) AS x, min(y) AS y, max(x + length(text)) - min(x) AS w, max(y + 1.0) - min(y) AS h, max(e) AS glyphs FROM s GROUP BY doc_id, page)"""
+
+
+@query(
+    "win18_controlled",
+    f"""WITH {_REDRAW_SQL} SELECT doc_id, page, CASE WHEN ok THEN 'MERGED' ELSE 'REFUSED' END AS outcome, CASE WHEN ok THEN 'redrawn ' || doc_id END AS text, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN w END AS w, CASE WHEN ok THEN h END AS h,
+  CASE WHEN ok THEN 0 END AS op_start, CASE WHEN ok THEN CAST(3 * spans + 1 AS INTEGER) END AS op_end, CASE WHEN ok THEN CAST(glyphs AS INTEGER) END AS glyphs FROM m""",
+)
+def controlled(spark: SparkSession, d: str) -> DataFrame:
+    return S.merge_controlled(*redraws(spark, d), ["doc_id", "page"], "line_no")[0]
+
+
+@query(
+    "win18_controlled_pieces",
+    f"""WITH {_REDRAW_SQL} SELECT doc_id, page, CAST(n AS INTEGER) AS span_no, e - length(text) AS glyph_start, e AS glyph_end, doc_id % 3 <> 0 AND n % 4 = 0 AS underline, doc_id % 3 <> 0 AND n % 4 < 2 AS strike FROM s JOIN m USING (doc_id, page) WHERE ok""",
+)
+def controlled_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return S.merge_controlled(*redraws(spark, d), ["doc_id", "page"], "line_no")[1]
+
+
+def redraws(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as the spans of a redraw for each page; some with another font, another operation or one span too few."""
+    lines = views.lines_of(docs_by_id(spark, d))
+    doc, line = F.col("doc_id"), F.col("line_no")
+    spans = lines.select(
+        *LINE,
+        "text",
+        F.when((doc % 10 == 6) & (line % 50 == 3), "B").otherwise("A").alias("font"),
+        (3 * ((line - 1) % 50) + F.when((doc % 12 == 5) & (line % 50 == 2), 1).otherwise(0)).alias("op_start"),
+        (line % 4 * 1.5).alias("x"),
+        (-((line - 1) % 50)).cast("double").alias("y"),
+        F.length("text").cast("double").alias("w"),
+        F.lit(1.0).alias("h"),
+    )
+    size = F.count(F.lit(1)).cast("int")
+    counted = lines.groupBy("doc_id", "page").agg(size.alias("_n"))
+    upto = F.sequence(F.lit(0), F.col("_n") - 1)
+    marks = F.array(*[F.struct(F.lit(u).alias("underline"), F.lit(k).alias("strike")) for u, k in ((True, True), (False, True))])
+    stated = counted.select(
+        "doc_id",
+        "page",
+        F.concat(F.lit("redrawn "), doc.cast("string")).alias("actual_text"),
+        (3 * F.col("_n") + 1).alias("operations"),
+        F.transform(F.when(doc % 7 == 2, F.concat(upto, F.array("_n"))).otherwise(upto), lambda i: 3 * i).alias("op_indexes"),
+        F.transform(upto, lambda i: F.lit("A")).alias("fonts"),
+        F.transform(upto, lambda i: i % 4).alias("run_indexes"),
+        F.when(doc % 3 != 0, marks).alias("decorations"),
+    )
+    return spans, stated
+
+
 @query(
     "win19_cluster_text",
     f"""WITH {ATOMS}, g AS (SELECT doc_id, line_no, tok_no, CAST(x - CASE WHEN tok_no % 3 = 2 THEN 0 ELSE 0 END AS BIGINT) AS x, last_value(CASE WHEN tok_no % 3 <> 0 OR rn = 1 THEN CAST(x AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS cl

@@ -22,6 +22,9 @@ italic oblique black heavy light bold book thin
 # Unicode ranges whose letters make a line right-to-left.
 RTL_RANGES = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFD}\x{FE70}-\x{FEFC}]"
 
+#: Code points of a stretch in which the end of a grapheme cluster is looked for first.
+CLUSTER_STRETCH = 32
+
 ASCII_ONLY = r"^\p{ASCII}*$"
 # The white space that text comparison ignores.
 SPACE_CLASS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -175,7 +178,13 @@ def widened_start(value: Column, start: Column) -> Column:
 def widened_end(value: Column, end: Column) -> Column:
     """SCL16: ``end`` moved on to the boundary of the cluster it cuts."""
     start = widened_start(value, end - 1)
-    cluster = F.regexp_extract(F.substring(value, start + 1, F.length(value)), r"^(\X)", 1)
+
+    def first_cluster(length: Column) -> Column:
+        return F.regexp_extract(F.substring(value, start + 1, length), r"^(\X)", 1)
+
+    # A cluster is a few code points; only one that fills the stretch is looked for in all that follows.
+    near = first_cluster(F.lit(CLUSTER_STRETCH))
+    cluster = F.when(F.length(near) < CLUSTER_STRETCH, near).otherwise(first_cluster(F.length(value)))
     return F.when(end <= 0, end).otherwise(F.greatest(end, start + F.length(cluster)))
 
 

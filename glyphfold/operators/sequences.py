@@ -866,6 +866,68 @@ def merge_spans(spans: DataFrame, keys: Seq[str], order: str, text: str, expecte
     ).drop("_ok")
 
 
+def merge_controlled(
+    spans: DataFrame, controlled: DataFrame, keys: Seq[str], order: str
+) -> tuple[DataFrame, DataFrame]:
+    """WIN18: spans that one redraw made become one span again, where they are what the redraw says.
+
+    spans: keys, order, text, font, op_start (operation that draws it), x, y, w, h;
+    controlled: keys, actual_text, operations (their number), op_indexes,
+    fonts, run_indexes and decorations (arrays; the last two nullable; a
+    decoration is underline, strike).  By position every span must be drawn by
+    the operation and with the font that the redraw names, and there must be as many.
+
+    Returns (merged, pieces): merged has a row per redraw: keys, outcome (MERGED
+    or REFUSED), text (the redraw's own), x, y, w, h (of all spans), op_start,
+    op_end (all operations), glyphs; pieces has the spans of merged ones with
+    span_no (from 0), glyph_start and glyph_end in the merged span, and the underline
+    and strike of their run (false where it names none).
+    """
+    ranged = Sequence(char_ranges(spans, keys, [order], "text"), keys, [order]).row_number("_no").done()
+    numbered = ranged.withColumn("span_no", F.col("_no") - 1).drop("_no")
+    place = lambda c: F.get(F.col(c), F.col("span_no"))
+    joined = numbered.join(controlled, list(keys))
+    agrees = F.coalesce((F.col("op_start") == place("op_indexes")) & F.col("font").eqNullSafe(place("fonts")), F.lit(False))
+    found = joined.groupBy(*keys).agg(
+        F.every(agrees).alias("_agrees"),
+        F.count(F.lit(1)).alias("_spans"),
+        F.max("char_end").cast("int").alias("_glyphs"),
+        F.min("x").alias("_x"),
+        F.min("y").alias("_y"),
+        F.max(F.col("x") + F.col("w")).alias("_right"),
+        F.max(F.col("y") + F.col("h")).alias("_top"),
+    )
+    whole = controlled.join(found, list(keys), "left")
+    sound = F.col("_agrees") & (F.col("_spans") == F.size("op_indexes")) & (F.col("_spans") == F.size("fonts")) & (F.col("_glyphs") > 0)
+    judged = whole.withColumn("_ok", F.coalesce(sound, F.lit(False)))
+
+    def if_merged(value: Column) -> Column:
+        return F.when(F.col("_ok"), value)
+
+    merged = judged.select(
+        *keys,
+        F.when(F.col("_ok"), "MERGED").otherwise("REFUSED").alias("outcome"),
+        if_merged(F.col("actual_text")).alias("text"),
+        if_merged(F.col("_x")).alias("x"),
+        if_merged(F.col("_y")).alias("y"),
+        if_merged(F.col("_right") - F.col("_x")).alias("w"),
+        if_merged(F.col("_top") - F.col("_y")).alias("h"),
+        if_merged(F.lit(0)).alias("op_start"),
+        if_merged(F.col("operations")).alias("op_end"),
+        if_merged(F.col("_glyphs")).alias("glyphs"),
+    )
+    run = F.get(F.col("decorations"), place("run_indexes"))
+    pieces = joined.join(judged.filter("_ok").select(*keys), list(keys), "left_semi").select(
+        *keys,
+        "span_no",
+        F.col("char_start").alias("glyph_start"),
+        F.col("char_end").alias("glyph_end"),
+        F.coalesce(run["underline"], F.lit(False)).alias("underline"),
+        F.coalesce(run["strike"], F.lit(False)).alias("strike"),
+    )
+    return merged, pieces
+
+
 def cluster_text(glyphs: DataFrame, texts: DataFrame, keys: Seq[str], index: str, cluster: str, text: str, filler: str = "") -> DataFrame:
     """WIN19: text per glyph: the last glyph of a cluster carries the cluster's
     text (up to the next cluster start), the others the filler."""

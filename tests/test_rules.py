@@ -218,3 +218,15 @@ def test_broadcasts_are_bounded_in_bytes(spark):
     small = spark.range(50).select("id", F.lit("x").alias("t"))
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(broadcast_if_small(small)) and not hinted(broadcast_if_small(long)) and not hinted(broadcast_if_small(small, 10))
+
+
+def test_ends_widen_over_clusters_of_any_length(spark):
+    from glyphfold.functions.text import CLUSTER_STRETCH, widened_end
+
+    long = "a" + "́" * (3 * CLUSTER_STRETCH) + "b"
+    exact = "a" + "́" * (CLUSTER_STRETCH - 1) + "b"
+    rows = [("abc", 1, 1), (long, 1, len(long) - 1), (exact, 5, CLUSTER_STRETCH), (long, len(long), len(long)), ("", 0, 0), ("x́y", 2, 2)]
+    df = spark.createDataFrame(rows, "t string, e int, want int")
+    from pyspark.sql import functions as F
+
+    assert all(r.got == r.want for r in df.select("want", widened_end(F.col("t"), F.col("e")).alias("got")).collect())

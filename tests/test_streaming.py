@@ -180,3 +180,13 @@ def test_stale_results_in_micro_batches(spark, tmp_path):
     got = drained(spark, T.drop_stale_stream(stream, "k", "g", ["o"]), tmp_path)
     want = T.drop_stale(spark.createDataFrame(rows, "k bigint, o bigint, g bigint"), ["k"], ["o"], "g")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_copies_pass_again_beyond_the_horizon(spark, tmp_path):
+    """State of a content ends with the horizon: a copy inside it is dropped, one after the watermark has passed it is not."""
+    rows = [("a", 1_000), ("b", 1_010), ("a", 1_500), ("a", 4_000), ("c", 9_000), ("c", 9_001), ("a", 60_000), ("z", 200_000), ("y", 200_500), ("a", 200_501)]
+    stream = batches_of(spark, rows, "text string, s bigint", str(tmp_path / "in"), len(rows))
+    timed = stream.select("text", F.timestamp_seconds("s").alias("at"))
+    got = drained(spark, T.dedupe_stream(timed, "text", "at", "3600 seconds"), tmp_path)
+    seen = sorted((r.text, int(r.at.timestamp())) for r in got.collect())
+    assert seen == [("a", 1_000), ("a", 60_000), ("a", 200_501), ("b", 1_010), ("c", 9_000), ("y", 200_500), ("z", 200_000)]
