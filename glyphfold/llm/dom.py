@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,9 +88,9 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
     parts: list[str] = []
     links = 0
     # Open inline elements since each open block, open blocks of all, and what a start tag may end since each scope.
-    inline_open: list[Counter[str]] = [Counter()]
-    blocks_open: Counter[str] = Counter()
-    endable: list[Counter[str]] = [Counter()]
+    inline_open: list[dict[str, int]] = [{}]
+    blocks_open: dict[str, int] = {}
+    endable: list[dict[str, int]] = [{}]
     unshown: list[int] = []  # depths of hidden inline elements
     at, size = 0, len(source)
     no_comment_end = False
@@ -108,14 +107,16 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
     def push(tag: str, node: int) -> None:
         open_tags.append((tag, node))
         if tag in INLINE:
-            inline_open[-1][tag] += 1
+            here = inline_open[-1]
+            here[tag] = here.get(tag, 0) + 1
         else:
-            inline_open.append(Counter())
-            blocks_open[tag] += 1
+            inline_open.append({})
+            blocks_open[tag] = blocks_open.get(tag, 0) + 1
         if tag in SCOPE:
-            endable.append(Counter())
+            endable.append({})
         elif tag in ENDED_BY:
-            endable[-1][tag] += 1
+            here = endable[-1]
+            here[tag] = here.get(tag, 0) + 1
 
     def close(upto: int) -> None:
         nonlocal links
@@ -168,7 +169,7 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
         at = match.end()
         tag = match[2].lower()
         if match[1]:
-            if not (inline_open[-1][tag] if tag in INLINE else blocks_open[tag]):
+            if not (inline_open[-1] if tag in INLINE else blocks_open).get(tag):
                 continue
             for depth in range(len(open_tags) - 1, 0, -1):
                 if open_tags[depth][0] == tag:
@@ -183,7 +184,7 @@ def parse(source: str) -> tuple[list[Node], list[Block]]:
             if tag == "hr":
                 flush()
             continue
-        if any(endable[-1][over] for over in _ENDS.get(tag, ())):
+        if tag in _ENDS and endable[-1] and any(endable[-1].get(over) for over in _ENDS[tag]):
             for depth in range(len(open_tags) - 1, 0, -1):
                 over = open_tags[depth][0]
                 if tag in ENDED_BY.get(over, ()):
