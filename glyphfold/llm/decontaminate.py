@@ -21,8 +21,10 @@ Words are runs of letters and digits (anything beyond ASCII counts as one),
 lower-cased.  Items of fewer than five words are one shingle of all their words.
 
 Defined cases: null or empty texts have no words and match nothing; rows without
-an id are not searched; rows that repeat an id are one document (or item); an
-empty benchmark or table gives an empty result; other columns are ignored.
+an id are not searched by ``contained_items``, but are by ``clean``; rows that
+share a document id but not a text are judged apart (and named apart: one row of
+the result each), repeated rows as one; rows that repeat an item id are one item;
+an empty benchmark or table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,13 +109,16 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return per_item.select("_item", least.alias("_least"), F.explode(F.slice("_all", F.lit(1), k)).alias("_hash"))
 
 
-def candidates(docs: DataFrame, sketch: DataFrame, widths: list[int], id_col: str, text_col: str, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """(_doc, _item): pairs that share a sketch entry, the document being long enough."""
+def document_row(id_col: str, text_col: str) -> Column:
+    """What tells a row from others of its id: the id and a hash of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
+def candidates(rows: DataFrame, sketch: DataFrame, widths: list[int], index_rows: int = INDEX_ROWS) -> DataFrame:
+    """(_doc, _item): pairs that share a sketch entry, the document (rows: _doc, _text) being long enough."""
     blocks = max(1, math.ceil(sketch.count() / index_rows))
-    probe = (
-        docs.select(F.col(id_col).alias("_doc"), shingle_hashes(F.col(text_col), widths).alias("_all"))
-        .filter(F.col("_doc").isNotNull())
-        .select("_doc", F.size("_all").alias("_size"), F.explode("_all").alias("_hash"))
+    probe = rows.select("_doc", shingle_hashes(F.col("_text"), widths).alias("_all")).select(
+        "_doc", F.size("_all").alias("_size"), F.explode("_all").alias("_hash")
     )
     found = None
     for block in range(blocks):
@@ -135,12 +140,13 @@ def contained_items(
     index_rows: int = INDEX_ROWS,
 ) -> DataFrame:
     """(id, item, n_shared, n_item_shingles, containment): pairs of containment at or over ``threshold``."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(document_row(id_col, text_col).alias("_doc"), F.col(text_col).alias("_text"))
     shingles = cut_lineage(item_shingles(items, item_col, item_text_col))
     widths = sorted(row[0] for row in shingles.select("_width").distinct().collect())  # at most five
     sizes = shingles.groupBy("_item").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = cut_lineage(candidates(docs, cut_lineage(sketches(shingles, threshold)), widths or [SHINGLE], id_col, text_col, index_rows))
+    pairs = cut_lineage(candidates(rows, cut_lineage(sketches(shingles, threshold)), widths or [SHINGLE], index_rows))
     few = broadcast_if_small(pairs.select("_doc").distinct(), index_rows)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(few, "_doc", "left_semi")
+    texts = rows.join(few, "_doc", "left_semi")
     held = texts.select("_doc", F.explode(shingle_texts(F.col("_text"), widths or [SHINGLE])).alias("_shingle"))
     index = broadcast_if_small(shingles.select("_shingle", "_item"), index_rows)
     shared = held.join(index, "_shingle").groupBy("_doc", "_item").agg(F.count_distinct("_shingle").alias("n_shared"))
@@ -150,12 +156,15 @@ def contained_items(
         .withColumn("containment", F.col("n_shared") / F.col("_n"))
         .filter(F.col("containment") >= threshold)
         .select(
-            F.col("_doc").alias(id_col), F.col("_item").alias(item_col), "n_shared", F.col("_n").alias("n_item_shingles"), "containment"
+            F.col("_doc.id").alias(id_col), F.col("_item").alias(item_col), "n_shared", F.col("_n").alias("n_item_shingles"), "containment"
         )
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that contain an item."""
-    leaked = cut_lineage(contained_items(docs, items, id_col, text_col).select(id_col).distinct())
-    return docs.join(broadcast_if_small(leaked), id_col, "left_anti")
+    """``docs`` without those that contain an item, rows without an id among them."""
+    row = document_row(id_col, text_col)
+    found = contained_items(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), items, "_row", "_text")
+    leaked = broadcast_if_small(cut_lineage(found.select("_row").distinct()))
+    # Structs are equal where the same fields are null.
+    return docs.alias("d").join(leaked.alias("l"), document_row(f"d.{id_col}", f"d.{text_col}") == F.col("l._row"), "left_anti")

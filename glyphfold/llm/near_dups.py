@@ -6,6 +6,9 @@
    the set.  Two permutations thus give all coordinates, and a document's
    coordinates are the column minima of runs of one array.
 2. Equal sets are one class from here on, whatever the number of copies.
+   Classes are numbered in the order of their smallest ids, so a number is one
+   class's own even where rows share an id, and the smallest number of a group
+   has its smallest id.
 3. Signatures are cut into bands.  Classes that agree in a band meet its
    smallest member; the connected groups of these stars are candidate clusters.
    A pair of similarity 0.85 agrees in no band with probability 3e-7 (32 bands
@@ -24,8 +27,9 @@ costs m^2 comparisons, spread over its block pairs.
 
 Defined cases: null, empty and wordless texts are linked with nothing; rows
 without an id are linked with nothing and kept, their component is null; rows
-that repeat an id are one document; an empty table gives an empty result; other
-columns are ignored.
+that share an id but not a text are documents of their own, linked only by
+their texts (repeated rows get the same result); ids may be of any type that
+can be ordered; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,10 +95,11 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_id, n_shingles, _f1, _f2, _bands): one row for each row; the last three null for an empty set."""
+    """(_id, _th, n_shingles, _f1, _f2, _bands): one row for each row; the last three null for an empty set.  _th: hash of the text."""
     schema = T.StructType(
         [
             T.StructField("_id", docs.schema[id_col].dataType),
+            T.StructField("_th", T.LongType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("_f1", T.LongType()),
             T.StructField("_f2", T.LongType()),
@@ -116,22 +121,22 @@ def prints(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                 pa.array([m[1] for m in marks], pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 def candidate_stars(classes: DataFrame) -> DataFrame:
     """Distinct (a, b): each class and the smallest class of a band it shares with others."""
-    banded = classes.select("_rep", F.explode("_bands").alias("_key"))
+    banded = classes.select("_node", F.explode("_bands").alias("_key"))
     leads = cut_lineage(
         banded.groupBy("_key")
-        .agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last"))
+        .agg(F.min("_node").alias("_lead"), F.max("_node").alias("_last"))
         .filter(F.col("_lead") < F.col("_last"))
         .select("_key", "_lead")
     )
-    met = banded.join(leads, "_key").filter(F.col("_rep") > F.col("_lead"))
-    return met.select(F.col("_rep").alias("a"), F.col("_lead").alias("b")).distinct()
+    met = banded.join(leads, "_key").filter(F.col("_node") > F.col("_lead"))
+    return met.select(F.col("_node").alias("a"), F.col("_lead").alias("b")).distinct()
 
 
 def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -173,36 +178,39 @@ def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
 
 
 def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """(a, b): edges with the components of all links inside the clusters of ``members`` (_rep, _f1, _f2, _cluster)."""
+    """(a, b): edges with the components of all links inside the clusters of ``members`` (_node, _rep, _th, _f1, _f2, _n, _cluster)."""
     sizes = members.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_total"))
     blocks = F.greatest(F.ceil(F.col("_m") / BLOCK_MEMBERS), F.ceil(F.col("_total") / BLOCK_SHINGLES)).cast("int")
     placed = cut_lineage(
-        members.join(sizes.select("_cluster", blocks.alias("_blocks")), "_cluster").select("_rep", "_f1", "_f2", "_cluster", "_blocks")
+        members.join(sizes.select("_cluster", blocks.alias("_blocks")), "_cluster").select(
+            "_node", "_rep", "_th", "_f1", "_f2", "_cluster", "_blocks"
+        )
     )
-    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text"))
-    chosen = texts.join(broadcast_if_small(placed, FEW_ROWS), "_rep").select("_rep", "_f1", "_f2", "_cluster", "_blocks", "_text")
+    # A class's set is read from the row, or the equal rows, of its smallest id and text.
+    texts = docs.select(F.col(id_col).alias("_rep"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    chosen = texts.join(broadcast_if_small(placed, FEW_ROWS), ["_rep", "_th"]).select("_node", "_f1", "_f2", "_cluster", "_blocks", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for i, (f1, f2, text) in enumerate(zip(batch.column(1), batch.column(2), batch.column(5), strict=True)):
                 own = shingle_set(text.as_py())
-                # Rows that repeat an id with another text belong to another class.
+                # Texts of one hash under one id may still be of two classes.
                 if len(own) and fingerprint(own) == (f1.as_py(), f2.as_py()):
                     rows.append(i)
                     found.append(own.tobytes())
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(taken), batch.column(3).take(taken), batch.column(4).take(taken), pa.array(found, pa.binary())],
-                names=["_rep", "_cluster", "_blocks", "_set"],
+                names=["_node", "_cluster", "_blocks", "_set"],
             )
 
-    made = chosen.mapInArrow(sets, "_rep long, _cluster long, _blocks int, _set binary")
-    own = F.pmod(F.xxhash64("_rep"), F.col("_blocks").cast("long")).cast("int")
+    made = chosen.mapInArrow(sets, "_node long, _cluster long, _blocks int, _set binary")
+    own = F.pmod(F.xxhash64("_node"), F.col("_blocks").cast("long")).cast("int")
     dealt = (
         made.withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("_cluster", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_rep", "_set")
+        .select("_cluster", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_node", "_set")
     )
     group = ["_cluster", "_i", "_j"]
     ordered = spread(dealt, *group).sortWithinPartitions(*group)
@@ -220,11 +228,11 @@ def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
         for batch in batches:
             edges = []
             columns = [batch.column(i).to_pylist() for i in range(5)]
-            for at, (cluster, i, j, mine, rep) in enumerate(zip(*columns, strict=True)):
+            for at, (cluster, i, j, mine, node) in enumerate(zip(*columns, strict=True)):
                 if (cluster, i, j) != current:
                     edges += finish()
                     current, held = (cluster, i, j), ({}, {})
-                held[0 if mine == i else 1][rep] = np.frombuffer(batch.column(5)[at].as_py(), _U)
+                held[0 if mine == i else 1][node] = np.frombuffer(batch.column(5)[at].as_py(), _U)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
         edges = finish()
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -236,18 +244,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     marked = cut_lineage(prints(docs, id_col, text_col))
     # n_shingles, bands and set are the same for all rows of a class.
-    classes = cut_lineage(
+    sets = (
         marked.filter(F.col("_f1").isNotNull() & F.col("_id").isNotNull())
         .groupBy("_f1", "_f2")
-        .agg(F.min("_id").alias("_rep"), F.any_value("n_shingles").alias("_n"), F.any_value("_bands").alias("_bands"))
+        .agg(F.min(F.struct("_id", "_th")).alias("_first"), F.any_value("n_shingles").alias("_n"), F.any_value("_bands").alias("_bands"))
+    )
+    numbered = sets.orderBy("_first", "_f1", "_f2").withColumn("_node", F.monotonically_increasing_id())
+    classes = cut_lineage(
+        numbered.select("_node", F.col("_first._id").alias("_rep"), F.col("_first._th").alias("_th"), "_f1", "_f2", "_n", "_bands")
     )
     clusters = components(candidate_stars(classes))
-    members = classes.select("_rep", "_f1", "_f2", "_n").join(
-        clusters.select(F.col("node").alias("_rep"), F.col("component").alias("_cluster")), "_rep"
+    members = classes.drop("_bands").join(
+        clusters.select(F.col("node").alias("_node"), F.col("component").alias("_cluster")), "_node"
     )
     found = components(verified_edges(docs, cut_lineage(members), id_col, text_col, percent))
-    labels = classes.select("_f1", "_f2", "_rep").join(found, F.col("_rep") == F.col("node"), "left")
-    labels = labels.select("_f1", "_f2", F.coalesce("component", "_rep").alias("_label"))
+    heads = classes.select(F.col("_node").alias("component"), F.col("_rep").alias("_label"))
+    named = found.join(heads, "component").select(F.col("node").alias("_node"), "_label")
+    labels = classes.select("_f1", "_f2", "_node", "_rep").join(named, "_node", "left")
+    labels = labels.select("_f1", "_f2", F.coalesce("_label", "_rep").alias("_label"))
     joined = marked.select("_id", "n_shingles", "_f1", "_f2").join(cut_lineage(labels), ["_f1", "_f2"], "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("_label", "_id"))
     return joined.select(

@@ -68,8 +68,8 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def near_components(docs):
-    """{doc_id: smallest id reachable over links of similarity 0.85}."""
+def near_components(docs, percent=85):
+    """{doc_id: smallest id reachable over links of similarity of at least so many percent}."""
     sets = {doc: shingles(text) for doc, text in docs.items()}
     root = {doc: doc for doc in docs}
 
@@ -82,7 +82,7 @@ def near_components(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {doc: find(doc) for doc in docs}

@@ -516,6 +516,24 @@ def test_similarity_at_the_limit(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng, words = random.Random(4), vocabulary(4)
+    a, b = prose(rng, words, 80), prose(rng, words, 80)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(rng, words, 80)), (4, a + " other"), (5, b)]
+    for order in (rows, rows[::-1]):
+        got = near_dups.digest(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        found = sorted((r.doc_id, r.component_id, r.kept) for r in got)
+        assert found == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True), (5, 1, False)]
+
+
+def test_ids_of_any_type(spark):
+    rng, words = random.Random(5), vocabulary(5)
+    a, b = prose(rng, words, 60), prose(rng, words, 60)
+    frame = spark.createDataFrame([("x", a), ("c", a + " more"), ("k", b), (None, a)], "name string, text string")
+    got = {r.name: (r.component_id, r.kept) for r in near_dups.near_duplicates(frame, "name").collect()}
+    assert got == {"x": ("c", False), "c": ("c", True), "k": ("k", True), None: (None, True)}
+
+
 def test_near_duplicates_empty(empty):
     assert near_dups.digest(empty).count() == 0
 

@@ -105,6 +105,16 @@ def test_short_item_in_every_size_of_document(spark):
     assert {r.doc_id for r in got} == {1, 10, 100, 1000, 20_000}
 
 
+def test_decontamination_of_rows_that_share_an_id_or_have_none(spark):
+    item = " ".join(f"item{i}" for i in range(24))
+    words = item.split()
+    rows = [(1, "clean text of one"), (1, item), (2, " ".join(words[:14])), (2, " ".join(words[10:])), (None, "x " + item), (None, "clean"), (3, item), (3, item)]
+    frame, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contained_items(frame, table).collect()) == [1, 3]
+    left = sorted(((r.doc_id or 0, r.text) for r in decontaminate.clean(frame, table).collect()))
+    assert left == sorted((doc or 0, text) for doc, text in (rows[0], rows[2], rows[3], rows[5]))
+
+
 def brute_rule(url):
     """(host, path, rule, verdict) of the base rules."""
     host = path = ""
