@@ -2,6 +2,11 @@
 
 Each stage gets all that its predecessor kept, as a table read from Parquet,
 and returns the columns of ``documents``; the last returns the packed pieces.
+
+A row is known by its id and text: rows that share an id but not a text, and
+rows without an id, are documents of their own in every stage.  Rows that are
+equal in both are one document to the near-duplicate stage, which leaves one.
+Line de-duplication counts rows of one id as one document.
 """
 
 from __future__ import annotations
@@ -36,16 +41,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents repeat."""
-    kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    # A row without an id gets one below zero, from its text, so that its lines count as well.
+    own = F.lit(-1).cast("long") - F.shiftrightunsigned(F.xxhash64("text"), 1)
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS, F.coalesce("doc_id", own).alias("_row")), "_row")
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id.  Rows that repeat an id leave one."""
-    found = near_dups.near_duplicates(docs, percent=PERCENT)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return rest.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(rest.filter(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates: the smallest id, any id before none; of equal rows one stays."""
+    row = F.struct(
+        F.col("doc_id").isNull().alias("unnamed"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("text"),
+        F.xxhash64(F.lit(1), "text").alias("more"),
+    )
+    marked = docs.select(*COLUMNS, row.alias("_row"))
+    found = near_dups.near_duplicates(marked, "_row", percent=PERCENT)
+    gone = found.filter(~F.col("kept")).select("_row").distinct()
+    return marked.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
