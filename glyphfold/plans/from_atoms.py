@@ -41,6 +41,10 @@ def by_document(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_ALL_KEYS, before)
 
 
+def _number(spark: SparkSession, buckets: int | None) -> int:
+    return buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_buckets(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     """``rows`` as a table in buckets of ``doc_id``, in the shared folder; one file a bucket.
 
@@ -48,7 +52,7 @@ def write_buckets(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     of text; without it there are as many as shuffle partitions.
     """
     spark = rows.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _number(spark, buckets)
     name = f"by_document_{uuid.uuid4().hex}"
     writer = rows.repartition(buckets, "doc_id").write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
     writer.bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(name)
@@ -114,13 +118,13 @@ def expected(groups: DataFrame, outcomes: DataFrame, buckets: int | None = None)
     asked = outcomes.filter("outcome = 'APPLIED'").select(
         *PAGE, F.col("doc_id").alias("exp_id"), *BOX, F.col("source_text").alias("old_text"), F.col("replacement").alias("new_text")
     )
-    seen = look_up(page_items(groups, PAGE, "seq"), asked, PAGE).select(*PAGE, "exp_id", F.col("old_outside").alias("expected_outside"))
+    seen = look_up(page_items(groups, PAGE, "seq"), asked, PAGE, lie=(_number(groups.sparkSession, buckets), "doc_id")).select(*PAGE, "exp_id", F.col("old_outside").alias("expected_outside"))
     return write_buckets(asked.join(seen, [*PAGE, "exp_id"]), buckets)
 
 
-def evidence_of(after: DataFrame, asked: DataFrame) -> DataFrame:
+def evidence_of(after: DataFrame, asked: DataFrame, buckets: int | None = None) -> DataFrame:
     """The proof (RDX8) of what was applied."""
-    return extraction_evidence(shown(after), asked, PAGE, "seq")
+    return extraction_evidence(shown(after), asked, PAGE, "seq", lie=(_number(after.sparkSession, buckets), "doc_id"))
 
 
 def redact_groups(groups: DataFrame, edits: DataFrame, fonts: DataFrame, styles: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -133,7 +137,7 @@ def redact_groups(groups: DataFrame, edits: DataFrame, fonts: DataFrame, styles:
         plan = plan_groups(groups, edits, fonts, styles, buckets)
         after, outcomes = apply_edits(documents(groups), plan)
         outcomes = write_buckets(outcomes, buckets)
-        evidence = evidence_of(after, expected(groups, outcomes, buckets))
+        evidence = evidence_of(after, expected(groups, outcomes, buckets), buckets)
         told = outcomes.select("doc_id", "page", F.when(F.col("matches") == 1, F.col("line_no")).alias("line_no"), "outcome", "font_id")
         proof = evidence.select("doc_id", "old_absent", "new_present", "old_outside", "outside_preserved", "valid")
         digests = after.select("doc_id", F.sha2("text", 256).alias("text_digest"))

@@ -410,8 +410,9 @@ def prove_removed(after: DataFrame, edits: DataFrame, on: Seq[str], text: str, s
 
 
 def extraction_evidence(
-    items: DataFrame, expectations: DataFrame, on: Seq[str], order: str, strict: bool = True, region: str | None = None
-) -> DataFrame:
+    items: DataFrame, expectations: DataFrame, on: Seq[str], order: str, strict: bool = True, region: str | None = None,
+    lie: tuple[int, str] | None = None,
+) -> DataFrame:
     """RDX8: text at the target against the rest of the page, spaces ignored.
 
     items: on, order, text, x, y, w, h; expectations: on, exp_id, x, y, w, h,
@@ -419,17 +420,17 @@ def extraction_evidence(
     target when the new text contains the old one.  ``region`` names a struct
     column x0, y0, x1, y1 of the expectations: then ``cells`` digests the places
     and texts of all items outside it, as sums of hashes.  A page meets all its
-    expectations at once (see :mod:`glyphfold.plans.proof`).
+    expectations at once (see :mod:`glyphfold.plans.proof`); ``lie`` as there.
     """
-    return _evidence(proof.page_items(items, on, order), expectations, on, strict, region)
+    return _evidence(proof.page_items(items, on, order), expectations, on, strict, region, lie)
 
 
-def _evidence(pages: DataFrame, expectations: DataFrame, on: Seq[str], strict: bool = True, region: str | None = None) -> DataFrame:
+def _evidence(pages: DataFrame, expectations: DataFrame, on: Seq[str], strict: bool = True, region: str | None = None, lie: tuple[int, str] | None = None) -> DataFrame:
     kept = ["cells"] if region else []
     asked = expectations.select(
         *on, "exp_id", searchable(F.col("old_text")).alias("_old"), searchable(F.col("new_text")).alias("_new"), "expected_outside"
     )
-    seen = proof.look_up(pages, expectations, on, region).join(asked, [*on, "exp_id"])
+    seen = proof.look_up(pages, expectations, on, region, lie).join(asked, [*on, "exp_id"])
     old, new = F.coalesce("_old", F.lit("")), F.coalesce("_new", F.lit(""))
     clean = seen.withColumn("target_text", searchable(F.col("target")))
     target = F.col("target_text")
